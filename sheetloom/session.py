@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers find the package wherever the driver was started; clusters ship it themselves."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    return spark
+
+
 def local_session(cpus: int = 8, app: str = "sheetloom", memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
