@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pages
+from . import intake, pages
 
-MODULES = (pages,)
+MODULES = (pages, intake)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
