@@ -10,90 +10,144 @@ short lines recur without being copies.
 2. Lines with the same word set form a class, named by its first line. A class keeps its rarest
    words, the prefix: sets of n and m words can only reach the threshold if their prefixes of
    n - ceil(0.8 n) + 1 words meet.
-3. Classes that share a prefix word are candidates, if their lengths fit (m >= 0.8 n) and what can
-   still be shared from the meeting positions on reaches the needed overlap.
-4. Candidates are verified on whole word sets.
+3. Classes that share a prefix word are candidates if their lengths fit (m >= 0.8 n), if what can
+   still be shared from the meeting positions on reaches the needed overlap, and if their parity
+   sketches (64 bits, each word flips one) differ in no more bits than their sets may differ in words.
+4. Candidates are verified on whole word sets. The lines that this needs are picked out by a bitmap
+   of fixed size before anything is shuffled.
 
 Only whether a class has an earlier match decides, so not all pairs are needed. Words that at most
 ``SMALL`` classes have in their prefix give all their pairs, a bounded number for each row. Where
 more classes share a word, each is first held against the earliest of them; only classes that have
-found no match so far are then held against all the earlier ones. No pair is left out.
+found no match so far are then held against all the earlier ones. No pair is left out. Words in
+buckets of more than ``BOUNDED`` occurrences might have hot groups and are grouped by pre-aggregated
+counts; all others have a group of at most that size and are grouped by a window.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, words
+from .common import SPACE, let, store, words
 
-#: Hash buckets of the word counts: a table of fixed size, however many words there are.
-BUCKETS = 16384
+#: Hash buckets of the word counts, a power of two: a table of fixed size, however many words there are.
+BUCKETS = 65536
+#: White space at the ends of lines.
+BLANKS = " \t\n\x0b\x0c\r"
+#: Most occurrences of a bucket whose words are grouped by a window.
+BOUNDED = 50_000
+#: Bits of the bitmap that picks the lines to verify: at most BITMAP / 64 rows are broadcast.
+BITMAP = 1 << 23
 #: Lines with fewer distinct words are never removed.
 MIN_WORDS = 5
 #: Jaccard threshold as a fraction, so that all arithmetic is in integers.
 NUM, DEN = 4, 5
 #: Classes that may share a prefix word before the earliest is tried first.
-SMALL = 32
+SMALL = 256
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(d, l, line)``: the lines with a word of every document with an id; l counts from 0."""
+    """``(d, l, line)``: the lines of every document with an id, l from 0, without white space at their ends."""
     parts = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
     out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("l", "line"))
-    return out.where(F.col("line").rlike(f"[^{SPACE}]"))
+    return out.select("d", "l", F.trim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
+
+
+def line_words(line: Column) -> Column:
+    """Words of a line that has no white space at its ends."""
+    return F.split(line, f"[{SPACE}]+")
 
 
 def hashes(line: Column) -> Column:
-    """Distinct 64-bit hashes of the words of a line."""
-    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    """Distinct 64-bit hashes of the words of a line that has no white space at its ends."""
+    return F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
 
 
-def rarity_levels(lines: DataFrame, buckets: int = BUCKETS) -> Column:
-    """An array literal: by hash bucket, eight times the binary logarithm of its word count.
+def rarity_levels(lines: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """By hash bucket, eight times the binary logarithm of its word count.
 
     The counts cover every word of every line; only ``buckets`` numbers come to the driver.
     """
-    word = lines.select(F.explode(F.transform(words(F.col("line")), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))).alias("b"))
+    word = lines.select(F.explode(line_words(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"))
     level = {r["b"]: r["v"] for r in word.groupBy("b").agg(F.floor(8 * F.log2(F.count(F.lit(1)))).cast("int").alias("v")).collect()}
-    return F.split(F.lit(",".join(str(level.get(i, 0)) for i in range(buckets))), ",").cast("array<int>")
+    return [level.get(i, 0) for i in range(buckets)]
+
 
+def table(numbers: list[int]) -> Column:
+    """An array literal of many numbers, folded once when the query is planned."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
-def by_rarity(h: Column, levels: Column, buckets: int = BUCKETS) -> Column:
-    """Hashes as longs in the order of rarity: level in the top bits, 54 bits of the hash below."""
-    level = lambda x: F.get(levels, F.pmod(x, F.lit(buckets)).cast("int")).cast("long")
-    return F.sort_array(F.transform(h, lambda x: F.shiftleft(level(x), 54).bitwiseOR(F.shiftrightunsigned(x, 10))))
+
+def by_rarity(h: Column, levels: list[int]) -> Column:
+    """Hashes as longs in the order of rarity: level in the top bits, then 38 bits of the hash and its bucket."""
+    shifted, mask = table([v << 54 for v in levels]), len(levels) - 1
+    packed = lambda x: F.get(shifted, x.bitwiseAND(F.lit(mask)).cast("int")).bitwiseOR(x.bitwiseAND(F.lit((1 << 54) - 1)))
+    return F.sort_array(F.transform(h, packed))
 
 
 def prefix_length(n: Column) -> Column:
     return (n - F.floor((n * NUM + DEN - 1) / DEN) + 1).cast("int")
 
 
-def classes(lines: DataFrame, levels: Column) -> DataFrame:
-    """``(d, l, n, prefix)``: the first line of each word set. Sets are told apart by size and 96 bits of hash."""
+def classes(lines: DataFrame, levels: list[int]) -> DataFrame:
+    """``(d, l, n, sketch, prefix)``: the first line of each word set. Sets are told apart by size and 128 bits of hash."""
     made = lines.select("d", "l", by_rarity(hashes(F.col("line")), levels).alias("w")).where(F.size("w") >= MIN_WORDS)
-    n = F.size("w")
-    keyed = made.select(F.xxhash64("w").alias("s1"), F.hash("w").alias("s2"), n.alias("n"), "d", "l", F.slice("w", F.lit(1), prefix_length(n)).alias("prefix"))
-    first = keyed.groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "l", "prefix")).alias("m"))
-    return first.select("m.d", "m.l", "n", "m.prefix")
+    flip = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x, 16).bitwiseAND(F.lit(63)).cast("int"))))
+    keyed = made.select(F.xxhash64("w").alias("s"), F.size("w").alias("n"), flip.alias("sketch"), "d", "l", F.slice("w", F.lit(1), prefix_length(F.size("w"))).alias("prefix"))
+    first = keyed.groupBy("s", "n", "sketch").agg(F.min(F.struct("d", "l", "prefix")).alias("m"))
+    return first.select("m.d", "m.l", "n", "sketch", "m.prefix")
+
+
+SIDE = ("d", "l", "n", "i", "sketch")
 
 
 def _side(items: DataFrame, s: str) -> DataFrame:
-    return items.select("w", *[F.col(c).alias(s + c) for c in ("d", "l", "n", "i")])
+    return items.select("w", *[F.col(c).alias(s + c) for c in SIDE])
 
 
-def _fits(a: str, b: str) -> Column:
-    """Order, length filter and positional filter of an earlier class ``a`` and a later one ``b``."""
+def _fits() -> Column:
+    """Order, length, positional and parity filters of an earlier class ``a`` and a later one ``b``."""
     c = F.col
-    earlier = (c(f"{a}d") < c(f"{b}d")) | ((c(f"{a}d") == c(f"{b}d")) & (c(f"{a}l") < c(f"{b}l")))
-    length = (c(f"{a}n") * DEN >= c(f"{b}n") * NUM) & (c(f"{b}n") * DEN >= c(f"{a}n") * NUM)
-    left = F.least(c(f"{a}n") - c(f"{a}i"), c(f"{b}n") - c(f"{b}i"))  # J >= 4/5: 9 * overlap >= 4 * (n + m)
-    return earlier & length & (left * (NUM + DEN) >= (c(f"{a}n") + c(f"{b}n")) * NUM)
+    earlier = (c("ad") < c("bd")) | ((c("ad") == c("bd")) & (c("al") < c("bl")))
+    length = (c("an") * DEN >= c("bn") * NUM) & (c("bn") * DEN >= c("an") * NUM)
+    both = c("an") + c("bn")
+    left = F.least(c("an") - c("ai"), c("bn") - c("bi"))  # J >= 4/5: 9 * overlap >= 4 * (n + m)
+    apart = both - 2 * F.ceil(both * NUM / (NUM + DEN))  # words in one set only
+    return earlier & length & (left * (NUM + DEN) >= both * NUM) & (F.bit_count(c("asketch").bitwiseXOR(c("bsketch"))) <= apart)
 
 
 PAIR = ["ad", "al", "bd", "bl"]
 
 
+def grouped(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``items`` of words that several classes share, with the number ``c`` of them and the earliest as ``p``.
+
+    The first table has the words whose group is bounded, the second those whose group may be hot.
+    """
+    bound = int(8 * math.log2(BOUNDED))
+    item = F.struct(*SIDE)
+    few = items.where(F.shiftright("w", 54) < bound)
+    by_word = W.partitionBy("w")
+    few = few.withColumns({"c": F.count(F.lit(1)).over(by_word), "p": F.min(item).over(by_word)}).where("c > 1")
+    many = items.where(F.shiftright("w", 54) >= bound)
+    counts = many.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(item).alias("p")).where("c > 1")
+    return few, many.join(counts, "w").select(*few.columns)
+
+
+def picked(lines: DataFrame, needed: DataFrame) -> DataFrame:
+    """The lines whose (d, l) is in ``needed``: first by a bitmap that is broadcast, then exactly."""
+    bit = F.pmod(F.xxhash64("d", "l"), F.lit(BITMAP))
+    bits = needed.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("on")).groupBy("at").agg(F.bit_or("on").alias("bits"))
+    some = lines.withColumns({"at": F.shiftright(bit, 6), "on": bit.bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(bits), "at")
+    some = some.where(F.call_function("shiftright", F.col("bits"), F.col("on")).bitwiseAND(F.lit(1)) == 1).select("d", "l", "line")
+    return some.join(needed, ["d", "l"]).groupBy("d", "l").agg(F.first("line").alias("line"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(d, l)`` of the later classes of pairs whose whole word sets reach the threshold."""
     a = sets.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("h").alias("ah"))
@@ -103,26 +157,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(same).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct()
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """``(d, l)`` of the classes in ``pairs``."""
+    return pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")))).alias("x")).select("x.d", "x.l").distinct()
+
+
 def first_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(d, l)`` of the lines that stay among those of ``MIN_WORDS`` distinct words or more."""
     lines = lines_of(docs, text_col)
-    reps = cut(classes(lines, rarity_levels(lines)))
-    items = reps.select("d", "l", "n", F.posexplode("prefix").alias("i", "w"))
-    groups = items.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("first_d")).where("c > 1")
-    shared = items.join(groups, "w")
-    small = shared.where(F.col("c") <= SMALL).drop("c", "first_d")
-    near = _side(small, "a").join(_side(small, "b"), "w").where(_fits("a", "b")).select(*PAIR).distinct()
-    hot = cut(shared.where(F.col("c") > SMALL))
-    pivots = hot.where(F.col("d") == F.col("first_d")).groupBy("w").agg(F.min(F.struct("l", "n", "i", "d")).alias("p")).select("w", "p.d", "p.l", "p.n", "p.i")
-    hot = hot.drop("c", "first_d")
-    tried = _side(pivots, "a").join(_side(hot, "b"), "w").where(_fits("a", "b")).select(*PAIR).distinct()
-    near = cut(near.unionByName(tried))
-    needed = near.select(F.col("ad").alias("d"), F.col("al").alias("l")).unionByName(near.select(F.col("bd").alias("d"), F.col("bl").alias("l"))).unionByName(hot.select("d", "l")).distinct()
-    sets = cut(lines.join(needed, ["d", "l"]).groupBy("d", "l").agg(F.first("line").alias("line")).select("d", "l", hashes(F.col("line")).alias("h")))
-    done = cut(verified(near, sets))
-    open_ = hot.join(done, ["d", "l"], "left_anti")
-    rest = _side(hot, "a").join(_side(open_, "b"), "w").where(_fits("a", "b")).select(*PAIR).distinct().join(near, PAIR, "left_anti")
-    gone = done.unionByName(verified(rest, sets))
+    levels = rarity_levels(lines)
+    reps = store(classes(lines, levels))
+    found = []
+    for shared in grouped(reps.select("d", "l", "n", "sketch", F.posexplode("prefix").alias("i", "w"))):
+        small, large = shared.where(F.col("c") <= SMALL), shared.where(F.col("c") > SMALL)
+        pivot = large.select(*[F.col(f"p.{c}").alias("a" + c) for c in SIDE], *[F.col(c).alias("b" + c) for c in SIDE])
+        for pairs in (_side(small, "a").join(_side(small, "b"), "w").where(_fits()), pivot.where(_fits())):
+            found.append(pairs.select(*PAIR).distinct().select(*PAIR, *[F.lit(None).cast(t).alias(c) for c, t in (("w", "long"), ("n", "int"), ("i", "int"), ("sketch", "long"))]))
+        found.append(large.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.lit(None).cast("long").alias("bd"), F.lit(None).cast("int").alias("bl"), "w", "n", "i", "sketch"))
+    both = store(reduce(DataFrame.unionByName, found))  # one job, so the items are shuffled once
+    near = both.where("w is null").select(*PAIR).distinct()
+    hot = both.where("w is not null").select("w", F.col("ad").alias("d"), F.col("al").alias("l"), "n", "i", "sketch")
+    done = store(verified(near, store(picked(lines, ends(near)).select("d", "l", hashes(F.col("line")).alias("h")))))
+    # What the earliest class of a hot word doesn't match is held against all the earlier ones.
+    rest = _side(hot, "a").join(_side(hot.join(done, ["d", "l"], "left_anti"), "b"), "w").where(_fits()).select(*PAIR).distinct()
+    rest = store(rest.join(near, PAIR, "left_anti"))
+    gone = done.unionByName(verified(rest, store(picked(lines, ends(rest)).select("d", "l", hashes(F.col("line")).alias("h")))))
     return reps.select("d", "l").join(gone, ["d", "l"], "left_anti")
 
 
@@ -173,7 +232,8 @@ def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
 ORACLE_SQL = r"""
 with docs as (select doc_id, coalesce(text, '') as text, len(string_split(coalesce(text, ''), chr(10))) as n_lines from documents),
 x as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, n_lines)) as l from docs),
-s as (select doc_id, l, list_distinct(regexp_extract_all(line, '[^ 	-]+')) as w from x),
+s as (select doc_id, l, list_distinct(regexp_extract_all(line, '[^ 	-
+]+')) as w from x),
 e as (select * from s where len(w) >= 5),
 c as (select list_sort(w) as w, min((doc_id, l)) as first from e group by list_sort(w)),
 ci as (select row_number() over (order by first) as k, w, first, len(w) as n from c),
