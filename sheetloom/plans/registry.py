@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intake, pages
+from . import dimensions, intake, pages
 
-MODULES = (pages, intake)
+MODULES = (pages, intake, dimensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
