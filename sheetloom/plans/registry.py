@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dimensions, intake, pages
+from . import dimensions, geometry, intake, pages
 
-MODULES = (pages, intake, dimensions)
+MODULES = (pages, intake, dimensions, geometry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
