@@ -23,6 +23,8 @@ def ready(spark: SparkSession) -> SparkSession:
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)  # workers find the package wherever the driver was started
+    # Intermediate tables are written out, so the shuffles of a finished job are never read again.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))

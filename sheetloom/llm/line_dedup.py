@@ -148,15 +148,29 @@ def picked(lines: DataFrame, needed: DataFrame) -> DataFrame:
     return some.join(needed, ["d", "l"]).groupBy("d", "l").agg(F.first("line").alias("line"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(d, l)`` of the later classes of pairs whose whole word sets reach the threshold."""
-    a = sets.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("h").alias("ah"))
-    b = sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("h").alias("bh"))
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(d, l)`` of the later classes of pairs whose whole word sets reach the threshold; ``lines`` has both sides' lines."""
+    a = lines.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("line").alias("aline"))
+    b = lines.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("line").alias("bline"))
     both = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"])
-    same = F.size(F.array_intersect("ah", "bh")) * (NUM + DEN) >= (F.size("ah") + F.size("bh")) * NUM
+    shared = lambda x, y: F.size(F.array_intersect(x, y)) * (NUM + DEN) >= (F.size(x) + F.size(y)) * NUM
+    same = let(hashes(F.col("aline")), lambda x: let(hashes(F.col("bline")), lambda y: shared(x, y)))
     return both.where(same).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct()
 
 
+def settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(d, l)`` of the later classes that match any class they are paired with.
+
+    Each is first verified with the earliest of its candidates, which nearly always decides; all its
+    other pairs are verified only where that one failed.
+    """
+    picks = store(picked(lines, ends(pairs)))
+    first = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("m")).select("m.ad", "m.al", "bd", "bl")
+    done = store(verified(first, picks))
+    late = pairs.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti").select(*PAIR)
+    return done.unionByName(store(verified(late, picks)))
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     """``(d, l)`` of the classes in ``pairs``."""
     return pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")))).alias("x")).select("x.d", "x.l").distinct()
@@ -177,11 +191,11 @@ def first_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     both = store(reduce(DataFrame.unionByName, found))  # one job, so the items are shuffled once
     near = both.where("w is null").select(*PAIR).distinct()
     hot = both.where("w is not null").select("w", F.col("ad").alias("d"), F.col("al").alias("l"), "n", "i", "sketch")
-    done = store(verified(near, store(picked(lines, ends(near)).select("d", "l", hashes(F.col("line")).alias("h")))))
+    done = settled(near, lines)
     # What the earliest class of a hot word doesn't match is held against all the earlier ones.
     rest = _side(hot, "a").join(_side(hot.join(done, ["d", "l"], "left_anti"), "b"), "w").where(_fits()).select(*PAIR).distinct()
     rest = store(rest.join(near, PAIR, "left_anti"))
-    gone = done.unionByName(verified(rest, store(picked(lines, ends(rest)).select("d", "l", hashes(F.col("line")).alias("h")))))
+    gone = done.unionByName(settled(rest, lines))
     return reps.select("d", "l").join(gone, ["d", "l"], "left_anti")
 
 
