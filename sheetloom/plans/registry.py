@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dimensions, geometry, intake, pages
+from . import dimensions, geometry, intake, notation, pages, streams
 
-MODULES = (pages, intake, dimensions, geometry)
+MODULES = (pages, intake, dimensions, geometry, notation, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +15,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared one in ``spark.checkpoint.dir``, or below a temporary one where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{top}/{uuid.uuid4().hex}"
+
+
 def local_session(cpus: int = 8, app: str = "sheetloom", memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
