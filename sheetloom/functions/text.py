@@ -96,7 +96,7 @@ def gate(rows: DataFrame, keys: list[str], candidate: str, evidence: Column | No
     Null candidates count as none. ``value`` is set only where it is unique; the evidence stays in
     every case, sorted, so that an ambiguous result never turns into a silent pick.
     """
-    seen = F.coalesce(evidence, F.col(candidate))
+    seen = F.col(candidate) if evidence is None else evidence
     out = rows.groupBy(*keys).agg(F.count_distinct(candidate).alias("n"), F.min(candidate).alias("_v"), F.array_sort(F.collect_set(seen)).alias("evidence"))
     status = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "unique").otherwise("ambiguous")
     return out.select(*keys, status.alias("status"), F.when(F.col("n") == 1, F.col("_v")).alias("value"), F.col("n").cast("long").alias("n"), "evidence")
