@@ -35,7 +35,9 @@ BITS = 18
 SIZE = 1 << BITS
 #: Documented bound of the training sample: rows of each label.
 PER_CLASS = 3000
-EPOCHS = 3
+EPOCHS = 4
+#: L1 strength per training row: only words that keep going with toxic labels keep a weight.
+L1_PER_ROW, LEAST_L1 = 1e-3, 0.3
 #: Weight of the squared difference of the scores of two counterfactual versions.
 PENALTY = 0.5
 CACHE = 400_000
@@ -74,7 +76,7 @@ def features(sample: DataFrame) -> DataFrame:
 
 
 def fit_rows(rows: pd.DataFrame, epochs: int = EPOCHS, penalty: float = PENALTY) -> np.ndarray:
-    model, rng = Ftrl(SIZE, alpha=0.3, l1=1.0, l2=1e-3), np.random.default_rng(11)
+    model, rng = Ftrl(SIZE, alpha=0.3, l1=max(LEAST_L1, L1_PER_ROW * len(rows)), l2=1e-3), np.random.default_rng(11)
     terms = {t: parts(t) for t in IDENTITY_TERMS}
     y = rows["y"].to_numpy(float)
     share = max(y.mean(), 1e-3) if len(y) else 0.5
