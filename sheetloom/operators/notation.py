@@ -200,3 +200,24 @@ def decimal_extension(dimension: DataFrame, page: DataFrame) -> DataFrame:
     j = d.join(tokens, ["doc_id", "_i"]).where(F.startswith(F.col("token"), F.col("value")))
     g = j.groupBy("doc_id", "ord").agg(F.bool_or(F.col("token") == F.col("value")).alias("equal"), F.min(F.when(F.col("token") != F.col("value"), F.struct("page", "token"))).alias("x"))
     return g.where("not equal and x is not null").select("doc_id", "ord", "x.page", "x.token")
+
+
+def anchor_used(value: DataFrame, dimension: DataFrame, page: DataFrame, tol: float = K.PROVENANCE_TOL) -> DataFrame:
+    """``value(doc_id, field, value_mm)``: whether any dimension of the same value (within ``tol``) stands verbatim on a page; null without one."""
+    a = anchor(dimension, page).select("doc_id", "ord", "anchored").join(dimension.select("doc_id", "ord", "value_mm"), ["doc_id", "ord"])
+    width = 2 * tol
+    bucket = F.floor(F.col("value_mm") / width)
+    v = value.select("doc_id", "field", F.col("value_mm").alias("_v"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    hit = v.join(a.withColumn("_b", F.floor(F.col("value_mm") / width)), ["doc_id", "_b"]).where(F.abs(F.col("value_mm") - F.col("_v")) <= tol + 1e-12)
+    per = hit.groupBy("doc_id", "field").agg(F.bool_or("anchored").alias("anchored"))
+    return value.select("doc_id", "field").join(per, ["doc_id", "field"], "left")
+
+
+def apply_decimal_guard(value: DataFrame, dimension: DataFrame, suspicion: DataFrame) -> DataFrame:
+    """Fields whose source value looks cut off are blanked, with the source text kept; all others stay.
+
+    ``value(doc_id, field, ord, value_mm)``: ord is the dimension that a field came from.
+    """
+    j = value.join(suspicion.select("doc_id", "ord", F.col("token").alias("extends_to")), ["doc_id", "ord"], "left").join(dimension.select("doc_id", "ord", F.col("value").alias("source_text")), ["doc_id", "ord"], "left")
+    bad = F.col("extends_to").isNotNull()
+    return j.select("doc_id", "field", F.when(~bad, F.col("value_mm")).alias("value_mm"), "source_text", bad.alias("suspicious"), "extends_to")

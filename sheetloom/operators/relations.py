@@ -148,3 +148,98 @@ def missing_fields(geometry: DataFrame, with_body: bool = True) -> DataFrame:
     lacking = F.filter(F.array(*[F.when(~F.coalesce(F.col(c) > 0, F.lit(False)), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
     miss = F.array_sort(F.array_intersect(lacking, need))
     return geometry.select("doc_id", "family", F.array_join(miss, ",").alias("missing"), F.size(miss).alias("n_missing"))
+
+
+def _unique(d: DataFrame, role: str, axis: str, tol: float = K.CONSISTENT) -> Column:
+    """The mean of a role's values on an axis when they agree, as an aggregate."""
+    v = F.when((F.col("effective_role") == role) & (F.col("axis") == axis), F.col("value_mm"))
+    return F.when(F.max(v) - F.min(v) <= tol + 1e-12, F.round(F.avg(v), 6))
+
+
+def _nodes() -> Column:
+    """The two nodes that a center dimension joins, in a fixed order: left, middle or right."""
+    ends = F.transform(F.split(F.lower(F.coalesce("endpoints", F.lit(""))), "->|→"), lambda e: F.regexp_extract(F.trim(e), "^(left|middle|right)", 1))
+    return F.array_join(F.array_sort(ends), "-")
+
+
+def rel_inline(dimension: DataFrame, pins: DataFrame) -> DataFrame:
+    """Three pads in a line: pin count 3, exactly the edges left-middle and middle-right, one pitch above the pad; score 8.
+
+    ``pins(doc_id, pin_count)``.
+    """
+    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())
+    edge = F.when((F.col("effective_role") == "center") & (F.col("axis") == "x"), _nodes())
+    g = d.groupBy("doc_id").agg(_unique(d, "pad", "x").alias("pad_x"), _unique(d, "pad", "y").alias("pad_y"), _unique(d, "center", "x").alias("center_x"), F.array_sort(F.collect_set(edge)).alias("edges"))
+    ok = (F.array_join("edges", ",") == "left-middle,middle-right") & (F.col("center_x") > F.col("pad_x")) & F.col("pad_y").isNotNull()
+    return g.join(pins.where("pin_count = 3"), "doc_id").where(F.coalesce(ok, F.lit(False))).select("doc_id", F.lit("INLINE3").alias("family"), F.lit("REL_INLINE3_x").alias("formula"), "pad_x", "pad_y", "center_x", F.lit(None).cast("double").alias("pitch_y"), F.lit(8).alias("relation_score"), F.lit(3).alias("role_score"))
+
+
+def rel_grid(dimension: DataFrame, pins: DataFrame) -> DataFrame:
+    """Four pads in a grid: pin count 4, a unique center above the pad on both axes whose ends name opposing sides; score 8."""
+    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())
+    ends = F.transform(F.split(F.lower(F.coalesce("endpoints", F.lit(""))), "->|→"), lambda e: F.regexp_extract(F.trim(e), "^(left|right|top|bottom)", 1))
+    pair = F.array_join(F.array_sort(ends), "-")
+    opposing = lambda axis, names: F.bool_and(F.when((F.col("effective_role") == "center") & (F.col("axis") == axis), pair == names))
+    g = d.groupBy("doc_id").agg(
+        _unique(d, "pad", "x").alias("pad_x"), _unique(d, "pad", "y").alias("pad_y"), _unique(d, "center", "x").alias("center_x"), _unique(d, "center", "y").alias("pitch_y"),
+        opposing("x", "left-right").alias("ox"), opposing("y", "bottom-top").alias("oy"),
+    )
+    ok = F.col("ox") & F.col("oy") & (F.col("center_x") > F.col("pad_x")) & (F.col("pitch_y") > F.col("pad_y"))
+    return g.join(pins.where("pin_count = 4"), "doc_id").where(F.coalesce(ok, F.lit(False))).select("doc_id", F.lit("GRID4").alias("family"), F.lit("REL_GRID4_TWO_AXES").alias("formula"), "pad_x", "pad_y", "center_x", "pitch_y", F.lit(8).alias("relation_score"), F.lit(4).alias("role_score"))
+
+
+def rel_asym(dimension: DataFrame, pitch: DataFrame) -> DataFrame:
+    """One large and two small pads: unordered pairs of pad sizes on both axes (smaller: pad, larger: tab), an overall, a pitch of twice a half pitch or gap + pad that fits the outline's.
+
+    ``pitch(doc_id, pitches)`` from ``pitch_refs``. Pairs join on ord, so each unordered pair comes once.
+    """
+    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull()).select("doc_id", "ord", "axis", "effective_role", "value_mm").distinct()
+    pads = d.where("effective_role = 'pad'")
+
+    def pair(axis: str, small: str, large: str) -> DataFrame:
+        one = pads.where(F.col("axis") == axis)
+        two = one.select("doc_id", F.col("ord").alias("o2"), F.col("value_mm").alias("v2"))
+        return one.join(two, "doc_id").where((F.col("ord") < F.col("o2")) & (F.abs(F.col("value_mm") - F.col("v2")) > 1e-9)).select("doc_id", F.least("value_mm", "v2").alias(small), F.greatest("value_mm", "v2").alias(large))
+
+    base = pair("x", "pad_x", "tab_x").join(pair("y", "pad_y", "tab_y"), "doc_id").join(d.where("effective_role = 'overall'").select("doc_id", F.col("value_mm").alias("overall")), "doc_id")
+    half = d.where(F.col("effective_role").isin("half_pitch", "half_pitch_from_centerline")).select("doc_id", F.lit("half_pitch_x2").alias("how"), (2 * F.col("value_mm")).alias("p"), F.lit(False).alias("plus"))
+    gap = d.where("effective_role = 'gap'").select("doc_id", F.lit("gap_plus_pad").alias("how"), F.col("value_mm").alias("p"), F.lit(True).alias("plus"))
+    j = base.join(half.unionByName(gap), "doc_id").withColumn("pitch_y", F.col("p") + F.when(F.col("plus"), F.col("pad_y")).otherwise(0.0)).join(pitch, "doc_id")
+    fits = F.exists("pitches", lambda p: F.abs(F.col("pitch_y") - p) <= 0.15 * p)
+    center = F.col("overall") - (F.col("pad_x") + F.col("tab_x")) / 2
+    r = lambda c: F.round(c, 6)
+    return j.where(fits & (center > 0)).select("doc_id", F.lit("ASYM3").alias("family"), F.concat(F.lit("REL_ASYM3_x_"), "how").alias("formula"), r("pad_x").alias("pad_x"), r("pad_y").alias("pad_y"), r("tab_x").alias("tab_x"), r("tab_y").alias("tab_y"), r(center).alias("center_x"), r("pitch_y").alias("pitch_y"), F.lit(6).alias("relation_score"))
+
+
+def decide_family(document: DataFrame, ep: DataFrame, inline: DataFrame, grid: DataFrame, pads: DataFrame) -> DataFrame:
+    """The family from land evidence, by priority; a sample's own proposal is never used.
+
+    ``document(doc_id, pin_count)``, ``ep(doc_id, has_exposed_pad)``, ``inline`` and ``grid`` candidates, ``pads(doc_id, pads)``.
+    """
+    j = document.join(ep.select("doc_id", "has_exposed_pad"), "doc_id", "left").join(inline.select("doc_id").distinct().withColumn("_i", F.lit(True)), "doc_id", "left")
+    j = j.join(grid.select("doc_id").distinct().withColumn("_g", F.lit(True)), "doc_id", "left").join(pads, "doc_id", "left")
+    agree = F.coalesce(F.col("pads") == F.col("pin_count"), F.col("pin_count").isNull() & F.col("pads").isNotNull(), F.lit(False))
+    family = F.when(F.col("_i"), "INLINE3").when(F.col("_g"), "GRID4").when(F.coalesce("has_exposed_pad", F.lit(False)), None).when(agree & (F.col("pads") == 3), "SOT3").when(agree & (F.col("pads") == 2), "SMX")
+    status = F.when(F.col("_i").isNotNull() | F.col("_g").isNotNull(), "auto").when(F.coalesce("has_exposed_pad", F.lit(False)), "reject_ep").when(family.isNotNull(), "auto").otherwise("insufficient")
+    return j.select("doc_id", status.alias("status"), family.alias("family"))
+
+
+def pin_mapping(dimension: DataFrame, expected: DataFrame) -> DataFrame:
+    """Pad numbers that the ends name per side against ``expected(doc_id, side, number)``; the last number of a side counts."""
+    pads = F.regexp_extract_all(F.lower(F.coalesce("endpoints", F.lit(""))), F.lit(r"((?:left|right|top|bottom) pad \d+)"), F.lit(1))
+    named = dimension.select("doc_id", "ord", F.explode(pads).alias("p")).select("doc_id", F.regexp_extract("p", r"^(\w+)", 1).alias("side"), "ord", F.regexp_extract("p", r"(\d+)$", 1).cast("int").alias("number"))
+    last = named.groupBy("doc_id", "side").agg(F.max_by("number", F.struct("ord", "number")).alias("seen"))
+    j = expected.join(last, ["doc_id", "side"], "full_outer")
+    return j.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("seen") == F.col("number"), F.lit(False))).alias("matches"), F.count("seen").alias("sides_seen"))
+
+
+def family_gate(decision: DataFrame, solved: DataFrame, count: DataFrame) -> DataFrame:
+    """Reasons that bar a decided family: not automatic, not among the solved, or another pad count (one more is allowed for a numbered exposed pad)."""
+    j = decision.join(solved.groupBy("doc_id").agg(F.collect_set("family").alias("families")), "doc_id", "left").join(count.select("doc_id", "pads", "pin_count"), "doc_id", "left")
+    extra = F.when(F.col("family") == "QUAD_EP", 1).otherwise(0)
+    rules = {
+        "decision_not_auto": ~F.coalesce(F.col("status") == "auto", F.lit(False)), "family_not_solved": ~F.coalesce(F.array_contains("families", F.col("family")), F.lit(False)),
+        "counts_differ": F.coalesce(~(F.col("pads") - F.col("pin_count")).between(F.lit(0), extra), F.lit(False)),
+    }
+    reasons = F.filter(F.array(*[F.when(bad, F.lit(k)) for k, bad in rules.items()]), lambda x: x.isNotNull())
+    return j.select("doc_id", "family", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passes"))

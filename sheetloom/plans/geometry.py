@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dimensions as D
 from ..operators import pads as P
 from ..operators import relations as R
 from . import fixtures as fx
@@ -25,6 +26,58 @@ def r2_two_row(spark, sf_dir):
     return R.rel_three(_dim(spark, sf_dir)).drop("family", "formula")
 
 
+def _pins(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), (2 + F.col("p_partkey") % 3).cast("int").alias("pin_count"))
+
+
+def _inline(spark, sf_dir):
+    """The dimensions with their center taken as two edges of a line of three, of which a seventh lacks one."""
+    d = _dim(spark, sf_dir)
+    edge = lambda a, b, o: d.where("ord = 4").withColumns({"ord": F.lit(o), "endpoints": F.lit(f"{a} pad centerline -> {b} pad centerline"), "role": F.lit("pad_center_distance")})
+    return d.where("ord <> 4").unionByName(edge("left", "middle", 4)).unionByName(edge("middle", "right", 10).where("doc_id % 7 <> 0"))
+
+
+def _grid(spark, sf_dir):
+    d = _dim(spark, sf_dir).withColumn("role", F.when(F.col("ord") == 4, "pad_center_distance").otherwise(F.col("role")))
+    up = d.where("ord = 4").withColumns({"ord": F.lit(11), "endpoints": F.when(F.col("doc_id") % 5 == 0, "top pad centerline -> left pad centerline").otherwise("top pad centerline -> bottom pad centerline")})
+    return d.unionByName(up)
+
+
+def r3_asym(spark, sf_dir):
+    d = _dim(spark, sf_dir)
+    large = d.where("ord < 2").withColumns({"ord": F.col("ord") + 20, "value": (F.col("value").cast("decimal(10,2)") * 2).cast("string"), "role": F.when(F.col("ord") == 0, "pad_width").otherwise("pad_height")})
+    return R.rel_asym(d.unionByName(large), D.pitch_refs(d)).drop("family")
+
+
+def r4_inline(spark, sf_dir):
+    return R.rel_inline(_inline(spark, sf_dir), _pins(spark, sf_dir)).select("doc_id", "pad_x", "pad_y", "center_x")
+
+
+def r5_grid(spark, sf_dir):
+    return R.rel_grid(_grid(spark, sf_dir), _pins(spark, sf_dir)).select("doc_id", "pad_x", "pad_y", "center_x", "pitch_y")
+
+
+def r14_decide_family(spark, sf_dir):
+    pins, d = _pins(spark, sf_dir), _dim(spark, sf_dir)
+    ep = pins.select("doc_id", (F.col("doc_id") % 6 == 0).alias("has_exposed_pad"))
+    return R.decide_family(pins, ep, R.rel_inline(_inline(spark, sf_dir), pins), R.rel_grid(_grid(spark, sf_dir), pins), D.pad_count(d))
+
+
+def r15_pin_mapping(spark, sf_dir):
+    pins = _pins(spark, sf_dir)
+    d = pins.select("doc_id", F.lit(0).alias("ord"), F.concat(F.lit("left pad "), (1 + F.col("doc_id") % 2).cast("string"), F.lit(" -> right pad 2")).alias("endpoints"))
+    want = pins.select("doc_id", F.inline(F.array(F.struct(F.lit("left").alias("side"), F.lit(1).alias("number")), F.struct(F.lit("right").alias("side"), F.lit(2).alias("number")))))
+    return R.pin_mapping(d, want)
+
+
+def r17_family_gate(spark, sf_dir):
+    geo = _geo(spark, sf_dir)
+    decision = geo.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "insufficient").otherwise("auto").alias("status"), "family")
+    solved = geo.where("doc_id % 7 <> 0").select("doc_id", "family")
+    count = geo.select("doc_id", F.lit(3).alias("pads"), (2 + F.col("doc_id") % 2).cast("int").alias("pin_count"))
+    return R.family_gate(decision, solved, count)
+
+
 def r7_dual_center(spark, sf_dir):
     return R.rel_dual(_dim(spark, sf_dir))
 
@@ -118,7 +171,7 @@ def p12_unchanged(spark, sf_dir):
 
 
 QUERIES = [
-    r1_two_pad, r2_two_row, r7_dual_center, r9_admit, r10_pick, r11_role_direct, r13_prefill, r16_resolve_families, r18_missing_fields,
+    r1_two_pad, r2_two_row, r3_asym, r4_inline, r5_grid, r14_decide_family, r15_pin_mapping, r17_family_gate, r7_dual_center, r9_admit, r10_pick, r11_role_direct, r13_prefill, r16_resolve_families, r18_missing_fields,
     p1_expand_pads, p2_validate_geometry, p3_bounds, p4_visible_ranges, p5_paste_size, p6_geometry_signature, p8_diff_pads, p9_match_registry, p10_package_codes, p11_compare_values, p12_unchanged,
 ]
 
@@ -136,6 +189,9 @@ ORACLES = {
     "r10_pick": f"""with {_LAND}, b as (select doc_id, format('{{:.6f}}|{{:.6f}}|{{:.6f}}|0.000000', pad_x, pad_y, center_x) as solution, max((relation_score, role_score, formula)) as m from cand group by all),
 t as (select *, rank() over (partition by doc_id order by m[1] desc, m[2] desc) as r from b), w as (select doc_id, count(*) as n, min(solution) as s, min(m[3]) as f, min(m[1]) as rs, min(m[2]) as os from t where r = 1 group by 1)
 select doc_id, 'CHIP' as family, case when n = 1 then 'unique' else 'ambiguous' end as status, case when n = 1 then s end as solution, case when n = 1 then f end as formula, cast(rs as int) as relation_score, cast(os as int) as role_score, n as tied from w""",
+    "r15_pin_mapping": "select p_partkey as doc_id, p_partkey % 2 = 0 as matches, 2 as sides_seen from part",
+    "r17_family_gate": f"""with {_GEO}, r as (select doc_id, family, list_filter([case when doc_id % 5 = 0 then 'decision_not_auto' end, case when doc_id % 7 = 0 then 'family_not_solved' end, case when doc_id % 2 = 0 and family <> 'QUAD_EP' then 'counts_differ' end], lambda x: x is not null) as f from geo)
+select doc_id, family, coalesce(array_to_string(f, ','), '') as reasons, len(f) = 0 as passes from r""",
     "p2_validate_geometry": f"""with {_GEO}, r as (select doc_id, list_filter([case when center_x <= pad_x then 'overlap_x' end, case when family in ('SOT3', 'GRID4', 'DUAL', 'QUAD_EP') and pitch_y <= pad_y then 'overlap_y' end], lambda x: x is not null) as f from geo) select doc_id, coalesce(array_to_string(f, ','), '') as reasons, len(f) = 0 as valid from r""",
     "p5_paste_size": f"with {_GEO} select doc_id, round(tab_x * sqrt(0.7), 6) as paste_x, round(tab_y * sqrt(0.7), 6) as paste_y from geo where family = 'QUAD_EP'",
     "p10_package_codes": """with c as (select p_partkey as doc_id, list_distinct(list_filter([upper(case when p_partkey % 7 = 0 then '' else p_brand end), upper(case when p_partkey % 5 = 0 then p_type when p_partkey % 7 = 0 then '' else p_brand end)], lambda x: x <> '')) as l from part)

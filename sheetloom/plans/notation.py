@@ -77,6 +77,22 @@ def n13_decimal_extension(spark, sf_dir):
     return N.decimal_extension(dim, _page(spark, sf_dir))
 
 
+def _anchored(spark, sf_dir):
+    dim = fx.load(spark, sf_dir, fx.DIMENSION).where("sample_idx = 0").select("doc_id", "ord", F.when(F.col("ord") == 0, "2.5").when(F.col("ord") == 1, "1.27").otherwise(F.col("value")).alias("value"), "unit")
+    return D.to_mm(dim)
+
+
+def n12_anchor_used(spark, sf_dir):
+    dim = _anchored(spark, sf_dir)
+    return N.anchor_used(dim.select("doc_id", F.concat(F.lit("f"), "ord").alias("field"), "value_mm"), dim, _page(spark, sf_dir))
+
+
+def n14_decimal_guard(spark, sf_dir):
+    dim = _anchored(spark, sf_dir)
+    value = dim.select("doc_id", F.concat(F.lit("f"), "ord").alias("field"), "ord", "value_mm")
+    return N.apply_decimal_guard(value, dim, N.decimal_extension(dim, _page(spark, sf_dir))).withColumn("value_mm", F.round("value_mm", 6))
+
+
 def m1_match_terms(spark, sf_dir):
     return M.match_terms(_line(spark, sf_dir), _terms(spark)).select("doc_id", "page", "line_no", "term", "offset")
 
@@ -124,7 +140,7 @@ def m9_route_fallback(spark, sf_dir):
 
 
 QUERIES = [
-    n1_classify_lines, n2_notation_summary, n3_pair_values, n5_resolve_units, n6_accepted_values, n7_extract_bounds, n9_fold_bounds, n11_anchor, n13_decimal_extension,
+    n1_classify_lines, n2_notation_summary, n3_pair_values, n5_resolve_units, n6_accepted_values, n7_extract_bounds, n9_fold_bounds, n11_anchor, n12_anchor_used, n13_decimal_extension, n14_decimal_guard,
     m1_match_terms, m2_context, m3_relation_gate, m4_resolve_identity, m5_representative, m6_frozen_match, m7_lookup_canonical, m8_body_cross_check, m9_route_fallback,
 ]
 
