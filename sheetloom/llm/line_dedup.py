@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, store, words
 
 #: Hash buckets of the word counts, a power of two: a table of fixed size, however many words there are.
-BUCKETS = 65536
+BUCKETS = 16384
 #: White space at the ends of lines.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Most occurrences of a bucket whose words are grouped by a window.
@@ -47,6 +47,8 @@ BITMAP = 1 << 23
 MIN_WORDS = 5
 #: Jaccard threshold as a fraction, so that all arithmetic is in integers.
 NUM, DEN = 4, 5
+#: 64-bit words of the sketches that candidates are held against before their lines are; a power of two.
+WIDE = 8
 #: Classes that may share a prefix word before the earliest is tried first.
 SMALL = 256
 
@@ -158,6 +160,24 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(same).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct()
 
 
+def wide_sketch(line: Column) -> Column:
+    """Parity sketch of a line's words in ``WIDE`` times 64 bits, as an array."""
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
+    lane = lambda h, k: F.aggregate(F.filter(h, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(WIDE - 1)) == k), F.lit(0).cast("bigint"), flip)
+    return let(hashes(line), lambda h: F.struct(F.size(h).alias("n"), F.array(*[lane(h, k) for k in range(WIDE)]).alias("bits")))
+
+
+def plausible(pairs: DataFrame, picks: DataFrame) -> DataFrame:
+    """Pairs whose wide sketches differ in no more bits than their sets may differ in words; long lines saturate the 64 bits."""
+    sk = store(picks.select("d", "l", wide_sketch(F.col("line")).alias("k")))
+    a = sk.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("k").alias("ak"))
+    b = sk.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("k").alias("bk"))
+    both = F.col("ak.n") + F.col("bk.n")
+    bits = F.aggregate(F.zip_with("ak.bits", "bk.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    fits = bits <= both - 2 * F.ceil(both * NUM / (NUM + DEN))
+    return store(pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"]).where(fits).select(*PAIR))
+
+
 def settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """``(d, l)`` of the later classes that match any class they are paired with.
 
@@ -165,6 +185,7 @@ def settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     other pairs are verified only where that one failed.
     """
     picks = store(picked(lines, ends(pairs)))
+    pairs = plausible(pairs, picks)
     first = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("m")).select("m.ad", "m.al", "bd", "bl")
     done = store(verified(first, picks))
     late = pairs.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti").select(*PAIR)
