@@ -218,3 +218,26 @@ def provenance(value: DataFrame, dimension: DataFrame, tol: float = K.PROVENANCE
     hit = v.join(d, ["doc_id", "_b"]).where(F.abs(F.col("value_mm") - F.col("_v")) <= tol + 1e-12)
     per = hit.groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "ord"))), lambda s: F.concat_ws(":", s["sample_idx"].cast("string"), s["ord"].cast("string"))), ",").alias("rows"))
     return value.select("doc_id", "field").join(per, ["doc_id", "field"], "left").select("doc_id", "field", F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("rows", F.lit("")).alias("rows"))
+
+
+def filter_body_candidates(dimension: DataFrame, token: DataFrame, tol: float = K.PROVENANCE_TOL) -> DataFrame:
+    """Package rows with the reason that bars them as body sizes, or ``ok``.
+
+    Diameters and heights are out; a row whose value stands on a page only in lines that may not be
+    nominal (qualified or parenthetical) is out; a raw text with several numbers is out.
+    ``token(doc_id, value_mm, accepted)`` are classified lines; tolerance by value buckets.
+    """
+    d = to_mm(dimension).where(F.col("belongs_to") == "package_outline")
+    width = 2 * tol
+    bucket = F.floor(F.col("value_mm") / width)
+    rows = d.select("doc_id", "sample_idx", "ord", F.col("value_mm").alias("_v"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    seen = token.where("value_mm is not null").select("doc_id", F.floor(F.col("value_mm") / width).alias("_b"), F.col("value_mm").alias("_t"), "accepted")
+    near = rows.join(seen, ["doc_id", "_b"]).where(F.abs(F.col("_v") - F.col("_t")) <= tol + 1e-12)
+    votes = near.groupBy("doc_id", "sample_idx", "ord").agg(F.bool_or("accepted").alias("_yes"), F.bool_or(~F.col("accepted")).alias("_no"))
+    j = d.join(votes, ["doc_id", "sample_idx", "ord"], "left")
+    t = F.lower(F.concat_ws(" ", F.coalesce("endpoints", F.lit("")), F.coalesce("raw", F.lit(""))))
+    reason = (
+        F.when(F.col("value_mm").isNull(), "no_value").when(t.rlike("ø|⌀|diameter|dia\\."), "diameter").when((F.col("role") == "body_height") | t.rlike("height|seating"), "height")
+        .when(F.coalesce(F.col("_no") & ~F.col("_yes"), F.lit(False)), "not_nominal_on_page").when(F.regexp_count(F.coalesce("raw", F.lit("")), F.lit(r"\d+(?:[.,]\d+)?")) > 1, "several_numbers").otherwise("ok")
+    )
+    return j.select("doc_id", "sample_idx", "ord", reason.alias("reason"))

@@ -243,3 +243,39 @@ def family_gate(decision: DataFrame, solved: DataFrame, count: DataFrame) -> Dat
     }
     reasons = F.filter(F.array(*[F.when(bad, F.lit(k)) for k, bad in rules.items()]), lambda x: x.isNotNull())
     return j.select("doc_id", "family", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passes"))
+
+
+def dual_topology(dimension: DataFrame, pads: DataFrame, flags: DataFrame) -> DataFrame:
+    """Whether a document's lands form two rows: one separation axis, uniform pads longer across the rows, one pitch, n/2 or 3 + 2 pads a row.
+
+    ``pads(doc_id, pads)`` and ``flags(doc_id, land_and_paste, has_exposed_pad)``; the first rule that fails gives the status.
+    """
+    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())
+    spans = F.collect_set(F.when(F.col("effective_role").isin("center", "gap", "overall"), F.col("axis")))
+    pitch = F.collect_set(F.when(F.col("effective_role") == "pitch", F.round("value_mm", 6)))
+    g = d.groupBy("doc_id").agg(_unique(d, "pad", "x").alias("along"), _unique(d, "pad", "y").alias("cross"), spans.alias("axes"), pitch.alias("pitches"))
+    j = g.join(pads, "doc_id", "left").join(flags, "doc_id", "left")
+    n = F.coalesce("pads", F.lit(0))
+    rules = (
+        (F.coalesce("has_exposed_pad", F.lit(False)), "reject_ep"), (F.coalesce("land_and_paste", F.lit(False)), "paste_comention"), (F.size("axes") != 1, "no_separation_axis"),
+        (F.col("along").isNull() | F.col("cross").isNull(), "pads_not_uniform"), (F.size("pitches") > 1, "pitch_not_unique"), (F.size("pitches") == 0, "not_applicable"),
+        (F.col("along") <= F.col("cross"), "pads_not_elongated"), ((n < 4) | ((n % 2 == 1) & (n != 5)), "row_counts"),
+    )
+    status = F.lit("auto")
+    for bad, name in reversed(rules):
+        status = F.when(F.coalesce(bad, F.lit(False)), name).otherwise(status)
+    left = F.when(status == "auto", F.ceil(n / 2).cast("int"))
+    return j.select("doc_id", status.alias("status"), left.alias("left_count"), F.when(status == "auto", (n - F.ceil(n / 2)).cast("int")).alias("right_count"))
+
+
+def symbol_combos(dimension: DataFrame) -> DataFrame:
+    """A solution from rows named A, B and C (pad, cross pad, center), else from the first three land rows without a name; first values win."""
+    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())
+    named = [F.min(F.when(F.upper("symbol") == s, F.struct("ord", "value_mm"))).alias(s) for s in "ABC"]
+    free = F.array_sort(F.collect_list(F.when(F.coalesce(F.trim("symbol"), F.lit("")) == "", F.struct("ord", "value_mm")))).alias("free")
+    g = d.groupBy("doc_id").agg(*named, free)
+    by_name = F.col("A").isNotNull() & F.col("B").isNotNull() & F.col("C").isNotNull()
+    pick = lambda s, i: F.when(by_name, F.col(f"{s}.value_mm")).when(F.size("free") >= 3, F.get("free", F.lit(i))["value_mm"])
+    out = g.select("doc_id", F.when(by_name, "named").when(F.size("free") >= 3, "by_order").otherwise("none").alias("source"), pick("A", 0).alias("pad_x"), pick("B", 1).alias("pad_y"), pick("C", 2).alias("center_x"))
+    ok = F.coalesce(F.col("center_x") > F.col("pad_x"), F.lit(False))
+    return out.withColumn("consistent", ok)

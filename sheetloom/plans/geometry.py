@@ -78,6 +78,19 @@ def r17_family_gate(spark, sf_dir):
     return R.family_gate(decision, solved, count)
 
 
+def r6_dual_topology(spark, sf_dir):
+    d = _dim(spark, sf_dir)
+    pitch = d.where("ord = 0 and doc_id % 4 <> 0").withColumns({"ord": F.lit(12), "role": F.lit("pitch"), "endpoints": F.lit("pin 1 -> pin 2")})
+    pads = d.select("doc_id").distinct().withColumn("pads", 4 + F.col("doc_id") % 3)
+    flags = pads.select("doc_id", (F.col("doc_id") % 9 == 0).alias("land_and_paste"), (F.col("doc_id") % 8 == 0).alias("has_exposed_pad"))
+    return R.dual_topology(d.unionByName(pitch), pads, flags)
+
+
+def r12_symbol_combos(spark, sf_dir):
+    d = _dim(spark, sf_dir).withColumn("symbol", F.when((F.col("doc_id") % 3 != 0) & (F.col("ord") < 2), F.element_at(F.array(F.lit("A"), F.lit("b")), (F.col("ord") + 1).cast("int"))).when((F.col("doc_id") % 3 != 0) & (F.col("ord") == 4), "C").otherwise(""))
+    return R.symbol_combos(d)
+
+
 def r7_dual_center(spark, sf_dir):
     return R.rel_dual(_dim(spark, sf_dir))
 
@@ -171,7 +184,7 @@ def p12_unchanged(spark, sf_dir):
 
 
 QUERIES = [
-    r1_two_pad, r2_two_row, r3_asym, r4_inline, r5_grid, r14_decide_family, r15_pin_mapping, r17_family_gate, r7_dual_center, r9_admit, r10_pick, r11_role_direct, r13_prefill, r16_resolve_families, r18_missing_fields,
+    r1_two_pad, r2_two_row, r3_asym, r4_inline, r5_grid, r6_dual_topology, r12_symbol_combos, r14_decide_family, r15_pin_mapping, r17_family_gate, r7_dual_center, r9_admit, r10_pick, r11_role_direct, r13_prefill, r16_resolve_families, r18_missing_fields,
     p1_expand_pads, p2_validate_geometry, p3_bounds, p4_visible_ranges, p5_paste_size, p6_geometry_signature, p8_diff_pads, p9_match_registry, p10_package_codes, p11_compare_values, p12_unchanged,
 ]
 

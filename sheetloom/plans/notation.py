@@ -93,6 +93,13 @@ def n14_decimal_guard(spark, sf_dir):
     return N.apply_decimal_guard(value, dim, N.decimal_extension(dim, _page(spark, sf_dir))).withColumn("value_mm", F.round("value_mm", 6))
 
 
+def d16_body_candidates(spark, sf_dir):
+    dim = fx.load(spark, sf_dir, fx.DIMENSION).where("sample_idx = 0").withColumn("raw", F.when(F.col("doc_id") % 7 == 0, "1 x 2").when(F.col("doc_id") % 5 == 0, F.concat(F.lit("ø "), "value")).otherwise(F.col("value")))
+    dim = dim.withColumn("value", F.when(F.col("doc_id") % 4 == 0, "2.54").otherwise(F.col("value")))
+    token = N.accepted_values(_page(spark, sf_dir), _line(spark, sf_dir)).select("doc_id", "value_mm", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    return D.filter_body_candidates(dim, token)
+
+
 def m1_match_terms(spark, sf_dir):
     return M.match_terms(_line(spark, sf_dir), _terms(spark)).select("doc_id", "page", "line_no", "term", "offset")
 
@@ -140,7 +147,7 @@ def m9_route_fallback(spark, sf_dir):
 
 
 QUERIES = [
-    n1_classify_lines, n2_notation_summary, n3_pair_values, n5_resolve_units, n6_accepted_values, n7_extract_bounds, n9_fold_bounds, n11_anchor, n12_anchor_used, n13_decimal_extension, n14_decimal_guard,
+    n1_classify_lines, n2_notation_summary, n3_pair_values, n5_resolve_units, n6_accepted_values, n7_extract_bounds, n9_fold_bounds, n11_anchor, n12_anchor_used, n13_decimal_extension, n14_decimal_guard, d16_body_candidates,
     m1_match_terms, m2_context, m3_relation_gate, m4_resolve_identity, m5_representative, m6_frozen_match, m7_lookup_canonical, m8_body_cross_check, m9_route_fallback,
 ]
 
