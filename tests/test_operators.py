@@ -1,6 +1,7 @@
 """Hand-made rows for operators that SQL doesn't cover, and edge cases."""
 
-import pandas as pd
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def test_hash_chain(spark):
 
 def test_stream_dedup_and_states(spark, tmp_path):
     schema = "record_id string, timestamp timestamp, event_id long, action string"
-    batch = spark.createDataFrame([("a", pd.Timestamp("2024-01-02"), 2, "x"), ("a", pd.Timestamp("2024-01-01"), 1, "y"), ("b", pd.Timestamp("2024-01-01"), 3, "z")], schema)
+    batch = spark.createDataFrame([("a", datetime(2024, 1, 2), 2, "x"), ("a", datetime(2024, 1, 1), 1, "y"), ("b", datetime(2024, 1, 1), 3, "z")], schema)
     batch.write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
     q = Z.review_state(stream).writeStream.format("memory").queryName("zz").outputMode("complete").trigger(availableNow=True).start()
