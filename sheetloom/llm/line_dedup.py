@@ -2,14 +2,15 @@
 
 A line matches another when the Jaccard similarity of their word sets is at least 0.8. Lines are in
 the order of doc_id, then line number; every line that matches an earlier line is removed, so the
-first of matching lines stays. Lines of fewer than ``MIN_WORDS`` distinct words are left alone:
-short lines recur without being copies.
+first of matching lines stays. Every line that has a word takes part, unless a caller names a least
+number of distinct words; ``op7_line_dedup`` names ``MIN_WORDS``, as its SQL does.
 
 1. Word counts over all lines are summed in a fixed number of hash buckets; their logarithm is the
    rarity level of a word. (level, hash) is one total order of words, whatever shares a bucket.
 2. Lines with the same word set form a class, named by its first line. A class keeps its rarest
    words, the prefix: sets of n and m words can only reach the threshold if their prefixes of
-   n - ceil(0.8 n) + 1 words meet.
+   n - ceil(0.8 n) + 1 words meet. Sets of up to ``ALONE`` words only match equal sets: the class
+   settles them, and they have no prefix.
 3. Classes that share a prefix word are candidates if their lengths fit (m >= 0.8 n), if what can
    still be shared from the meeting positions on reaches the needed overlap, and if their parity
    sketches (64 bits, each word flips one) differ in no more bits than their sets may differ in words.
@@ -43,8 +44,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 BOUNDED = 50_000
 #: Bits of the bitmap that picks the lines to verify: at most BITMAP / 64 rows are broadcast.
 BITMAP = 1 << 23
-#: Lines with fewer distinct words are never removed.
+#: Lines with fewer distinct words take no part in op7_line_dedup, whose SQL leaves them out.
 MIN_WORDS = 5
+#: Sets of at most so many words reach the threshold with equal sets only: 3 of 4 words are less than 4 of 5.
+ALONE = 3
 #: Jaccard threshold as a fraction, so that all arithmetic is in integers.
 NUM, DEN = 4, 5
 #: 64-bit words of the sketches that candidates are held against before their lines are; a power of two.
@@ -96,11 +99,16 @@ def prefix_length(n: Column) -> Column:
     return (n - F.floor((n * NUM + DEN - 1) / DEN) + 1).cast("int")
 
 
-def classes(lines: DataFrame, levels: list[int]) -> DataFrame:
-    """``(d, l, n, sketch, prefix)``: the first line of each word set. Sets are told apart by size and 128 bits of hash."""
-    made = lines.select("d", "l", by_rarity(hashes(F.col("line")), levels).alias("w")).where(F.size("w") >= MIN_WORDS)
+def classes(lines: DataFrame, levels: list[int], min_words: int = 1) -> DataFrame:
+    """``(d, l, n, sketch, prefix)``: the first line of each word set. Sets are told apart by size and 128 bits of hash.
+
+    Sets of up to ``ALONE`` words have a second hash of their words as the sketch, and an empty prefix.
+    """
+    made = lines.select("d", "l", "line", by_rarity(hashes(F.col("line")), levels).alias("w")).where(F.size("w") >= min_words)
+    alone = F.size("w") <= ALONE
+    again = F.xxhash64(F.lit(7), F.array_sort(F.array_distinct(line_words(F.col("line")))))
     flip = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x, 16).bitwiseAND(F.lit(63)).cast("int"))))
-    keyed = made.select(F.xxhash64("w").alias("s"), F.size("w").alias("n"), flip.alias("sketch"), "d", "l", F.slice("w", F.lit(1), prefix_length(F.size("w"))).alias("prefix"))
+    keyed = made.select(F.xxhash64("w").alias("s"), F.size("w").alias("n"), F.when(alone, again).otherwise(flip).alias("sketch"), "d", "l", F.slice("w", F.lit(1), F.when(alone, 0).otherwise(prefix_length(F.size("w")))).alias("prefix"))
     first = keyed.groupBy("s", "n", "sketch").agg(F.min(F.struct("d", "l", "prefix")).alias("m"))
     return first.select("m.d", "m.l", "n", "sketch", "m.prefix")
 
@@ -197,11 +205,11 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")))).alias("x")).select("x.d", "x.l").distinct()
 
 
-def first_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(d, l)`` of the lines that stay among those of ``MIN_WORDS`` distinct words or more."""
+def first_lines(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
+    """``(d, l)`` of the lines that stay among those of ``min_words`` distinct words or more."""
     lines = lines_of(docs, text_col)
     levels = rarity_levels(lines)
-    reps = store(classes(lines, levels))
+    reps = store(classes(lines, levels, min_words))
     found = []
     for shared in grouped(reps.select("d", "l", "n", "sketch", F.posexplode("prefix").alias("i", "w"))):
         small, large = shared.where(F.col("c") <= SMALL), shared.where(F.col("c") > SMALL)
@@ -220,21 +228,23 @@ def first_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return reps.select("d", "l").join(gone, ["d", "l"], "left_anti")
 
 
-def removals(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
     """``(doc_id, kept_lines)``: by document, the lines of ``first_lines`` in an array."""
-    return first_lines(docs, text_col).groupBy("d").agg(F.collect_set("l").alias("kept_lines")).withColumnRenamed("d", "doc_id")
+    return first_lines(docs, text_col, min_words).groupBy("d").agg(F.collect_set("l").alias("kept_lines")).withColumnRenamed("d", "doc_id")
 
 
-def _long_line(x: Column) -> Column:
-    return F.size(F.array_distinct(words(x))) >= MIN_WORDS
+def _long_line(x: Column, min_words: int) -> Column:
+    if min_words <= 1:
+        return F.trim(x, F.lit(BLANKS)) != ""
+    return F.size(F.array_distinct(words(x))) >= min_words
 
 
-def split_lines(text: Column) -> Column:
+def split_lines(text: Column, min_words: int = 1) -> Column:
     """``array<struct<l, line, long>>``: every line of a text, and whether it takes part in the join."""
-    return F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("l"), x.alias("line"), _long_line(x).alias("long")))
+    return F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("l"), x.alias("line"), _long_line(x, min_words).alias("long")))
 
 
-def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` for every row of ``docs``; removed lists line numbers, comma-joined.
 
     Lines count from 0 and include empty ones. A null text counts as empty. Rows with a null doc_id
@@ -242,21 +252,21 @@ def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     same line numbers kept. An empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n", -1)).alias("n_lines"), F.transform(F.filter(split_lines(text), lambda x: x["long"]), lambda x: x["l"]).alias("long_lines"))
-    out = own.join(removals(docs, text_col), "doc_id", "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n", -1)).alias("n_lines"), F.transform(F.filter(split_lines(text, min_words), lambda x: x["long"]), lambda x: x["l"]).alias("long_lines"))
+    out = own.join(removals(docs, text_col, min_words), "doc_id", "left")
     gone = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(F.array_except("long_lines", F.coalesce("kept_lines", F.array().cast("array<int>"))))
     return out.withColumn("_gone", gone).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), F.array_join(F.array_sort("_gone"), ",").alias("removed"))
 
 
-def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
     """``docs`` with matching later lines taken out of the text; n_chars, where there is one, follows.
 
     Rows, ids and other columns stay; a document whose lines are all copies keeps an empty text. A
     null text stays null. Edge cases are as in ``removed_lines``.
     """
-    kept = removals(docs, text_col).select(F.col("doc_id").alias("_d"), "kept_lines")
+    kept = removals(docs, text_col, min_words).select(F.col("doc_id").alias("_d"), "kept_lines")
     both = docs.join(kept, F.col("doc_id").cast("long") == F.col("_d"), "left").drop("_d")
-    stays = let(F.coalesce("kept_lines", F.array().cast("array<int>")), lambda k: F.filter(split_lines(F.col(text_col)), lambda x: ~x["long"] | F.array_contains(k, x["l"])))
+    stays = let(F.coalesce("kept_lines", F.array().cast("array<int>")), lambda k: F.filter(split_lines(F.col(text_col), min_words), lambda x: ~x["long"] | F.array_contains(k, x["l"])))
     text = F.when(F.col("doc_id").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda x: x["line"]), "\n"))
     out = both.withColumn(text_col, text)
     if "n_chars" in docs.columns:

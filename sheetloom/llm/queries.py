@@ -42,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.removed_lines(read(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
 
 
 def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,22 @@ def test_hot_words_are_settled_in_full(spark, monkeypatch):
     assert want == brute
 
 
+def test_short_lines_are_settled_in_full(spark):
+    texts = ["Les.\na a a a a a\nb c", "a\nLes.\nc b b\n\n \nb c d", "p q r s\nd c b\nb c d e", "t s r q p\np q r x\nu q r s p", "p s r q\nLes. a"]
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs_of(spark, texts)).collect()}
+    seen, want = [], {}
+    for d, t in enumerate(texts):
+        gone = []
+        for l, line in enumerate(t.split("\n")):
+            if s := set(line.split()):
+                if any(5 * len(s & x) >= 4 * len(s | x) for x in seen):
+                    gone.append(str(l))
+                seen.append(s)
+        want[d] = ",".join(gone)
+    assert got == want == {0: "", 1: "0,1,2", 2: "1", 3: "0,2", 4: "0"}
+    assert line_dedup.dedup(docs_of(spark, texts)).where("doc_id = 1").first().text == "\n \nb c d"
+
+
 def test_mixing_meets_its_margins(spark):
     rows = [(s, l, t, n) for s, l, t, n in (("a", "en", "x", 900), ("a", "de", "x", 50), ("b", "en", "y", 30), ("b", "de", "x", 20), ("a", "en", "y", 100), ("b", "de", "y", 10))]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
