@@ -3,19 +3,22 @@
 Base spans (e-mail, IP address, card, phone) come from linear-time patterns and always stay. The
 model then labels segments of tokens in the neighbourhood of digits, "@" and spelled-out "at":
 whole-span features (shape, length, separators, digit counts, checksum, left word) score each
-candidate segment of at most ``MAX_TOKENS`` tokens, a transition weight scores neighbouring
-segments, and dynamic programming over segment ends chooses boundaries and types jointly.
+candidate segment of at most as many tokens as the longest span of the training sample (``MAX_TOKENS``
+at least), a transition weight scores neighbouring segments, and dynamic programming over segment
+ends chooses boundaries and types jointly. A neighbourhood is never cut, whatever its length: segments
+are scored as the programme comes to their ends, and only numbers are kept for each token.
 
 There is no labelled personal data, so the model is trained on base spans of a bounded sample as
 they stand, on variants of them that the patterns miss (a spelled-out "at" and "dot", a phone
 number without "+", a card in groups split by dots) and, as negatives, on the other digit-bearing
-text around: versions, hexadecimal keys, access keys, years. Model spans are added only where they
+text and the prose with "at" around: versions, hexadecimal keys, access keys, years. Model spans are added only where they
 touch no base span and clear a margin.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Longest segment, in tokens, and tokens kept on each side of a trigger.
+#: Least bounds of the longest segment, in tokens, and of the tokens kept on each side of a trigger.
 MAX_TOKENS, REACH = 9, 6
 BITS = 15
 SIZE = 1 << BITS
@@ -41,7 +44,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|[^\sA-Za-z0-9À-ɏ]")
-_TRIGGER = re.compile(r"[0-9]+|@|[(\[] ?at ?[)\]]")
+_TRIGGER = re.compile(r"[0-9]+|@|[(\[] ?at ?[)\]]|(?<=[\w.%+-] )at(?= [\w-])")
+#: What the clips of the training sample are taken around.
+_CLIP = re.compile(r"[0-9][^\n]{0,40}|\S+@\S+|(?<=[\w.%+-]) at (?=[\w-])")
 
 
 def luhn(digits: str) -> bool:
@@ -94,28 +99,36 @@ class Zone:
     at: list[tuple[int, int]]
 
 
-def zones(text: str) -> Iterator[Zone]:
+def zones(text: str, longest: int = MAX_TOKENS) -> Iterator[Zone]:
     """Neighbourhoods of triggers, joined where they overlap; text far from any trigger is never tokenised."""
-    span = None
+    span, reach = None, max(REACH, longest - 1)
     for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - 12 * REACH), m.end() + 12 * REACH
-        if span and lo <= span[1] and hi - span[0] <= 4000:
+        lo, hi = max(0, m.start() - 12 * reach), min(len(text), m.end() + 12 * reach)
+        if span and hi <= span[1]:
+            continue
+        while hi < len(text) and text[hi].isalnum() and text[hi - 1].isalnum():
+            hi += 1
+        if span and lo <= span[1]:
             span = (span[0], hi)
         else:
             if span:
-                yield _zone(text, *span)
-            span = (max(lo, span[1]) if span else lo, hi)
+                yield _zone(text, *span, reach)
+            span = (lo, hi)
     if span:
-        yield _zone(text, *span)
+        yield _zone(text, *span, reach)
 
 
-def _zone(text: str, lo: int, hi: int) -> Zone:
+def _zone(text: str, lo: int, hi: int, reach: int) -> Zone:
     while lo > 0 and lo < len(text) and text[lo].isalnum() and text[lo - 1].isalnum():
         lo += 1
-    toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, min(hi, len(text)))]
-    hot = [i for i, (a, b) in enumerate(toks) if text[a] in "0123456789@([" or text[a:b] == "at"]
-    keep = sorted({j for i in hot for j in range(max(0, i - REACH), min(len(toks), i + REACH + 1))})
-    return Zone(text, [toks[j] for j in keep])
+    toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+    keep, done = [], 0
+    for i, (a, b) in enumerate(toks):
+        if text[a] in "0123456789@([" or text[a:b] == "at":
+            end = min(len(toks), i + reach + 1)
+            keep += toks[max(done, i - reach) : end]
+            done = end
+    return Zone(text, keep)
 
 
 def features(z: Zone, i: int, j: int) -> list[int]:
@@ -127,7 +140,7 @@ def features(z: Zone, i: int, j: int) -> list[int]:
     digits = re.sub("[^0-9]", "", s)
     glued = (lo > 0 and z.text[lo - 1].isalnum()) or (hi < len(z.text) and z.text[hi].isalnum())
     octets = bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and all(int(p) < 256 for p in s.split("."))
-    mark = ("S" if " " in s else "") + ("@" if "@" in s else "") + ("A" if re.search(r"[(\[] ?at ?[)\]]| at ", s) else "") + ("G" if glued else "")
+    mark = ("S" if " " in s else "") + ("@" if "@" in s else "") + ("A" if re.search(r"[(\[] ?at ?[)\]]| at ", s) else "") + ("D" if " dot " in s else "") + ("G" if glued else "")
     names = (
         "b", f"s{shape}", f"r{runs}|{mark}", f"n{min(len(digits), 20)}|{mark}", f"l{j - i}", f"c{16 <= len(digits) <= 19 and luhn(digits)}|{shape[:6]}",
         f"o{octets}", f"e{s[0] if not s[0].isalnum() else 'x'}{s[-1] if not s[-1].isalnum() else 'x'}{mark}", f"g{glued}",
@@ -139,26 +152,32 @@ class SemiCrf:
     """Segment weights by kind, and a transition weight for each pair of neighbouring labels (0: outside)."""
 
     def __init__(self, weights: np.ndarray | None = None):
-        self.w = np.zeros((len(KINDS), SIZE // 8)) if weights is None else weights[:-25].reshape(len(KINDS), -1)
-        self.t = np.zeros((5, 5)) if weights is None else weights[-25:].reshape(5, 5)
+        self.w = np.zeros((len(KINDS), SIZE // 8)) if weights is None else weights[:-26].reshape(len(KINDS), -1)
+        self.t = np.zeros((5, 5)) if weights is None else weights[-26:-1].reshape(5, 5)
+        #: Most tokens of a segment.
+        self.longest = MAX_TOKENS if weights is None else int(weights[-1])
 
     def flat(self) -> np.ndarray:
-        return np.r_[self.w.ravel(), self.t.ravel()]
+        return np.r_[self.w.ravel(), self.t.ravel(), self.longest]
+
+    def ending(self, z: Zone, j: int) -> Iterator[int]:
+        """Starts of the candidate segments that end at ``j``: bounded length, digits or "@" or "at" inside, no line break."""
+        text, at, digits = z.text, z.at, 0
+        for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
+            a, b = at[i]
+            if i < j - 1 and at[i + 1][0] - b > 1:
+                break
+            s = text[a : at[j - 1][1]]
+            if "\n" in s:
+                break
+            digits += b - a if "0" <= text[a] <= "9" else text[a].isdigit()
+            if len(s) > 4 and (digits > 4 or "@" in s or " at " in s or "(at)" in s or "[at]" in s):
+                yield i
 
     def segments(self, z: Zone) -> dict[int, list[tuple[int, list[int]]]]:
-        """By end, the candidate segments (start, features): bounded length, a digit or "@" or "at" inside, no line break."""
-        out: dict[int, list[tuple[int, list[int]]]] = {}
-        text, at = z.text, z.at
-        for j in range(1, len(at) + 1):
-            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-                if i < j - 1 and at[i + 1][0] - at[i][1] > 1:
-                    break
-                s = text[at[i][0] : at[j - 1][1]]
-                if "\n" in s:
-                    break
-                if len(s) > 4 and (sum(c.isdigit() for c in s) > 4 or "@" in s or " at " in s or "(at)" in s or "[at]" in s):
-                    out.setdefault(j, []).append((i, features(z, i, j)))
-        return out
+        """By end, the candidate segments (start, features)."""
+        found = {j: [(i, features(z, i, j)) for i in self.ending(z, j)] for j in range(1, len(z.at) + 1)}
+        return {j: v for j, v in found.items() if v}
 
     def scores(self, segs) -> dict[int, list[tuple[int, list[int], np.ndarray]]]:
         return {j: [(i, f, self.w[:, f].sum(axis=1)) for i, f in v] for j, v in segs.items()}
@@ -166,29 +185,29 @@ class SemiCrf:
     def best(self, z: Zone, barred: list[bool]) -> list[tuple[int, int, int, float]]:
         """(start, end, kind, gain) of the segments on the best path; barred tokens stay outside."""
         n = len(z.at)
-        found = self.scores(self.segments(z))
-        if not found:
+        if not any(True for j in range(1, n + 1) for _ in self.ending(z, j)):
             return []
         top = np.full((n + 1, 5), -np.inf)
         top[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int, float]] = {}
+        start, label, score = np.zeros((n + 1, 5), np.int32), np.zeros((n + 1, 5), np.int8), np.zeros((n + 1, 5))
         for j in range(1, n + 1):
             prev = top[j - 1] + self.t[:, 0]
             k = int(prev.argmax())
-            top[j, 0], back[j, 0] = prev[k], (j - 1, k, 0.0)
-            for i, _, s in found.get(j, ()):
+            top[j, 0], start[j, 0], label[j, 0] = prev[k], j - 1, k
+            for i in self.ending(z, j):
                 if any(barred[i:j]):
                     continue
+                s = self.w[:, features(z, i, j)].sum(axis=1)
                 for y in range(4):
                     prev = top[i] + self.t[:, y + 1]
                     k = int(prev.argmax())
                     if prev[k] + s[y] > top[j, y + 1]:
-                        top[j, y + 1], back[j, y + 1] = prev[k] + s[y], (i, k, float(s[y]))
+                        top[j, y + 1], start[j, y + 1], label[j, y + 1], score[j, y + 1] = prev[k] + s[y], i, k, s[y]
         out, j, y = [], n, int(top[n].argmax())
         while j > 0:
-            i, k, s = back[j, y]
+            i, k = int(start[j, y]), int(label[j, y])
             if y:
-                out.append((i, j, y - 1, s))
+                out.append((i, j, y - 1, float(score[j, y])))
             j, y = i, k
         return out[::-1]
 
@@ -245,7 +264,7 @@ def variants(text: str, spans: list[tuple[str, int, int]], k: int) -> tuple[str,
         s = text[a:b]
         if (i + k) % 3 == 0:
             if kind == "email":
-                s = s.replace("@", (" at ", " (at) ", "(at)")[k % 3]).replace(".", (" dot ", ".")[k % 2])
+                s = s.replace("@", (" at ", " (at) ", "(at)")[k // 3 % 3]).replace(".", (" dot ", ".")[k // 9 % 2])
             elif kind == "phone":
                 s = re.sub(r"^\+[0-9]{1,2} ?", "", s)
             elif kind == "card" and s.isdigit():
@@ -262,18 +281,20 @@ def variants(text: str, spans: list[tuple[str, int, int]], k: int) -> tuple[str,
 def fit_texts(texts: list[str], zones_most: int = ZONES, epochs: int = EPOCHS) -> np.ndarray:
     """Weights learned from the zones of ``texts``; zones with and without spans are taken in turn."""
     have, have_not = [], []
-    for k, t in enumerate(texts):
-        text, spans = variants(t, base_spans(t), k)
-        for z in zones(text):
+    made = [variants(t, base_spans(t), k) for k, t in enumerate(texts)]
+    longest = max([MAX_TOKENS, *(len(_TOKEN.findall(text, a, b)) for text, spans in made for _, a, b in spans)])
+    for text, spans in made:
+        for z in zones(text, longest):
             index = {a: i for i, (a, _) in enumerate(z.at)}
             close = {b: i + 1 for i, (_, b) in enumerate(z.at)}
-            gold = {(index[a], close[b]): KINDS.index(kind) for kind, a, b in spans if a in index and b in close and close[b] - index[a] <= MAX_TOKENS + 8}
+            gold = {(index[a], close[b]): KINDS.index(kind) for kind, a, b in spans if a in index and b in close}
             inside = [s for s in spans if z.at and s[1] < z.at[-1][1] and s[2] > z.at[0][0]]
-            if len(gold) == len(inside) and all(j - i <= MAX_TOKENS for i, j in gold):
+            if len(gold) == len(inside):
                 (have if gold else have_not).append((z, gold))
     data = have[: zones_most * 3 // 5] + have_not[: zones_most * 2 // 5]
     model, rng = SemiCrf(), np.random.default_rng(3)
     model.t[:, 1:] = -2.0
+    model.longest = longest
     for e in range(epochs):
         for i in rng.permutation(len(data)):
             model.learn(*data[i], rate=0.3 / (1 + e))
@@ -281,15 +302,15 @@ def fit_texts(texts: list[str], zones_most: int = ZONES, epochs: int = EPOCHS) -
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Weights from at most ``sample_docs`` documents that hold a digit or "@", smallest id hash first.
+    """Weights from at most ``sample_docs`` documents that hold digits, "@" or "at", smallest id hash first.
 
     Only neighbourhoods of triggers, at most ``ZONES`` of them, are learned from, as one task on an executor.
     """
-    has = docs.where(F.col("text").rlike("[0-9]{4}|@")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    has = docs.where(F.col("text").rlike("[0-9]{4}|@| at ")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, h, t[max(0, m.start() - 150) : m.end() + 150]) for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"]) for m in list(re.finditer(r"[0-9][^\n]{0,40}|\S+@\S+", t))[:4]]
+            rows = [(d, h, t[max(0, m.start() - 150) : m.end() + 150]) for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"]) for m in list(_CLIP.finditer(t))[:4]]
             yield pd.DataFrame(rows, columns=["doc_id", "h", "text"])
 
     ids = has.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -306,18 +327,25 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: SemiCrf, margin: float = MARGIN) -> list[tuple[str, int, int]]:
     """Spans that the model adds: none touches a base span."""
-    out = []
-    for z in zones(text):
-        if not z.at:
-            continue
-        lo, hi = z.at[0][0], z.at[-1][1]
-        near = [(a, b) for _, a, b in base if a < hi and b > lo]
-        barred = [any(a < e and b > s for a, b in near) for s, e in z.at]
+    out, starts, ends = [], [], []
+    for a, b in sorted((a, b) for _, a, b in base):  # as intervals that don't overlap
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def touched(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k < len(starts) and starts[k] < b
+
+    for z in zones(text, model.longest):
+        barred = [touched(s, e) for s, e in z.at]
         if all(barred):
             continue
         for i, j, y, gain in model.best(z, barred):
             a, b = z.at[i][0], z.at[j - 1][1]
-            if gain >= margin and not any(x < b and y2 > a for x, y2 in near):
+            if gain >= margin and not touched(a, b):
                 out.append((KINDS[y], a, b))
     return out
 

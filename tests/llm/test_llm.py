@@ -283,6 +283,27 @@ def test_pii_model_adds_variants_only(spark):
     assert [(k, s[a:b]) for k, a, b in pii.added_spans(s, pii.base_spans(s), model)] == [("phone", "(456) 555-2186")]
 
 
+def test_pii_zones_are_whole():
+    s = "write to joe.smith at mail dot example dot com today"
+    assert [[s[a:b] for a, b in z.at] for z in pii.zones(s, 12)] == [pii._TOKEN.findall(s)]
+    s = "call 456 555-2186 or 1234567890 " * 400
+    (z,) = pii.zones(s, 12)
+    assert [s[a:b] for a, b in z.at] == pii._TOKEN.findall(s)
+
+
+def test_pii_model_finds_spelled_out_addresses_and_long_zones():
+    rng = random.Random(7)
+    prose = ["the shop at noon was shut", "they looked at the old house", "we meet at nine or at ten, at last", "version 4.0.1 of 2024"]
+    make = [lambda: f"write to {rng.choice(['ab', 'jo.s', 'kim.lee'])}@mail.example.com today", lambda: "write to ann.smith@mail.example.com today", lambda: f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} now"]
+    model = pii.SemiCrf(pii.fit_texts([rng.choice(make)() + " " + rng.choice(prose) for _ in range(600)] + prose * 40))
+    added = lambda s: [(k, s[a:b]) for k, a, b in pii.added_spans(s, pii.base_spans(s), model)]
+    assert model.longest >= 11
+    for own in ("joe.smith (at) mail.example.com", "joe.smith at mail.example.com", "joe.smith at mail dot example dot com"):
+        assert added(f"write to {own} today") == [("email", own)]
+    assert [added(t) for t in prose] == [[]] * len(prose)
+    assert added("please call (456) 555-2186 soon " * 400) == [("phone", "(456) 555-2186")] * 400
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(0)
     m = ftrl.Ftrl(100, l1=0.5)
