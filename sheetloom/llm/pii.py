@@ -21,6 +21,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -131,6 +132,11 @@ def _zone(text: str, lo: int, hi: int, reach: int) -> Zone:
     return Zone(text, keep)
 
 
+@lru_cache(1 << 16)
+def _bucket(name: str) -> int:
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 3) % (SIZE // 8)
+
+
 def features(z: Zone, i: int, j: int) -> list[int]:
     """Hashed whole-span features of tokens i..j-1, without the kind."""
     lo, hi = z.at[i][0], z.at[j - 1][1]
@@ -145,7 +151,7 @@ def features(z: Zone, i: int, j: int) -> list[int]:
         "b", f"s{shape}", f"r{runs}|{mark}", f"n{min(len(digits), 20)}|{mark}", f"l{j - i}", f"c{16 <= len(digits) <= 19 and luhn(digits)}|{shape[:6]}",
         f"o{octets}", f"e{s[0] if not s[0].isalnum() else 'x'}{s[-1] if not s[-1].isalnum() else 'x'}{mark}", f"g{glued}",
     )
-    return [xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass"), 3) % (SIZE // 8) for n in names]
+    return list(map(_bucket, names))
 
 
 class SemiCrf:
@@ -190,19 +196,22 @@ class SemiCrf:
         top = np.full((n + 1, 5), -np.inf)
         top[0, 0] = 0
         start, label, score = np.zeros((n + 1, 5), np.int32), np.zeros((n + 1, 5), np.int8), np.zeros((n + 1, 5))
-        for j in range(1, n + 1):
-            prev = top[j - 1] + self.t[:, 0]
-            k = int(prev.argmax())
-            top[j, 0], start[j, 0], label[j, 0] = prev[k], j - 1, k
-            for i in self.ending(z, j):
-                if any(barred[i:j]):
-                    continue
-                s = self.w[:, features(z, i, j)].sum(axis=1)
-                for y in range(4):
-                    prev = top[i] + self.t[:, y + 1]
-                    k = int(prev.argmax())
-                    if prev[k] + s[y] > top[j, y + 1]:
-                        top[j, y + 1], start[j, y + 1], label[j, y + 1], score[j, y + 1] = prev[k] + s[y], i, k, s[y]
+        # The best way from each place into each label, and the label it comes from.
+        into, via = np.zeros((n + 1, 5)), np.zeros((n + 1, 5), np.int8)
+        for j in range(n + 1):
+            if j:
+                top[j, 0], start[j, 0], label[j, 0] = into[j - 1, 0], j - 1, via[j - 1, 0]
+                for i in self.ending(z, j):
+                    if any(barred[i:j]):
+                        continue
+                    s = self.w[:, features(z, i, j)].sum(axis=1)
+                    new = into[i, 1:] + s
+                    better = np.flatnonzero(new > top[j, 1:])
+                    if len(better):
+                        y = better + 1
+                        top[j, y], start[j, y], label[j, y], score[j, y] = new[better], i, via[i, y], s[better]
+            ways = top[j][:, None] + self.t
+            into[j], via[j] = ways.max(axis=0), ways.argmax(axis=0)
         out, j, y = [], n, int(top[n].argmax())
         while j > 0:
             i, k = int(start[j, y]), int(label[j, y])
