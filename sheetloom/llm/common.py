@@ -45,6 +45,15 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``store`` wrote and nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row and bound to a lambda variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,11 +1,10 @@
 """Line dedup as an exact set-similarity join, in DataFrame functions only.
 
 A line matches another when the Jaccard similarity of their word sets is at least 0.8. Lines are in
-the order of doc_id, then line number; every line that matches an earlier line is removed, so the
-first of matching lines stays. Every line that has a word takes part, unless a caller names a least
-number of distinct words; ``op7_line_dedup`` names ``MIN_WORDS``, as its SQL does.
+the order of doc_id, then line number; every line that matches an earlier line, kept or not, is
+removed, so the first of matching lines stays. Every line that has a word takes part.
 
-1. Word counts over all lines are summed in a fixed number of hash buckets; their logarithm is the
+1. Word counts over all texts are summed in a fixed number of hash buckets; their logarithm is the
    rarity level of a word. (level, hash) is one total order of words, whatever shares a bucket.
 2. Lines with the same word set form a class, named by its first line. A class keeps its rarest
    words, the prefix: sets of n and m words can only reach the threshold if their prefixes of
@@ -13,54 +12,66 @@ number of distinct words; ``op7_line_dedup`` names ``MIN_WORDS``, as its SQL doe
    settles them, and they have no prefix.
 3. Classes that share a prefix word are candidates if their lengths fit (m >= 0.8 n), if what can
    still be shared from the meeting positions on reaches the needed overlap, and if their parity
-   sketches (64 bits, each word flips one) differ in no more bits than their sets may differ in words.
-4. Candidates are verified on whole word sets. The lines that this needs are picked out by a bitmap
-   of fixed size before anything is shuffled.
-
-Only whether a class has an earlier match decides, so not all pairs are needed. Words that at most
-``SMALL`` classes have in their prefix give all their pairs, a bounded number for each row. Where
-more classes share a word, each is first held against the earliest of them; only classes that have
-found no match so far are then held against all the earlier ones. No pair is left out. Words in
-buckets of more than ``BOUNDED`` occurrences might have hot groups and are grouped by pre-aggregated
-counts; all others have a group of at most that size and are grouped by a window.
+   sketches (128 bits, each word flips one) differ in no more bits than their sets may differ in words.
+4. Candidates are verified on their words. The lines that this needs are picked out by a bitmap of
+   fixed size before anything is shuffled.
+
+Only whether a class has an earlier match decides, so not all pairs are needed. A word that at most
+``SMALL`` classes have in their prefix gives all their pairs: a bounded number for each row. Where
+more share it, each is held against the earliest of them, which settles families of copies. What
+that leaves is split by a second shared word: sets that reach the threshold share at least two words
+of prefixes that are longer by one, so pairs of words are grouped like single ones, and three words
+after them. Only groups that are still large after ``DEPTH`` words are held against all their
+earlier members. No pair is left out at any step, and every step's rows grow with the lines.
+
+Words are told apart by 64 bits of hash up to step 3 (54 where they are sorted), sets of more than
+``ALONE`` words by 118 bits in step 2; step 4 compares the words themselves.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, store, words
+from .common import SPACE, drop, let, store
 
 #: Hash buckets of the word counts, a power of two: a table of fixed size, however many words there are.
-BUCKETS = 16384
+BUCKETS = 1 << 16
 #: White space at the ends of lines.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Most occurrences of a bucket whose words are grouped by a window.
-BOUNDED = 50_000
 #: Bits of the bitmap that picks the lines to verify: at most BITMAP / 64 rows are broadcast.
 BITMAP = 1 << 23
-#: Lines with fewer distinct words take no part in op7_line_dedup, whose SQL leaves them out.
-MIN_WORDS = 5
 #: Sets of at most so many words reach the threshold with equal sets only: 3 of 4 words are less than 4 of 5.
 ALONE = 3
 #: Jaccard threshold as a fraction, so that all arithmetic is in integers.
 NUM, DEN = 4, 5
-#: 64-bit words of the sketches that candidates are held against before their lines are; a power of two.
-WIDE = 8
-#: Classes that may share a prefix word before the earliest is tried first.
-SMALL = 256
+#: Classes that may share a signature before it gets another word.
+SMALL = 1024
+#: Most words of a signature.
+DEPTH = 3
+
+LINE = ("d", "l", "n", "odd", "even")
+SIDE = (*LINE, "i")
+PAIR = ("ad", "al", "bd", "bl", "both")
+
+
+def line_key(number: Column, line: Column) -> Column:
+    """Line number and, below it, 32 bits of the line's hash: rows that share a doc_id have lines of their own."""
+    return F.call_function("shiftleft", number.cast("bigint"), F.lit(32)).bitwiseOR(F.xxhash64(line).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def bare(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS))
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(d, l, line)``: the lines of every document with an id, l from 0, without white space at their ends."""
+    """``(d, l, line)``: the lines with a word of every document with an id, l their key, without white space at their ends."""
     parts = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
-    out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("l", "line"))
-    return out.select("d", "l", F.trim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
+    out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("number", "line"))
+    out = out.select("d", "number", bare(F.col("line")).alias("line")).where("line <> ''")
+    return out.select("d", line_key(F.col("number"), F.col("line")).alias("l"), "line")
 
 
 def line_words(line: Column) -> Column:
@@ -68,18 +79,15 @@ def line_words(line: Column) -> Column:
     return F.split(line, f"[{SPACE}]+")
 
 
-def hashes(line: Column) -> Column:
-    """Distinct 64-bit hashes of the words of a line that has no white space at its ends."""
-    return F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
-
-
-def rarity_levels(lines: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def rarity_levels(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
     """By hash bucket, eight times the binary logarithm of its word count.
 
-    The counts cover every word of every line; only ``buckets`` numbers come to the driver.
+    The counts cover every word of every text; only ``buckets`` numbers come to the driver.
     """
-    word = lines.select(F.explode(line_words(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"))
-    level = {r["b"]: r["v"] for r in word.groupBy("b").agg(F.floor(8 * F.log2(F.count(F.lit(1)))).cast("int").alias("v")).collect()}
+    word = docs.select(F.explode(F.split(F.col(text_col).cast("string"), f"[{SPACE}]+")).alias("w"))
+    bucket = word.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"))
+    counts = bucket.groupBy("b").agg(F.floor(8 * F.log2(F.count(F.lit(1)))).cast("int").alias("v")).toPandas()
+    level = dict(zip(counts["b"].tolist(), counts["v"].tolist()))
     return [level.get(i, 0) for i in range(buckets)]
 
 
@@ -88,198 +96,217 @@ def table(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
-def by_rarity(h: Column, levels: list[int]) -> Column:
-    """Hashes as longs in the order of rarity: level in the top bits, then 38 bits of the hash and its bucket."""
+def shift(n: Column) -> Column:
+    """1 shifted left by the low six bits of a long."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def by_rarity(line: Column, levels: list[int]) -> Column:
+    """The distinct words of a line as longs in the order of rarity: level in the top bits, then 54 bits of hash."""
     shifted, mask = table([v << 54 for v in levels]), len(levels) - 1
-    packed = lambda x: F.get(shifted, x.bitwiseAND(F.lit(mask)).cast("int")).bitwiseOR(x.bitwiseAND(F.lit((1 << 54) - 1)))
-    return F.sort_array(F.transform(h, packed))
+    at = lambda x: F.coalesce(F.get(shifted, x.bitwiseAND(F.lit(mask)).cast("int")), F.lit(0).cast("bigint"))
+    hashes = F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda x: at(x).bitwiseOR(x.bitwiseAND(F.lit((1 << 54) - 1)))))
 
 
 def prefix_length(n: Column) -> Column:
     return (n - F.floor((n * NUM + DEN - 1) / DEN) + 1).cast("int")
 
 
-def classes(lines: DataFrame, levels: list[int], min_words: int = 1) -> DataFrame:
-    """``(d, l, n, sketch, prefix)``: the first line of each word set. Sets are told apart by size and 128 bits of hash.
-
-    Sets of up to ``ALONE`` words have a second hash of their words as the sketch, and an empty prefix.
-    """
-    made = lines.select("d", "l", "line", by_rarity(hashes(F.col("line")), levels).alias("w")).where(F.size("w") >= min_words)
+def classes(lines: DataFrame, levels: list[int]) -> DataFrame:
+    """``(d, l, n, odd, even, prefix)``: the first line of each word set, with a prefix that is longer by ``DEPTH`` - 1."""
+    made = lines.select("d", "l", "line", by_rarity(F.col("line"), levels).alias("w"))
     alone = F.size("w") <= ALONE
-    again = F.xxhash64(F.lit(7), F.array_sort(F.array_distinct(line_words(F.col("line")))))
-    flip = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x, 16).bitwiseAND(F.lit(63)).cast("int"))))
-    keyed = made.select(F.xxhash64("w").alias("s"), F.size("w").alias("n"), F.when(alone, again).otherwise(flip).alias("sketch"), "d", "l", F.slice("w", F.lit(1), F.when(alone, 0).otherwise(prefix_length(F.size("w")))).alias("prefix"))
-    first = keyed.groupBy("s", "n", "sketch").agg(F.min(F.struct("d", "l", "prefix")).alias("m"))
-    return first.select("m.d", "m.l", "n", "sketch", "m.prefix")
-
-
-SIDE = ("d", "l", "n", "i", "sketch")
-
-
-def _side(items: DataFrame, s: str) -> DataFrame:
-    return items.select("w", *[F.col(c).alias(s + c) for c in SIDE])
-
-
-def _fits() -> Column:
-    """Order, length, positional and parity filters of an earlier class ``a`` and a later one ``b``."""
+    words = F.xxhash64(F.lit(9), F.array_sort(F.array_distinct(line_words(F.col("line")))))
+    half = lambda odd: F.aggregate(F.filter("w", lambda x: x.bitwiseAND(F.lit(64)) == odd * 64), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(shift(x)))
+    length = F.when(alone, 0).otherwise(prefix_length(F.size("w")) + DEPTH - 1)
+    keyed = made.select(
+        F.xxhash64("w").alias("s"), F.when(alone, words).otherwise(F.xxhash64(F.lit(7), "w")).alias("t"),
+        F.size("w").alias("n"), half(1).alias("odd"), half(0).alias("even"), "d", "l", F.slice("w", F.lit(1), length).alias("prefix"),
+    )
+    first = keyed.groupBy("s", "t", "n").agg(F.min(F.struct("d", "l", "odd", "even", "prefix")).alias("m"))
+    return first.select("m.d", "m.l", "n", "m.odd", "m.even", "m.prefix")
+
+
+def _before(x: str, y: str) -> Column:
     c = F.col
-    earlier = (c("ad") < c("bd")) | ((c("ad") == c("bd")) & (c("al") < c("bl")))
-    length = (c("an") * DEN >= c("bn") * NUM) & (c("bn") * DEN >= c("an") * NUM)
-    both = c("an") + c("bn")
-    left = F.least(c("an") - c("ai"), c("bn") - c("bi"))  # J >= 4/5: 9 * overlap >= 4 * (n + m)
-    apart = both - 2 * F.ceil(both * NUM / (NUM + DEN))  # words in one set only
-    return earlier & length & (left * (NUM + DEN) >= both * NUM) & (F.bit_count(c("asketch").bitwiseXOR(c("bsketch"))) <= apart)
-
-
-PAIR = ["ad", "al", "bd", "bl"]
+    return (c(x + "d") < c(y + "d")) | ((c(x + "d") == c(y + "d")) & (c(x + "l") < c(y + "l")))
 
 
-def grouped(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``items`` of words that several classes share, with the number ``c`` of them and the earliest as ``p``.
+def close(short: DataFrame, long: DataFrame, depth: int) -> DataFrame:
+    """``PAIR`` of rows ``short`` and ``long`` that share a signature and pass the length, positional and parity filters.
 
-    The first table has the words whose group is bounded, the second those whose group may be hot.
+    The sets of ``short`` are not larger; only pairs whose later class is open are wanted.
     """
-    bound = int(8 * math.log2(BOUNDED))
-    item = F.struct(*SIDE)
-    few = items.where(F.shiftright("w", 54) < bound)
-    by_word = W.partitionBy("w")
-    few = few.withColumns({"c": F.count(F.lit(1)).over(by_word), "p": F.min(item).over(by_word)}).where("c > 1")
-    many = items.where(F.shiftright("w", 54) >= bound)
-    counts = many.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(item).alias("p")).where("c > 1")
-    return few, many.join(counts, "w").select(*few.columns)
-
-
-def picked(lines: DataFrame, needed: DataFrame) -> DataFrame:
-    """The lines whose (d, l) is in ``needed``: first by a bitmap that is broadcast, then exactly."""
-    bit = F.pmod(F.xxhash64("d", "l"), F.lit(BITMAP))
-    bits = needed.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("on")).groupBy("at").agg(F.bit_or("on").alias("bits"))
-    some = lines.withColumns({"at": F.shiftright(bit, 6), "on": bit.bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(bits), "at")
-    some = some.where(F.call_function("shiftright", F.col("bits"), F.col("on")).bitwiseAND(F.lit(1)) == 1).select("d", "l", "line")
-    return some.join(needed, ["d", "l"]).groupBy("d", "l").agg(F.first("line").alias("line"))
-
-
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(d, l)`` of the later classes of pairs whose whole word sets reach the threshold; ``lines`` has both sides' lines."""
-    a = lines.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("line").alias("aline"))
-    b = lines.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("line").alias("bline"))
+    c, names = F.col, [*SIDE, "open"]
+    s, t = (x.select("sig", *[c(n).alias(k + n) for n in names]) for x, k in ((short, "s"), (long, "t")))
+    both = c("sn") + c("tn")
+    left = F.least(c("sn") - c("si"), c("tn") - c("ti")) + (depth - 1)  # i is the place of the last word; J >= 4/5: 9 * overlap >= 4 * (n + m)
+    apart = F.bit_count(c("sodd").bitwiseXOR(c("todd"))) + F.bit_count(c("seven").bitwiseXOR(c("teven")))  # 9 * words in one set only <= n + m
+    first = _before("s", "t")
+    fits = (c("sn") <= c("tn")) & (c("sn") * DEN >= c("tn") * NUM) & (left * (NUM + DEN) >= both * NUM) & (apart * (NUM + DEN) <= both * (DEN - NUM))
+    once = (c("sn") < c("tn")) | first
+    pick = lambda n: (F.when(first, c("s" + n)).otherwise(c("t" + n)), F.when(first, c("t" + n)).otherwise(c("s" + n)))
+    (ad, bd), (al, bl), (_, open_) = pick("d"), pick("l"), pick("open")
+    same = (c("sd") == c("td")) & (c("sl") == c("tl"))
+    out = s.join(t, "sig").where(fits & once & ~same & open_)
+    return out.select(ad.alias("ad"), al.alias("al"), bd.alias("bd"), bl.alias("bl"), both.alias("both"))
+
+
+def colliding(items: DataFrame, depth: int) -> DataFrame:
+    """Candidates among ``items``. Of two sets the smaller one can't share less than 8/9 of its words, so its prefix is shorter."""
+    n = F.col("n")
+    reach = n - F.floor((n * 2 * NUM + NUM + DEN - 1) / (NUM + DEN)) + depth
+    return close(items.where(F.col("i") < reach), items, depth)
+
+
+def signatures(reps: DataFrame) -> DataFrame:
+    """One row for each class and word of its prefix."""
+    own = F.slice("prefix", F.lit(1), prefix_length(F.col("n")))
+    out = reps.where(f"n > {ALONE}").select(*LINE, F.posexplode(own).alias("i", "sig"))
+    return out.select("sig", *SIDE, F.lit(True).alias("open"))
+
+
+def longer(items: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
+    """Signatures with one more word, the last of ``depth``: any later word of a prefix that is longer by ``depth`` - 1."""
+    more = F.slice("prefix", F.col("i") + 2, F.greatest(prefix_length(F.col("n")) + (depth - 2) - F.col("i"), F.lit(0)))
+    out = items.join(reps.select("d", "l", "prefix"), ["d", "l"]).select("sig", *SIDE, "open", F.posexplode(more).alias("j", "w"))
+    return out.select(F.xxhash64("sig", "w").alias("sig"), *LINE, (F.col("i") + 1 + F.col("j")).alias("i"), "open")
+
+
+def marked(rows: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` may be in ``needed``, by a bitmap of fixed size that is broadcast."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(BITMAP))
+    bits = needed.select(F.shiftright(bit, 6).alias("_at"), shift(bit).alias("on")).groupBy("_at").agg(F.bit_or("on").alias("_bits"))
+    some = rows.withColumns({"_at": F.shiftright(bit, 6), "_on": shift(bit)}).join(F.broadcast(bits), "_at")
+    return some.where(F.col("_bits").bitwiseAND(F.col("_on")) != 0).drop("_at", "_on", "_bits")
+
+
+def picked(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(d, l, line)`` of the lines whose (d, l) is in ``needed``: documents and lines are first picked by bitmaps."""
+    some = marked(docs.withColumn("d", F.col("doc_id").cast("long")), needed, ["d"]).drop("d")
+    return marked(lines_of(some), needed, ["d", "l"]).join(needed, ["d", "l"], "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(d, l)`` of the later classes of pairs whose words reach the threshold; ``texts`` has both sides' lines."""
+    a = texts.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("line").alias("aline"))
+    b = texts.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("line").alias("bline"))
+    shared = F.size(F.array_intersect(line_words(F.col("aline")), line_words(F.col("bline"))))
     both = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"])
-    shared = lambda x, y: F.size(F.array_intersect(x, y)) * (NUM + DEN) >= (F.size(x) + F.size(y)) * NUM
-    same = let(hashes(F.col("aline")), lambda x: let(hashes(F.col("bline")), lambda y: shared(x, y)))
-    return both.where(same).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct()
-
-
-def wide_sketch(line: Column) -> Column:
-    """Parity sketch of a line's words in ``WIDE`` times 64 bits, as an array."""
-    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
-    lane = lambda h, k: F.aggregate(F.filter(h, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(WIDE - 1)) == k), F.lit(0).cast("bigint"), flip)
-    return let(hashes(line), lambda h: F.struct(F.size(h).alias("n"), F.array(*[lane(h, k) for k in range(WIDE)]).alias("bits")))
-
+    return both.where(shared * (NUM + DEN) >= F.col("both") * NUM).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct()
 
-def plausible(pairs: DataFrame, picks: DataFrame) -> DataFrame:
-    """Pairs whose wide sketches differ in no more bits than their sets may differ in words; long lines saturate the 64 bits."""
-    sk = store(picks.select("d", "l", wide_sketch(F.col("line")).alias("k")))
-    a = sk.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("k").alias("ak"))
-    b = sk.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("k").alias("bk"))
-    both = F.col("ak.n") + F.col("bk.n")
-    bits = F.aggregate(F.zip_with("ak.bits", "bk.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    fits = bits <= both - 2 * F.ceil(both * NUM / (NUM + DEN))
-    return store(pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"]).where(fits).select(*PAIR))
 
-
-def settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``(d, l)`` of the later classes that match any class they are paired with.
 
     Each is first verified with the earliest of its candidates, which nearly always decides; all its
     other pairs are verified only where that one failed.
     """
-    picks = store(picked(lines, ends(pairs)))
-    pairs = plausible(pairs, picks)
-    first = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("m")).select("m.ad", "m.al", "bd", "bl")
-    done = store(verified(first, picks))
-    late = pairs.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti").select(*PAIR)
-    return done.unionByName(store(verified(late, picks)))
-
-
-def ends(pairs: DataFrame) -> DataFrame:
-    """``(d, l)`` of the classes in ``pairs``."""
-    return pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")))).alias("x")).select("x.d", "x.l").distinct()
-
-
-def first_lines(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
-    """``(d, l)`` of the lines that stay among those of ``min_words`` distinct words or more."""
-    lines = lines_of(docs, text_col)
-    levels = rarity_levels(lines)
-    reps = store(classes(lines, levels, min_words))
-    found = []
-    for shared in grouped(reps.select("d", "l", "n", "sketch", F.posexplode("prefix").alias("i", "w"))):
-        small, large = shared.where(F.col("c") <= SMALL), shared.where(F.col("c") > SMALL)
-        pivot = large.select(*[F.col(f"p.{c}").alias("a" + c) for c in SIDE], *[F.col(c).alias("b" + c) for c in SIDE])
-        for pairs in (_side(small, "a").join(_side(small, "b"), "w").where(_fits()), pivot.where(_fits())):
-            found.append(pairs.select(*PAIR).distinct().select(*PAIR, *[F.lit(None).cast(t).alias(c) for c, t in (("w", "long"), ("n", "int"), ("i", "int"), ("sketch", "long"))]))
-        found.append(large.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.lit(None).cast("long").alias("bd"), F.lit(None).cast("int").alias("bl"), "w", "n", "i", "sketch"))
-    both = store(reduce(DataFrame.unionByName, found))  # one job, so the items are shuffled once
-    near = both.where("w is null").select(*PAIR).distinct()
-    hot = both.where("w is not null").select("w", F.col("ad").alias("d"), F.col("al").alias("l"), "n", "i", "sketch")
-    done = settled(near, lines)
-    # What the earliest class of a hot word doesn't match is held against all the earlier ones.
-    rest = _side(hot, "a").join(_side(hot.join(done, ["d", "l"], "left_anti"), "b"), "w").where(_fits()).select(*PAIR).distinct()
-    rest = store(rest.join(near, PAIR, "left_anti"))
-    gone = done.unionByName(settled(rest, lines))
-    return reps.select("d", "l").join(gone, ["d", "l"], "left_anti")
-
-
-def removals(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
-    """``(doc_id, kept_lines)``: by document, the lines of ``first_lines`` in an array."""
-    return first_lines(docs, text_col, min_words).groupBy("d").agg(F.collect_set("l").alias("kept_lines")).withColumnRenamed("d", "doc_id")
-
-
-def _long_line(x: Column, min_words: int) -> Column:
-    if min_words <= 1:
-        return F.trim(x, F.lit(BLANKS)) != ""
-    return F.size(F.array_distinct(words(x))) >= min_words
-
-
-def split_lines(text: Column, min_words: int = 1) -> Column:
-    """``array<struct<l, line, long>>``: every line of a text, and whether it takes part in the join."""
-    return F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("l"), x.alias("line"), _long_line(x, min_words).alias("long")))
-
-
-def removed_lines(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
+    ends = pairs.select(F.inline(F.array(*[F.struct(F.col(s + "d").alias("d"), F.col(s + "l").alias("l")) for s in "ab"]))).distinct()
+    texts = store(picked(docs, ends))
+    first = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al", "both")).alias("m")).select("m.ad", "m.al", "bd", "bl", "m.both")
+    done = store(verified(first, texts))
+    late = pairs.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti")
+    out = store(done.unionByName(verified(late, texts)))
+    drop(texts, done)
+    return out
+
+
+def matched(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(d, l)`` of the classes in ``reps`` that match an earlier one."""
+    items, found, used = signatures(reps), [], []
+    for depth in range(1, DEPTH + 1):
+        groups = items.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.count_if("open").alias("o"))
+        big = store(groups.where(f"c > {SMALL}").select("sig", "o"))
+        cold, hot = items.join(big, "sig", "left_anti"), store(items.join(big.where("o > 0").select("sig"), "sig"))
+        first = store(hot.groupBy("sig").agg(F.min(F.struct(*SIDE)).alias("p")))
+        pivots = first.select("sig", "p.*", F.lit(False).alias("open"))
+        tried = close(pivots, hot.where("open"), depth).unionByName(close(hot.where("open"), pivots, depth))
+        candidates = store(colliding(cold, depth).unionByName(tried).distinct())
+        found.append(settled(candidates, docs))
+        # What the earliest of a large group doesn't match goes on, with all the group's earlier members.
+        gone = reduce(DataFrame.unionByName, found).select("d", "l", F.lit(True).alias("gone"))
+        hot = hot.drop("open").join(gone, ["d", "l"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+        left = hot.where("open").join(first.select("sig", F.col("p.d").alias("pd"), F.col("p.l").alias("pl")), "sig")
+        pending = store(left.where("d <> pd or l <> pl").select("sig").distinct())
+        drop(candidates)
+        used += [big, first, pending]
+        if pending.isEmpty():
+            break
+        hot = hot.join(pending, "sig", "left_semi")
+        if depth == DEPTH:
+            rest = store(colliding(hot, depth).distinct())
+            found.append(settled(rest, docs))
+            drop(rest)
+        else:
+            items = longer(hot, reps, depth + 1)
+    drop(*used)
+    return reduce(DataFrame.unionByName, found)
+
+
+def first_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(d, l)`` of the lines that stay."""
+    docs = docs.select("doc_id", F.col(f"`{text_col}`").alias("text"))
+    reps = store(classes(lines_of(docs), rarity_levels(docs)))
+    return reps.select("d", "l").join(matched(reps, docs), ["d", "l"], "left_anti")
+
+
+def with_gone(docs: DataFrame, own: list[Column], text_col: str) -> DataFrame:
+    """Columns ``own`` of ``docs`` and ``_gone``, the numbers of the lines to remove in their order."""
+    kept = first_lines(docs, text_col).groupBy("d").agg(F.collect_set("l").alias("_kept"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(bare(x) != "", line_key(i, bare(x))))
+    keys = F.when(F.col("doc_id").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_compact(keys))
+    some = docs.select(*own, F.col("doc_id").cast("long").alias("_d"), keys.alias("_keys"))
+    gone = F.array_sort(F.array_except("_keys", F.coalesce("_kept", F.array().cast("array<bigint>"))))
+    both = some.join(kept, F.col("_d") == F.col("d"), "left")
+    return both.withColumn("_gone", F.transform(gone, lambda k: F.shiftright(k, 32).cast("int"))).drop("_keys", "_kept", "d", "_d")
+
+
+def removed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` for every row of ``docs``; removed lists line numbers, comma-joined.
 
     Lines count from 0 and include empty ones. A null text counts as empty. Rows with a null doc_id
-    are not compared and lose nothing. Rows that repeat a doc_id are one document: they have the
-    same line numbers kept. An empty table gives an empty result; other columns are not read.
+    are not compared and lose nothing. Rows that repeat a doc_id keep lines of their own, in the
+    order of line number; where both have the same line with the same number, it is one line. An
+    empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n", -1)).alias("n_lines"), F.transform(F.filter(split_lines(text, min_words), lambda x: x["long"]), lambda x: x["l"]).alias("long_lines"))
-    out = own.join(removals(docs, text_col, min_words), "doc_id", "left")
-    gone = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(F.array_except("long_lines", F.coalesce("kept_lines", F.array().cast("array<int>"))))
-    return out.withColumn("_gone", gone).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), F.array_join(F.array_sort("_gone"), ",").alias("removed"))
+    out = with_gone(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines")], text_col)
+    return out.select("doc_id", "n_lines", F.size("_gone").cast("long").alias("n_removed"), F.array_join("_gone", ",").alias("removed"))
+
+
+def without(text: Column, gone: Column) -> Column:
+    """A text without the lines of the sorted numbers ``gone``: the stretches between them, so long texts take linear time."""
+    def stretches(lines: Column) -> Column:
+        ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+        return F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1))
+
+    return F.when(F.size(gone) == 0, text).otherwise(F.array_join(F.flatten(let(F.split(text, "\n", -1), stretches)), "\n"))
 
 
-def dedup(docs: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with matching later lines taken out of the text; n_chars, where there is one, follows.
 
     Rows, ids and other columns stay; a document whose lines are all copies keeps an empty text. A
     null text stays null. Edge cases are as in ``removed_lines``.
     """
-    kept = removals(docs, text_col, min_words).select(F.col("doc_id").alias("_d"), "kept_lines")
-    both = docs.join(kept, F.col("doc_id").cast("long") == F.col("_d"), "left").drop("_d")
-    stays = let(F.coalesce("kept_lines", F.array().cast("array<int>")), lambda k: F.filter(split_lines(F.col(text_col), min_words), lambda x: ~x["long"] | F.array_contains(k, x["l"])))
-    text = F.when(F.col("doc_id").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda x: x["line"]), "\n"))
-    out = both.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    out = with_gone(docs, [row], text_col).select("_row.*", "_gone")
+    text = without(F.col(f"`{text_col}`"), F.col("_gone"))
+    out = out.withColumn(text_col, text)
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 ORACLE_SQL = r"""
 with docs as (select doc_id, coalesce(text, '') as text, len(string_split(coalesce(text, ''), chr(10))) as n_lines from documents),
 x as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, n_lines)) as l from docs),
-s as (select doc_id, l, list_distinct(regexp_extract_all(line, '[^ 	-
-]+')) as w from x),
-e as (select * from s where len(w) >= 5),
+s as (select doc_id, l, list_distinct(regexp_extract_all(line, '[^ \t-\r]+')) as w from x),
+e as (select * from s where len(w) >= 1),
 c as (select list_sort(w) as w, min((doc_id, l)) as first from e group by list_sort(w)),
 ci as (select row_number() over (order by first) as k, w, first, len(w) as n from c),
 t as (select k, n, unnest(w) as word from ci),

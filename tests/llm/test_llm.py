@@ -182,7 +182,6 @@ def test_hot_words_are_settled_in_full(spark, monkeypatch):
     docs = docs_of(spark, texts)
     want = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()}
     monkeypatch.setattr(line_dedup, "SMALL", 3)
-    monkeypatch.setattr(line_dedup, "BOUNDED", 2)
     assert {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()} == want
     sets = [set(t.split()) for t in texts]
     brute = {i: "0" if any(len(s & sets[j]) / len(s | sets[j]) >= 0.8 for j in range(i)) else "" for i, s in enumerate(sets)}
@@ -205,6 +204,13 @@ def test_short_lines_are_settled_in_full(spark):
     assert line_dedup.dedup(docs_of(spark, texts)).where("doc_id = 1").first().text == "\n \nb c d"
 
 
+def test_rows_that_repeat_an_id_keep_lines_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    docs = docs_of(spark, [a, b, b.replace("b3 ", "c3 "), a.replace("a4 ", "c4 "), "x y", "x y"], [1, 1, 4, 5, 7, 7])
+    assert sorted((r.doc_id, r.removed) for r in line_dedup.removed_lines(docs).collect()) == [(1, ""), (1, ""), (4, "0"), (5, "0"), (7, ""), (7, "")]
+    assert sorted(r.text for r in line_dedup.dedup(docs).where("doc_id > 1").collect()) == ["", "", "x y", "x y"]
+
+
 def test_mixing_meets_its_margins(spark):
     rows = [(s, l, t, n) for s, l, t, n in (("a", "en", "x", 900), ("a", "de", "x", 50), ("b", "en", "y", 30), ("b", "de", "x", 20), ("a", "en", "y", 100), ("b", "de", "y", 10))]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
