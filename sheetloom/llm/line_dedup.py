@@ -49,6 +49,8 @@ ALONE = 3
 NUM, DEN = 4, 5
 #: Classes that may share a signature before it gets another word.
 SMALL = 1024
+#: Parts in which signatures are shuffled and joined one after the other, so that only one part's shuffle is on disk.
+SLICES = 4
 #: Most words of a signature.
 DEPTH = 3
 
@@ -153,11 +155,15 @@ def close(short: DataFrame, long: DataFrame, depth: int) -> DataFrame:
     return out.select(ad.alias("ad"), al.alias("al"), bd.alias("bd"), bl.alias("bl"), both.alias("both"))
 
 
-def colliding(items: DataFrame, depth: int) -> DataFrame:
-    """Candidates among ``items``. Of two sets the smaller one can't share less than 8/9 of its words, so its prefix is shorter."""
+def colliding(items: DataFrame, depth: int) -> list[DataFrame]:
+    """Candidates among ``items``, as stored tables of one slice of signatures each.
+
+    Of two sets the smaller one can't share less than 8/9 of its words, so its prefix is shorter.
+    """
     n = F.col("n")
     reach = n - F.floor((n * 2 * NUM + NUM + DEN - 1) / (NUM + DEN)) + depth
-    return close(items.where(F.col("i") < reach), items, depth)
+    parts = [items.where(F.pmod("sig", F.lit(SLICES)) == k) for k in range(SLICES)]
+    return [store(close(x.where(F.col("i") < reach), x, depth).distinct()) for x in parts]
 
 
 def signatures(reps: DataFrame) -> DataFrame:
@@ -223,7 +229,9 @@ def matched(reps: DataFrame, docs: DataFrame) -> DataFrame:
         first = store(hot.groupBy("sig").agg(F.min(F.struct(*SIDE)).alias("p")))
         pivots = first.select("sig", "p.*", F.lit(False).alias("open"))
         tried = close(pivots, hot.where("open"), depth).unionByName(close(hot.where("open"), pivots, depth))
-        candidates = store(colliding(cold, depth).unionByName(tried).distinct())
+        parts = [*colliding(cold, depth), tried]
+        candidates = store(reduce(DataFrame.unionByName, parts).distinct())
+        drop(*parts[:-1])
         found.append(settled(candidates, docs))
         # What the earliest of a large group doesn't match goes on, with all the group's earlier members.
         gone = reduce(DataFrame.unionByName, found).select("d", "l", F.lit(True).alias("gone"))
@@ -236,9 +244,9 @@ def matched(reps: DataFrame, docs: DataFrame) -> DataFrame:
             break
         hot = hot.join(pending, "sig", "left_semi")
         if depth == DEPTH:
-            rest = store(colliding(hot, depth).distinct())
-            found.append(settled(rest, docs))
-            drop(rest)
+            parts = colliding(hot, depth)
+            found.append(settled(reduce(DataFrame.unionByName, parts).distinct(), docs))
+            drop(*parts)
         else:
             items = longer(hot, reps, depth + 1)
     drop(*used)
