@@ -47,10 +47,12 @@ BITMAP = 1 << 23
 ALONE = 3
 #: Jaccard threshold as a fraction, so that all arithmetic is in integers.
 NUM, DEN = 4, 5
-#: Classes that may share a signature before it gets another word.
+#: Open classes that may share a signature before it gets another word.
 SMALL = 1024
 #: Parts in which signatures are shuffled and joined one after the other, so that only one part's shuffle is on disk.
-SLICES = 4
+SLICES = 2
+#: Parts of a large group that are held against its few open members.
+SALTS = 16
 #: Most words of a signature.
 DEPTH = 3
 
@@ -71,8 +73,8 @@ def bare(line: Column) -> Column:
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(d, l, line)``: the lines with a word of every document with an id, l their key, without white space at their ends."""
     parts = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
-    out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("number", "line"))
-    out = out.select("d", "number", bare(F.col("line")).alias("line")).where("line <> ''")
+    parts = F.transform(parts, bare)
+    out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("number", "line")).where("line <> ''")
     return out.select("d", line_key(F.col("number"), F.col("line")).alias("l"), "line")
 
 
@@ -219,36 +221,52 @@ def settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def against_few(hot: DataFrame, depth: int) -> DataFrame:
+    """Candidates of groups with few open members, whatever the size of the group: its members are dealt to salts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    some = hot.where("open").withColumn("salt", salts).withColumn("sig", F.xxhash64("sig", "salt"))
+    every = hot.withColumn("sig", F.xxhash64("sig", F.pmod(F.xxhash64("d", "l"), F.lit(SALTS)).cast("int")))
+    return close(some, every, depth).unionByName(close(every, some, depth))
+
+
 def matched(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """``(d, l)`` of the classes in ``reps`` that match an earlier one."""
-    items, found, used = signatures(reps), [], []
+    items, found, parts, used = signatures(reps), [], [], []
+
+    def settle() -> None:
+        candidates = store(reduce(DataFrame.unionByName, parts).distinct())
+        found.append(settled(candidates, docs))
+        drop(candidates)
+        parts.clear()
+
     for depth in range(1, DEPTH + 1):
-        groups = items.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.count_if("open").alias("o"))
-        big = store(groups.where(f"c > {SMALL}").select("sig", "o"))
-        cold, hot = items.join(big, "sig", "left_anti"), store(items.join(big.where("o > 0").select("sig"), "sig"))
+        groups = items.groupBy("sig").agg(F.count_if("open").alias("o"))
+        big = store(groups.where(f"o > {SMALL}").select("sig"))
+        used.append(big)
+        slices = colliding(items.join(big, "sig", "left_anti"), depth)
+        parts += slices
+        if big.isEmpty():
+            break
+        hot = store(items.join(big, "sig"))
         first = store(hot.groupBy("sig").agg(F.min(F.struct(*SIDE)).alias("p")))
         pivots = first.select("sig", "p.*", F.lit(False).alias("open"))
-        tried = close(pivots, hot.where("open"), depth).unionByName(close(hot.where("open"), pivots, depth))
-        parts = [*colliding(cold, depth), tried]
-        candidates = store(reduce(DataFrame.unionByName, parts).distinct())
-        drop(*parts[:-1])
-        found.append(settled(candidates, docs))
-        # What the earliest of a large group doesn't match goes on, with all the group's earlier members.
+        parts += [close(pivots, hot.where("open"), depth), close(hot.where("open"), pivots, depth)]
+        settle()
+        drop(*slices)
+        # What the earliest of a large group doesn't match is open still, and has all the group's earlier members to meet.
         gone = reduce(DataFrame.unionByName, found).select("d", "l", F.lit(True).alias("gone"))
         hot = hot.drop("open").join(gone, ["d", "l"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
         left = hot.where("open").join(first.select("sig", F.col("p.d").alias("pd"), F.col("p.l").alias("pl")), "sig")
-        pending = store(left.where("d <> pd or l <> pl").select("sig").distinct())
-        drop(candidates)
-        used += [big, first, pending]
-        if pending.isEmpty():
+        left = store(left.where("d <> pd or l <> pl").groupBy("sig").agg(F.count(F.lit(1)).alias("o")))
+        used += [first, left]
+        many = left.where(f"o > {SMALL}").select("sig")
+        goes_on = depth < DEPTH and not many.isEmpty()
+        few = left.where(f"o <= {SMALL}" if goes_on else "true").select("sig")
+        parts.append(against_few(hot.join(few, "sig", "left_semi"), depth))
+        if not goes_on:
             break
-        hot = hot.join(pending, "sig", "left_semi")
-        if depth == DEPTH:
-            parts = colliding(hot, depth)
-            found.append(settled(reduce(DataFrame.unionByName, parts).distinct(), docs))
-            drop(*parts)
-        else:
-            items = longer(hot, reps, depth + 1)
+        items = longer(hot.join(many, "sig", "left_semi"), reps, depth + 1)
+    settle()
     drop(*used)
     return reduce(DataFrame.unionByName, found)
 
@@ -264,8 +282,9 @@ def with_gone(docs: DataFrame, own: list[Column], text_col: str) -> DataFrame:
     """Columns ``own`` of ``docs`` and ``_gone``, the numbers of the lines to remove in their order."""
     kept = first_lines(docs, text_col).groupBy("d").agg(F.collect_set("l").alias("_kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(bare(x) != "", line_key(i, bare(x))))
-    keys = F.when(F.col("doc_id").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_compact(keys))
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("number"), bare(x).alias("line")))
+    keys = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: line_key(x["number"], x["line"]))
+    keys = F.when(F.col("doc_id").isNull(), F.array().cast("array<bigint>")).otherwise(keys)
     some = docs.select(*own, F.col("doc_id").cast("long").alias("_d"), keys.alias("_keys"))
     gone = F.array_sort(F.array_except("_keys", F.coalesce("_kept", F.array().cast("array<bigint>"))))
     both = some.join(kept, F.col("_d") == F.col("d"), "left")
