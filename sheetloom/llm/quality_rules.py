@@ -90,19 +90,35 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
-def ordered(counted: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per unit of work on at most ``sample_rows`` rows, best first.
+def drawn(docs: DataFrame, rows: int) -> DataFrame:
+    """At least ``rows`` rows of ``docs``, those of the least hashes of doc_id: one number is sent to the driver, and no text."""
+    key = F.xxhash64("doc_id")
+    last = docs.select(key.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    return docs.where(key <= F.lit(last))
 
-    One aggregate job. On an empty table, or where nothing is rejected, the cheapest rule comes
-    first; equal rules keep the order in which they were given.
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejections per unit of work on a sample of ``docs`` (doc_id, text), best first.
+
+    Rows with equal ids are drawn together, and the sample is aggregated where it lies. On an empty
+    table, or where nothing is rejected, the cheapest rule comes first; equal rules keep the order in
+    which they were given.
     """
-    sample = counted.where(~F.expr(BASE_FAILED)).limit(sample_rows)
+    sample = base_counts(drawn(docs, sample_rows)).where(~F.expr(BASE_FAILED))
     per_rule = [x for i, r in enumerate(rules) for x in (F.avg(F.expr(f"cast({r.rejects} as int)")).alias(f"r{i}"), F.avg(F.expr(f"cast({r.work} as double)")).alias(f"w{i}"))]
     row = sample.agg(*per_rule).first()
     rate = [(row[f"r{i}"] or 0.0) / max(row[f"w{i}"] or 1.0, 1.0) for i in range(len(rules))]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-rate[i], row[f"w{i}"] or 1.0, i))]
 
 
+def verdict(order: list[Rule]) -> Column:
+    """One CASE that stops at the first rule that rejects; the base rule comes first."""
+    out = F.when(F.expr(BASE_FAILED), False)
+    for r in order:
+        out = out.when(F.expr(r.rejects), False)
+    return out.otherwise(True)
+
+
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)``.
 
@@ -112,26 +128,24 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     names can't clash.
     """
     slim = docs.select("doc_id", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = base_counts(slim)
-    order = ordered(counted, rules, sample_rows)
-    verdict = F.when(F.expr(BASE_FAILED), False)
-    for r in order:
-        verdict = verdict.when(F.expr(r.rejects), False)
-    return counted.select(
+    order = ordered(slim, rules, sample_rows)
+    return base_counts(slim).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.expr(BASE_FAILED).alias("base_failed"), verdict.otherwise(True).alias("kept"),
+        F.expr(BASE_FAILED).alias("base_failed"), verdict(order).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns: a filter without any join."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = base_counts(packed)
-    bad = F.expr(BASE_FAILED)
-    for r in ordered(counted, rules):
-        bad = bad | F.expr(r.rejects)
-    return counted.where(~bad).select("row.*")
+    """The rows of ``docs`` that pass, with their own columns and without any join.
+
+    A kept row is an array of one row that is exploded, a rejected one is null: as a filter on the
+    counts, they would be evaluated once for every rule that names them.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text)
+    order = ordered(docs.select("doc_id", text), rules)
+    kept = base_counts(packed).select(F.when(verdict(order), F.array("row")).alias("kept"))
+    return kept.select(F.explode_outer("kept").alias("row")).where("row is not null").select("row.*")
 
 
 ORACLE_SQL = rf"""

@@ -52,7 +52,7 @@ def run_all(spark, docs):
     """Every operator on documents over ``docs``, as row counts."""
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     return [
-        quality_rules.apply_rules(docs).count(), quality_rules.keep_good(docs).count() * 0 + docs.count(), bpe.digest(docs, VOCAB, PATTERN).count(), bpe.encode(docs, VOCAB, PATTERN).count(),
+        quality_rules.apply_rules(docs).count(), bpe.digest(docs, VOCAB, PATTERN).count(), bpe.encode(docs, VOCAB, PATTERN).count(),
         simhash.near_duplicates(docs).count(), line_dedup.removed_lines(docs).count(), line_dedup.dedup(docs).count(), mixing.mix(docs).count(), pii.digest(docs).count(),
         quality_model.classify(docs, labels).count(), toxicity.classify(docs, labels).count(),
     ]
@@ -71,6 +71,20 @@ def test_empty_tables(spark):
     assert chat_tree.format_conversations(c, VOCAB, PATTERN).count() == 0
 
 
+def test_keep_good_returns_the_kept_rows_whole(spark, duck):
+    kept = [r[0] for r in duck.execute(f"select doc_id from ({quality_rules.ORACLE_SQL}) where kept order by 1").fetchall()]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = quality_rules.keep_good(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == kept
+    assert got.exceptAll(docs).isEmpty() and quality_rules.keep_good(docs.limit(0)).isEmpty()
+
+
+def test_sample_of_the_rules_is_drawn_by_hash(spark):
+    docs = spark.range(1000).selectExpr("id doc_id", "string(id) text")
+    want = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).limit(10).collect()]
+    assert sorted(r.doc_id for r in quality_rules.drawn(docs, 10).collect()) == sorted(want)
+
+
 def brute_fingerprint(text):
     w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
