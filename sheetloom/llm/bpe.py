@@ -182,10 +182,11 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInPandas(run, f"doc_id {id_type}, text string")
 
 
-def digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each text encoded, and its ids decoded again.
 
-    Rows are treated as in ``encode``; ids and bytes are hashed piece by piece as they are made.
+    ``with_ids`` adds the ids themselves. Rows are treated as in ``encode``; ids and bytes are hashed
+    piece by piece as they are made.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,13 +194,16 @@ def digest(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
         gc.freeze()  # the tables hold no cycles; walking them again and again costs a fifth of the time
         gc.set_threshold(200_000, 50, 50)
         for pdf in batches:
-            n, a, b = [], [], []
+            n, a, b, ids = [], [], [], []
             for text in pdf["text"]:
                 found = codec.encode_pieces(text)
                 n.append(sum(len(x[0]) for x in found))
                 a.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
+                if with_ids:
+                    ids.append(list(chain.from_iterable([x[0] for x in found])))
                 b.append(hashlib.sha256(codec.decode_bytes(chain.from_iterable([x[0] for x in found]))).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+            out = {"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+            yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
 
     id_type = dict(docs.dtypes)["doc_id"]
-    return _slim(docs, text_col).mapInPandas(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _slim(docs, text_col).mapInPandas(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")

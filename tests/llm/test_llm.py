@@ -359,3 +359,42 @@ def test_swapping_identity_terms_hardly_moves_a_score():
     frame = pd.DataFrame(rows, columns=["doc_id", "y", "idx", "val", "terms"])
     gap = lambda w: abs(w[toxicity.parts(terms[0])].sum() - w[toxicity.parts(terms[1])].sum())
     assert gap(toxicity.fit_rows(frame)) < 0.5 * gap(toxicity.fit_rows(frame, penalty=0.0))
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_pipeline_equals_brute_force(spark, duck):
+    from sheetloom.llm.queries import corpus_pipeline
+
+    docs = duck.execute(f"select * from documents where doc_id in (select doc_id from ({quality_rules.ORACLE_SQL}) where kept)").df()
+    step = duckdb.connect()
+    step.register("documents", docs)
+    gone = {i: {int(x) for x in r.split(",") if x} for i, r in step.execute(f"select doc_id, removed from ({line_dedup.ORACLE_SQL})").fetchall()}
+    docs["text"] = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in zip(docs["doc_id"], docs["text"])]
+    fps = {i: brute_fingerprint(t) for i, t in sorted(zip(docs["doc_id"], docs["text"]))}
+    root = {i: i for i in fps}
+    for i in fps:
+        for j in fps:
+            if j < i and root[i] != root[j] and (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    docs = docs[[root[i] == i for i in docs["doc_id"]]]
+    step = duckdb.connect()
+    step.register("documents", docs)
+    kept = {i for i, k in step.execute(f"select doc_id, kept from ({mixing.oracle_sql()})").fetchall() if k}
+    ref = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCAB), special_tokens={})
+    want = {i: (ref.encode_ordinary(t), t) for i, t in zip(docs["doc_id"], docs["text"]) if i in kept}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, DIR).collect()}
+    assert set(got) == set(want) and len(want) > 20
+    for i, (ids, text) in want.items():
+        assert (got[i].ids, got[i].n_tokens) == (ids, len(ids))
+        assert (got[i].ids_sha256, got[i].decoded_sha256) == (sha(",".join(map(str, ids)).encode()), sha(text.encode()))
+
+
+def test_byte_bpe_query_equals_tiktoken(spark, duck):
+    ref = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCAB), special_tokens={})
+    texts = {i: t or "" for i, t in duck.execute("select doc_id, text from documents").fetchall()}
+    want = {i: (len(ids := ref.encode_ordinary(t)), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in texts.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op4_byte_bpe(spark, DIR).collect()} == want
