@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetloom.llm import bpe, line_dedup, mixing, quality_rules, simhash
-from sheetloom.llm.common import read, ready
+from sheetloom.llm.common import drop, read, ready
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -45,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded text."""
     ready(spark)
-    return bpe.digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("mixing", mixture), ("byte-level bpe", tokens)]
@@ -55,10 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written to the shared checkpoint folder and read again."""
+    """The stages one after the other, each written to the shared checkpoint folder and read again; a stage's input goes once its output is written."""
     docs = read(spark, sf_dir, "documents")
     top = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        if k:
+            drop(docs)
         docs = spark.read.parquet(f"{top}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
