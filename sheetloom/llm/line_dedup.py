@@ -205,19 +205,34 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(shared * (NUM + DEN) >= F.col("both") * NUM).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct()
 
 
+def fetched(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The lines of both sides of ``pairs``, as a stored table."""
+    sides = [pairs.select(F.col(s + "d").alias("d"), F.col(s + "l").alias("l")).distinct() for s in "ab"]
+    needed = store(sides[0].unionByName(sides[1]).distinct())
+    texts = store(picked(docs, needed))
+    drop(needed)
+    return texts
+
+
 def settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``(d, l)`` of the later classes that match any class they are paired with.
 
-    Each is first verified with the earliest of its candidates, which nearly always decides; all its
-    other pairs are verified only where that one failed.
+    Each is first verified with the earliest of its candidates, which nearly always decides; its
+    other pairs are verified, and their lines fetched, only where that one failed.
     """
-    ends = pairs.select(F.inline(F.array(*[F.struct(F.col(s + "d").alias("d"), F.col(s + "l").alias("l")) for s in "ab"]))).distinct()
-    texts = store(picked(docs, ends))
-    first = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al", "both")).alias("m")).select("m.ad", "m.al", "bd", "bl", "m.both")
+    first = store(pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al", "both")).alias("m")).select("m.ad", "m.al", "bd", "bl", "m.both"))
+    texts = fetched(first, docs)
     done = store(verified(first, texts))
-    late = pairs.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti")
+    failed = first.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti")
+    failed = failed.select("bd", "bl", F.col("ad").alias("fd"), F.col("al").alias("fl"))
+    late = store(pairs.join(failed, ["bd", "bl"]).where("ad <> fd or al <> fl").select(*PAIR))
+    drop(texts)
+    if late.isEmpty():
+        drop(first, late)
+        return done
+    texts = fetched(late, docs)
     out = store(done.unionByName(verified(late, texts)))
-    drop(texts, done)
+    drop(texts, done, first, late)
     return out
 
 
