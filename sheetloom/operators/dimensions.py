@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import terms as K
+from .pages import LAND_MARKS, PASTE_MARKS, compact, named_in
 
 MM = "decimal(38,12)"
 
@@ -55,15 +56,14 @@ def by_symbol(dimension: DataFrame, aliases: list[str]) -> DataFrame:
     return d.groupBy("doc_id").agg(F.min(F.struct("_k", "ord", "symbol", "value")).alias("m")).select("doc_id", "m.symbol", "m.value")
 
 
-# Marks of pattern roles.
-LAND_WORDS, PASTE_WORDS = ("land", "pad", "footprint", "焊盘"), ("paste", "stencil", "焊膏", "钢网")
-
-
-def pattern_role() -> Column:
-    """Lands, paste, other or unknown."""
-    t = F.lower(F.concat_ws(" ", F.coalesce("belongs_to", F.lit("")), F.coalesce("endpoints", F.lit(""))))
-    has = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda m: F.contains(t, m))
-    return F.when(F.coalesce(F.trim(t), F.lit("")) == "", "unknown").when(has(PASTE_WORDS), "paste").when(has(LAND_WORDS), "lands").otherwise("other")
+def pattern_role(dimension: DataFrame) -> Column:
+    """Lands, paste, other or unknown. What the row belongs to decides, then marks in its symbol and raw text, where it has them."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("symbol", "raw") if c in dimension.columns]
+    text = compact(F.concat_ws(" ", *parts)) if parts else F.lit("")
+    owner = F.coalesce("belongs_to", F.lit(""))
+    paste = (owner == "solder_paste") | F.coalesce(F.col("role").isin("paste_width", "paste_height"), F.lit(False))
+    marked = F.when(paste, "paste").when(owner == "solder_land", "lands").when(named_in(text, PASTE_MARKS), "paste").when(named_in(text, LAND_MARKS), "lands")
+    return marked.when(owner.isin("package_outline", "occupied_area"), "other").otherwise("unknown")
 
 
 # Words of the two axes.
@@ -101,7 +101,7 @@ ROLE_OF = {"pad_gap": "gap", "gap_between_pads": "gap", "pad_center_distance": "
 
 def labelled(dimension: DataFrame) -> DataFrame:
     """Millimetres, pattern role, axis, relation, and the effective role: the role's alias unless the ends say otherwise."""
-    d = to_mm(dimension).withColumns({"pattern": pattern_role(), "axis": axis(), "relation": relation()})
+    d = to_mm(dimension).withColumns({"pattern": pattern_role(dimension), "axis": axis(), "relation": relation()})
     alias = F.create_map(*[F.lit(x) for kv in ROLE_OF.items() for x in kv])
     said = F.col("relation").isin("center", "pad", "gap", "overall") & (F.col("role") != "other")
     return d.withColumn("effective_role", F.when(said, F.col("relation")).otherwise(F.coalesce(F.try_element_at(alias, F.col("role")), F.col("role"))))

@@ -182,23 +182,39 @@ def demote_pairs(folded: DataFrame) -> DataFrame:
 
 
 def page_numbers(page: DataFrame) -> DataFrame:
-    """Number tokens of a page that no letter, digit or point touches, each once."""
+    """Numbers of a page in their order, each once, with a point for a comma."""
     text = F.coalesce("text", F.lit(""))
-    return page.select("doc_id", "page", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\w.,])((?:\d+(?:[.,]\d+)?|[.,]\d+))(?![\w])"), F.lit(1)))).alias("token"))
+    found = F.regexp_extract_all(text, F.lit(r"[0-9]+[.,][0-9]+|\.[0-9]+|[0-9]+"), F.lit(0))
+    return page.select("doc_id", "page", F.posexplode(F.array_distinct(F.transform(found, lambda x: F.translate(x, ",", ".")))).alias("pos", "token"))
+
+
+def page_runs(page: DataFrame) -> DataFrame:
+    """Longest runs of digits, points and commas of a page, each once; runs after a sign also with it."""
+    text = F.coalesce("text", F.lit(""))
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return page.select("doc_id", "page", F.explode(F.array_distinct(F.concat(found(r"[\p{Nd}.,]+"), found(r"[+-][\p{Nd}.,]+")))).alias("token"))
 
 
 def anchor(dimension: DataFrame, page: DataFrame) -> DataFrame:
-    """Whether a dimension's verbatim value stands on one of the document's pages, and on how many."""
-    hits = dimension.select("doc_id", "ord", F.col("value").alias("token")).join(page_numbers(page), ["doc_id", "token"]).groupBy("doc_id", "ord").agg(F.count_distinct("page").alias("pages"))
+    """Whether a dimension's verbatim value stands on one of the document's pages, and on how many.
+
+    No digit, point or comma may touch the value; letters may ("1.27mm"). A signed value may follow a number.
+    """
+    hits = dimension.select("doc_id", "ord", F.col("value").alias("token")).join(page_runs(page), ["doc_id", "token"]).groupBy("doc_id", "ord").agg(F.count_distinct("page").alias("pages"))
     return dimension.select("doc_id", "ord", "value").join(hits, ["doc_id", "ord"], "left").withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("anchored", F.col("pages") > 0)
 
 
 def decimal_extension(dimension: DataFrame, page: DataFrame) -> DataFrame:
-    """Values without an equal token where a token extends their decimals by more digits; the first extender as evidence."""
-    tokens = page_numbers(page).withColumn("_i", F.regexp_extract("token", r"^(\d*)[.,]", 1))
-    d = dimension.where(F.col("value").rlike(r"^\d+[.,]\d+$")).select("doc_id", "ord", "value", F.regexp_extract("value", r"^(\d*)[.,]", 1).alias("_i"))
-    j = d.join(tokens, ["doc_id", "_i"]).where(F.startswith(F.col("token"), F.col("value")))
-    g = j.groupBy("doc_id", "ord").agg(F.bool_or(F.col("token") == F.col("value")).alias("equal"), F.min(F.when(F.col("token") != F.col("value"), F.struct("page", "token"))).alias("x"))
+    """Decimal values without a number of equal size where a number extends their decimals by more digits; the first as evidence."""
+    whole = lambda c: F.regexp_extract(c, r"^0*([0-9]*)", 1)
+    tokens = page_numbers(page).withColumn("_i", whole("token"))
+    d = dimension.withColumn("_v", F.translate(F.trim("value"), ",", ".")).where(F.col("_v").rlike(r"^[0-9]*\.[0-9]+$"))
+    d = d.select("doc_id", "ord", "_v", whole("_v").alias("_i"))
+    number = lambda c: F.regexp_replace(F.regexp_replace(F.concat(F.col(c), F.when(F.contains(c, F.lit(".")), "").otherwise(".")), "0+$", ""), r"^0+", "")
+    equal = number("token") == number("_v")
+    extends = F.startswith(F.col("token"), F.col("_v")) & (F.length("token") > F.length("_v")) & ~equal
+    j = d.join(tokens, ["doc_id", "_i"])
+    g = j.groupBy("doc_id", "ord").agg(F.bool_or(equal).alias("equal"), F.min(F.when(extends, F.struct("page", "pos", "token"))).alias("x"))
     return g.where("not equal and x is not null").select("doc_id", "ord", "x.page", "x.token")
 
 

@@ -201,30 +201,48 @@ def companion_page(page: DataFrame, chosen: DataFrame, radius: int = RADIUS) ->
     return out.select("doc_id", "land_page", status.alias("status"), body.cast("int").alias("body_page"), F.array_join("b.matched", ",").alias("matched"))
 
 
-LAND_MARKS = ("land pattern", "solder land", "footprint", "pad layout", "焊盘")
-PASTE_MARKS = ("solder paste", "stencil", "焊膏", "钢网")
+# Marks of lands and of paste in texts without blanks and joiners, phrases of exposed pads, names of their roles.
+LAND_MARKS = ("solderland", "solderlands", "copperland", "copperpad", "landcenter", "铜箔", "铜焊盘")
+PASTE_MARKS = ("solderpaste", "pasteopening", "stencil", "cream", "钢网", "焊膏", "锡膏", "はんだ")
+EP_PHRASES = ("exposed thermal pad", "exposed die pad", "exposed pad", "thermal pad", "e-pad")
+EP_ROLES = tuple(f"{pad}_{side}" for pad in ("center_pad", "optional_center_pad", "thermal_pad", "exposed_pad") for side in ("width", "length", "height"))
 
 
-def comention(page: DataFrame) -> DataFrame:
-    """Whether a page names land and paste, and reflow and wave soldering."""
-    t = normalize(F.col("text"), "lower")
-    has = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(F.col("_t"), m))
-    p = page.select("doc_id", "page", t.alias("_t"))
-    return p.select("doc_id", "page", (has(LAND_MARKS) & has(PASTE_MARKS)).alias("land_and_paste"), (F.contains("_t", F.lit("reflow")) & F.contains("_t", F.lit("wave"))).alias("reflow_and_wave"))
+def compact(text: Column) -> Column:
+    """A text in lower case without blanks and joiners, as marks are looked for."""
+    return F.regexp_replace(normalize(text, "lower"), r"[\s_\-:/()]+", "")
 
 
-EP_PHRASES = ("exposed pad", "exposed thermal pad", "thermal pad", "exposed die pad", "epad")
+def named_in(text: Column, marks: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(text, m))
+
+
+def comention(page: DataFrame) -> DataFrame:
+    """Whether a page names land and paste, and reflow and wave soldering."""
+    p = page.select("doc_id", "page", normalize(F.col("text"), "lower").alias("_t"), compact(F.col("text")).alias("_c"))
+    both = named_in(F.col("_c"), LAND_MARKS) & named_in(F.col("_c"), PASTE_MARKS)
+    return p.select("doc_id", "page", both.alias("land_and_paste"), (F.contains("_t", F.lit("reflow")) & F.contains("_t", F.lit("wave"))).alias("reflow_and_wave"))
 
 
 def ep_evidence(page: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Per document the first exposed-pad phrase of a page, else the first dimension that names one, with the reason."""
+    """Per document the first exposed-pad phrase of its first page with one, else the first dimension with such a role.
+
+    A role counts in the wording of ``role`` or, where there is that column, ``role_original``; a tab
+    of a land whose symbol is X2 or Y2 is an optional center pad.
+    """
     p = page.select("doc_id", "page", normalize(F.col("text"), "lower").alias("_t"))
     phrase = F.coalesce(*[F.when(F.contains("_t", F.lit(x)), F.lit(x)) for x in EP_PHRASES])
     text = p.withColumn("phrase", phrase).where("phrase is not null").groupBy("doc_id").agg(F.min(F.struct("page", "phrase")).alias("p"))
-    named = dimension.where(F.col("role").isin("tab_width", "tab_height") | F.lower(F.coalesce("endpoints", F.lit(""))).rlike("exposed|thermal|center pad")).groupBy("doc_id").agg(F.min(F.struct("ord", "role")).alias("d"))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(normalize(F.coalesce(F.col(c), F.lit("")), "lower"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    why = [F.when(plain(c).isin(*EP_ROLES), plain(c)) for c in ("role", "role_original") if c in dimension.columns]
+    if "symbol" in dimension.columns:
+        symbol = F.trim(normalize(F.coalesce("symbol", F.lit("")), "lower"))
+        tab = (F.col("belongs_to") == "solder_land") & F.col("role").isin("tab_width", "tab_height") & symbol.isin("x2", "y2")
+        why.append(F.when(tab, F.concat(F.upper(symbol), F.lit(" optional center pad"))))
+    named = dimension.withColumn("why", F.coalesce(*why)).where("why is not null").groupBy("doc_id").agg(F.min(F.struct("ord", "why")).alias("d"))
     docs = page.select("doc_id").union(dimension.select("doc_id")).distinct()
     out = docs.join(text, "doc_id", "left").join(named, "doc_id", "left")
-    reason = F.when(F.col("p").isNotNull(), F.concat(F.lit("page:"), F.col("p.phrase"))).when(F.col("d").isNotNull(), F.concat(F.lit("dimension:"), F.col("d.role"))).otherwise("none")
+    reason = F.when(F.col("p").isNotNull(), F.concat(F.lit("page:"), F.col("p.phrase"))).when(F.col("d").isNotNull(), F.concat(F.lit("dimension:"), F.col("d.why"))).otherwise("none")
     return out.select("doc_id", (F.col("p").isNotNull() | F.col("d").isNotNull()).alias("has_exposed_pad"), reason.alias("reason"))
 
 

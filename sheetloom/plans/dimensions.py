@@ -44,7 +44,8 @@ def d4_by_symbol(spark, sf_dir):
 
 
 def d5_pattern_role(spark, sf_dir):
-    return _dim(spark, sf_dir).select("doc_id", "sample_idx", "ord", D.pattern_role().alias("pattern"))
+    dim = _dim(spark, sf_dir)
+    return dim.select("doc_id", "sample_idx", "ord", D.pattern_role(dim).alias("pattern"))
 
 
 def d6_axis_and_relation(spark, sf_dir):
@@ -172,7 +173,7 @@ ORACLES = {
 select doc_id, sample_idx, ord, false as dropped from dimension union all select i.doc_id, i.sample_idx, i.ord, h.ord is not null from inch i left join hit h using (doc_id, sample_idx, ord)""",
     "d3_dedup_candidates": f"with {_DIM} select doc_id, role, min(ord) as ord, round(mm, 6) as value_mm from dimension group by doc_id, role, mm",
     "d4_by_symbol": f"with {_DIM}, s as (select *, ['A','B','C','D','E','F'][ord + 1] as symbol from dimension where sample_idx = 0), r as (select *, row_number() over (partition by doc_id order by case symbol when 'E' then 0 when 'C' then 1 else 2 end, ord) as n from s where symbol in ('E', 'C', 'A')) select doc_id, symbol, value from r where n = 1",
-    "d5_pattern_role": f"with {_DIM} select doc_id, sample_idx, ord, case when belongs_to = 'solder_land' then 'lands' else 'other' end as pattern from dimension",
+    "d5_pattern_role": f"with {_DIM} select doc_id, sample_idx, ord, case when belongs_to = 'solder_paste' or role in ('paste_width', 'paste_height') then 'paste' when belongs_to = 'solder_land' then 'lands' when belongs_to in ('package_outline', 'occupied_area') then 'other' else 'unknown' end as pattern from dimension",
     "d6_axis_and_relation": f"""with {_LAB} select doc_id, sample_idx, ord, axis, relation, case when relation in ('center', 'pad', 'gap', 'overall') and role <> 'other' then relation
   when role in ('pad_width', 'pad_height') then 'pad' when role = 'pad_gap' then 'gap' when role = 'pad_center_distance' then 'center' when role = 'overall_span' then 'overall' else role end as effective_role from lab""",
     "d9_land_rows": f"with {_DIM} select doc_id, sample_idx, ord, 3 as tier from dimension where belongs_to = 'solder_land' union all select doc_id, sample_idx, ord, 1 from dimension d where belongs_to = 'other' and not exists (select 1 from dimension e where e.doc_id = d.doc_id and e.sample_idx = d.sample_idx and e.belongs_to = 'solder_land')",

@@ -165,6 +165,6 @@ select doc_id, case when count(distinct k) = 1 then 'unique' else 'ambiguous' en
     "m7_lookup_canonical": f"""with {_GROUP}, p as (select p_partkey as doc_id, case when p_partkey % 9 = 0 then 'NONESUCH' else upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '')) end as k from part), g as (select group_id, upper(regexp_replace(package_code, '[^A-Za-z0-9]', '')) as k from grp where approval_status = 'user_approved')
 select doc_id, case when group_id is null then 'not_found' else 'unique' end as status, group_id from p left join g using (k)""",
     "n11_anchor": rf"""with {_PAGE}, d as (select doc_id, ord, value from ({fx.duck(fx.DIMENSION)}) where sample_idx = 0), e as (select * from d union all select doc_id, 9, '2.54' from d where ord = 0),
-tok as (select doc_id, page, unnest(regexp_extract_all(' ' || replace(replace(text, chr(10), '  '), '(', ' ('), '[^A-Za-z0-9_.,](\d+(?:[.,]\d+)?)', 1)) as value from page)
+tok as (select doc_id, page, unnest(list_concat(regexp_extract_all(text, '[\p{{Nd}}.,]+'), regexp_extract_all(text, '[+-][\p{{Nd}}.,]+'))) as value from page)
 select e.doc_id, e.ord, e.value, count(distinct tok.page) as pages, count(distinct tok.page) > 0 as anchored from e left join tok on tok.doc_id = e.doc_id and tok.value = e.value group by all""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions.text import gate, lines_of, normalize
 from sheetloom.operators import consensus as C
+from sheetloom.operators import dimensions as D
 from sheetloom.operators import notation as N
 from sheetloom.operators import packages as M
 from sheetloom.operators import pads as P
@@ -141,3 +142,34 @@ def test_partition_count_changes_nothing(spark, parts):
     page = spark.createDataFrame([(d, p, "Package outline\n3.10\n2.90\n1.75\n1.45\nDimensions in mm") for d in range(5) for p in (1, 2)], "doc_id long, page int, text string").repartition(parts)
     got = rows(N.extract_bounds(page, T.explode_lines(page)), "doc_id", "page", "max_line", "max_mm", "min_mm")
     assert got == sorted((d, p, n, a, b) for d in range(5) for p in (1, 2) for n, a, b in ((2, 3.1, 2.9), (4, 1.75, 1.45)))
+
+
+def test_anchors_stand_alone_among_digits(spark):
+    page = spark.createDataFrame([(1, 1, "1.27mm, 2.5 and x0.5y; 3.0. 4-0.1 12.75"), (1, 2, "0.5")], "doc_id long, page int, text string")
+    dim = spark.createDataFrame([(1, i, v) for i, v in enumerate(["1.27", "1", "2.5", "0.5", "3.0", "-0.1", "0.1", "2.75"])], "doc_id long, ord int, value string")
+    got = {r.value: r.pages for r in N.anchor(dim, page).collect()}
+    assert got == {"1.27": 1, "1": 0, "2.5": 1, "0.5": 2, "3.0": 0, "-0.1": 1, "0.1": 1, "2.75": 0}
+
+
+def test_decimals_that_the_page_extends(spark):
+    page = spark.createDataFrame([(1, 1, "0.65 1,275 3.10mm 2.501 2.509 7"), (1, 2, "4.5 4.50 9.99")], "doc_id long, page int, text string")
+    dim = spark.createDataFrame([(1, i, v) for i, v in enumerate(["0.6", "1.27", "3.1", "2.50", "7.0", "4.5", "8", "9.9"])], "doc_id long, ord int, value string")
+    got = {r.ord: (r.page, r.token) for r in N.decimal_extension(dim, page).collect()}
+    assert got == {0: (1, "0.65"), 1: (1, "1.275"), 3: (1, "2.501"), 7: (2, "9.99")}
+
+
+def test_pattern_roles_and_page_marks(spark):
+    rows = [("solder_paste", "x", "", ""), ("package_outline", "pad_width", "A", "left pad edge"), ("package_outline", "pad_width", "A", "Copper-Land width"), (None, "paste_width", "", ""), ("solder_land", "other", "", "stencil"), (None, "other", "c", "cream opening"), (None, "other", "", "")]
+    dim = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, belongs_to string, role string, symbol string, raw string")
+    got = [r.p for r in dim.orderBy("ord").select(D.pattern_role(dim).alias("p"), "ord").orderBy("ord").collect()]
+    assert got == ["paste", "other", "lands", "paste", "lands", "paste", "unknown"]
+    page = spark.createDataFrame([(1, 1, "Solder Land and paste opening"), (1, 2, "land pattern, solder paste"), (1, 3, "Reflow or wave"), (1, 4, None)], "doc_id long, page int, text string")
+    flags = {r.page: (r.land_and_paste, r.reflow_and_wave) for r in T.comention(page).where("page < 4").collect()}
+    assert flags == {1: (True, False), 2: (False, False), 3: (False, True)}
+
+
+def test_exposed_pad_evidence(spark):
+    page = spark.createDataFrame([(1, 1, "an E-Pad, see thermal pad"), (2, 1, "pad"), (3, 1, ""), (4, 1, "")], "doc_id long, page int, text string")
+    dim = spark.createDataFrame([(2, 1, "Thermal Pad (width)", "solder_land", "b"), (3, 2, "tab_width", "solder_land", "x2"), (4, 1, "tab_width", "package_outline", "x2")], "doc_id long, ord int, role string, belongs_to string, symbol string")
+    got = {r.doc_id: r.reason for r in T.ep_evidence(page, dim).collect()}
+    assert got == {1: "page:thermal pad", 2: "dimension:thermal_pad_width", 3: "dimension:X2 optional center pad", 4: "none"}
