@@ -100,6 +100,10 @@ def align_slots(dimension: DataFrame) -> DataFrame:
     return plain.unionByName(hard.groupBy(*key).applyInPandas(_align, schema))
 
 
+# What it is worth that a row and a slot name their partition.
+PARTITION_SCORES = {(True, True): 100_000, (True, False): 80_000, (False, True): 60_000, (False, False): 40_000}
+
+
 def _align(pdf: pd.DataFrame) -> pd.DataFrame:
     """Slots of one bucket: the largest sample is the pivot, the earliest of equals; every other sample's rows go to distinct slots."""
     pdf = pdf.sort_values(["sample_idx", "ord"], kind="stable").reset_index(drop=True)
@@ -111,10 +115,16 @@ def _align(pdf: pd.DataFrame) -> pd.DataFrame:
     def hint(slot: list[int]) -> str:
         return next((part[i] for i in slot if part[i]), "")
 
+    def fit(r: int, slot: list[int]) -> int | None:
+        if part[r] and hint(slot) and part[r] != hint(slot):
+            return None
+        explicit = PARTITION_SCORES[bool(part[r]), bool(hint(slot))]
+        return explicit + max(similarity(canon[r], canon[i]) for i in slot)
+
     for s in sorted(groups):
         if s == pivot:
             continue
-        best = _assign(groups[s], slots, lambda r, k: None if part[r] and hint(slots[k]) and part[r] != hint(slots[k]) else (20_000 if part[r] == hint(slots[k]) else 0) + similarity(canon[r], canon[slots[k][0]]))
+        best = _assign(groups[s], slots, lambda r, k: fit(r, slots[k]))
         for row, slot in zip(groups[s], best, strict=True):
             slots.append([row]) if slot is None else slots[slot].append(row)
     where = {i: k for k, slot in enumerate(slots) for i in slot}

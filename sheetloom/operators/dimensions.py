@@ -151,15 +151,24 @@ def unique_axis(dimension: DataFrame, key: list[str], tol: float = K.CONSISTENT)
     return g.select(*key, F.when(F.col("hi") - F.col("lo") <= tol + 1e-12, F.round("m", 6)).alias("value_mm"), "n")
 
 
+# Ends that make a package pitch a half one.
+MIDDLE_TERMINALS = ("中间端子", "中央端子", "中心端子", "middleterminal", "centerterminal", "centreterminal")
+
+
 def pitch_refs(dimension: DataFrame) -> DataFrame:
-    """Per document the distinct outline pitches: package rows, half pitches doubled."""
-    d = to_mm(dimension).where(F.col("belongs_to") == "package_outline")
-    v = F.when(F.col("role").startswith("half_pitch"), 2 * F.col("value_mm")).when(F.col("role").isin("pitch", "body_length"), F.col("value_mm"))
-    return d.withColumn("_v", F.round(v, 9)).where("_v is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("_v")).alias("pitches"))
+    """Per document the distinct outline pitches: package rows that are not derived, half pitches doubled."""
+    own = ~F.coalesce("is_derived", F.lit(False)) if "is_derived" in dimension.columns else F.lit(True)
+    d = to_mm(dimension).where((F.col("belongs_to") == "package_outline") & own)
+    d = d.where(F.col("role").isin("pitch", "half_pitch", "half_pitch_from_centerline", "pad_center_distance"))
+    half = F.col("role").startswith("half_pitch") | named_in(compact(F.coalesce("endpoints", F.lit(""))), MIDDLE_TERMINALS)
+    v = F.round(F.when(half, 2 * F.col("value_mm")).otherwise(F.col("value_mm")), 9)
+    return d.withColumn("_v", v).where("_v is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("_v")).alias("pitches"))
 
 
 def pitch_matches(value: Column, pitches: Column, tol: float = 0.15) -> Column:
-    return F.exists(pitches, lambda p: F.abs(value - p) <= tol * p)
+    """Whether a value lies between the smallest and largest of several pitches, or within ``tol`` of a single one."""
+    one = F.get(pitches, F.lit(0))
+    return F.when(F.size(pitches) >= 2, value.between(F.array_min(pitches), F.array_max(pitches))).otherwise(F.coalesce(F.abs(value - one) / one <= tol, F.lit(False)))
 
 
 def paste_check(dimension: DataFrame) -> DataFrame:

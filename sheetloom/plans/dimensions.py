@@ -74,8 +74,14 @@ def d13_unique_axis(spark, sf_dir):
     return D.unique_axis(_dim(spark, sf_dir), ["doc_id", "role"])
 
 
+def pitched(dimension):
+    """The rows of packages as pitches, of every other document as half pitches."""
+    pitch = F.when(F.col("doc_id") % 2 == 0, "pitch").otherwise("half_pitch")
+    return dimension.withColumn("role", F.when(F.col("role") == "body_length", pitch).otherwise(F.col("role")))
+
+
 def d14_pitch_refs(spark, sf_dir):
-    return D.pitch_refs(_dim(spark, sf_dir)).select("doc_id", F.array_join(F.transform("pitches", lambda x: F.round(x, 4).cast("string")), ",").alias("pitches"))
+    return D.pitch_refs(pitched(_dim(spark, sf_dir))).select("doc_id", F.array_join(F.transform("pitches", lambda x: F.round(x, 4).cast("string")), ",").alias("pitches"))
 
 
 def d15_paste_check(spark, sf_dir):
@@ -173,6 +179,8 @@ ORACLES = {
 select doc_id, sample_idx, ord, false as dropped from dimension union all select i.doc_id, i.sample_idx, i.ord, h.ord is not null from inch i left join hit h using (doc_id, sample_idx, ord)""",
     "d3_dedup_candidates": f"with {_DIM} select doc_id, role, min(ord) as ord, round(mm, 6) as value_mm from dimension group by doc_id, role, mm",
     "d4_by_symbol": f"with {_DIM}, s as (select *, ['A','B','C','D','E','F'][ord + 1] as symbol from dimension where sample_idx = 0), r as (select *, row_number() over (partition by doc_id order by case symbol when 'E' then 0 when 'C' then 1 else 2 end, ord) as n from s where symbol in ('E', 'C', 'A')) select doc_id, symbol, value from r where n = 1",
+    "d14_pitch_refs": f"""with {_DIM}, v as (select distinct doc_id, cast(value as decimal(10,2)) * (case when doc_id % 2 = 0 then 1 else 2 end) as v from dimension where belongs_to = 'package_outline' and role = 'body_length')
+select doc_id, string_agg(cast(cast(v as double) as varchar), ',' order by v) as pitches from v group by doc_id""",
     "d5_pattern_role": f"with {_DIM} select doc_id, sample_idx, ord, case when belongs_to = 'solder_paste' or role in ('paste_width', 'paste_height') then 'paste' when belongs_to = 'solder_land' then 'lands' when belongs_to in ('package_outline', 'occupied_area') then 'other' else 'unknown' end as pattern from dimension",
     "d6_axis_and_relation": f"""with {_LAB} select doc_id, sample_idx, ord, axis, relation, case when relation in ('center', 'pad', 'gap', 'overall') and role <> 'other' then relation
   when role in ('pad_width', 'pad_height') then 'pad' when role = 'pad_gap' then 'gap' when role = 'pad_center_distance' then 'center' when role = 'overall_span' then 'overall' else role end as effective_role from lab""",

@@ -8,6 +8,7 @@ from ..operators import dimensions as D
 from ..operators import pads as P
 from ..operators import relations as R
 from . import fixtures as fx
+from .dimensions import pitched
 
 
 def _dim(spark, sf_dir):
@@ -46,7 +47,7 @@ def _grid(spark, sf_dir):
 def r3_asym(spark, sf_dir):
     d = _dim(spark, sf_dir)
     large = d.where("ord < 2").withColumns({"ord": F.col("ord") + 20, "value": (F.col("value").cast("decimal(10,2)") * 2).cast("string"), "role": F.when(F.col("ord") == 0, "pad_width").otherwise("pad_height")})
-    return R.rel_asym(d.unionByName(large), D.pitch_refs(d)).drop("family")
+    return R.rel_asym(d.unionByName(large), D.pitch_refs(pitched(d))).drop("family")
 
 
 def r4_inline(spark, sf_dir):

@@ -173,3 +173,22 @@ def test_exposed_pad_evidence(spark):
     dim = spark.createDataFrame([(2, 1, "Thermal Pad (width)", "solder_land", "b"), (3, 2, "tab_width", "solder_land", "x2"), (4, 1, "tab_width", "package_outline", "x2")], "doc_id long, ord int, role string, belongs_to string, symbol string")
     got = {r.doc_id: r.reason for r in T.ep_evidence(page, dim).collect()}
     assert got == {1: "page:thermal pad", 2: "dimension:thermal_pad_width", 3: "dimension:X2 optional center pad", 4: "none"}
+
+
+def test_rows_without_partition_go_to_explicit_slots():
+    import pandas as pd
+
+    rows = [(0, 0, "lands", "a"), (0, 1, "", "a"), (1, 0, "", "a")]
+    pdf = pd.DataFrame(rows, columns=["sample_idx", "ord", "partition", "canon"]).assign(value_key="1", unit_key="mm")
+    got = C._align(pdf)
+    assert got["slot"].tolist() == ["1|mm|0", "1|mm|1", "1|mm|0"]
+
+
+def test_outline_pitches_and_their_range(spark):
+    rows = [("pitch", "package_outline", "left -> right", "0.95"), ("half_pitch", "package_outline", "", "0.65"), ("pad_center_distance", "package_outline", "center terminal -> edge", "0.5"), ("body_length", "package_outline", "", "3"), ("pitch", "solder_land", "", "9")]
+    dim = spark.createDataFrame([(1, i, *r, "mm") for i, r in enumerate(rows)], "doc_id long, ord int, role string, belongs_to string, endpoints string, value string, unit string")
+    (row,) = D.pitch_refs(dim).collect()
+    assert row.pitches == [0.95, 1.0, 1.3]
+    many, one = F.array(F.lit(0.95), F.lit(1.3)), F.array(F.lit(1.0))
+    got = spark.range(1).select(D.pitch_matches(F.lit(1.1), many), D.pitch_matches(F.lit(1.4), many), D.pitch_matches(F.lit(1.14), one), D.pitch_matches(F.lit(1.2), one)).first()
+    assert list(got) == [True, False, True, False]
