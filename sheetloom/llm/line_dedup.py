@@ -56,7 +56,7 @@ SALTS = 16
 #: Most words of a signature.
 DEPTH = 3
 
-LINE = ("d", "l", "n", "odd", "even")
+LINE = ("d", "l", "n", "odd", "every")
 SIDE = (*LINE, "i")
 PAIR = ("ad", "al", "bd", "bl", "both")
 
@@ -66,6 +66,11 @@ def line_key(number: Column, line: Column) -> Column:
     return F.call_function("shiftleft", number.cast("bigint"), F.lit(32)).bitwiseOR(F.xxhash64(line).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
+def has_rare(text: Column) -> Column:
+    """Whether a text has white space other than spaces and line ends; few have, and the others can be split at single characters."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
+
+
 def bare(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
@@ -79,8 +84,8 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line that has no white space at its ends."""
-    return F.split(line, f"[{SPACE}]+")
+    """Words of a line that has no white space at its ends; single spaces, the usual case, need no pattern."""
+    return F.when(F.contains(line, F.lit("  ")) | has_rare(line), F.split(line, f"[{SPACE}]+")).otherwise(F.split(line, " "))
 
 
 def rarity_levels(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
@@ -88,7 +93,9 @@ def rarity_levels(docs: DataFrame, text_col: str = "text", buckets: int = BUCKET
 
     The counts cover every word of every text; only ``buckets`` numbers come to the driver.
     """
-    word = docs.select(F.explode(F.split(F.col(text_col).cast("string"), f"[{SPACE}]+")).alias("w"))
+    text = F.col(text_col).cast("string")
+    words = F.when(has_rare(text), F.split(text, f"[{SPACE}]+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    word = docs.select(F.explode(words).alias("w")).where("w <> ''")
     bucket = word.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"))
     counts = bucket.groupBy("b").agg(F.floor(8 * F.log2(F.count(F.lit(1)))).cast("int").alias("v")).toPandas()
     level = dict(zip(counts["b"].tolist(), counts["v"].tolist()))
@@ -118,18 +125,19 @@ def prefix_length(n: Column) -> Column:
 
 
 def classes(lines: DataFrame, levels: list[int]) -> DataFrame:
-    """``(d, l, n, odd, even, prefix)``: the first line of each word set, with a prefix that is longer by ``DEPTH`` - 1."""
+    """``(d, l, n, odd, every, prefix)``: the first line of each word set, with a prefix that is longer by ``DEPTH`` - 1."""
     made = lines.select("d", "l", "line", by_rarity(F.col("line"), levels).alias("w"))
     alone = F.size("w") <= ALONE
     words = F.xxhash64(F.lit(9), F.array_sort(F.array_distinct(line_words(F.col("line")))))
-    half = lambda odd: F.aggregate(F.filter("w", lambda x: x.bitwiseAND(F.lit(64)) == odd * 64), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(shift(x)))
+    parity = lambda w: F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(shift(x)))
+    half = F.filter("w", lambda x: x.bitwiseAND(F.lit(64)) != 0)
     length = F.when(alone, 0).otherwise(prefix_length(F.size("w")) + DEPTH - 1)
     keyed = made.select(
         F.xxhash64("w").alias("s"), F.when(alone, words).otherwise(F.xxhash64(F.lit(7), "w")).alias("t"),
-        F.size("w").alias("n"), half(1).alias("odd"), half(0).alias("even"), "d", "l", F.slice("w", F.lit(1), length).alias("prefix"),
+        F.size("w").alias("n"), parity(half).alias("odd"), parity(F.col("w")).alias("every"), "d", "l", F.slice("w", F.lit(1), length).alias("prefix"),
     )
-    first = keyed.groupBy("s", "t", "n").agg(F.min(F.struct("d", "l", "odd", "even", "prefix")).alias("m"))
-    return first.select("m.d", "m.l", "n", "m.odd", "m.even", "m.prefix")
+    first = keyed.groupBy("s", "t", "n").agg(F.min(F.struct("d", "l", "odd", "every", "prefix")).alias("m"))
+    return first.select("m.d", "m.l", "n", "m.odd", "m.every", "m.prefix")
 
 
 def _before(x: str, y: str) -> Column:
@@ -146,7 +154,8 @@ def close(short: DataFrame, long: DataFrame, depth: int) -> DataFrame:
     s, t = (x.select("sig", *[c(n).alias(k + n) for n in names]) for x, k in ((short, "s"), (long, "t")))
     both = c("sn") + c("tn")
     left = F.least(c("sn") - c("si"), c("tn") - c("ti")) + (depth - 1)  # i is the place of the last word; J >= 4/5: 9 * overlap >= 4 * (n + m)
-    apart = F.bit_count(c("sodd").bitwiseXOR(c("todd"))) + F.bit_count(c("seven").bitwiseXOR(c("teven")))  # 9 * words in one set only <= n + m
+    odd, every = c("sodd").bitwiseXOR(c("todd")), c("severy").bitwiseXOR(c("tevery"))
+    apart = F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(every))  # 9 * words in one set only <= n + m
     first = _before("s", "t")
     fits = (c("sn") <= c("tn")) & (c("sn") * DEN >= c("tn") * NUM) & (left * (NUM + DEN) >= both * NUM) & (apart * (NUM + DEN) <= both * (DEN - NUM))
     once = (c("sn") < c("tn")) | first
