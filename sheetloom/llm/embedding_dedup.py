@@ -270,19 +270,18 @@ def range_search(placed: DataFrame, near: DataFrame, threshold: float) -> DataFr
             for i, r in enumerate(lists):
                 adj[i, : len(r)] = r
             q, q_nodes = _matrix(ask["v"]), ask["node"].to_numpy()
-            start, pa, pb = medoid(x), [], []
+            start, links = medoid(x), np.empty((0, 2), np.int64)
             for lo in range(0, len(q), 256):
                 a, b = search(x, adj, q[lo : lo + 256], start, threshold)
                 other = q_nodes[lo + a] != nodes[b]
                 a, b = a[other] + lo, b[other]
                 total = np.bincount(a, weights=n[b], minlength=len(q)).astype(int)
                 out += [("n", int(q_nodes[i]), int(total[i])) for i in np.flatnonzero(total)]
-                first = np.unique(a * len(x) + b)
-                pa.append(first // len(x))
-                pb.append(first % len(x))
-            a, b = np.concatenate(pa), np.concatenate(pb)
-            every, inv = np.unique(np.r_[q_nodes[a], nodes[b]], return_inverse=True)
-            out += [("f", u, v) for u, v in _forest(every, inv[: len(a)], inv[len(a) :])]
+                # Pairs of a chunk are reduced to a forest at once, so a block of near copies holds no square of itself.
+                every, inv = np.unique(np.r_[links[:, 0], q_nodes[a], links[:, 1], nodes[b]], return_inverse=True)
+                half = len(inv) // 2
+                links = np.array(_forest(every, inv[:half], inv[half:]), np.int64).reshape(-1, 2)
+            out += [("f", int(u), int(v)) for u, v in links]
         return pd.DataFrame(out, columns=["kind", "node", "value"])
 
     return dealt.groupBy("label", "dim", "shard", "b", "part").applyInPandas(run, "kind string, node long, value long")
@@ -317,7 +316,10 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, audited: int =
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, block: int = BLOCK, overlap: int = OVERLAP, min_recall: float = MIN_RECALL) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors`` (vec_id, embedding, label).
+    """``(vec_id, n_links, component_id, kept, recall)`` for every row of ``vectors`` (vec_id, embedding, label).
+
+    ``recall`` is what the last audit measured. It is below ``min_recall`` only where every node is in
+    all shards of its label already and the search still missed links.
 
     Null, zero and non-finite vectors, vectors with a null component, and rows with a null label
     link with nothing: n_links 0, component_id their own vec_id. Vectors of different length never
@@ -335,7 +337,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
         found = cut(range_search(placed, adjacency(placed), threshold))
         counts = found.where("kind = 'n'").groupBy("node").agg(F.sum("value").alias("links"))
         widest = max([1, *map(len, cents.values())])
-        if overlap >= widest or audit(copies, counts, threshold) >= min_recall:
+        recall = audit(copies, counts, threshold)
+        if recall >= min_recall or overlap >= widest:
             break
         overlap *= 2
     comp = connected_components(found.where("kind = 'f'").select(F.col("node").alias("a"), F.col("value").alias("b")))
@@ -344,4 +347,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     by_id = good.join(node, ["label", "v"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(by_id, "vec_id", "left")
     comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == comp_id, F.lit(False))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), kept.alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -335,6 +335,20 @@ def test_ftrl_learns_and_is_sparse():
     assert w[2] > 1 > -1 > w[1] and (w[10:] == 0).mean() > 0.4
 
 
+def test_one_large_group_of_near_copies_over_many_chunks(spark):
+    rng = np.random.default_rng(4)
+    near = embedding_dedup.unit(rng.normal(size=(1, 24)) + 0.03 * rng.normal(size=(700, 24)))
+    far = embedding_dedup.unit(rng.normal(size=(60, 24)))
+    x = np.vstack([near, far])
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().sort_values("vec_id")
+    hit = x @ x.T >= 0.93
+    true = hit.sum(axis=1) - 1
+    assert (got["recall"] >= 0.97).all()
+    assert (got["n_links"].to_numpy() <= true).all() and got["n_links"].sum() >= 0.97 * true.sum()
+    assert (got["component_id"].to_numpy()[:700] == 0).all()
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(quality_model, "quality", 0.95), (toxicity, "toxic", 0.85)])
 def test_held_out_accuracy(spark, module, label, least):
     sf = "/root/testdata/sf0.01"
