@@ -86,38 +86,62 @@ def paste_size(geometry: DataFrame, ratio: float = 0.70) -> DataFrame:
     return geometry.where("family = 'QUAD_EP'").select("doc_id", F.round(F.col("tab_x") * s, 6).alias("paste_x"), F.round(F.col("tab_y") * s, 6).alias("paste_y"))
 
 
+# The fields of a pad that are compared, texts as they are and numbers within the tolerance.
+PAD_TEXTS = ("number", "type", "shape", "layers", "extra_fields")
+PAD_NUMBERS = ("at_x", "at_y", "rotation", "size_x", "size_y", "roundrect_rratio", "solder_mask_margin", "solder_paste_margin")
+#: Canonical order of pads; other fields only break ties.
+PAD_ORDER = ("number", "type", "shape", "layers", "at_x", "at_y", "size_x", "size_y")
+
+
+def pad_lists(pad: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, pads)``: the pads of each key in canonical order, with all fields; a missing number is 0, a missing text stays null."""
+    have = lambda c, t: (F.col(c) if c in pad.columns else F.lit(None)).cast(t)
+    values = {c: have(c, "string") for c in PAD_TEXTS} | {c: F.round(F.coalesce(have(c, "double"), F.lit(0.0)), 9) for c in PAD_NUMBERS}
+    fields = (*PAD_ORDER, *[c for c in values if c not in PAD_ORDER])
+    return pad.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[values[c].alias(c) for c in fields]))).alias("pads"))
+
+
+def pad_differences(a: Column, b: Column, tol: float = K.REGISTRY_TOL) -> Column:
+    """Fields that differ between two pad lists, pad by pad up to the shorter one's end; unequal lengths count as one more."""
+    def of(x: Column, y: Column) -> Column:
+        texts = [(~x[c].eqNullSafe(y[c])).cast("int") for c in PAD_TEXTS]
+        return sum(texts + [(F.abs(x[c] - y[c]) > tol + 1e-12).cast("int") for c in PAD_NUMBERS], F.lit(0))
+
+    n = F.least(F.size(a), F.size(b))
+    both = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), of)
+    return F.aggregate(both, F.lit(0), lambda k, x: k + x) + (F.size(a) != F.size(b)).cast("int")
+
+
 def geometry_signature(pad: DataFrame, places: int = 4) -> DataFrame:
-    """Pads rounded half even, in canonical order, and the SHA-256 of that text."""
+    """Pads with number, type, shape and layers, numbers rounded half even, in canonical order, and the SHA-256 of that text."""
     f = lambda c: F.format_string(f"%.{places}f", F.bround(F.col(c), places) + 0.0)
-    text = F.concat_ws("/", "number", *map(f, ("at_x", "at_y", "size_x", "size_y")))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PAD_TEXTS[:4] if c in pad.columns]
+    text = F.concat_ws("/", *named, *map(f, ("at_x", "at_y", "size_x", "size_y")))
     g = pad.groupBy("doc_id", "family").agg(F.array_join(F.array_sort(F.collect_list(text)), ";").alias("signature"))
     return g.withColumn("digest", F.upper(F.sha2("signature", 256)))
 
 
 def diff_pads(left: DataFrame, right: DataFrame, tol: float = K.REGISTRY_TOL) -> DataFrame:
-    """``(pair_id, differences)``: pads paired by canonical ordinal; numbers differ beyond ``tol``, texts at all, and counts.
+    """``(pair_id, differences)``: pads paired by canonical ordinal, five texts and eight numbers compared, and counts.
 
-    Both tables have ``pair_id`` and the pad columns.
+    Both tables have ``pair_id`` and pad columns; a side without pads has an empty list.
     """
-    w = W.partitionBy("pair_id").orderBy("number", "at_x", "at_y", "size_x", "size_y")
-    cols = ("number", "at_x", "at_y", "size_x", "size_y")
-    a = left.withColumn("k", F.row_number().over(w)).select("pair_id", "k", *[F.col(c).alias("a_" + c) for c in cols])
-    b = right.withColumn("k", F.row_number().over(w)).select("pair_id", "k", *[F.col(c).alias("b_" + c) for c in cols])
-    j = a.join(b, ["pair_id", "k"], "full_outer")
-    alone = F.col("a_number").isNull() | F.col("b_number").isNull()
-    n = (F.col("a_number") != F.col("b_number")).cast("int") + sum(((F.abs(F.col("a_" + c) - F.col("b_" + c)) > tol + 1e-12).cast("int") for c in cols[1:]), F.lit(0))
-    return j.groupBy("pair_id").agg(F.sum(F.when(alone, 1).otherwise(n)).alias("differences"))
+    none = F.array()
+    a, b = (pad_lists(x, "pair_id").withColumnRenamed("pads", k) for x, k in ((left, "a"), (right, "b")))
+    j = a.join(b, "pair_id", "full_outer").withColumns({k: F.coalesce(k, none.cast(a.schema["a"].dataType)) for k in ("a", "b")})
+    return j.select("pair_id", pad_differences(F.col("a"), F.col("b"), tol).alias("differences"))
 
 
 def match_registry(code: DataFrame, pad: DataFrame, entry: DataFrame, entry_pad: DataFrame) -> DataFrame:
     """``code(doc_id, package_code)`` against ``entry(entry_id, package_code)`` by exact upper-case code.
 
     One exact entry is a match, several are ambiguous; else the nearest by (differences, id) is shown; no code is incomplete.
+    A document meets the entries of its own code only, with each side's pads as one list, so pads are shuffled once.
     """
-    pairs = code.join(entry, F.upper(code["package_code"]) == F.upper(entry["package_code"])).select("doc_id", "entry_id", F.concat_ws("|", F.col("doc_id").cast("string"), "entry_id").alias("pair_id"))
-    left = pairs.select("pair_id", "doc_id").join(pad, "doc_id").drop("doc_id")
-    right = pairs.select("pair_id", "entry_id").join(entry_pad, "entry_id").drop("entry_id")
-    scored = pairs.join(diff_pads(left, right), "pair_id")
+    key = F.upper("package_code").alias("_key")
+    own = code.select("doc_id", key).where("_key <> ''").join(pad_lists(pad, "doc_id"), "doc_id")
+    known = entry.select("entry_id", key).join(pad_lists(entry_pad, "entry_id").withColumnRenamed("pads", "entry_pads"), "entry_id")
+    scored = own.join(known, "_key").select("doc_id", "entry_id", pad_differences(F.col("pads"), F.col("entry_pads")).alias("differences"))
     g = scored.groupBy("doc_id").agg(F.count_if(F.col("differences") == 0).alias("exact"), F.min(F.struct("differences", "entry_id")).alias("n"))
     out = code.join(g, "doc_id", "left")
     status = F.when(F.coalesce("package_code", F.lit("")) == "", "incomplete").when(F.col("n").isNull(), "none").when(F.col("exact") == 1, "exact").when(F.col("exact") > 1, "ambiguous").otherwise("nearest")

@@ -149,19 +149,34 @@ def p6_geometry_signature(spark, sf_dir):
     return P.geometry_signature(P.expand_pads(_geo(spark, sf_dir)))
 
 
+def _whole_pads(spark, sf_dir):
+    """Pads with every compared field: round corners on the first pad, four layer sets, a paste margin on large pads."""
+    pad = P.expand_pads(_geo(spark, sf_dir)).drop("family")
+    first = F.col("number") == "1"
+    layers = F.when(F.col("size_x") > 1, "F.Cu,F.Mask").otherwise("F.Cu,F.Paste,F.Mask")
+    return pad.withColumns({"type": F.lit("smd"), "shape": F.when(first, "roundrect").otherwise("rect"), "layers": layers, "rotation": F.lit(0.0), "roundrect_rratio": F.when(first, 0.25), "solder_paste_margin": F.when(F.col("size_x") > 1, -0.05)})
+
+
 def p8_diff_pads(spark, sf_dir):
-    pad = P.expand_pads(_geo(spark, sf_dir)).drop("family").withColumnRenamed("doc_id", "pair_id")
-    other = pad.where("pair_id % 9 <> 0 or number <> '2'").withColumn("at_x", F.col("at_x") + F.when(F.col("pair_id") % 4 == 0, 0.0005).when(F.col("pair_id") % 4 == 1, 0.01).otherwise(0.0))
+    pad = _whole_pads(spark, sf_dir).withColumnRenamed("doc_id", "pair_id")
+    k = F.col("pair_id")
+    other = pad.where("pair_id % 9 <> 0 or number <> '2'").withColumns({
+        "at_x": F.col("at_x") + F.when(k % 4 == 0, 0.0005).when(k % 4 == 1, 0.01).otherwise(0.0), "shape": F.when(k % 5 == 0, "oval").otherwise(F.col("shape")),
+        "rotation": F.when(k % 7 == 0, 90.0).otherwise(F.col("rotation")), "solder_paste_margin": F.when(k % 6 == 0, 0.0).otherwise(F.col("solder_paste_margin")),
+    })
     return P.diff_pads(pad, other)
 
 
 def p9_match_registry(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("package_code"))
-    pad = P.expand_pads(_geo(spark, sf_dir)).drop("family")
-    entry = part.where("doc_id % 40 < 2").select(F.col("doc_id").cast("string").alias("entry_id"), "package_code")
-    entry_pad = pad.where("doc_id % 40 < 2").withColumn("entry_id", F.col("doc_id").cast("string")).drop("doc_id")
-    code = part.withColumn("package_code", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.lower("package_code")))
-    return P.match_registry(code, pad, entry, entry_pad)
+    """Every part against a registry with one entry for each code and size; some entries stand in it twice, under a second name."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("package_code"), "p_size")
+    pad = _whole_pads(spark, sf_dir)
+    first = part.groupBy("package_code", "p_size").agg(F.min("doc_id").alias("doc_id"))
+    name = F.col("doc_id").cast("string")
+    entry = first.select("doc_id", "package_code", F.explode(F.when(F.col("doc_id") % 7 == 0, F.array(name, F.concat(name, F.lit("-copy")))).otherwise(F.array(name))).alias("entry_id"))
+    entry_pad = entry.select("doc_id", "entry_id").join(pad, "doc_id").drop("doc_id")
+    code = part.select("doc_id", F.when(F.col("doc_id") % 13 == 0, "").when(F.col("doc_id") % 17 == 0, F.concat("package_code", F.lit("-X"))).otherwise(F.lower("package_code")).alias("package_code"))
+    return P.match_registry(code, pad, entry.select("entry_id", "package_code"), entry_pad)
 
 
 def p10_package_codes(spark, sf_dir):

@@ -103,8 +103,9 @@ def v5_review_state(spark, sf_dir):
 
 def v7_key_checks(spark, sf_dir):
     rec = _record(spark, sf_dir)
-    queue = rec.select(F.when(F.col("document_index") % 97 == 0, "").otherwise(F.col("record_id")).alias("record_id"), F.concat(F.lit("t"), (F.col("document_index") % 700).cast("string")).alias("target")).where("target < 't5'")
-    return V.key_checks(queue, rec.where("document_index % 50 = 0"))
+    queue = rec.select(F.when(F.col("document_index") % 97 == 0, "").otherwise(F.col("record_id")).alias("record_id"), F.concat(F.lit("t"), (F.col("document_index") % 700).cast("string")).alias("target"))
+    asked = rec.select(F.when(F.col("document_index") % 50 == 0, F.concat("record_id", F.lit("-x"))).otherwise(F.col("record_id")).alias("record_id"))
+    return V.key_checks(queue, asked)
 
 
 def v8_mapping_check(spark, sf_dir):
@@ -162,11 +163,11 @@ e as (select l_partkey as record_id, l_linenumber as ts, cast(max(l_quantity) as
 k as (select record_id, field, arg_max(value, (ts, value)) as edited from e where field <> 'colour' and value > 0 group by 1, 2)
 select coalesce(v.record_id, k.record_id) as record_id, coalesce(v.field, k.field) as field, coalesce(edited, value) as value, case when edited is not null then 'manual' else 'auto' end as source from v full outer join k on v.record_id = k.record_id and v.field = k.field""",
     "v5_review_state": f"with e as ({fx.duck(fx.REVIEW_EVENT)}) select record_id, arg_max(action, (timestamp, event_id, action)) as action, max(timestamp) as timestamp, count(*) as events from e group by 1",
-    "v7_key_checks": f"""with {_REC}, q as (select case when document_index % 97 = 0 then '' else record_id end as record_id, 't' || cast(document_index % 700 as varchar) as target from record), u as (select * from q where target < 't5')
+    "v7_key_checks": f"""with {_REC}, q as (select case when document_index % 97 = 0 then '' else record_id end as record_id, 't' || cast(document_index % 700 as varchar) as target from record), u as (select * from q), a as (select case when document_index % 50 = 0 then record_id || '-x' else record_id end as record_id from record)
 select 'empty_record_id' as problem, cast(count(*) as varchar) as key from u where record_id = '' having count(*) > 0
 union all select 'duplicate_record_id', record_id from u where record_id <> '' group by 2 having count(*) > 1
 union all select 'duplicate_target', target from u group by 2 having count(*) > 1
-union all select distinct 'unknown_record_id', record_id from record where document_index % 50 = 0 and record_id not in (select record_id from u)""",
+union all select distinct 'unknown_record_id', record_id from a where record_id not in (select record_id from u)""",
     "v8_mapping_check": f"""with {_GROUP}, m as (select cast(p_partkey as varchar) as entry_id, p_brand as group_id, p_partkey as k, approval_status, proposed_canonical_entry_id as c from part join grp on p_brand = group_id),
 r as (select entry_id, group_id, list_filter([case when approval_status <> 'user_approved' then 'group_not_approved' end, case when k % 11 = 0 then 'not_a_member' end, case when entry_id = c then 'maps_to_itself' end,
   case when k % 11 = 0 or k % 5 = 0 then 'hash_differs' end, case when k % 11 = 0 or k % 3 = 0 then 'pads_differ' end], lambda z: z is not null) as f from m)

@@ -117,6 +117,26 @@ def test_pad_layouts(spark):
     assert at("QUAD_EP") == [("1", -1, -0.5), ("2", -1, 0.5), ("3", 1, 0.5), ("4", 1, -0.5), ("EP", 0, 0)]
 
 
+def test_pads_differ_in_any_field(spark):
+    cols = "pair_id int, number string, type string, shape string, layers string, extra_fields string, at_x double, at_y double, rotation double, size_x double, size_y double, roundrect_rratio double, solder_mask_margin double, solder_paste_margin double"
+    base = ("1", "smd", "rect", "F.Cu", None, 1.0, 2.0, None, 0.5, 0.6, None, None, 0.1)
+    with_ = lambda k, v: tuple(v if i == k else x for i, x in enumerate(base))
+    right = [with_(k, "zz" if k < 5 else (base[k] or 0.0) + 0.002) for k in range(13)] + [with_(5, 1.0005), with_(7, 0.0)]
+    left = [(i, *base) for i in range(len(right))] + [(50, *base), (51, *base), (51, *with_(0, "2"))]
+    other = [(i, *r) for i, r in enumerate(right)] + [(51, *base), (52, *base)]
+    got = dict(rows(P.diff_pads(spark.createDataFrame(left, cols), spark.createDataFrame(other, cols)), "pair_id", "differences"))
+    assert got == {**{i: 1 for i in range(13)}, 13: 0, 14: 0, 50: 1, 51: 1, 52: 1}
+
+
+def test_registry_match_by_code_and_pads(spark):
+    code = spark.createDataFrame([(1, "a"), (2, "A"), (3, ""), (4, "c"), (5, "b"), (6, None)], "doc_id int, package_code string")
+    pad = spark.createDataFrame([(d, "1", 0.0, 0.0, w, 1.0) for d, w in ((1, 1.0), (2, 2.5), (3, 1.0), (4, 1.0), (5, 1.0), (6, 1.0))], "doc_id int, number string, at_x double, at_y double, size_x double, size_y double")
+    entry = spark.createDataFrame([("e1", "A"), ("e2", "a"), ("e3", "B"), ("e4", "B")], "entry_id string, package_code string")
+    entry_pad = spark.createDataFrame([("e1", "1", 0.0, 0.0, 1.0005, 1.0), ("e2", "1", 0.0, 0.0, 2.0, 1.0), ("e3", "1", 0.0, 0.0, 1.0, 1.0), ("e4", "1", 0.0, 0.0, 1.0, 1.0)], "entry_id string, number string, at_x double, at_y double, size_x double, size_y double")
+    got = rows(P.match_registry(code, pad, entry, entry_pad), "doc_id", "status", "entry_id", "differences")
+    assert sorted(got) == [(1, "exact", "e1", 0), (2, "nearest", "e1", 1), (3, "incomplete", None, None), (4, "none", None, None), (5, "ambiguous", "e3", 0), (6, "incomplete", None, None)]
+
+
 def test_hash_chain(spark):
     e = spark.sql("select 't' as txn_id, 1 as sequence, 'a' as event_type, timestamp'2024-01-01' as at, '' as previous_event_sha256, '{}' as details")
     e = e.withColumn("event_sha256", V.event_digest())
