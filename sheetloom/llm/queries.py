@@ -1,4 +1,4 @@
-"""The ten operators over whole tables, and the SQL that some of them equal."""
+"""The operators over whole tables, and the SQL that some of them equal."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat_tree, embedding_dedup, line_dedup, mixing, pii, quality_model, quality_rules, simhash, toxicity
+from . import bpe, chat_tree, embedding_dedup, importance, line_dedup, mixing, pii, quality_model, quality_rules, simhash, token_files, toxicity, whitening
 from .common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = (
     op1_embedding_dedup, op2_quality_model, op3_quality_rules, op4_byte_bpe, op5_mixing,
     op6_toxicity, op7_line_dedup, op8_chat_tree, op9_simhash, op10_pii,
+    op11_whitening, op12_token_files, op13_importance,
 )
 
 
