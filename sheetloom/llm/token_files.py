@@ -2,7 +2,7 @@
 
 A folder of this format has three tables. ``dictionary`` holds the shared dictionary and its SHA-256.
 ``blocks`` has one row for each run of neighbouring documents: their frames one after the other, and
-beside them the index (doc_ids, byte offsets, and the ids before each document) and the hash of the dictionary they need; the index
+beside them the index (doc_ids, byte offsets, and the ids before each document and block) and the hash of the dictionary they need; the index
 columns are read without the frames. ``starts`` has the number of ids before each part of the files.
 Ids are little-endian unsigned 32-bit integers. Spark writes and commits the tables, so a lost
 executor repeats its own part only, and any file system that Spark knows will do.
@@ -22,9 +22,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import LATIN, byte_table
 from .common import ready
 from .order import bases, dealt
 
@@ -35,14 +36,18 @@ TRAIN_ROWS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 4000, 65536
 BLOCK_BYTES = 1 << 18
 LEVEL = 3
 #: Pieces that a worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 400_000
+#: Marks of which a run after a word is one pre-token.
+MARKS = ".,;:!?)"
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer file whose pre-tokens never hold white space; built once per worker.
 
-    Spaces and line feeds are then boundaries between independent pieces: each distinct piece is
-    encoded once by the library and looked up afterwards.
+    Spaces and line feeds are then boundaries between independent pieces, and each distinct piece is
+    encoded once. A piece of Latin letters is one pre-token, as is a run of marks after it: those go
+    to the library's BPE model directly, in its byte characters. All others go through the whole
+    tokenizer.
     """
 
     _made: dict[str, Encoder] = {}
@@ -59,21 +64,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.split = self.tokenizer.model.tokenize
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.table = byte_table()
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def stem(self, word: str) -> bytes:
+        """Ids of one pre-token in lower case."""
+        got = self.stems.get(word)
+        if got is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+            got = self.stems[word] = b"".join([self.bytes_of[t.id] for t in self.split(shown)])
+        return got
 
     def learn(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, got in zip(pieces, found):
-            self.known[piece] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+        rest = []
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            low = word.lower()
+            if (low.isalpha() and max(low) < LATIN) or not low:
+                self.known[piece] = self.stem(low) if len(word) == len(piece) else self.stem(low) + self.stem(piece[len(word) :])
+            else:
+                rest.append(piece)
+        if rest:
+            for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                self.known[piece] = b"".join([self.bytes_of[i] for i in got.ids])
 
     def encode(self, text: str) -> bytes:
         parts, known = text.replace("\n", " ").split(" "), self.known
         found = list(map(known.get, parts))
         if None in found:
             if len(known) > CACHE:
-                known.clear()
-                known[""] = b""
-            self.learn([p for p in dict.fromkeys(parts) if p not in known])
+                for held in (known, self.stems):
+                    held.clear()
+                    held[""] = b""
+            self.learn([p for p in set(parts) if p not in known])
             found = list(map(known.get, parts))
         return b"".join(found)
 
@@ -83,7 +109,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train_dictionary(texts: DataFrame, encode: Callable[[str], bytes], rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, size: int = DICTIONARY_BYTES) -> DataFrame:
-    """One row ``(dictionary)`` from the ``rows`` short texts with the smallest hashes, in one task on an executor.
+    """One row ``(dictionary)`` from ``rows`` short texts, the smallest hashes of a drawn share, in one task on an executor.
 
     Where they are too few to train on, their ids themselves are the dictionary; without any there is no row.
     """
@@ -98,8 +124,10 @@ def train_dictionary(texts: DataFrame, encode: Callable[[str], bytes], rows: int
             made = b"".join(samples)[-size:]
         yield pd.DataFrame({"dictionary": [made]})
 
-    short = texts.where(F.length("text").between(1, chars)).select("text", F.xxhash64("doc_id", "text").alias("_h"))
-    sample = short.orderBy("_h", "text").limit(rows).select("text")
+    # About four times as many rows as wanted pass by their hash, so that what the tasks send on does not grow with their number.
+    share = min(1.0, 4 * rows / max(1, texts.count()))
+    short = texts.select("text", F.xxhash64("doc_id", "text").alias("_h")).where(F.col("_h") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))
+    sample = short.where(F.length("text").between(1, chars)).orderBy("_h", "text").limit(rows).select("text")
     return sample.repartition(1).sortWithinPartitions("text").mapInPandas(run, "dictionary binary")
 
 
@@ -110,10 +138,10 @@ def _dictionary(raw: bytes):
 
 
 BLOCK = pa.schema([
-    ("part", pa.int64()), ("block", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_ids", pa.int64()),
+    ("part", pa.int64()), ("block", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("dictionary", pa.string()), ("frames", pa.binary()),
 ])
-BLOCK_DDL = "part long, block long, first_id long, last_id long, n_ids long, doc_ids array<long>, offsets array<long>, starts array<long>, dictionary string, frames binary"
+BLOCK_DDL = "part long, block long, first_id long, last_id long, before long, n_ids long, doc_ids array<long>, offsets array<long>, starts array<long>, dictionary string, frames binary"
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> None:
@@ -138,13 +166,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
         gc.freeze()
         gc.set_threshold(200_000, 50, 50)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw)).compress
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         ids, offsets, starts, frames = [], [0], [0], []
 
         def block() -> pa.RecordBatch:
             named = [i for i in ids if i is not None]
             row = {
-                "part": part, "block": number, "first_id": min(named, default=None), "last_id": max(named, default=None), "n_ids": starts[-1], "doc_ids": ids,
+                "part": part, "block": number, "first_id": min(named, default=None), "last_id": max(named, default=None), "before": before, "n_ids": starts[-1], "doc_ids": ids,
                 "offsets": offsets, "starts": starts, "dictionary": digest, "frames": b"".join(frames),
             }
             return pa.RecordBatch.from_pylist([row], schema=BLOCK)
@@ -159,7 +187,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id
                 starts.append(starts[-1] + len(coded) // 4)
                 if offsets[-1] >= block_bytes:
                     yield block()
-                    number += 1
+                    number, before = number + 1, before + starts[-1]
                     ids, offsets, starts, frames = [], [0], [0], []
         if ids:
             yield block()
@@ -179,11 +207,8 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_starts(spark: SparkSession, folder: str, blocks: DataFrame) -> DataFrame:
-    """``blocks`` with ``start``, the number of ids before each: that of its part, and what earlier blocks of the part hold."""
-    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    light = spark.read.parquet(f"{folder}/blocks").select("part", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("_within"))
-    start = light.join(spark.read.parquet(f"{folder}/starts"), "part").select("part", "block", (F.col("base") + F.col("_within")).alias("start"))
-    return blocks.join(start, ["part", "block"])
+    """``blocks`` with ``start``, the number of ids before each: what earlier parts hold, one row a part, and earlier blocks of its own."""
+    return blocks.join(spark.read.parquet(f"{folder}/starts"), "part").withColumn("start", F.col("base") + F.col("before"))
 
 
 def read(spark: SparkSession, folder: str, only: DataFrame | None = None, digest: bool = False) -> DataFrame:
