@@ -28,14 +28,15 @@ def squeeze(text: Column) -> Column:
 
 
 def normalize(text: Column, mode: str = "lower") -> Column:
-    """One of five forms of a text; null counts as empty.
+    """One of six forms of a text; null counts as empty.
 
-    lower: squeezed and lower case. nfkc: NFKC, squeezed. token: NFKC, upper case, no white space or
+    lower: squeezed and lower case. folded: NFKC, squeezed and lower case. nfkc: NFKC, squeezed. token: NFKC, upper case, no white space or
     underscores. code: upper case letters and digits only. key: NFKC, lower case letters and digits only.
     """
     text = F.coalesce(text, F.lit(""))
     forms = {
         "lower": lambda: F.lower(squeeze(text)),
+        "folded": lambda: F.lower(squeeze(nfkc(text))),
         "nfkc": lambda: squeeze(nfkc(text)),
         "token": lambda: F.regexp_replace(F.upper(nfkc(text)), r"(?U)[\s_]+", ""),
         "code": lambda: F.regexp_replace(F.upper(text), "[^A-Z0-9]", ""),
@@ -56,9 +57,12 @@ def occurrences(text: Column, term: Column) -> Column:
 
 
 def term_hits(text: Column, terms) -> Column:
-    """``array<struct<term, n>>`` of the terms that a normalised text holds, each counted on its own."""
-    every = F.transform(F.array(*map(F.lit, terms)), lambda t: F.struct(t.alias("term"), occurrences(text, t).alias("n")))
-    return F.filter(every, lambda x: x["n"] > 0)
+    """``array<struct<term, n>>`` of the terms that a normalised text holds, each counted on its own.
+
+    One plain condition a term, so that they compile; only terms that occur are counted.
+    """
+    every = [F.when(F.contains(text, F.lit(t)), F.struct(F.lit(t).alias("term"), occurrences(text, F.lit(t)).alias("n"))) for t in terms]
+    return F.array_compact(F.array(*every))
 
 
 def stem_hits(text: Column, stems: dict[str, str]) -> Column:
@@ -77,6 +81,11 @@ def once(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
 
 
+def any_of(text: Column, marks) -> Column:
+    """Whether a text holds one of the marks, as one compiled pattern."""
+    return F.rlike(text, F.lit("|".join(rf"\Q{m}\E" for m in marks)))
+
+
 def names(hits: Column) -> Column:
     return F.transform(hits, lambda x: x["term"])
 

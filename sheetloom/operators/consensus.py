@@ -6,7 +6,9 @@ Input: ``dimension(doc_id, sample_idx, ord, value, unit, role, belongs_to, endpo
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,8 +87,8 @@ def align_slots(dimension: DataFrame) -> DataFrame:
 
     Buckets of one value and unit are single slots when no sample has two rows in them and no two
     partitions are explicit in them: that covers nearly all rows and stays native. The others are
-    aligned bucket by bucket, with each sample's rows assigned to the pivot sample's; a bucket has
-    the rows of one value of one document, a handful.
+    aligned bucket by bucket, in time that grows with the cube of a sample's rows in it; a bucket has
+    the rows of one value of one document.
     """
     d = with_keys(dimension).withColumn("canon", canonical_endpoints(F.col("endpoints")))
     key = ["doc_id", "value_key", "unit_key"]
@@ -105,47 +107,109 @@ PARTITION_SCORES = {(True, True): 100_000, (True, False): 80_000, (False, True):
 
 
 def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Slots of one bucket: the largest sample is the pivot, the earliest of equals; every other sample's rows go to distinct slots."""
+    """Slots of one bucket. The largest sample (the earliest of equals) opens one slot a row; each other sample is assigned to the slots as a whole."""
     pdf = pdf.sort_values(["sample_idx", "ord"], kind="stable").reset_index(drop=True)
-    groups = {s: list(g.index) for s, g in pdf.groupby("sample_idx", sort=True)}
-    pivot = max(groups, key=lambda s: (len(groups[s]), -s))
-    slots: list[list[int]] = [[i] for i in groups[pivot]]
     part, canon = pdf["partition"].tolist(), pdf["canon"].tolist()
-
-    def hint(slot: list[int]) -> str:
-        return next((part[i] for i in slot if part[i]), "")
-
-    def fit(r: int, slot: list[int]) -> int | None:
-        if part[r] and hint(slot) and part[r] != hint(slot):
-            return None
-        explicit = PARTITION_SCORES[bool(part[r]), bool(hint(slot))]
-        return explicit + max(similarity(canon[r], canon[i]) for i in slot)
-
-    for s in sorted(groups):
-        if s == pivot:
-            continue
-        best = _assign(groups[s], slots, lambda r, k: fit(r, slots[k]))
-        for row, slot in zip(groups[s], best, strict=True):
-            slots.append([row]) if slot is None else slots[slot].append(row)
-    where = {i: k for k, slot in enumerate(slots) for i in slot}
-    return pdf.assign(slot=[f"{v}|{u}|{where[i]}" for i, (v, u) in enumerate(zip(pdf["value_key"], pdf["unit_key"]))])
-
-
-def _assign(rows: list[int], slots: list[list[int]], score) -> list[int | None]:
-    """Slots for ``rows``, each used once, with most rows placed and then the highest total; scores of None never meet."""
-    reached: dict[frozenset, tuple[int, int, list[int | None]]] = {frozenset(): (0, 0, [])}
-    for r in rows:
-        step: dict[frozenset, tuple[int, int, list[int | None]]] = {}
-        for used, (n, total, path) in reached.items():
-            for k in [None, *range(len(slots))]:
-                if k in used or (k is not None and (s := score(r, k)) is None):
-                    continue
-                now = used if k is None else used | {k}
-                cand = (n, total, [*path, None]) if k is None else (n + 1, total + s, [*path, k])
-                if now not in step or cand[:2] > step[now][:2]:
-                    step[now] = cand
-        reached = step
-    return max(reached.values(), key=lambda x: x[:2])[2]
+    samples = {int(s): list(g.index) for s, g in pdf.groupby("sample_idx", sort=True)}
+    first = max(samples, key=lambda s: (len(samples[s]), -s))
+    slots = [[i] for i in samples[first]]
+    near = cache(similarity)
+    for s in sorted(set(samples) - {first}):
+        hints = [_partition_of([part[i] for i in slot]) for slot in slots]
+        worth = np.full((len(samples[s]), len(slots)), -1, dtype=np.int64)
+        for at, r in enumerate(samples[s]):
+            for k, slot in enumerate(slots):
+                if not (part[r] and hints[k]) or part[r] == hints[k]:
+                    worth[at, k] = PARTITION_SCORES[bool(part[r]), bool(hints[k])] + max(near(canon[r], canon[i]) for i in slot)
+        for r, k in zip(samples[s], assign(worth), strict=True):
+            slots.append([r]) if k is None else slots[k].append(r)
+    of = {i: k for k, slot in enumerate(slots) for i in slot}
+    return pdf.assign(slot=[f"{v}|{u}|{of[i]}" for i, (v, u) in enumerate(zip(pdf["value_key"], pdf["unit_key"]))])
+
+
+def _partition_of(named: list[str]) -> str:
+    """The partition that the rows of a slot name; two different ones are refused."""
+    explicit = sorted({p for p in named if p})
+    if len(explicit) > 1:
+        raise ValueError(f"a slot holds rows of {' and '.join(explicit)}")
+    return explicit[0] if explicit else ""
+
+
+def assign(worth: np.ndarray) -> list[int | None]:
+    """A column for each row of ``worth``, each used once: most rows placed, then the highest total, then the smallest columns row by row.
+
+    Negative entries never meet. The assignment of least cost is found by shortest augmenting paths
+    in cubic time, over real columns and one column of its own for each row that stays alone. Its
+    prices tell all assignments of that cost: they use tight edges and leave no priced column free.
+    Among those, rows take the smallest column in turn that still leaves the others a place.
+    """
+    n, m = worth.shape
+    if n == 0:
+        return []
+    big = int(worth.max(initial=0) + 1) * (n + 1)
+    cost = np.full((n, m + n), 4 * big * (n + 1), dtype=np.int64)  # never
+    cost[:, :m] = np.where(worth >= 0, -big - worth, cost[:, :m])
+    cost[np.arange(n), m + np.arange(n)] = 0
+    row_of, u, v = _shortest_paths(cost)
+    tight = (cost - u[:, None] - v[None, :]) == 0
+    at = {int(r): c for c, r in enumerate(row_of) if r >= 0}
+    for r in range(n):
+        for c in np.flatnonzero(tight[r, : at[r]]):
+            if (row_of[c] < 0 or row_of[c] > r) and _take(r, int(c), at[r], row_of, tight, v == 0):
+                at = {int(x): k for k, x in enumerate(row_of) if x >= 0}
+                break
+    return [at[r] if at[r] < m else None for r in range(n)]
+
+
+def _take(r: int, c: int, old: int, row_of: np.ndarray, tight: np.ndarray, free: np.ndarray) -> bool:
+    """Give column ``c`` to row ``r`` if later rows can move so that ``old`` is covered again; a column without a row may change with any unpriced one."""
+    came, todo = {c: c}, [c]
+    while todo and old not in came:
+        x = todo.pop()
+        mover = int(row_of[x])
+        for k in np.flatnonzero(tight[mover] if mover >= 0 else free):
+            k = int(k)
+            if k not in came and (k == old or row_of[k] < 0 or row_of[k] > r):
+                came[k] = x
+                todo.append(k)
+    if old not in came:
+        return False
+    x = old
+    while x != c:
+        row_of[x] = row_of[came[x]]
+        x = came[x]
+    row_of[c] = r
+    return True
+
+
+def _shortest_paths(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of each column or -1, row prices, column prices)`` of a least-cost assignment of all rows; prices prove it optimal."""
+    n, m = cost.shape
+    u, v, row_of = np.zeros(n, np.int64), np.zeros(m, np.int64), np.full(m, -1)
+    for start in range(n):
+        slack, via, done = cost[start] - u[start] - v, np.full(m, -1), np.zeros(m, bool)
+        reached: list[tuple[int, int, int]] = []  # row, column, and the distance at which it was reached
+        while True:
+            open_slack = np.where(done, np.iinfo(np.int64).max, slack)
+            c = int(open_slack.argmin())
+            far = int(open_slack[c])
+            if row_of[c] < 0:
+                break
+            done[c] = True
+            r = int(row_of[c])
+            reached.append((r, c, far))
+            step = far + cost[r] - u[r] - v
+            better = ~done & (step < slack)
+            slack[better], via[better] = step[better], c
+        u[start] += far
+        for r, k, d in reached:
+            u[r] += far - d
+            v[k] -= far - d
+        while via[c] >= 0:
+            row_of[c] = row_of[via[c]]
+            c = int(via[c])
+        row_of[c] = start
+    return row_of, u, v
 
 
 def needs_third(slot: DataFrame) -> DataFrame:
@@ -189,13 +253,23 @@ def _closeness(own: pd.Series, others: pd.Series) -> pd.Series:
 
 
 def representative_row(slot: DataFrame) -> DataFrame:
-    """Of each slot the row with the majority endpoints, else the most similar to the others, else the first sample."""
-    rows = used_samples(slot)
-    w = W.partitionBy("doc_id", "slot")
-    r = rows.withColumns({"same": F.count(F.lit(1)).over(W.partitionBy("doc_id", "slot", "canon")), "n": F.count(F.lit(1)).over(w), "others": F.collect_list("canon").over(w)})
-    need = F.max(F.col("same") * 2).over(w) <= F.col("n")
-    r = r.withColumn("near", F.when(need & (F.col("n") > 1), _closeness(F.col("canon"), F.when(need, F.col("others")).otherwise(F.array().cast("array<string>")))).otherwise(0))
-    order = F.struct((F.col("same") * 2 > F.col("n")).cast("int"), "near", -F.col("sample_idx"), -F.col("ord"))
+    """Of each slot the row that stands for it, among those with the voted role, partition and derivation.
+
+    Where no row has all three, those with role and partition count, and where none has both, all. A
+    vote of ``other`` binds no row. Ends that more than half of the voting samples have win, in the
+    earliest sample that may stand; else the row most similar to all of the slot, the earliest of equals.
+    """
+    rows, won = used_samples(slot), vote(slot).select("doc_id", "slot", F.col("role").alias("_role"), F.col("belongs_to").alias("_part"), F.col("is_derived").alias("_derived"), F.col("samples").alias("_n"))
+    own = W.partitionBy("doc_id", "slot")
+    r = rows.join(won, ["doc_id", "slot"]).withColumns({"same": F.count(F.lit(1)).over(W.partitionBy("doc_id", "slot", "canon")), "others": F.collect_list("canon").over(own)})
+    meant = ((F.col("_role") == "other") | (F.col("role") == F.col("_role"))) & ((F.col("_part") == "other") | (F.col("belongs_to") == F.col("_part")))
+    tier = F.when(F.coalesce(meant & (F.col("is_derived") == F.col("_derived")), F.lit(False)), 2).when(F.coalesce(meant, F.lit(False)), 1).otherwise(0)
+    r = r.withColumn("tier", tier).withColumn("_best", F.max("tier").over(own)).where("tier = _best")
+    most = (F.col("same") * 2 > F.col("_n")) & (F.col("canon") != "")
+    settled = F.max(most.cast("int")).over(own) == 1
+    r = r.withColumns({"most": most, "settled": settled})
+    r = r.withColumn("near", F.when(~F.col("settled"), _closeness(F.col("canon"), F.when(~F.col("settled"), F.col("others")).otherwise(F.array().cast("array<string>")))).otherwise(0))
+    order = F.struct(F.col("most").cast("int"), "near", -F.col("sample_idx"), -F.col("ord"))
     return r.groupBy("doc_id", "slot").agg(F.max_by(F.struct("sample_idx", "ord", "endpoints"), order).alias("m")).select("doc_id", "slot", "m.sample_idx", "m.ord", "m.endpoints")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import terms as K
-from .pages import LAND_MARKS, PASTE_MARKS, compact, named_in
+from ..functions.text import any_of
+from .pages import LAND_MARKS, PASTE_MARKS, compact
 
 MM = "decimal(38,12)"
 
@@ -37,16 +38,22 @@ def dedup_units(dimension: DataFrame) -> DataFrame:
     return d.join(gone, ["doc_id", "sample_idx", "ord"], "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
 
 
-def dedup_candidates(dimension: DataFrame, key: list[str]) -> DataFrame:
-    """D3: per key prefer rows without tolerance wording, then metric rows; equal values (1e-9) keep the first."""
+def first_candidates(dimension: DataFrame, key: list[str]) -> DataFrame:
+    """D3 on rows with ``value_mm``: ``first`` marks those that stand for their key: without tolerance wording and metric where any are, the first of equal values (1e-9)."""
     w = W.partitionBy(*key)
-    d = to_mm(dimension).where("value_mm is not null")
     plain = (~F.lower(F.coalesce("raw", "value")).rlike("±|tol|max|min|ref|typ")).cast("int")
-    d = d.withColumn("_p", plain).withColumn("_b", F.max("_p").over(w)).where("_p = _b")
-    d = d.withColumn("_m", (F.lower("unit") == "mm").cast("int")).withColumn("_b", F.max("_m").over(w)).where("_m = _b")
-    d = d.withColumn("_g", F.col("value_mm") - F.lag("value_mm").over(W.partitionBy(*key).orderBy("value_mm", "ord")))
-    d = d.withColumn("_s", F.sum(F.when(F.coalesce(F.col("_g") > 1e-9, F.lit(True)), 1).otherwise(0)).over(W.partitionBy(*key).orderBy("value_mm", "ord")))
-    return d.groupBy(*key, "_s").agg(F.min(F.struct("ord", "value_mm")).alias("m")).select(*key, "m.ord", "m.value_mm")
+    d = dimension.withColumn("_p", plain).withColumn("_in", F.col("_p") == F.max("_p").over(w))
+    metric = (F.col("_in") & (F.lower("unit") == "mm")).cast("int")
+    d = d.withColumn("_m", metric).withColumn("_in", F.col("_in") & (F.col("_m") == F.max("_m").over(w)))
+    rank = W.partitionBy(*key, "_in").orderBy("value_mm", "ord")
+    d = d.withColumn("_s", F.coalesce(F.col("value_mm") - F.lag("value_mm").over(rank) > 1e-9, F.lit(True)).cast("int")).withColumn("_s", F.sum("_s").over(rank))
+    at = F.row_number().over(W.partitionBy(*key, "_in", "_s").orderBy("ord"))
+    return d.withColumn("first", F.col("_in") & (at == 1)).drop("_p", "_m", "_in", "_s")
+
+
+def dedup_candidates(dimension: DataFrame, key: list[str]) -> DataFrame:
+    """D3: per key prefer rows without tolerance wording, then metric rows; equal values (1e-9) keep the first."""
+    return first_candidates(to_mm(dimension).where("value_mm is not null"), key).where("first").select(*key, "ord", "value_mm")
 
 
 def by_symbol(dimension: DataFrame, aliases: list[str]) -> DataFrame:
@@ -62,7 +69,7 @@ def pattern_role(dimension: DataFrame) -> Column:
     text = compact(F.concat_ws(" ", *parts)) if parts else F.lit("")
     owner = F.coalesce("belongs_to", F.lit(""))
     paste = (owner == "solder_paste") | F.coalesce(F.col("role").isin("paste_width", "paste_height"), F.lit(False))
-    marked = F.when(paste, "paste").when(owner == "solder_land", "lands").when(named_in(text, PASTE_MARKS), "paste").when(named_in(text, LAND_MARKS), "lands")
+    marked = F.when(paste, "paste").when(owner == "solder_land", "lands").when(any_of(text, PASTE_MARKS), "paste").when(any_of(text, LAND_MARKS), "lands")
     return marked.when(owner.isin("package_outline", "occupied_area"), "other").otherwise("unknown")
 
 
@@ -128,13 +135,6 @@ def half_filter(dimension: DataFrame, least: int = 2, eps: float = 1e-9) -> Data
     return marked.withColumn("excluded", F.col("half") & (left >= least))
 
 
-def pad_count(dimension: DataFrame) -> DataFrame:
-    """Distinct pads that a document's ends name; a group label counts only where none of its children is named."""
-    named = dimension.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("endpoints", F.lit(""))), F.lit(r"((?:left|right|top|bottom|center)?\s?pad(?:\s?\d+)?)"), F.lit(1))).alias("p")).select("doc_id", F.trim("p").alias("p")).distinct()
-    kinds = named.groupBy("doc_id").agg(F.count_if(F.col("p") != "pad").alias("specific"), F.count_if(F.col("p") == "pad").alias("generic"))
-    return kinds.select("doc_id", F.when(F.col("specific") > 0, F.col("specific")).otherwise(F.col("generic")).cast("long").alias("pads"))
-
-
 def normalize_roles(dimension: DataFrame) -> DataFrame:
     """Where a document's sample lacks a pad width or height, ``other`` rows between two edges of one pad get it by their axis; the old role is kept."""
     d = labelled(dimension)
@@ -160,7 +160,7 @@ def pitch_refs(dimension: DataFrame) -> DataFrame:
     own = ~F.coalesce("is_derived", F.lit(False)) if "is_derived" in dimension.columns else F.lit(True)
     d = to_mm(dimension).where((F.col("belongs_to") == "package_outline") & own)
     d = d.where(F.col("role").isin("pitch", "half_pitch", "half_pitch_from_centerline", "pad_center_distance"))
-    half = F.col("role").startswith("half_pitch") | named_in(compact(F.coalesce("endpoints", F.lit(""))), MIDDLE_TERMINALS)
+    half = F.col("role").startswith("half_pitch") | any_of(compact(F.coalesce("endpoints", F.lit(""))), MIDDLE_TERMINALS)
     v = F.round(F.when(half, 2 * F.col("value_mm")).otherwise(F.col("value_mm")), 9)
     return d.withColumn("_v", v).where("_v is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("_v")).alias("pitches"))
 
@@ -171,6 +171,14 @@ def pitch_matches(value: Column, pitches: Column, tol: float = 0.15) -> Column:
     return F.when(F.size(pitches) >= 2, value.between(F.array_min(pitches), F.array_max(pitches))).otherwise(F.coalesce(F.abs(value - one) / one <= tol, F.lit(False)))
 
 
+def relation_pitch_matches(value: Column, pitches: Column, tol: float = 0.15) -> Column:
+    """D14 for relations: a single pitch, or the larger of two that are one and its half (3 %), is met within ``tol``; else the range, 0.02 wider."""
+    one = F.array_sort(F.array_distinct(F.transform(F.filter(pitches, lambda p: p > 0), lambda p: F.round(p, 6))))
+    low, high = F.array_min(one), F.array_max(one)
+    near = F.abs(value - high) / high <= tol
+    return F.coalesce(F.when((F.size(one) == 1) | (F.abs(high - 2 * low) / high <= 0.03), near).otherwise(value.between(low - 0.02, high + 0.02)), F.lit(False))
+
+
 def paste_check(dimension: DataFrame) -> DataFrame:
     """Whether the first paste size per axis is smaller than the first land size; null where an axis lacks one."""
     d = labelled(dimension).where(F.col("pattern").isin("lands", "paste") & (F.col("relation") == "pad"))
@@ -179,23 +187,6 @@ def paste_check(dimension: DataFrame) -> DataFrame:
     return two.groupBy("doc_id").agg(F.bool_and(F.when(F.col("land").isNotNull() & F.col("paste").isNotNull(), F.col("paste") <= F.col("land") + 1e-9)).alias("paste_within_land"))
 
 
-def outer_max(dimension: DataFrame) -> DataFrame:
-    """Per document, partition and axis the outer value: one boundary group only; a min/max pair closer than 20 % or equal values give the maximum."""
-    d = labelled(dimension).where(F.col("value_mm").isNotNull())
-    g = d.groupBy("doc_id", "belongs_to", "axis").agg(F.count_distinct("endpoints").alias("groups"), F.min("value_mm").alias("lo"), F.max("value_mm").alias("hi"))
-    status = F.when(F.col("groups") > 1, "ambiguous").when((F.col("hi") - F.col("lo")) <= 0.2 * F.col("hi"), "unique").otherwise("ambiguous")
-    return g.select("doc_id", "belongs_to", "axis", status.alias("status"), F.when(status == "unique", F.col("hi")).alias("outer_mm"))
-
-
-def planar_pair(dimension: DataFrame) -> DataFrame:
-    """Per document the one width and height of lands, through the gate: none, unique or ambiguous with evidence."""
-    d = labelled(dimension).where((F.col("relation") == "pad") & (F.col("belongs_to") == "solder_land"))
-    per = d.groupBy("doc_id", "axis").agg(F.count_distinct(F.round("value_mm", 6)).alias("n"), F.min("value_mm").alias("v"), F.array_join(F.array_sort(F.collect_set(F.round("value_mm", 6).cast("string"))), ",").alias("e"))
-    w = per.groupBy("doc_id").agg(F.max(F.when(F.col("axis") == "x", F.col("n"))).alias("nx"), F.max(F.when(F.col("axis") == "y", F.col("n"))).alias("ny"), F.max(F.when(F.col("axis") == "x", F.col("v"))).alias("x"), F.max(F.when(F.col("axis") == "y", F.col("v"))).alias("y"))
-    status = F.when(F.col("nx").isNull() | F.col("ny").isNull(), "none").when((F.col("nx") == 1) & (F.col("ny") == 1), "unique").otherwise("ambiguous")
-    return w.select("doc_id", status.alias("status"), F.when(status == "unique", F.col("x")).alias("width_mm"), F.when(status == "unique", F.col("y")).alias("height_mm"))
-
-
 def guards(dimension: DataFrame) -> DataFrame:
     """Per document and sample the closures that its values break, as reasons; missing values break nothing."""
     d = labelled(dimension).where(F.col("axis") == "x")

@@ -140,7 +140,7 @@ def accepted_values(page: DataFrame, line: DataFrame) -> DataFrame:
 
 
 def extract_bounds(page: DataFrame, line: DataFrame) -> DataFrame:
-    """Descending pairs of neighbouring values in package sections: the longest unbroken chain of either parity, two pairs at least.
+    """Descending pairs of neighbouring values in package sections: the longest unbroken chain of either parity, two pairs at least.
 
     One chain per run; of equal chains the first, and parity 0 before 1.
     """
@@ -159,18 +159,63 @@ def extract_bounds(page: DataFrame, line: DataFrame) -> DataFrame:
     return out.select("doc_id", "page", F.col("line_no").alias("max_line"), (F.col("line_no") + 1).alias("min_line"), F.col("value_mm").alias("max_mm"), F.col("_next").alias("min_mm"), F.col("pairs").cast("int").alias("block_pair_count"))
 
 
+def dedup_bounds(bound: DataFrame, tol: float = K.CONSISTENT) -> DataFrame:
+    """Of the bounds on one pair of lines, those whose maxima and minima both lie within ``tol`` are one.
+
+    ``bound(doc_id, page, pos, max_line, min_line, max_mm, min_mm, source_unit)``. A scan in the order
+    of ``pos``: a bound joins the first kept one that it is near to, so clusters depend on the order
+    and never chain; a metric bound takes the place of one in another unit, where it stands.
+    ``place`` is the place among the kept bounds of the pair of lines. Null lines form a pair of
+    their own; a bound with a null value is near to none.
+    """
+    key = ["doc_id", "page", "max_line", "min_line"]
+    g = bound.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "max_mm", "min_mm", "source_unit"))).alias("all"))
+    near = lambda a, b: F.coalesce((F.abs(a["max_mm"] - b["max_mm"]) <= tol + 1e-12) & (F.abs(a["min_mm"] - b["min_mm"]) <= tol + 1e-12), F.lit(False))
+    metric = lambda a: F.coalesce(a["source_unit"] == "mm", F.lit(False))
+
+    def step(kept: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda k: near(k, x)), F.lit(True))
+        swapped = F.transform(kept, lambda k, i: F.when((i == at - 1) & ~metric(k) & metric(x), x).otherwise(k))
+        return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(swapped)
+
+    none = F.slice("all", 1, 0)
+    rows = g.select(*key, F.posexplode(F.aggregate("all", none, step)).alias("place", "b"))
+    return rows.select(*key, "place", "b.pos", "b.max_mm", "b.min_mm", "b.source_unit")
+
+
 def fold_bounds(dimension: DataFrame, bound: DataFrame, tol: float = K.PROVENANCE_TOL) -> DataFrame:
-    """Neighbouring rows of one partition equal to a bound's (maximum, minimum) become one row at the maximum; the earliest bound wins."""
-    w = W.partitionBy("doc_id", "belongs_to").orderBy("ord")
-    d = dimension.withColumns({"_n": F.lead("value_mm").over(w), "_o": F.lead("ord").over(w), "_r": F.lead("role").over(w)})
-    j = d.where("_o = ord + 1").join(bound.select("doc_id", "max_mm", "min_mm", "max_line"), "doc_id").where((F.abs(F.col("value_mm") - F.col("max_mm")) <= tol) & (F.abs(F.col("_n") - F.col("min_mm")) <= tol))
-    hit = j.groupBy("doc_id", "belongs_to", "ord").agg(F.min(F.struct("max_line", "max_mm", "min_mm")).alias("b"), F.first("_o").alias("_o"), F.first("role").alias("_a"), F.first("_r").alias("_b"))
-    prev = F.lag("ord").over(W.partitionBy("doc_id", "belongs_to").orderBy("ord"))
-    hit = hit.withColumn("_p", prev).where("_p is null or _p < ord - 1")
-    role = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise("other")
-    folded = hit.select("doc_id", "belongs_to", "ord", role.alias("role"), F.col("b.max_mm").alias("value_mm"), F.lit(True).alias("folded"))
-    eaten = hit.select("doc_id", "belongs_to", "ord").unionByName(hit.select("doc_id", "belongs_to", F.col("_o").alias("ord")))
-    rest = dimension.join(eaten, ["doc_id", "belongs_to", "ord"], "left_anti").select("doc_id", "belongs_to", "ord", "role", "value_mm", F.lit(False).alias("folded"))
+    """Two neighbouring rows of one partition at a bound's maximum and minimum become one row at the maximum.
+
+    Bounds come in the order of their pages and lines. Each folds in every partition the first pair
+    of rows that no earlier bound has used; derived rows neither fold nor are used. The role of both
+    stays, else it is ``other`` and the first row's own is kept in ``role_original``. One scan over
+    the hits of a partition, which carries the rows used so far.
+    """
+    own = F.coalesce("is_derived", F.lit(False)) if "is_derived" in dimension.columns else F.lit(False)
+    w = W.partitionBy("doc_id").orderBy("ord")
+    d = dimension.withColumn("_own", ~own)
+    d = d.withColumns({n: F.lead(c).over(w) for n, c in (("_n", "value_mm"), ("_o", "ord"), ("_r", "role"), ("_p", "belongs_to"), ("_f", "_own"))})
+    bucket = lambda c: F.floor(F.col(c) / (2 * tol))
+    pairs = d.where((F.col("_o") == F.col("ord") + 1) & (F.col("_p") == F.col("belongs_to")) & F.col("_own") & F.col("_f")).withColumn("_b", bucket("value_mm"))
+    page = F.col("page") if "page" in bound.columns else F.lit(0)
+    b = bound.select("doc_id", F.struct(page.alias("page"), "max_line", F.col("max_mm").alias("hi"), F.col("min_mm").alias("lo")).alias("bound"), F.explode(F.array(*[bucket("max_mm") + i for i in (-1, 0, 1)])).alias("_b"))
+    hit = pairs.join(b, ["doc_id", "_b"]).where((F.abs(F.col("value_mm") - F.col("bound.hi")) <= tol + 1e-12) & (F.abs(F.col("_n") - F.col("bound.lo")) <= tol + 1e-12))
+    role = F.when(F.col("role") == F.col("_r"), F.col("role")).otherwise("other")
+    kept = F.when((role == "other") & (F.col("role") != "other"), F.col("role"))
+    g = hit.groupBy("doc_id", "belongs_to").agg(F.array_sort(F.collect_set(F.struct("bound", "ord", role.alias("role"), kept.alias("role_original")))).alias("hits"))
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.slice("hits", 1, 0).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        o = x["ord"].cast("int")
+        again = F.exists(acc["out"], lambda y: y["bound"] == x["bound"])
+        free = ~again & ~F.array_contains(acc["used"], o) & ~F.array_contains(acc["used"], o + 1)
+        return F.struct(F.when(free, F.concat(acc["used"], F.array(o, o + 1))).otherwise(acc["used"]).alias("used"), F.when(free, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+    done = g.select("doc_id", "belongs_to", F.explode(F.aggregate("hits", start, step)["out"]).alias("x"))
+    folded = done.select("doc_id", "belongs_to", F.col("x.ord").alias("ord"), "x.role", F.col("x.bound.hi").alias("value_mm"), "x.role_original", F.lit(True).alias("folded"))
+    eaten = folded.select("doc_id", "belongs_to", F.explode(F.array(F.col("ord"), F.col("ord") + 1)).alias("ord"))
+    before = F.col("role_original") if "role_original" in dimension.columns else F.lit(None).cast("string")
+    rest = dimension.join(eaten, ["doc_id", "belongs_to", "ord"], "left_anti").select("doc_id", "belongs_to", "ord", "role", "value_mm", before.alias("role_original"), F.lit(False).alias("folded"))
     return rest.unionByName(folded)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import terms as K
 
@@ -139,7 +143,8 @@ def match_registry(code: DataFrame, pad: DataFrame, entry: DataFrame, entry_pad:
     A document meets the entries of its own code only, with each side's pads as one list, so pads are shuffled once.
     """
     key = F.upper("package_code").alias("_key")
-    own = code.select("doc_id", key).where("_key <> ''").join(pad_lists(pad, "doc_id"), "doc_id")
+    own = code.select("doc_id", key).where("_key <> ''").join(pad_lists(pad, "doc_id"), "doc_id", "left")
+    own = own.withColumn("pads", F.coalesce("pads", F.array().cast(own.schema["pads"].dataType)))  # a known code without pads differs from every entry
     known = entry.select("entry_id", key).join(pad_lists(entry_pad, "entry_id").withColumnRenamed("pads", "entry_pads"), "entry_id")
     scored = own.join(known, "_key").select("doc_id", "entry_id", pad_differences(F.col("pads"), F.col("entry_pads")).alias("differences"))
     g = scored.groupBy("doc_id").agg(F.count_if(F.col("differences") == 0).alias("exact"), F.min(F.struct("differences", "entry_id")).alias("n"))
@@ -148,13 +153,48 @@ def match_registry(code: DataFrame, pad: DataFrame, entry: DataFrame, entry_pad:
     return out.select("doc_id", status.alias("status"), F.col("n.entry_id").alias("entry_id"), F.col("n.differences").alias("differences"))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("code", T.StringType())])))
+def _codes_in(text: pd.Series) -> pd.Series:
+    """Every non-empty package token of a JSON text in upper case with its path, in the order of the text."""
+
+    def walk(value, path: str, out: list) -> list:
+        if isinstance(value, dict):
+            for key, item in value.items():
+                at = f"{path}.{key}" if path else str(key)
+                if key == "package_code" and isinstance(item, str):
+                    out.append((at, item))
+                elif key == "package_tokens" and isinstance(item, list):
+                    out += [(f"{at}[{i}]", t if isinstance(t, str) else json.dumps(t, ensure_ascii=False)) for i, t in enumerate(item)]
+                walk(item, at, out)
+        elif isinstance(value, list):
+            for i, item in enumerate(value):
+                walk(item, f"{path}[{i}]", out)
+        return out
+
+    def found(t: str | None) -> list[dict]:
+        try:
+            pairs = walk(json.loads(t), "", []) if t else []
+        except (ValueError, RecursionError):
+            pairs = []
+        return [{"path": p, "code": c.strip().upper()} for p, c in pairs if c.strip()]
+
+    return text.map(found)
+
+
+def package_code_paths(record: DataFrame) -> DataFrame:
+    """P10: ``record(doc_id, json)`` to one row for each package code or token at any depth: ``(doc_id, pos, path, package_code)``.
+
+    Texts that are null or no JSON have none; escaped characters come out as they are meant.
+    """
+    return record.select("doc_id", F.posexplode(_codes_in(F.col("json").cast("string"))).alias("pos", "c")).select("doc_id", "pos", "c.path", F.col("c.code").alias("package_code"))
+
+
 def package_codes(record: DataFrame) -> DataFrame:
-    """P10: ``record(doc_id, json)`` to the distinct package codes at any depth, through the gate."""
-    found = F.regexp_extract_all("json", F.lit(r'"package_code"\s*:\s*"([^"]*)"'), F.lit(1))
-    r = record.select("doc_id", F.array_distinct(F.transform(found, lambda x: F.upper(F.trim(x)))).alias("c"))
-    r = r.withColumn("c", F.filter("c", lambda x: x != ""))
-    n = F.size("c")
-    return r.select("doc_id", F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("status"), F.when(n == 1, F.get("c", F.lit(0))).alias("package_code"))
+    """P10: the distinct package codes of a document at any depth, through the gate, with the first path of the unique one."""
+    g = package_code_paths(record).groupBy("doc_id").agg(F.count_distinct("package_code").alias("n"), F.min("package_code").alias("code"), F.min_by("path", "pos").alias("path"))
+    out = record.select("doc_id").distinct().join(g, "doc_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select("doc_id", F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("code")).alias("package_code"), F.when(n == 1, F.col("path")).alias("path"))
 
 
 def compare_values(left: DataFrame, right: DataFrame, tol: float = K.PROVENANCE_TOL) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import terms as K
-from ..functions.text import lines_of, names, nfkc, normalize, once, stem_hits, term_hits, total
+from ..functions.text import any_of, lines_of, names, nfkc, normalize, once, stem_hits, term_hits, total
 
 HEADING_LINES, SUGGESTIONS, RADIUS = 12, 3, 12
 
@@ -112,13 +112,13 @@ def score_pages(page: DataFrame) -> DataFrame:
     )
 
 
-def _class_rank(kind: Column) -> Column:
+def class_rank(kind: Column) -> Column:
     return F.when(kind == "land", 2).when(kind == "dimension", 1).otherwise(0)
 
 
 def rank_pages(decision: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
     """The ``k`` best pages of each document by class, score and page. The window is per document: its pages only."""
-    order = W.partitionBy("doc_id").orderBy(_class_rank(F.col("page_class")).desc(), F.col("score").desc(), "page")
+    order = W.partitionBy("doc_id").orderBy(class_rank(F.col("page_class")).desc(), F.col("score").desc(), "page")
     ok = decision.where((F.col("score") > 0) & ~F.col("vetoed"))
     return ok.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "page", "score", "page_class", "rank")
 
@@ -205,23 +205,32 @@ def companion_page(page: DataFrame, chosen: DataFrame, radius: int = RADIUS) ->
 LAND_MARKS = ("solderland", "solderlands", "copperland", "copperpad", "landcenter", "铜箔", "铜焊盘")
 PASTE_MARKS = ("solderpaste", "pasteopening", "stencil", "cream", "钢网", "焊膏", "锡膏", "はんだ")
 EP_PHRASES = ("exposed thermal pad", "exposed die pad", "exposed pad", "thermal pad", "e-pad")
-EP_ROLES = tuple(f"{pad}_{side}" for pad in ("center_pad", "optional_center_pad", "thermal_pad", "exposed_pad") for side in ("width", "length", "height"))
+EP_ROLES = (
+    "center_pad_width", "center_pad_length", "center_pad_height", "optional_center_pad_width", "optional_center_pad_length", "optional_center_pad_height",
+    "thermal_pad_width", "thermal_pad_length", "thermal_pad_height", "exposed_pad_width", "exposed_pad_length", "exposed_pad_height",
+)
+# Words of the two ways of soldering, and of parts that carry heat.
+REFLOW, WAVE = r"re[\s-]*flow|回流", r"wave|波峰"
+THERMAL_MARKS = ("thermal pad", "exposed pad", "exposed", "heat sink", "heatsink", "exposed die pad", "powerpad", "epad", "散热焊盘", "散热片", "中央焊盘", "中心焊盘")
 
 
 def compact(text: Column) -> Column:
     """A text in lower case without blanks and joiners, as marks are looked for."""
-    return F.regexp_replace(normalize(text, "lower"), r"[\s_\-:/()]+", "")
-
-
-def named_in(text: Column, marks: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(text, m))
+    return F.regexp_replace(normalize(text, "folded"), r"[\s_\-:/()]+", "")
 
 
 def comention(page: DataFrame) -> DataFrame:
     """Whether a page names land and paste, and reflow and wave soldering."""
-    p = page.select("doc_id", "page", normalize(F.col("text"), "lower").alias("_t"), compact(F.col("text")).alias("_c"))
-    both = named_in(F.col("_c"), LAND_MARKS) & named_in(F.col("_c"), PASTE_MARKS)
-    return p.select("doc_id", "page", both.alias("land_and_paste"), (F.contains("_t", F.lit("reflow")) & F.contains("_t", F.lit("wave"))).alias("reflow_and_wave"))
+    p = once(page.select("doc_id", "page", normalize(F.col("text"), "folded").alias("_t")))
+    p = p.withColumn("_c", F.regexp_replace("_t", r"[\s_\-:/()]+", ""))
+    both = any_of(F.col("_c"), LAND_MARKS) & any_of(F.col("_c"), PASTE_MARKS)
+    return p.select("doc_id", "page", both.alias("land_and_paste"), (F.col("_t").rlike(REFLOW) & F.col("_t").rlike(WAVE)).alias("reflow_and_wave"))
+
+
+def thermal_evidence(dimension: DataFrame) -> DataFrame:
+    """``(doc_id, ord)`` of the rows whose role, raw text or ends name a part that carries heat."""
+    texts = [normalize(F.col(c), "folded") for c in ("role", "raw", "endpoints") if c in dimension.columns]
+    return dimension.withColumn("_t", F.concat_ws(" ", *texts)).where(any_of(F.col("_t"), THERMAL_MARKS)).select("doc_id", "ord")
 
 
 def ep_evidence(page: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -230,13 +239,13 @@ def ep_evidence(page: DataFrame, dimension: DataFrame) -> DataFrame:
     A role counts in the wording of ``role`` or, where there is that column, ``role_original``; a tab
     of a land whose symbol is X2 or Y2 is an optional center pad.
     """
-    p = page.select("doc_id", "page", normalize(F.col("text"), "lower").alias("_t"))
+    p = page.select("doc_id", "page", normalize(F.col("text"), "folded").alias("_t"))
     phrase = F.coalesce(*[F.when(F.contains("_t", F.lit(x)), F.lit(x)) for x in EP_PHRASES])
     text = p.withColumn("phrase", phrase).where("phrase is not null").groupBy("doc_id").agg(F.min(F.struct("page", "phrase")).alias("p"))
-    plain = lambda c: F.regexp_replace(F.regexp_replace(normalize(F.coalesce(F.col(c), F.lit("")), "lower"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(normalize(F.col(c), "folded"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     why = [F.when(plain(c).isin(*EP_ROLES), plain(c)) for c in ("role", "role_original") if c in dimension.columns]
     if "symbol" in dimension.columns:
-        symbol = F.trim(normalize(F.coalesce("symbol", F.lit("")), "lower"))
+        symbol = F.trim(normalize(F.col("symbol"), "folded"))
         tab = (F.col("belongs_to") == "solder_land") & F.col("role").isin("tab_width", "tab_height") & symbol.isin("x2", "y2")
         why.append(F.when(tab, F.concat(F.upper(symbol), F.lit(" optional center pad"))))
     named = dimension.withColumn("why", F.coalesce(*why)).where("why is not null").groupBy("doc_id").agg(F.min(F.struct("ord", "why")).alias("d"))
@@ -258,6 +267,7 @@ def section_context(line: DataFrame) -> DataFrame:
     return line.withColumn("section", F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit("unknown")))
 
 
+# Declarations of millimetres.
 MM_MARKS = ("dimensions in mm", "dimension in mm", "all dimensions are in millimeters", "unit : mm", "unit: mm", "dimensions in millimeters")
 
 

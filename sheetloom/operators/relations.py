@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import terms as K
-from .dimensions import labelled
+from .dimensions import labelled, pattern_role, relation_pitch_matches, to_mm
+from .marks import marked, tolerance_only
 
 CANDIDATE = ("doc_id", "family", "formula", "pad_x", "pad_y", "center_x", "pitch_y", "relation_score", "role_score")
 
@@ -48,30 +49,44 @@ def rel_two_pad(dimension: DataFrame) -> DataFrame:
     )
 
 
+def relation_rows(dimension: DataFrame) -> DataFrame:
+    """Land rows that relations are made of, reduced to distinct values: ``(doc_id, axis, center, overall, value_mm, role)``.
+
+    Not derived, not paste, no mere tolerance; the axis is read from the ends (D7). Equal values of
+    one axis and role are one row, so repeated rows never multiply candidates.
+    """
+    texts = {c: F.lit("") for c in ("symbol", "raw") if c not in dimension.columns}
+    d = to_mm(dimension.withColumns(texts)).where(F.col("value_mm").isNotNull())
+    d = d.withColumn("pattern", pattern_role(d)).where(F.col("belongs_to").isin("solder_land", "occupied_area") & (F.col("pattern") != "paste"))
+    if "is_derived" in dimension.columns:
+        d = d.where(~F.coalesce("is_derived", F.lit(False)))
+    m = marked(d)
+    m = m.where(~tolerance_only() & F.col("relation_axis").isNotNull())
+    g = m.groupBy("doc_id", "belongs_to", "relation_axis", "center_marked", "overall_marked", F.round("value_mm", 6).alias("value_mm"), "role").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    return g.withColumnsRenamed({"relation_axis": "axis", "center_marked": "center", "overall_marked": "overall"})
+
+
+def _scored(role: Column, *wanted: str) -> Column:
+    return F.when(role.isin(*wanted), 2).otherwise(0)
+
+
 def rel_three(dimension: DataFrame) -> DataFrame:
-    """R2: two-row parts: pad and pitch on one axis, pad and center on the other; score 2."""
-    d = _land(dimension)
-    width, height = _of(d, "pad", "w"), _of(d, "pad", "h", "y")
-    center, pitch = _of(d, "center", "c"), d.where(F.col("effective_role").isin("pitch", "gap")).select("doc_id", F.col("value_mm").alias("p"), F.col("named").alias("p_named"))
-    j = width.join(height, "doc_id").join(center, "doc_id").join(pitch, "doc_id").where((F.col("c") > F.col("w")) & (F.col("p") > F.col("h")))
-    r = lambda c: F.round(c, 6)
-    return j.select("doc_id", F.lit("SOT3").alias("family"), F.lit("REL_SOT3_TWO_AXES").alias("formula"), r("h").alias("pad_x"), r("w").alias("pad_y"), r("c").alias("center_x"), r("p").alias("pitch_y"), F.lit(2).alias("relation_score"), (F.col("w_named") + F.col("h_named") + F.col("c_named")).alias("role_score"))
+    """R2: parts in two rows of three pads: on the width axis a size below a center-marked pitch, on the height axis a size below a center-marked distance; score 2.
+
+    Whatever the rows' roles say; a role that fits adds 2 to the role score. The size across becomes
+    pad_y, the one upright pad_x. Of equal solutions the best role score stays.
+    """
+    d = relation_rows(dimension).where("belongs_to = 'solder_land'")
 
+    def pair(axis: str, size: str, far: str, role: str) -> DataFrame:
+        a = d.where(F.col("axis") == axis)
+        one = a.select("doc_id", F.col("value_mm").alias(size), F.col("ord").alias("_o"), _scored(F.col("role"), role).alias("_s"))
+        two = a.where("center").select("doc_id", F.col("value_mm").alias(far), F.col("ord").alias("_p"), _scored(F.col("role"), "pad_center_distance", "pitch").alias("_t"))
+        j = one.join(two, "doc_id").where((F.col("_o") != F.col("_p")) & (F.col(far) > F.col(size)))
+        return j.groupBy("doc_id", size, far).agg(F.max(F.col("_s") + F.col("_t")).alias(f"{size}_score"))
 
-def rel_dual(dimension: DataFrame) -> DataFrame:
-    """The row center by priority: a closed chain (mean), direct, inner + pad, outer - pad; a conflicting chain blocks all."""
-    d = _land(dimension)
-    v = lambda role, axis="x": F.max(F.when((F.col("effective_role") == role) & (F.col("axis") == axis), F.col("value_mm")))
-    g = d.groupBy("doc_id").agg(v("pad").alias("pad"), v("pad", "y").alias("cross"), v("gap").alias("gap"), v("overall").alias("outer"), v("center").alias("center"))
-    c = F.col
-    inner, outer = c("gap") + c("pad"), c("outer") - c("pad")
-    clash = F.coalesce(F.abs(inner - outer) > K.DUAL_CLOSURE + 1e-9, F.lit(False))
-    chain = F.when(~clash & inner.isNotNull() & outer.isNotNull(), (inner + outer) / 2)
-    value = F.coalesce(chain, c("center"), inner, outer)
-    tag = F.when(chain.isNotNull(), "CHAIN_INNER_OUTER").when(c("center").isNotNull(), "DIRECT_CENTER").when(inner.isNotNull(), "INNER_PLUS_PAD").otherwise("OUTER_MINUS_PAD")
-    score = F.when(chain.isNotNull(), 10).when(c("center").isNotNull(), 9).when(inner.isNotNull(), 8).otherwise(7)
-    ok = ~clash & value.isNotNull()
-    return g.select("doc_id", F.when(clash, "chain_conflict").when(value.isNull(), "insufficient").otherwise("auto").alias("status"), F.when(ok, tag).alias("formula"), F.when(ok, F.round(value, 6)).alias("center_x"), F.when(ok, score).alias("relation_score"))
+    j = pair("width", "pad_y", "pitch_y", "pad_width").join(pair("height", "pad_x", "center_x", "pad_height"), "doc_id")
+    return j.select("doc_id", F.lit("SOT3").alias("family"), F.lit("REL_SOT3_TWO_AXES").alias("formula"), "pad_x", "pad_y", "center_x", "pitch_y", F.lit(2).alias("relation_score"), (F.col("pad_x_score") + F.col("pad_y_score")).cast("int").alias("role_score"))
 
 
 def admit(candidate: DataFrame) -> DataFrame:
@@ -112,22 +127,6 @@ def role_direct(dimension: DataFrame) -> DataFrame:
     return g.select("doc_id", F.when(done, "solved").when(F.size(conflicts) > 0, "conflict").otherwise("insufficient").alias("status"), F.round(one["pad_x"], 6).alias("pad_x"), F.round(one["pad_y"], 6).alias("pad_y"), F.round(center, 6).alias("center_x"), F.array_join(conflicts, ",").alias("conflicts"))
 
 
-def prefill(dimension: DataFrame) -> DataFrame:
-    """The solution set gate: all sources' distinct solutions, the body, and the status ladder.
-
-    One land solution with a body on both axes is ``auto_unique``, without it ``auto_pads``; several or none are left to a person.
-    """
-    rel = pick(rel_two_pad(dimension)).where("status = 'unique'").select("doc_id", "solution")
-    direct = role_direct(dimension).where("status = 'solved'").withColumn("pitch_y", F.lit(None).cast("double")).select("doc_id", solution().alias("solution"))
-    every = rel.unionByName(direct).groupBy("doc_id").agg(F.count_distinct("solution").alias("solutions"), F.min("solution").alias("_s"))
-    body = labelled(dimension).where(F.col("belongs_to") == "package_outline").groupBy("doc_id").agg(F.count_distinct("axis").alias("body_axes"))
-    docs = dimension.select("doc_id").distinct()
-    out = docs.join(every, "doc_id", "left").join(body, "doc_id", "left")
-    one = F.coalesce(F.col("solutions") == 1, F.lit(False))
-    status = F.when(one & F.coalesce(F.col("body_axes") == 2, F.lit(False)), "auto_unique").when(one, "auto_pads").otherwise("manual_select")
-    return out.select("doc_id", status.alias("status"), F.when(one, F.col("_s")).alias("solution"), F.coalesce("solutions", F.lit(0)).alias("solutions"))
-
-
 def resolve_families(geometry: DataFrame, signature: DataFrame) -> DataFrame:
     """``signature(doc_id, family, signature)``: one signature is unique (with all its families), several conflict, none is no solution."""
     order = F.create_map(*[F.lit(x) for i, f in enumerate(K.FAMILIES) for x in (f, i)])
@@ -189,26 +188,37 @@ def rel_grid(dimension: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def rel_asym(dimension: DataFrame, pitch: DataFrame) -> DataFrame:
-    """One large and two small pads: unordered pairs of pad sizes on both axes (smaller: pad, larger: tab), an overall, a pitch of twice a half pitch or gap + pad that fits the outline's.
+    """One large and two small pads: an outer span, a smaller and a larger size on its axis and on the other, and a pitch that meets the outline's; score 6.
 
-    ``pitch(doc_id, pitches)`` from ``pitch_refs``. Pairs join on ord, so each unordered pair comes once.
+    Both orientations. The pitch is twice a further value across or that value and the small pad, and
+    must match ``pitch(doc_id, pitches)`` from ``pitch_refs`` (D14); candidates that don't are kept
+    out. Sizes are distinct values, so each pair of them comes once.
     """
-    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull()).select("doc_id", "ord", "axis", "effective_role", "value_mm").distinct()
-    pads = d.where("effective_role = 'pad'")
+    d = relation_rows(dimension)
+    land = d.where("belongs_to = 'solder_land'").select("doc_id", "axis", "value_mm", "ord", "role")
+    over = d.where("overall and (belongs_to = 'solder_land' or role = 'overall_span')").select("doc_id", F.col("axis").alias("sep"), F.col("value_mm").alias("overall"), F.col("ord").alias("_oo"), _scored(F.col("role"), "overall_span").alias("_so"))
 
-    def pair(axis: str, small: str, large: str) -> DataFrame:
-        one = pads.where(F.col("axis") == axis)
-        two = one.select("doc_id", F.col("ord").alias("o2"), F.col("value_mm").alias("v2"))
-        return one.join(two, "doc_id").where((F.col("ord") < F.col("o2")) & (F.abs(F.col("value_mm") - F.col("v2")) > 1e-9)).select("doc_id", F.least("value_mm", "v2").alias(small), F.greatest("value_mm", "v2").alias(large))
+    def pair(small: str, large: str, axis: str) -> DataFrame:
+        one = land.select("doc_id", F.col("axis").alias(axis), F.col("value_mm").alias(small), F.col("ord").alias(f"_o{small}"), F.when(F.col("role") == F.concat(F.lit("pad_"), "axis"), 2).otherwise(0).alias(f"_s{small}"))
+        two = land.select("doc_id", F.col("axis").alias(axis), F.col("value_mm").alias(large), F.col("ord").alias(f"_o{large}"), F.when(F.col("role") == F.concat(F.lit("tab_"), "axis"), 2).otherwise(0).alias(f"_s{large}"))
+        return one.join(two, ["doc_id", axis]).where(F.col(large) > F.col(small))
 
-    base = pair("x", "pad_x", "tab_x").join(pair("y", "pad_y", "tab_y"), "doc_id").join(d.where("effective_role = 'overall'").select("doc_id", F.col("value_mm").alias("overall")), "doc_id")
-    half = d.where(F.col("effective_role").isin("half_pitch", "half_pitch_from_centerline")).select("doc_id", F.lit("half_pitch_x2").alias("how"), (2 * F.col("value_mm")).alias("p"), F.lit(False).alias("plus"))
-    gap = d.where("effective_role = 'gap'").select("doc_id", F.lit("gap_plus_pad").alias("how"), F.col("value_mm").alias("p"), F.lit(True).alias("plus"))
-    j = base.join(half.unionByName(gap), "doc_id").withColumn("pitch_y", F.col("p") + F.when(F.col("plus"), F.col("pad_y")).otherwise(0.0)).join(pitch, "doc_id")
-    fits = F.exists("pitches", lambda p: F.abs(F.col("pitch_y") - p) <= 0.15 * p)
-    center = F.col("overall") - (F.col("pad_x") + F.col("tab_x")) / 2
-    r = lambda c: F.round(c, 6)
-    return j.where(fits & (center > 0)).select("doc_id", F.lit("ASYM3").alias("family"), F.concat(F.lit("REL_ASYM3_x_"), "how").alias("formula"), r("pad_x").alias("pad_x"), r("pad_y").alias("pad_y"), r("tab_x").alias("tab_x"), r("tab_y").alias("tab_y"), r(center).alias("center_x"), r("pitch_y").alias("pitch_y"), F.lit(6).alias("relation_score"))
+    c = F.col
+    j = over.join(pair("pad_x", "tab_x", "sep"), ["doc_id", "sep"]).where((c("overall") > c("tab_x")) & (c("_oo") != c("_opad_x")) & (c("_oo") != c("_otab_x")))
+    j = j.withColumn("cross", F.when(c("sep") == "width", "height").otherwise("width")).join(pair("pad_y", "tab_y", "cross"), ["doc_id", "cross"])
+    third = land.select("doc_id", F.col("axis").alias("cross"), F.col("value_mm").alias("_p"), F.col("ord").alias("_op"), "role")
+    j = j.join(third, ["doc_id", "cross"]).where(~c("_op").isin(c("_opad_y"), c("_otab_y"), c("_oo"))).join(pitch, "doc_id")
+    how = F.inline(F.array(
+        F.struct(F.lit("half_pitch_x2").alias("how"), (2 * c("_p")).alias("pitch_y"), _scored(c("role"), "half_pitch", "half_pitch_from_centerline").alias("_sh")),
+        F.struct(F.lit("gap_plus_pad").alias("how"), (c("_p") + c("pad_y")).alias("pitch_y"), _scored(c("role"), "pad_gap", "gap_between_pads").alias("_sh")),
+    ))
+    j = j.select("*", how).withColumn("center_x", c("overall") - (c("pad_x") + c("tab_x")) / 2)
+    ok = j.where((c("center_x") > 0) & relation_pitch_matches(c("pitch_y"), c("pitches")))
+    score = c("_so") + c("_spad_x") + c("_stab_x") + c("_spad_y") + c("_stab_y") + c("_sh")
+    r = lambda n: F.round(n, 6).alias(n)
+    cols = [r(n) for n in ("pad_x", "pad_y", "tab_x", "tab_y", "center_x", "pitch_y")]
+    out = ok.select("doc_id", F.lit("ASYM3").alias("family"), F.concat_ws("_", F.lit("REL_ASYM3"), "sep", "how").alias("formula"), *cols, F.lit(6).alias("relation_score"), score.cast("int").alias("role_score"))
+    return out.groupBy(*[n for n in out.columns if n != "role_score"]).agg(F.max("role_score").alias("role_score"))
 
 
 def decide_family(document: DataFrame, ep: DataFrame, inline: DataFrame, grid: DataFrame, pads: DataFrame) -> DataFrame:
@@ -245,29 +255,6 @@ def family_gate(decision: DataFrame, solved: DataFrame, count: DataFrame) -> Dat
     return j.select("doc_id", "family", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passes"))
 
 
-def dual_topology(dimension: DataFrame, pads: DataFrame, flags: DataFrame) -> DataFrame:
-    """Whether a document's lands form two rows: one separation axis, uniform pads longer across the rows, one pitch, n/2 or 3 + 2 pads a row.
-
-    ``pads(doc_id, pads)`` and ``flags(doc_id, land_and_paste, has_exposed_pad)``; the first rule that fails gives the status.
-    """
-    d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())
-    spans = F.collect_set(F.when(F.col("effective_role").isin("center", "gap", "overall"), F.col("axis")))
-    pitch = F.collect_set(F.when(F.col("effective_role") == "pitch", F.round("value_mm", 6)))
-    g = d.groupBy("doc_id").agg(_unique(d, "pad", "x").alias("along"), _unique(d, "pad", "y").alias("cross"), spans.alias("axes"), pitch.alias("pitches"))
-    j = g.join(pads, "doc_id", "left").join(flags, "doc_id", "left")
-    n = F.coalesce("pads", F.lit(0))
-    rules = (
-        (F.coalesce("has_exposed_pad", F.lit(False)), "reject_ep"), (F.coalesce("land_and_paste", F.lit(False)), "paste_comention"), (F.size("axes") != 1, "no_separation_axis"),
-        (F.col("along").isNull() | F.col("cross").isNull(), "pads_not_uniform"), (F.size("pitches") > 1, "pitch_not_unique"), (F.size("pitches") == 0, "not_applicable"),
-        (F.col("along") <= F.col("cross"), "pads_not_elongated"), ((n < 4) | ((n % 2 == 1) & (n != 5)), "row_counts"),
-    )
-    status = F.lit("auto")
-    for bad, name in reversed(rules):
-        status = F.when(F.coalesce(bad, F.lit(False)), name).otherwise(status)
-    left = F.when(status == "auto", F.ceil(n / 2).cast("int"))
-    return j.select("doc_id", status.alias("status"), left.alias("left_count"), F.when(status == "auto", (n - F.ceil(n / 2)).cast("int")).alias("right_count"))
-
-
 def symbol_combos(dimension: DataFrame) -> DataFrame:
     """A solution from rows named A, B and C (pad, cross pad, center), else from the first three land rows without a name; first values win."""
     d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())

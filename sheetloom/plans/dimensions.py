@@ -62,9 +62,6 @@ def d10_half_filter(spark, sf_dir):
     return D.half_filter(d.unionByName(extra)).select("doc_id", "sample_idx", "ord", "half", "excluded")
 
 
-def d11_pad_count(spark, sf_dir):
-    return D.pad_count(_dim(spark, sf_dir))
-
 
 def d12_normalize_roles(spark, sf_dir):
     return D.normalize_roles(_dim(spark, sf_dir)).select("doc_id", "sample_idx", "ord", "role_original", "role")
@@ -90,12 +87,6 @@ def d15_paste_check(spark, sf_dir):
     return D.paste_check(d.unionByName(paste))
 
 
-def d17_outer_max(spark, sf_dir):
-    return D.outer_max(_dim(spark, sf_dir)).withColumn("outer_mm", F.round("outer_mm", 6))
-
-
-def d18_planar_pair(spark, sf_dir):
-    return D.planar_pair(_dim(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("width_mm", "height_mm")})
 
 
 def d20_guards(spark, sf_dir):
@@ -165,8 +156,8 @@ def c10_token_votes(spark, sf_dir):
 
 
 QUERIES = [
-    d1_to_mm, d2_dedup_units, d3_dedup_candidates, d4_by_symbol, d5_pattern_role, d6_axis_and_relation, d9_land_rows, d10_half_filter, d11_pad_count, d12_normalize_roles, d13_unique_axis,
-    d14_pitch_refs, d15_paste_check, d17_outer_max, d18_planar_pair, d20_guards, d21_half_double, d22_provenance, c1_sample_gate, c2_consensus_keys, c3_canonical_endpoints, c4_align_slots,
+    d1_to_mm, d2_dedup_units, d3_dedup_candidates, d4_by_symbol, d5_pattern_role, d6_axis_and_relation, d9_land_rows, d10_half_filter, d12_normalize_roles, d13_unique_axis,
+    d14_pitch_refs, d15_paste_check, d20_guards, d21_half_double, d22_provenance, c1_sample_gate, c2_consensus_keys, c3_canonical_endpoints, c4_align_slots,
     c5_vote, c6_representative_row, c7_needs_third, c8_vote_document, c9_consensus_stats, c10_token_votes,
 ]
 
@@ -191,10 +182,8 @@ select *, half and count(*) filter (not half) over (partition by doc_id, sample_
     "d12_normalize_roles": f"""with {_LAB}, x as (select *, bool_or(role = 'pad_width') over w as hw, bool_or(role = 'pad_height') over w as hh from lab window w as (partition by doc_id, sample_idx))
 select doc_id, sample_idx, ord, role as role_original, case when role = 'other' and relation = 'pad' and axis = 'x' and not hw then 'pad_width' when role = 'other' and relation = 'pad' and axis = 'y' and not hh then 'pad_height' else role end as role from x""",
     "d13_unique_axis": f"with {_DIM} select doc_id, role, case when max(mm) - min(mm) <= {K.CONSISTENT} + 1e-12 then round(avg(mm), 6) end as value_mm, count(*) as n from dimension group by all",
-    "d17_outer_max": f"""with {_LAB}, g as (select doc_id, belongs_to, axis, count(distinct endpoints) as n, min(mm) as lo, max(mm) as hi from lab group by all)
-select doc_id, belongs_to, axis, case when n = 1 and hi - lo <= 0.2 * hi then 'unique' else 'ambiguous' end as status, case when n = 1 and hi - lo <= 0.2 * hi then round(hi, 6) end as outer_mm from g""",
-    "d18_planar_pair": f"""with {_LAB}, g as (select doc_id, count(distinct mm) filter (axis = 'x') as nx, count(distinct mm) filter (axis = 'y') as ny, min(mm) filter (axis = 'x') as x, min(mm) filter (axis = 'y') as y from lab where relation = 'pad' group by 1)
-select doc_id, case when nx = 0 or ny = 0 then 'none' when nx = 1 and ny = 1 then 'unique' else 'ambiguous' end as status, case when nx = 1 and ny = 1 then x end as width_mm, case when nx = 1 and ny = 1 then y end as height_mm from g""",
+
+
     "d22_provenance": f"""with {_DIM}, v as (select doc_id, cast(ord as varchar) as field, mm from dimension where sample_idx = 0),
 j as (select v.doc_id, field, count(*) as n, string_agg(sample_idx || ':' || ord, ',' order by sample_idx, ord) as r from v join dimension d on d.doc_id = v.doc_id and abs(d.mm - v.mm) <= {K.PROVENANCE_TOL} + 1e-12 group by all)
 select doc_id, field, coalesce(n, 0) as sources, coalesce(r, '') as "rows" from v left join j using (doc_id, field)""",

@@ -66,6 +66,31 @@ FROM {orders}"""
 DOCUMENT = "SELECT doc_id, concat('/corpus/', source, '/', CAST(doc_id AS STRING), '.pdf') AS path, text, source, lang FROM {documents}"
 
 
+#: A value of hundredths that differs from part to part: ``h`` and a multiple ``k`` of the part's own step.
+HUNDREDTHS = "(t.h + t.k * ((p_partkey * 7) % 50))"
+VALUE = f"concat(CAST(CAST(floor({HUNDREDTHS} / 100) AS BIGINT) AS STRING), '.', lpad(CAST({HUNDREDTHS} % 100 AS STRING), 2, '0'))"
+COLUMNS = ("v", "ord", "symbol", "role", "belongs_to", "endpoints", "note", "h", "k")
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], columns: tuple[str, ...]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({', '.join(columns)})"
+
+
+def variants(rows: list[tuple], modulus: int) -> str:
+    """Dimension rows by ``COLUMNS`` for every part whose key leaves the remainder ``v``; the raw text is the value and the note."""
+    return f"""SELECT p_partkey AS doc_id, t.ord, t.symbol, t.role, t.belongs_to, t.endpoints, 'mm' AS unit, {VALUE} AS value, concat({VALUE}, t.note) AS raw
+FROM {{part}} JOIN {values(rows, COLUMNS)} ON p_partkey % {modulus} = t.v"""
+
+
+def expected(rows: list[tuple], columns: tuple[str, ...], modulus: int) -> str:
+    """What a query must give for each part of a variant, by hand: columns ``h`` and ``k`` are there for ``HUNDREDTHS``."""
+    return f"(SELECT p_partkey AS doc_id, t.*, (p_partkey * 7) % 50 AS m FROM part JOIN {values(rows, ('v', *columns))} ON p_partkey % {modulus} = t.v)"
+
+
 def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The derived table ``sql`` over the Parquet tables of ``sf_dir``."""
     ship(spark)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dimensions as D
+from ..operators import marks as M
 from ..operators import pads as P
 from ..operators import relations as R
 from . import fixtures as fx
-from .dimensions import pitched
 
 
 def _dim(spark, sf_dir):
@@ -23,9 +22,6 @@ def r1_two_pad(spark, sf_dir):
     return R.rel_two_pad(_dim(spark, sf_dir)).select("doc_id", "formula", "pad_x", "pad_y", "center_x", "relation_score", "role_score")
 
 
-def r2_two_row(spark, sf_dir):
-    return R.rel_three(_dim(spark, sf_dir)).drop("family", "formula")
-
 
 def _pins(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), (2 + F.col("p_partkey") % 3).cast("int").alias("pin_count"))
@@ -44,11 +40,6 @@ def _grid(spark, sf_dir):
     return d.unionByName(up)
 
 
-def r3_asym(spark, sf_dir):
-    d = _dim(spark, sf_dir)
-    large = d.where("ord < 2").withColumns({"ord": F.col("ord") + 20, "value": (F.col("value").cast("decimal(10,2)") * 2).cast("string"), "role": F.when(F.col("ord") == 0, "pad_width").otherwise("pad_height")})
-    return R.rel_asym(d.unionByName(large), D.pitch_refs(pitched(d))).drop("family")
-
 
 def r4_inline(spark, sf_dir):
     return R.rel_inline(_inline(spark, sf_dir), _pins(spark, sf_dir)).select("doc_id", "pad_x", "pad_y", "center_x")
@@ -61,7 +52,7 @@ def r5_grid(spark, sf_dir):
 def r14_decide_family(spark, sf_dir):
     pins, d = _pins(spark, sf_dir), _dim(spark, sf_dir)
     ep = pins.select("doc_id", (F.col("doc_id") % 6 == 0).alias("has_exposed_pad"))
-    return R.decide_family(pins, ep, R.rel_inline(_inline(spark, sf_dir), pins), R.rel_grid(_grid(spark, sf_dir), pins), D.pad_count(d))
+    return R.decide_family(pins, ep, R.rel_inline(_inline(spark, sf_dir), pins), R.rel_grid(_grid(spark, sf_dir), pins), M.pad_count(d))
 
 
 def r15_pin_mapping(spark, sf_dir):
@@ -79,22 +70,12 @@ def r17_family_gate(spark, sf_dir):
     return R.family_gate(decision, solved, count)
 
 
-def r6_dual_topology(spark, sf_dir):
-    d = _dim(spark, sf_dir)
-    pitch = d.where("ord = 0 and doc_id % 4 <> 0").withColumns({"ord": F.lit(12), "role": F.lit("pitch"), "endpoints": F.lit("pin 1 -> pin 2")})
-    pads = d.select("doc_id").distinct().withColumn("pads", 4 + F.col("doc_id") % 3)
-    flags = pads.select("doc_id", (F.col("doc_id") % 9 == 0).alias("land_and_paste"), (F.col("doc_id") % 8 == 0).alias("has_exposed_pad"))
-    return R.dual_topology(d.unionByName(pitch), pads, flags)
-
 
 def r12_symbol_combos(spark, sf_dir):
     d = _dim(spark, sf_dir).withColumn("symbol", F.when((F.col("doc_id") % 3 != 0) & (F.col("ord") < 2), F.element_at(F.array(F.lit("A"), F.lit("b")), (F.col("ord") + 1).cast("int"))).when((F.col("doc_id") % 3 != 0) & (F.col("ord") == 4), "C").otherwise(""))
     return R.symbol_combos(d)
 
 
-def r7_dual_center(spark, sf_dir):
-    return R.rel_dual(_dim(spark, sf_dir))
-
 
 def r9_admit(spark, sf_dir):
     return R.admit(R.rel_two_pad(_dim(spark, sf_dir))).select("doc_id", "formula", "pad_x", "faults", "admitted")
@@ -108,9 +89,6 @@ def r11_role_direct(spark, sf_dir):
     return R.role_direct(_dim(spark, sf_dir))
 
 
-def r13_prefill(spark, sf_dir):
-    return R.prefill(_dim(spark, sf_dir))
-
 
 def r16_resolve_families(spark, sf_dir):
     geo = _geo(spark, sf_dir)
@@ -200,7 +178,7 @@ def p12_unchanged(spark, sf_dir):
 
 
 QUERIES = [
-    r1_two_pad, r2_two_row, r3_asym, r4_inline, r5_grid, r6_dual_topology, r12_symbol_combos, r14_decide_family, r15_pin_mapping, r17_family_gate, r7_dual_center, r9_admit, r10_pick, r11_role_direct, r13_prefill, r16_resolve_families, r18_missing_fields,
+    r1_two_pad, r4_inline, r5_grid, r12_symbol_combos, r14_decide_family, r15_pin_mapping, r17_family_gate, r9_admit, r10_pick, r11_role_direct, r16_resolve_families, r18_missing_fields,
     p1_expand_pads, p2_validate_geometry, p3_bounds, p4_visible_ranges, p5_paste_size, p6_geometry_signature, p8_diff_pads, p9_match_registry, p10_package_codes, p11_compare_values, p12_unchanged,
 ]
 
@@ -223,8 +201,8 @@ select doc_id, 'CHIP' as family, case when n = 1 then 'unique' else 'ambiguous'
 select doc_id, family, coalesce(array_to_string(f, ','), '') as reasons, len(f) = 0 as passes from r""",
     "p2_validate_geometry": f"""with {_GEO}, r as (select doc_id, list_filter([case when center_x <= pad_x then 'overlap_x' end, case when family in ('SOT3', 'GRID4', 'DUAL', 'QUAD_EP') and pitch_y <= pad_y then 'overlap_y' end], lambda x: x is not null) as f from geo) select doc_id, coalesce(array_to_string(f, ','), '') as reasons, len(f) = 0 as valid from r""",
     "p5_paste_size": f"with {_GEO} select doc_id, round(tab_x * sqrt(0.7), 6) as paste_x, round(tab_y * sqrt(0.7), 6) as paste_y from geo where family = 'QUAD_EP'",
-    "p10_package_codes": """with c as (select p_partkey as doc_id, list_distinct(list_filter([upper(case when p_partkey % 7 = 0 then '' else p_brand end), upper(case when p_partkey % 5 = 0 then p_type when p_partkey % 7 = 0 then '' else p_brand end)], lambda x: x <> '')) as l from part)
-select doc_id, case len(l) when 0 then 'none' when 1 then 'unique' else 'ambiguous' end as status, case when len(l) = 1 then l[1] end as package_code from c""",
+    "p10_package_codes": """with c as (select p_partkey as doc_id, case when p_partkey % 7 = 0 then '' else upper(p_brand) end as a, upper(case when p_partkey % 5 = 0 then p_type when p_partkey % 7 = 0 then '' else p_brand end) as b from part), l as (select *, list_distinct(list_filter([a, b], lambda x: x <> '')) as l from c)
+select doc_id, case len(l) when 0 then 'none' when 1 then 'unique' else 'ambiguous' end as status, case when len(l) = 1 then l[1] end as package_code, case when len(l) = 1 then case when a <> '' then 'a.package_code' else 'b[0].package_code' end end as path from l""",
     "p11_compare_values": f"""with {_GEO}, v as (select doc_id, 'pad_x' as field, pad_x as v from geo union all select doc_id, 'pad_y', pad_y from geo union all select doc_id, 'center_x', center_x from geo)
 select doc_id, field, case when doc_id % 11 = 0 and field = 'pad_x' then 'right_only' when doc_id % 8 = 0 and field = 'pad_y' then 'left_only' else 'differs' end as kind from v where (doc_id % 11 = 0 and field = 'pad_x') or (doc_id % 8 = 0 and field = 'pad_y') or doc_id % 5 = 0""",
     "p12_unchanged": f"with {_GEO} select doc_id, family, round(pad_x, 6) as pad_x from geo where doc_id % 50 = 0 union all select doc_id, family, round(pad_x + 1, 6) from geo where doc_id % 50 = 0",

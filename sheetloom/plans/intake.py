@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import review as V
+from ..session import scratch
 from ..sources import intake as S
 from . import fixtures as fx
 
@@ -125,8 +126,22 @@ def v12_record_id(spark, sf_dir):
     return V.record_id(_docs(spark, sf_dir))
 
 
+def s13_write_results(spark, sf_dir):
+    """A run's records written twice under one name: what its folder holds, by status."""
+    status = F.when(F.col("document_index") % 4 == 0, "pending_model").otherwise(F.col("status"))
+    r, out = _record(spark, sf_dir).withColumn("status", status), scratch(spark)
+    S.write_results(r, out, "run")
+    folder = S.write_results(r, out, "run")
+    read = lambda part: spark.read.schema(r.schema).json(f"{folder}/{part}")
+    queued = read("queue").groupBy("status").agg(F.count(F.lit(1)).alias("queued"))
+    g = read("results").groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.sum("document_index").alias("indexes"))
+    summary = spark.read.schema("status string, records long").json(f"{folder}/summary").withColumnRenamed("records", "summed")
+    commits = spark.read.parquet(f"{out}/commits").agg(F.count(F.lit(1)).alias("commits"))
+    return g.join(queued, "status", "left").join(summary, "status").join(commits).na.fill(0, ["queued"])
+
+
 QUERIES = [
-    s2_dedup_exact, s2_dedup_stats, s3_ledger, s4_tiers, s5_verify_hash, s6_artefacts, s10_validate, s11_body_samples, s12_pending, s14_redact, s15_reconcile,
+    s2_dedup_exact, s2_dedup_stats, s3_ledger, s4_tiers, s5_verify_hash, s6_artefacts, s10_validate, s11_body_samples, s12_pending, s13_write_results, s14_redact, s15_reconcile,
     v1_summary, v2_review_queue, v3_queue_counts, v4_apply_edits, v5_review_state, v7_key_checks, v8_mapping_check, v9_proposals, v12_record_id,
 ]
 
@@ -139,6 +154,7 @@ _QUEUE = "q as (select record_id, document_index, status, tier, status <> 'candi
 _ROLES = ", ".join(f"'{r}'" for r in S.ROLES)
 _PARTS = ", ".join(f"'{r}'" for r in S.PARTITIONS)
 ORACLES = {
+    "s13_write_results": f"with {_REC}, r as (select *, case when document_index % 4 = 0 then 'pending_model' else status end as s from record) select s as status, count(*) as records, cast(sum(document_index) as bigint) as indexes, count(*) filter (s = 'pending_model') as queued, count(*) as summed, cast(1 as bigint) as commits from r group by 1",
     "s2_dedup_exact": f"with {_DOC}, {_FIRST} select doc_id, first_doc_id, doc_id = first_doc_id as kept, copies from m",
     "s2_dedup_stats": f"with {_DOC}, {_FIRST} select count(*) as physical, count(*) filter (doc_id = first_doc_id) as \"unique\", count(*) filter (doc_id <> first_doc_id) as duplicate from m",
     "s3_ledger": f"""with {_DOC}, p as (select doc_id as pos, coalesce(case when doc_id % 3 = 0 then nullif(trim(path), '') end, case when doc_id % 7 <> 0 then nullif(trim(path), '') end) as path, content_sha256, lang as tier from document),

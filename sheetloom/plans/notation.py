@@ -58,13 +58,6 @@ def n7_extract_bounds(spark, sf_dir):
     return N.extract_bounds(_page(spark, sf_dir), _line(spark, sf_dir))
 
 
-def n9_fold_bounds(spark, sf_dir):
-    bound = N.extract_bounds(_page(spark, sf_dir), _line(spark, sf_dir))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"))
-    rows = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(r).alias("role"), F.lit(v).alias("value_mm")) for o, r, v in ((0, "body_length", 3.1), (1, "body_length", 2.9), (2, "body_width", 1.75), (3, "body_height", 1.45), (4, "pitch", 0.5))])
-    dim = part.select("doc_id", F.lit("package_outline").alias("belongs_to"), F.inline(rows))
-    return N.demote_pairs(N.fold_bounds(dim, bound))
-
 
 def n11_anchor(spark, sf_dir):
     dim = fx.load(spark, sf_dir, fx.DIMENSION).where("sample_idx = 0").select("doc_id", "ord", "value")
@@ -147,7 +140,7 @@ def m9_route_fallback(spark, sf_dir):
 
 
 QUERIES = [
-    n1_classify_lines, n2_notation_summary, n3_pair_values, n5_resolve_units, n6_accepted_values, n7_extract_bounds, n9_fold_bounds, n11_anchor, n12_anchor_used, n13_decimal_extension, n14_decimal_guard, d16_body_candidates,
+    n1_classify_lines, n2_notation_summary, n3_pair_values, n5_resolve_units, n6_accepted_values, n7_extract_bounds, n11_anchor, n12_anchor_used, n13_decimal_extension, n14_decimal_guard, d16_body_candidates,
     m1_match_terms, m2_context, m3_relation_gate, m4_resolve_identity, m5_representative, m6_frozen_match, m7_lookup_canonical, m8_body_cross_check, m9_route_fallback,
 ]
 

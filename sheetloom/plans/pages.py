@@ -212,7 +212,7 @@ has as (select distinct doc_id, land_page from lt)
 select land.doc_id, land.land_page, case when best.page is not null then 'selected_text_bound' when has.doc_id is not null and land.land_page > 1 then 'selected_model_binding_required' else 'no_safe_page' end as status,
   cast(case when best.page is not null then best.page when has.doc_id is not null and land.land_page > 1 then land.land_page - 1 end as int) as body_page, matched
 from land left join best on best.doc_id = land.doc_id and best.land_page = land.land_page and r = 1 left join has on has.doc_id = land.doc_id and has.land_page = land.land_page""",
-    "t18_comention": rf"with {_PAGE}, c as (select *, regexp_replace(lower(text), '[\s_\-:/()]+', '', 'g') as k from page) select doc_id, page, {_any('k', P.LAND_MARKS)} and {_any('k', P.PASTE_MARKS)} as land_and_paste, contains(lower(text), 'reflow') and contains(lower(text), 'wave') as reflow_and_wave from c",
+    "t18_comention": rf"with {_PAGE}, c as (select *, regexp_replace(lower(text), '[\s_\-:/()]+', '', 'g') as k from page) select doc_id, page, {_any('k', P.LAND_MARKS)} and {_any('k', P.PASTE_MARKS)} as land_and_paste, regexp_matches(lower(text), 're[\s-]*flow|回流') and regexp_matches(lower(text), 'wave|波峰') as reflow_and_wave from c",
     "t20_section_context": f"""with {_PAGE}, {_LINES}, o as (select *, case when regexp_matches(raw, '{P.LAND_SECTION}') then 'solder_land' when regexp_matches(raw, '{P.PACKAGE_SECTION}') then 'package_outline' end as own from lines)
 select doc_id, page, cast(line_no as int) as line_no, coalesce(last_value(own ignore nulls) over (partition by doc_id, page order by line_no rows between unbounded preceding and current row), 'unknown') as section from o""",
     "t21_declared_units": rf"""with {_PAGE}, f as (select doc_id, page, regexp_matches(lower(text), 'inches?\s*\(\s*millimeters?\s*\)') as a,

@@ -6,6 +6,9 @@ reason, never to an exception.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -174,10 +177,44 @@ def pending(document: DataFrame, record: DataFrame) -> DataFrame:
     return document.join(record.select("doc_id"), "doc_id", "left_anti")
 
 
-def write_results(record: DataFrame, path: str) -> None:
-    """Results as Parquet by status, and the queue of pending ones as JSON lines."""
-    record.write.mode("overwrite").partitionBy("status").parquet(f"{path}/results")
-    record.where("status = 'pending_model'").write.mode("overwrite").json(f"{path}/queue")
+def committed(spark: SparkSession, path: str, run_id: str | None = None) -> str | None:
+    """The folder of a run's results below ``path``, or of the latest run; None before any is committed."""
+    try:
+        runs = spark.read.parquet(f"{path}/commits")
+    except AnalysisException:  # nothing was ever committed here
+        return None
+    runs = runs if run_id is None else runs.where(F.col("run_id") == run_id)
+    # Of two writers of one run the first attempt counts, whoever reads.
+    first = runs.groupBy("run_id").agg(F.min(F.struct("at", "folder")).alias("m")).orderBy(F.desc("m.at")).select("m.folder").first()
+    return first and first["folder"]
+
+
+def write_results(record: DataFrame, path: str, run_id: str) -> str:
+    """``record(document_index, status, ...)`` of a run, redacted, written once however often it is tried; gives its folder.
+
+    ``results`` and ``queue`` (those that wait for the model) are JSON lines in the order of the
+    index, file by file; ``by_status`` has the results partitioned; ``summary`` counts each status.
+    All go to a folder of this attempt, and one commit row, written last, makes it the run's. A try
+    that dies leaves a folder that nobody reads; a repeated run writes nothing. Records without an
+    index come first; an empty table is committed too.
+    """
+    spark = record.sparkSession
+    if (done := committed(spark, path, run_id)) is not None:
+        return done
+    folder = f"{path}/attempt-{uuid.uuid4().hex}"
+    order = ["document_index"]
+    redact(record).repartitionByRange(*order).sortWithinPartitions(*order).write.json(f"{folder}/results")
+    kept = spark.read.schema(record.schema).json(f"{folder}/results")
+    kept.where("status = 'pending_model'").repartitionByRange(*order).sortWithinPartitions(*order).write.json(f"{folder}/queue")
+    kept.write.partitionBy("status").parquet(f"{folder}/by_status")
+    kept.groupBy("status").agg(F.count(F.lit(1)).alias("records")).coalesce(1).sortWithinPartitions("status").write.json(f"{folder}/summary")
+    _commit(spark, path, run_id, folder)
+    return committed(spark, path, run_id)
+
+
+def _commit(spark: SparkSession, path: str, run_id: str, folder: str) -> None:
+    row = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(folder).alias("folder"), F.current_timestamp().alias("at"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
 # What is taken out of string leaves.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.pages import rank_pages, score_pages
+from ..operators.pages import class_rank, score_pages
 
 
 def intake_dedup(document: DataFrame, delay: str = "1 hour", time_col: str = "arrived") -> DataFrame:
@@ -47,10 +48,49 @@ def progress_windows(record: DataFrame, width: str = "10 minutes", delay: str =
     return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "status", "records")
 
 
-def rank_batches(sink: Callable[[DataFrame, int], None], k: int = 3) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that ranks the pages of the documents in each micro-batch. A document's pages arrive together."""
+BEST = "pages array<int>, scores array<long>, ranks array<int>"
+RANKED = "doc_id long, pages array<int>, scores array<long>, page_classes array<string>"
+#: Classes of pages by rank.
+CLASSES = ("none", "dimension", "land")
 
-    def run(page: DataFrame, batch: int) -> None:
-        sink(rank_pages(score_pages(page), k), batch)
 
-    return run
+def ranked_pages(page: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` best pages of each document so far, one row for each document that a micro-batch touches.
+
+    The state of a document is its best pages only: a page that is not among the best of those seen
+    can't be among the best of more, so pages may come late and in any batch. A page that comes again
+    takes the better of its two decisions. Vetoed pages and pages without a score are no candidates.
+    """
+
+    def best(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        for pdf in batches:
+            held += zip(pdf["page"].tolist(), pdf["score"].tolist(), pdf["rank"].tolist())
+        found: dict[int, tuple] = {}
+        for p, score, rank in held:
+            found[p] = max(found.get(p, (rank, score, -p)), (rank, score, -p))
+        top = sorted(found.values(), reverse=True)[:k]
+        pages, scores, ranks = [-t[2] for t in top], [t[1] for t in top], [t[0] for t in top]
+        state.update((pages, scores, ranks))
+        yield pd.DataFrame({"doc_id": [key[0]], "pages": [pages], "scores": [scores], "page_classes": [[CLASSES[r] for r in ranks]]})
+
+    good = score_pages(page).where("score > 0 and not vetoed")
+    slim = good.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "score", class_rank(F.col("page_class")).alias("rank"))
+    return slim.groupBy("doc_id").applyInPandasWithState(best, RANKED, BEST, "update", "NoTimeout")
+
+
+def run_ranking(page: DataFrame, folder: str, k: int = 3) -> StreamingQuery:
+    """Z4 as a running query over all that is there: changes of each micro-batch go to a folder of its number, written over when the batch is repeated."""
+
+    def sink(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/ranked/batch={batch}")
+
+    return ranked_pages(page, k).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``run_ranking`` has written, as ``rank_pages`` gives it: the last change of each document."""
+    changes = spark.read.parquet(f"{folder}/ranked")
+    last = changes.groupBy("doc_id").agg(F.max_by(F.arrays_zip("pages", "scores", "page_classes"), "batch").alias("best"))
+    rows = last.select("doc_id", F.posexplode("best").alias("at", "b"))
+    return rows.select("doc_id", F.col("b.pages").alias("page"), F.col("b.scores").alias("score"), F.col("b.page_classes").alias("page_class"), (F.col("at") + 1).alias("rank"))
