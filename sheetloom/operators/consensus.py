@@ -5,6 +5,7 @@ Input: ``dimension(doc_id, sample_idx, ord, value, unit, role, belongs_to, endpo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import nfkc
+from ..functions.text import nfkc, once
 
 # Spellings of units.
 UNIT_NAMES = {"mm": ("mm", "millimeter", "millimeters", "millimetre", "millimetres", "毫米"), "in": ("in", "inch", "inches", '"', "英寸")}
@@ -90,27 +91,58 @@ def align_slots(dimension: DataFrame) -> DataFrame:
     aligned bucket by bucket, in time that grows with the cube of a sample's rows in it; a bucket has
     the rows of one value of one document.
     """
-    d = with_keys(dimension).withColumn("canon", canonical_endpoints(F.col("endpoints")))
+    d = once(with_keys(dimension).withColumn("canon", canonical_endpoints(F.col("endpoints"))))
     key = ["doc_id", "value_key", "unit_key"]
-    per = d.groupBy(*key, "sample_idx").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("partition") != "", F.col("partition"))).alias("p"))
-    easy = per.groupBy(*key).agg(F.max("n").alias("most"), F.size(F.array_distinct(F.flatten(F.collect_list("p")))).alias("parts")).withColumn("easy", (F.col("most") == 1) & (F.col("parts") <= 1))
-    d = d.join(easy.select(*key, "easy"), key)
+    bucket = W.partitionBy(*key)
+    named = F.collect_set(F.when(F.col("partition") != "", F.col("partition"))).over(bucket)
+    d = d.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*key, "sample_idx")))
+    d = d.withColumn("easy", (F.max("_n").over(bucket) == 1) & (F.size(named) <= 1)).drop("_n")
     names = F.concat_ws("|", "value_key", "unit_key")
     plain = d.where("easy").drop("easy").withColumn("slot", F.concat(names, F.lit("|0")))
     hard = d.where("not easy").drop("easy")
-    schema = T.StructType([*hard.schema.fields, T.StructField("slot", T.StringType())])
-    return plain.unionByName(hard.groupBy(*key).applyInPandas(_align, schema))
+    hard = hard.repartition(*key).sortWithinPartitions(*key, "sample_idx", "ord")
+    return plain.unionByName(hard.mapInPandas(_align_all, T.StructType([*hard.schema.fields, T.StructField("slot", T.StringType())])))
+
+
+def _align_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slots of sorted buckets, one after the other; a bucket that a batch cuts off waits for the rest of it."""
+    key, rest = ["doc_id", "value_key", "unit_key"], None
+
+    def aligned(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        keys = list(zip(*[pdf[c].tolist() for c in key]))
+        sample, part, canon = (pdf[c].tolist() for c in ("sample_idx", "partition", "canon"))
+        out, lo = [], 0
+        for hi in range(1, len(keys) + 1):
+            if hi == len(keys) or keys[hi] != keys[lo]:
+                out += [f"{keys[lo][1]}|{keys[lo][2]}|{k}" for k in _slots(sample[lo:hi], part[lo:hi], canon[lo:hi])]
+                lo = hi
+        return pdf.assign(slot=out)
+
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        last = pdf[key].iloc[-1].tolist()
+        same = len(pdf)
+        while same and pdf[key].iloc[same - 1].tolist() == last:
+            same -= 1
+        if same:
+            yield aligned(pdf.iloc[:same])
+        rest = pdf.iloc[same:]
+    if rest is not None and len(rest):
+        yield aligned(rest)
 
 
 # What it is worth that a row and a slot name their partition.
 PARTITION_SCORES = {(True, True): 100_000, (True, False): 80_000, (False, True): 60_000, (False, False): 40_000}
 
 
-def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Slots of one bucket. The largest sample (the earliest of equals) opens one slot a row; each other sample is assigned to the slots as a whole."""
-    pdf = pdf.sort_values(["sample_idx", "ord"], kind="stable").reset_index(drop=True)
-    part, canon = pdf["partition"].tolist(), pdf["canon"].tolist()
-    samples = {int(s): list(g.index) for s, g in pdf.groupby("sample_idx", sort=True)}
+def _slots(sample: list[int], part: list[str], canon: list[str]) -> list[int]:
+    """A slot for each row of a bucket in order of samples. The largest sample (the earliest of equals) opens one slot a row; each other sample is assigned to the slots as a whole."""
+    samples: dict[int, list[int]] = {}
+    for i, s in enumerate(sample):
+        samples.setdefault(s, []).append(i)
     first = max(samples, key=lambda s: (len(samples[s]), -s))
     slots = [[i] for i in samples[first]]
     near = cache(similarity)
@@ -124,7 +156,7 @@ def _align(pdf: pd.DataFrame) -> pd.DataFrame:
         for r, k in zip(samples[s], assign(worth), strict=True):
             slots.append([r]) if k is None else slots[k].append(r)
     of = {i: k for k, slot in enumerate(slots) for i in slot}
-    return pdf.assign(slot=[f"{v}|{u}|{of[i]}" for i, (v, u) in enumerate(zip(pdf["value_key"], pdf["unit_key"]))])
+    return [of[i] for i in range(len(sample))]
 
 
 def _partition_of(named: list[str]) -> str:
@@ -224,27 +256,34 @@ def used_samples(slot: DataFrame) -> DataFrame:
     return slot.join(third, "doc_id", "left").where((F.col("sample_idx") < 2) | F.coalesce("needs_third", F.lit(True)))
 
 
-def _majority(rows: DataFrame, column: str) -> DataFrame:
-    per = rows.groupBy("doc_id", "slot", column).agg(F.count(F.lit(1)).alias("_c"))
-    best = per.groupBy("doc_id", "slot").agg(F.max(F.struct("_c", column)).alias("_m"))
-    return best.select("doc_id", "slot", F.col("_m._c").alias(f"{column}_votes"), F.col(f"_m.{column}").alias(f"{column}_top"))
-
-
 def vote(slot: DataFrame) -> DataFrame:
     """Slots present in most samples, with role, partition and derivation by strict majority of all samples.
 
     Undecided roles and partitions become ``other``; an undecided derivation becomes true, which bars
-    the row from geometry. A strict majority has no ties, so any order will do.
+    the row from geometry. The rows of a slot are brought together once; whether a document needs its
+    third sample and how many samples vote are windows over its slots.
     """
-    rows = used_samples(slot)
-    n = rows.groupBy("doc_id").agg(F.count_distinct("sample_idx").alias("samples"))
-    one = lambda c: F.max_by(c, F.struct(-F.col("sample_idx"), -F.col("ord")))
-    base = rows.groupBy("doc_id", "slot").agg(F.count_distinct("sample_idx").alias("present"), one("value").alias("value"), F.min("unit_key").alias("unit"), F.min("ord").alias("ord"), F.count_distinct("role").alias("roles"))
-    out = base.join(n, "doc_id").where(F.col("present") * 2 > F.col("samples"))
-    for column, default in (("role", "other"), ("belongs_to", "other"), ("is_derived", True)):
-        out = out.join(_majority(rows, column), ["doc_id", "slot"])
-        out = out.withColumn(column, F.when(F.col(f"{column}_votes") * 2 > F.col("samples"), F.col(f"{column}_top")).otherwise(F.lit(default))).drop(f"{column}_votes", f"{column}_top")
-    return out.select("doc_id", "slot", "value", "unit", "role", "belongs_to", "is_derived", F.col("present").cast("int").alias("present"), F.col("samples").cast("int").alias("samples"), F.col("ord").alias("first_ord"))
+    row = F.struct("sample_idx", "ord", "value", "unit_key", "role", "belongs_to", "is_derived")
+    g = slot.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    doc = W.partitionBy("doc_id")
+    # Does any slot of the first two samples differ?
+    two = lambda c: F.array_distinct(F.transform(F.filter("rows", lambda r: r["sample_idx"] < 2), lambda r: r[c]))
+    pair = F.filter("rows", lambda r: r["sample_idx"] < 2)
+    differs = (F.size(pair) > 0) & ((F.size(pair) != 2) | (F.size(two("role")) > 1) | (F.size(two("belongs_to")) > 1) | (F.size(two("is_derived")) > 1))
+    g = g.withColumn("_third", F.coalesce(F.max(differs).over(doc), F.lit(True)) | ~F.max(F.size(pair) > 0).over(doc))
+    g = g.withColumn("rows", F.filter("rows", lambda r: (r["sample_idx"] < 2) | F.col("_third")))
+    used = F.transform("rows", lambda r: r["sample_idx"])
+    g = g.withColumns({"samples": F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(used)).over(doc)))), "present": F.size(F.array_distinct(used))})
+    g = once(g.where(F.col("present") * 2 > F.col("samples")))
+
+    def most(c: str, default) -> Column:
+        held = F.transform("rows", lambda r: r[c])
+        won = F.filter(F.array_distinct(held), lambda v: F.size(F.filter(held, lambda x: x.eqNullSafe(v))) * 2 > F.col("samples"))
+        return F.when(F.size(won) > 0, F.get(won, F.lit(0))).otherwise(F.lit(default)).alias(c)
+
+    first = F.get("rows", F.lit(0))
+    least = lambda c: F.array_min(F.transform("rows", lambda r: r[c]))
+    return g.select("doc_id", "slot", first["value"].alias("value"), least("unit_key").alias("unit"), most("role", "other"), most("belongs_to", "other"), most("is_derived", True), "present", "samples", least("ord").alias("first_ord"))
 
 
 @F.pandas_udf(T.IntegerType())
