@@ -165,6 +165,15 @@ _DIM = f"dimension as (select *, value || ' ' || unit as raw, cast(value as doub
 _DUAL = f"{_DIM}, inch as (select doc_id, sample_idx, ord + 10 as ord, role, belongs_to, endpoints, 'in' as unit, round(mm / 25.4 * case when doc_id % 3 = 0 then 1.05 else 1.0 end, 4) as v, raw from dimension where (doc_id + ord) % 5 = 0)"
 _LAB = f"""{_DIM}, lab as (select *, case when ord in (0, 2, 3, 4) then 'x' when ord = 1 then 'y' else 'x' end as axis, case ord when 0 then 'pad' when 1 then 'pad' when 2 then 'gap' when 3 then 'overall' when 4 then 'center' else 'outline' end as relation from dimension)"""
 ORACLES = {
+    "d15_paste_check": f"""with {_LAB}, l as (select doc_id, axis, arg_min(mm, (ord, mm)) as land from lab where relation = 'pad' and belongs_to = 'solder_land' group by all),
+q as (select distinct doc_id, axis, cast(value as decimal(10,2)) + case when doc_id % 6 = 0 then 1 else -0.1 end as paste, sample_idx, ord from lab where ord < 2 and doc_id % 2 = 0), f as (select doc_id, axis, arg_min(paste, (ord, paste)) as paste from q group by all), a as (select doc_id from l union select doc_id from f)
+select a.doc_id, bool_and(paste <= land + 1e-9) as paste_within_land from a left join (select doc_id, land, paste from l join f using (doc_id, axis)) p on p.doc_id = a.doc_id group by 1""",
+    "d20_guards": f"""with {_LAB}, g as (select doc_id, sample_idx, max(mm) filter (er = 'pad') as p, max(mm) filter (er = 'gap') as g, max(mm) filter (er = 'center') as c, max(mm) filter (er = 'overall') as o, max(mm) filter (belongs_to = 'package_outline') as b
+ from (select *, case when role = 'other' then case ord when 0 then 'x' else 'x' end else relation end as er0, case when role <> 'other' then relation else 'other' end as er from lab where axis = 'x') group by all),
+r as (select doc_id, sample_idx, list_filter([case when abs(g + p - c) > {K.GAP_TOL} * greatest(c, g + p) then 'gap_plus_pad' end, case when abs(g + 2 * p - o) > {K.CLOSURE} + 1e-9 then 'overall_closure' end, case when abs(c + p - o) > {K.CLOSURE} + 1e-9 then 'center_closure' end, case when b < p then 'body_below_pad' end, case when b > o then 'body_above_overall' end], lambda x: x is not null) as f from g)
+select doc_id, sample_idx, coalesce(array_to_string(f, ','), '') as reasons, len(f) = 0 as passes from r""",
+    "d21_half_double": f"""with {_DIM}, v as (select doc_id, cast(ord as varchar) as field, cast(value as decimal(20,6)) as v from dimension where sample_idx = 0), w as (select * from v union all select doc_id, 't', v * 2 from v where doc_id % 3 = 0 and field = '1')
+select a.doc_id, a.field as half_field, b.field as double_field from w a join w b on a.doc_id = b.doc_id and b.v = 2 * a.v and a.field <> b.field""",
     "d1_to_mm": f"with {_DIM} select doc_id, sample_idx, ord, cast(round(cast(cast(value as decimal(18,4)) * cast([1, 0.0254, 25.4][doc_id % 3 + 1] as decimal(10,4)) as double), 6) as double) as value_mm from dimension",
     "d2_dedup_units": f"""with {_DUAL}, hit as (select distinct i.doc_id, i.sample_idx, i.ord from inch i join dimension m on m.doc_id = i.doc_id and m.sample_idx = i.sample_idx and m.belongs_to = i.belongs_to and (m.endpoints = i.endpoints or m.raw = i.raw) where abs(v * 25.4 - m.mm) <= {K.DUAL_UNIT_TOL} * greatest(v * 25.4, m.mm))
 select doc_id, sample_idx, ord, false as dropped from dimension union all select i.doc_id, i.sample_idx, i.ord, h.ord is not null from inch i left join hit h using (doc_id, sample_idx, ord)""",

@@ -191,7 +191,24 @@ gap as (select doc_id, mm as v, named as nm from land where er = 'gap'), ovr as
 cand as (select pad.doc_id, 'REL_DIRECT_CENTER_x' as formula, round(pad.v, 6) as pad_x, round(crs.v, 6) as pad_y, round(ctr.v, 6) as center_x, 1 as relation_score, pad.nm + crs.nm + ctr.nm as role_score from pad join crs using (doc_id) join ctr using (doc_id) where ctr.v > pad.v
  union all select pad.doc_id, 'REL_GAP_PLUS_PAD_x', round(pad.v, 6), round(crs.v, 6), round(gap.v + pad.v, 6), case when exists (select 1 from ovr where ovr.doc_id = pad.doc_id and abs(ovr.v - gap.v - 2 * pad.v) <= 0.02 + 1e-9) then 4 else 2 end, pad.nm + crs.nm + gap.nm from pad join crs using (doc_id) join gap using (doc_id)
  union all select ovr.doc_id, 'REL_OVERALL_GAP_x', round((ovr.v - gap.v) / 2, 6), round(crs.v, 6), round(gap.v + (ovr.v - gap.v) / 2, 6), case when exists (select 1 from pad where pad.doc_id = ovr.doc_id and abs(pad.v - (ovr.v - gap.v) / 2) <= 0.02 + 1e-9) then 4 else 3 end, ovr.nm + gap.nm + crs.nm from ovr join gap using (doc_id) join crs using (doc_id) where ovr.v > gap.v)"""
+_ONE = "case when max({v}) - min({v}) <= 0.02 + 1e-12 then round(avg({v}), 6) end"
+_SIDE = lambda er, axis: _ONE.replace("{v}", f"case when er = '{er}' and axis = '{axis}' then mm end")
 ORACLES = {
+    "r4_inline": f"""with {_LAND}, every as (select doc_id, mm, axis, er from land where er <> 'center' union all select doc_id, mm, 'x', 'center' from dimension where ord = 4),
+g as (select doc_id, {_SIDE('pad', 'x')} as pad_x, {_SIDE('pad', 'y')} as pad_y, {_SIDE('center', 'x')} as center_x from every group by 1)
+select doc_id, pad_x, pad_y, center_x from g where 2 + doc_id % 3 = 3 and doc_id % 7 <> 0 and center_x > pad_x and pad_y is not null""",
+    "r5_grid": f"""with {_LAND}, up as (select doc_id, mm from dimension where ord = 4), every as (select doc_id, mm, axis, er from land where er <> 'center' union all select doc_id, mm, 'x', 'center' from up union all select doc_id, mm, 'y', 'center' from up where doc_id % 5 <> 0),
+g as (select doc_id, {_SIDE('pad', 'x')} as pad_x, {_SIDE('pad', 'y')} as pad_y, {_SIDE('center', 'x')} as center_x, {_SIDE('center', 'y')} as pitch_y from every group by 1)
+select * from g where 2 + doc_id % 3 = 4 and center_x > pad_x and pitch_y > pad_y""",
+    "r9_admit": f"with {_LAND} select doc_id, formula, pad_x, '' as faults, true as admitted from cand",
+    "r11_role_direct": f"""with {_LAND}, n as (select doc_id, count(distinct round(mm, 6)) filter (er = 'pad' and axis = 'x') as nx, count(distinct round(mm, 6)) filter (er = 'pad' and axis = 'y') as ny, count(distinct round(mm, 6)) filter (er = 'gap') as ng, count(distinct round(mm, 6)) filter (er = 'center') as nc,
+ min(mm) filter (er = 'pad' and axis = 'x') as x, min(mm) filter (er = 'pad' and axis = 'y') as y, min(mm) filter (er = 'gap') as g, min(mm) filter (er = 'center') as c from land group by 1), r as (select *, coalesce(c, g + x) as cx from n)
+select doc_id, case when x is not null and y is not null and cx is not null then 'solved' else 'insufficient' end as status, round(x, 6) as pad_x, round(y, 6) as pad_y, round(cx, 6) as center_x, '' as conflicts from r""",
+    "r12_symbol_combos": f"""with {_LAND}, s as (select doc_id, ord, mm, case when doc_id % 3 <> 0 then case ord when 0 then 'A' when 1 then 'B' when 4 then 'C' end end as symbol from dimension where belongs_to = 'solder_land'),
+g as (select doc_id, min(mm) filter (symbol = 'A') as a, min(mm) filter (symbol = 'B') as b, min(mm) filter (symbol = 'C') as c, list(mm order by ord) filter (symbol is null) as f from s group by 1),
+p as (select doc_id, case when a is not null and b is not null and c is not null then 'named' when len(f) >= 3 then 'by_order' else 'none' end as source, * exclude (doc_id) from g)
+select doc_id, source, case source when 'named' then a when 'by_order' then f[1] end as pad_x, case source when 'named' then b when 'by_order' then f[2] end as pad_y, case source when 'named' then c when 'by_order' then f[3] end as center_x,
+ coalesce(case source when 'named' then c > a when 'by_order' then f[3] > f[1] end, false) as consistent from p""",
     "r1_two_pad": f"with {_LAND} select doc_id, formula, pad_x, pad_y, center_x, cast(relation_score as int) as relation_score, cast(role_score as int) as role_score from cand",
     "r10_pick": f"""with {_LAND}, b as (select doc_id, format('{{:.6f}}|{{:.6f}}|{{:.6f}}|0.000000', pad_x, pad_y, center_x) as solution, max((relation_score, role_score, formula)) as m from cand group by all),
 t as (select *, rank() over (partition by doc_id order by m[1] desc, m[2] desc) as r from b), w as (select doc_id, count(*) as n, min(solution) as s, min(m[3]) as f, min(m[1]) as rs, min(m[2]) as os from t where r = 1 group by 1)

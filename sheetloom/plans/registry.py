@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dimensions, geometry, intake, notation, pages, solving, streams
+from . import dimensions, files, geometry, intake, notation, pages, solving, streams
 
-MODULES = (pages, intake, dimensions, geometry, notation, solving, streams)
+MODULES = (pages, intake, files, dimensions, geometry, notation, solving, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
