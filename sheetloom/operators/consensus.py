@@ -256,34 +256,45 @@ def used_samples(slot: DataFrame) -> DataFrame:
     return slot.join(third, "doc_id", "left").where((F.col("sample_idx") < 2) | F.coalesce("needs_third", F.lit(True)))
 
 
+def _voting(slot: DataFrame) -> DataFrame:
+    """``(doc_id, slot, all, rows, samples, present)``: the rows of each slot brought together once, ``rows`` those of samples that vote.
+
+    Whether a document needs its third sample and how many samples vote are windows over its slots.
+    """
+    row = F.struct("sample_idx", "ord", "value", "unit_key", "role", "belongs_to", "is_derived")
+    g = slot.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    doc = W.partitionBy("doc_id")
+    some = F.exists("all", lambda r: r["sample_idx"] < 2)
+    g = g.withColumn("_third", F.max(some & _differs(F.col("all"))).over(doc) | ~F.max(some).over(doc))
+    g = g.withColumn("rows", F.filter("all", lambda r: (r["sample_idx"] < 2) | F.col("_third")))
+    used = F.array_distinct(F.transform("rows", lambda r: r["sample_idx"]))
+    return once(g.withColumns({"samples": F.size(F.array_distinct(F.flatten(F.collect_list(used).over(doc)))), "present": F.size(used)}))
+
+
+def _differs(rows: Column) -> Column:
+    """Whether the first two samples differ in the presence, role, partition or derivation of a slot."""
+    pair = F.filter(rows, lambda r: r["sample_idx"] < 2)
+    kinds = lambda c: F.size(F.array_distinct(F.transform(pair, lambda r: r[c])))
+    return (F.size(pair) != 2) | (kinds("role") > 1) | (kinds("belongs_to") > 1) | (kinds("is_derived") > 1)
+
+
+def _most(c: str, default) -> Column:
+    """The value that more than half of the samples give a slot, else the default."""
+    held = F.transform("rows", lambda r: r[c])
+    won = F.filter(F.array_distinct(held), lambda v: F.size(F.filter(held, lambda x: x.eqNullSafe(v))) * 2 > F.col("samples"))
+    return F.when(F.size(won) > 0, F.get(won, F.lit(0))).otherwise(F.lit(default))
+
+
 def vote(slot: DataFrame) -> DataFrame:
     """Slots present in most samples, with role, partition and derivation by strict majority of all samples.
 
     Undecided roles and partitions become ``other``; an undecided derivation becomes true, which bars
-    the row from geometry. The rows of a slot are brought together once; whether a document needs its
-    third sample and how many samples vote are windows over its slots.
+    the row from geometry.
     """
-    row = F.struct("sample_idx", "ord", "value", "unit_key", "role", "belongs_to", "is_derived")
-    g = slot.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    doc = W.partitionBy("doc_id")
-    # Does any slot of the first two samples differ?
-    two = lambda c: F.array_distinct(F.transform(F.filter("rows", lambda r: r["sample_idx"] < 2), lambda r: r[c]))
-    pair = F.filter("rows", lambda r: r["sample_idx"] < 2)
-    differs = (F.size(pair) > 0) & ((F.size(pair) != 2) | (F.size(two("role")) > 1) | (F.size(two("belongs_to")) > 1) | (F.size(two("is_derived")) > 1))
-    g = g.withColumn("_third", F.coalesce(F.max(differs).over(doc), F.lit(True)) | ~F.max(F.size(pair) > 0).over(doc))
-    g = g.withColumn("rows", F.filter("rows", lambda r: (r["sample_idx"] < 2) | F.col("_third")))
-    used = F.transform("rows", lambda r: r["sample_idx"])
-    g = g.withColumns({"samples": F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(used)).over(doc)))), "present": F.size(F.array_distinct(used))})
-    g = once(g.where(F.col("present") * 2 > F.col("samples")))
-
-    def most(c: str, default) -> Column:
-        held = F.transform("rows", lambda r: r[c])
-        won = F.filter(F.array_distinct(held), lambda v: F.size(F.filter(held, lambda x: x.eqNullSafe(v))) * 2 > F.col("samples"))
-        return F.when(F.size(won) > 0, F.get(won, F.lit(0))).otherwise(F.lit(default)).alias(c)
-
-    first = F.get("rows", F.lit(0))
+    g = _voting(slot).where(F.col("present") * 2 > F.col("samples"))
     least = lambda c: F.array_min(F.transform("rows", lambda r: r[c]))
-    return g.select("doc_id", "slot", first["value"].alias("value"), least("unit_key").alias("unit"), most("role", "other"), most("belongs_to", "other"), most("is_derived", True), "present", "samples", least("ord").alias("first_ord"))
+    votes = [_most(c, default).alias(c) for c, default in (("role", "other"), ("belongs_to", "other"), ("is_derived", True))]
+    return g.select("doc_id", "slot", F.get("rows", F.lit(0))["value"].alias("value"), least("unit_key").alias("unit"), *votes, "present", "samples", least("ord").alias("first_ord"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -325,18 +336,41 @@ def vote_document(sample: DataFrame) -> DataFrame:
     return out
 
 
-def consensus_stats(slot: DataFrame) -> DataFrame:
-    """Per document how the samples agree, in one aggregate over slots."""
-    per = slot.groupBy("doc_id", "slot").agg(
-        F.count_distinct("sample_idx").alias("present"), F.bool_or(F.col("sample_idx") == 0).alias("a"), F.bool_or(F.col("sample_idx") == 1).alias("b"),
-        F.count_distinct(F.when(F.col("sample_idx") < 2, F.col("role"))).alias("r2"), F.count_distinct("role").alias("r"), F.count_distinct("belongs_to").alias("p"),
+def consensus_stats(slot: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Per document how its samples agree, in one aggregate over slots.
+
+    ``initial`` are the slots of the first two samples aligned by themselves; without it, the slots of
+    all samples stand for them. ``initial_*`` compare the first two, the other counts are of the vote:
+    slots kept and dropped, kept ones whose voting rows differ, roles downgraded to ``other``, and
+    kept ones that the first two left open and the vote gave a role.
+    """
+    count = lambda cond, name: F.count_if(cond).alias(name)
+    of = lambda rows, i: F.exists(rows, lambda r: r["sample_idx"] == i)
+    kinds = lambda rows, c: F.size(F.array_distinct(F.transform(rows, lambda r: r[c])))
+    g = _voting(slot)
+    role, kept, roles = _most("role", "other"), F.col("present") * 2 > F.col("samples"), F.transform("rows", lambda r: r["role"])
+    g = g.withColumns({"role": role, "kept": kept, "open": _differs(F.col("rows")), "named": F.exists(roles, lambda r: r != "other"), **{f"k_{c}": kinds("rows", c) for c in ("role", "belongs_to", "is_derived")}})
+    g = g.where(F.size("rows") > 0)
+    votes = g.groupBy("doc_id").agg(
+        F.max("samples").alias("sample_success_count"), F.count(F.lit(1)).alias("aligned_slot_count"), count(F.col("kept"), "consensus_dimension_count"), count(~F.col("kept"), "dropped_no_presence_majority_count"),
+        *[count(F.col("kept") & (F.col(f"k_{c}") > 1), name) for c, name in (("role", "role_vote_disagreement_count"), ("belongs_to", "belongs_to_disagreement_count"), ("is_derived", "is_derived_disagreement_count"))],
+        count(F.col("kept") & (F.col("role") == "other") & F.col("named"), "downgraded_other_count"), count(F.col("kept") & F.col("open") & (F.col("role") != "other"), "third_sample_majority_resolved_count"),
     )
-    both = F.col("a") & F.col("b")
-    return per.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("slots"), F.count_if(both & (F.col("r2") == 1)).alias("role_agreements"), F.count_if(both & (F.col("r2") > 1)).alias("role_disagreements"),
-        F.count_if(F.col("a") != F.col("b")).alias("presence_disagreements"), F.count_if(F.col("present") >= 2).alias("kept"), F.count_if(F.col("present") < 2).alias("dropped"),
-        F.count_if(F.col("r") > 1).alias("role_votes"), F.count_if(F.col("p") > 1).alias("partition_votes"),
+    two = slot.where("sample_idx < 2") if initial is None else initial
+    i = two.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "role", "belongs_to", "is_derived"))).alias("rows"))
+    both = of("rows", 0) & of("rows", 1)
+    differ = lambda c: both & (kinds("rows", c) > 1)
+    first = i.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("initial_key_union_count"), count(both & (kinds("rows", "role") == 1), "initial_role_agreement_count"), count(differ("role"), "initial_role_disagreement_count"),
+        count(differ("belongs_to"), "initial_belongs_to_disagreement_count"), count(differ("is_derived"), "initial_is_derived_disagreement_count"), count(of("rows", 0) != of("rows", 1), "initial_presence_disagreement_count"),
+        count(_differs(F.col("rows")), "initial_disagreement_count"),
     )
+    used = used_samples(slot).groupBy("doc_id", "sample_idx").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "n"))), lambda x: x["n"]).alias("sample_dimension_counts"))
+    out = votes.join(first, "doc_id", "left").join(used, "doc_id").withColumn("input_max_sample_dimension_count", F.array_max("sample_dimension_counts"))
+    third = F.coalesce(F.col("initial_disagreement_count") > 0, F.lit(True))
+    return out.withColumns({
+        "requested_base_samples": F.lit(2), "third_sample_triggered": third, "sample_attempt_count": F.when(third, 3).otherwise(2), "consensus_throughput_vs_max_sample": F.col("consensus_dimension_count") / F.col("input_max_sample_dimension_count"),
+    })
 
 
 def token_votes(token: DataFrame, least: int = 2) -> DataFrame:

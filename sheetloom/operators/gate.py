@@ -1,4 +1,4 @@
-"""The gate over all solutions of a document, and the ladder of states."""
+"""The family of a document from its lands, the gate over all its solutions, and the ladder of states."""
 
 from __future__ import annotations
 
@@ -6,14 +6,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as K
+from ..functions.text import any_of
 from .body import assign_body
-from .dimensions import labelled
+from .dimensions import labelled, to_mm
+from .marks import lowered, pad_count
 
 FIELDS = ("pad_x", "pad_y", "center_x", "center_y", "pitch_y", "pitch_x", "tab_x", "tab_y")
 #: What a family needs beyond pad_x, pad_y and center_x.
 NEEDS = {"SOT3": ("pitch_y",), "GRID4": ("pitch_y",), "DUAL": ("pitch_y",), "ASYM3": ("pitch_y", "tab_x", "tab_y"), "QUAD_EP": ("pitch_y", "tab_x", "tab_y")}
 
 
+# Marks of large pads, and metric units.
+LARGE = ("大焊盘", "大端子", "散热焊盘", "散热片", "thermal", "heat sink", "tab")
+METRIC = ("mm", "millimeter", "millimeters", "毫米")
+AREA = 1.15
+
+
+def pad_sizes(dimension: DataFrame) -> DataFrame:
+    """Per document the sizes of its large and small pads: the largest of each, and whether all of one kind agree within 0.02. Metric rows count where there are any."""
+    d = to_mm(dimension.withColumns({c: F.lit("") for c in ("raw",) if c not in dimension.columns})).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())
+    if "is_derived" in d.columns:
+        d = d.where(~F.coalesce("is_derived", F.lit(False)))
+    r = F.coalesce("role", F.lit(""))
+    large = r.isin("tab_width", "tab_height") | any_of(F.concat_ws(" ", r, lowered("endpoints"), lowered("raw")), LARGE)
+    d = d.withColumns({"large": large, "metric": F.regexp_replace(lowered("unit"), " ", "").isin(*METRIC)})
+    kinds = {"large_w": (True, ("pad_width", "tab_width")), "large_h": (True, ("pad_height", "tab_height")), "small_w": (False, ("pad_width",)), "small_h": (False, ("pad_height",))}
+    aggs = []
+    for name, (is_large, roles) in kinds.items():
+        for m in (True, False):
+            v = F.when((F.col("large") == is_large) & r.isin(*roles) & (F.col("metric") if m else F.lit(True)), F.col("value_mm"))
+            aggs += [F.max(v).alias(f"{name}_{int(m)}"), (F.max(v) - F.min(v) <= K.CONSISTENT + 1e-9).alias(f"{name}_same_{int(m)}")]
+    g = d.groupBy("doc_id").agg(F.bool_or("metric").alias("_m"), F.bool_or(F.col("large") & F.col("metric")).alias("_l1"), F.bool_or("large").alias("_l0"), *aggs)
+    pick = lambda n: F.when(F.col("_m"), F.col(f"{n}_1")).otherwise(F.col(f"{n}_0")).alias(n)
+    return g.select("doc_id", F.when(F.col("_m"), F.col("_l1")).otherwise(F.col("_l0")).alias("has_large"), *[pick(n) for k in kinds for n in (k, f"{k}_same")])
+
+
+def decide_family(document: DataFrame, dimension: DataFrame, quad: DataFrame, dual: DataFrame, inline: DataFrame, grid: DataFrame) -> DataFrame:
+    """The family of each ``document(doc_id, pin_count)`` from land evidence, by rungs; a sample's own proposal is never used.
+
+    ``quad`` and ``dual`` are topologies (R8, R6), ``inline`` and ``grid`` candidates (R4, R5). An exposed
+    pad is QUAD_EP where its topology stands, else ``reject_ep``. Two rows are DUAL, or what the
+    topology says of them. Then a line or grid; then two or three visible pads, as many as pins where
+    those are known: a large pad of more than 1.15 times the small ones' area is ASYM3, three equal
+    ones SOT3, two SMX. Anything else is ``insufficient``.
+    """
+    c = F.col
+    flag = lambda df, name: df.select("doc_id").distinct().withColumn(name, F.lit(True))
+    j = document.select("doc_id", "pin_count").join(quad.select("doc_id", F.col("status").alias("_quad")), "doc_id", "left").join(dual.select("doc_id", F.col("status").alias("_dual")), "doc_id", "left")
+    j = j.join(flag(inline, "_i"), "doc_id", "left").join(flag(grid, "_g"), "doc_id", "left").join(pad_count(dimension), "doc_id", "left").join(pad_sizes(dimension), "doc_id", "left")
+    no = lambda x: F.coalesce(x, F.lit(False))
+    agree = no(c("pads").isin(2, 3)) & no(c("pin_count").isNull() | (c("pin_count") == c("pads")))
+    same = lambda *ks: no(c(f"{ks[0]}_same")) & (no(c(f"{ks[1]}_same")) if len(ks) > 1 else F.lit(True))
+    bigger = same("large_w", "large_h") & same("small_w", "small_h") & no(c("large_w") * c("large_h") > AREA * c("small_w") * c("small_h"))
+    exposed, rows = no(c("_quad") != "not_applicable"), no(c("_dual") != "not_applicable")
+    by_size = (
+        F.when(no(c("has_large")), F.when(bigger, "ASYM3")).when((c("pads") == 3) & same("small_w", "small_h"), "SOT3").when((c("pads") == 2) & (c("small_w").isNotNull() | c("small_h").isNotNull()), "SMX")
+    )
+    family = (
+        F.when(exposed, F.when(c("_quad").isin("auto", "partial"), "QUAD_EP")).when(rows, F.when(c("_dual") == "auto", "DUAL")).when(no(c("_i")), "INLINE3").when(no(c("_g")), "GRID4").when(agree, by_size)
+    )
+    j = j.withColumn("family", family)
+    status = F.when(c("family").isNotNull(), "auto").when(exposed, "reject_ep").when(rows, c("_dual")).otherwise("insufficient")
+    return j.select("doc_id", status.alias("status"), "family", F.coalesce("pads", F.lit(0)).cast("long").alias("pads"))
+
+
 def spans(dimension: DataFrame) -> DataFrame:
     """``(doc_id, centers, totals)``: the center distances and outer spans that land rows state directly."""
     d = labelled(dimension).where((F.col("belongs_to") == "solder_land") & F.col("value_mm").isNotNull())

@@ -221,19 +221,6 @@ def rel_asym(dimension: DataFrame, pitch: DataFrame) -> DataFrame:
     return out.groupBy(*[n for n in out.columns if n != "role_score"]).agg(F.max("role_score").alias("role_score"))
 
 
-def decide_family(document: DataFrame, ep: DataFrame, inline: DataFrame, grid: DataFrame, pads: DataFrame) -> DataFrame:
-    """The family from land evidence, by priority; a sample's own proposal is never used.
-
-    ``document(doc_id, pin_count)``, ``ep(doc_id, has_exposed_pad)``, ``inline`` and ``grid`` candidates, ``pads(doc_id, pads)``.
-    """
-    j = document.join(ep.select("doc_id", "has_exposed_pad"), "doc_id", "left").join(inline.select("doc_id").distinct().withColumn("_i", F.lit(True)), "doc_id", "left")
-    j = j.join(grid.select("doc_id").distinct().withColumn("_g", F.lit(True)), "doc_id", "left").join(pads, "doc_id", "left")
-    agree = F.coalesce(F.col("pads") == F.col("pin_count"), F.col("pin_count").isNull() & F.col("pads").isNotNull(), F.lit(False))
-    family = F.when(F.col("_i"), "INLINE3").when(F.col("_g"), "GRID4").when(F.coalesce("has_exposed_pad", F.lit(False)), None).when(agree & (F.col("pads") == 3), "SOT3").when(agree & (F.col("pads") == 2), "SMX")
-    status = F.when(F.col("_i").isNotNull() | F.col("_g").isNotNull(), "auto").when(F.coalesce("has_exposed_pad", F.lit(False)), "reject_ep").when(family.isNotNull(), "auto").otherwise("insufficient")
-    return j.select("doc_id", status.alias("status"), family.alias("family"))
-
-
 def pin_mapping(dimension: DataFrame, expected: DataFrame) -> DataFrame:
     """Pad numbers that the ends name per side against ``expected(doc_id, side, number)``; the last number of a side counts."""
     pads = F.regexp_extract_all(F.lower(F.coalesce("endpoints", F.lit(""))), F.lit(r"((?:left|right|top|bottom) pad \d+)"), F.lit(1))

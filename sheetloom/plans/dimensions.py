@@ -147,7 +147,10 @@ def c8_vote_document(spark, sf_dir):
 
 
 def c9_consensus_stats(spark, sf_dir):
-    return C.consensus_stats(_slots(spark, sf_dir))
+    """Agreement over the repeated readings, of which now and then a row is missing, named differently or derived."""
+    d = _dim(spark, sf_dir).where("ord < 4").withColumn("value", F.concat((F.col("ord") + 1).cast("string"), F.lit(".00"))).withColumn("is_derived", F.expr("ord = 3 and sample_idx = 1"))
+    stats = C.consensus_stats(C.align_slots(d), C.align_slots(d.where("sample_idx < 2")))
+    return stats.withColumns({"sample_dimension_counts": F.array_join(F.transform("sample_dimension_counts", lambda x: x.cast("string")), ","), "consensus_throughput_vs_max_sample": F.round("consensus_throughput_vs_max_sample", 6)})
 
 
 def c10_token_votes(spark, sf_dir):
@@ -205,5 +208,15 @@ n as (select doc_id, count(*) as n, bool_or(paste) as paste_evidence, bool_or(sa
 f as (select doc_id, f as v, count(*) as c from t group by all), p as (select doc_id, p as v, count(*) as c from t group by all), l as (select doc_id, l as v, count(*) as c from t group by all)
 select n.doc_id, n.n, paste_evidence, case when r0 and r1 then 'pitch,r0,r1' when r0 then 'pitch,r0' else 'pitch,r1' end as unmarked_roles,
   coalesce((select v from f where f.doc_id = n.doc_id and c * 2 > n.n), 'other') as family_proposal, cast((select v from p where p.doc_id = n.doc_id and c * 2 > n.n) as int) as pin_count, coalesce((select v from l where l.doc_id = n.doc_id and c * 2 > n.n), false) as recommended_land_pattern from n""",
+    "c9_consensus_stats": f"""with {_DIM}, r as (select doc_id, sample_idx, ord, role, belongs_to, ord = 3 and sample_idx = 1 as v from dimension where ord < 4),
+i as (select doc_id, ord, count(*) filter (sample_idx = 0) as a, count(*) filter (sample_idx = 1) as b, count(distinct role) as kr, count(distinct belongs_to) as kb, count(distinct v) as kv from r where sample_idx < 2 group by all),
+f as (select doc_id, count(*) as u, count(*) filter (a = 1 and b = 1 and kr = 1) as same, count(*) filter (a = 1 and b = 1 and kr > 1) as dr, count(*) filter (a = 1 and b = 1 and kb > 1) as db, count(*) filter (a = 1 and b = 1 and kv > 1) as dv, count(*) filter (a <> b) as dp, count(*) filter (a <> b or kr > 1 or kb > 1 or kv > 1) as d from i group by 1),
+t as (select r.* from r left join f using (doc_id) where sample_idx < 2 or coalesce(d > 0, true)), n as (select doc_id, count(distinct sample_idx) as n from t group by 1), cnt as (select doc_id, sample_idx, count(*) as c from t group by all), sizes as (select doc_id, string_agg(cast(c as varchar), ',' order by sample_idx) as l, max(c) as m from cnt group by 1),
+s as (select doc_id, ord, count(*) as p, count(distinct role) as kr, count(distinct belongs_to) as kb, count(distinct v) as kv, max(role) filter (role <> 'other') as named, count(*) filter (role <> 'other') as c, count(*) filter (sample_idx = 0) as a, count(*) filter (sample_idx = 1) as b, count(distinct case when sample_idx < 2 then role end) as kr2, count(distinct case when sample_idx < 2 then v end) as kv2 from t group by all),
+w as (select s.*, n, p * 2 > n as kept, case when c * 2 > n then named else 'other' end as role, a <> 1 or b <> 1 or kr2 > 1 or kv2 > 1 as open from s join n using (doc_id))
+select w.doc_id, cast(max(n) as int) as sample_success_count, count(*) as aligned_slot_count, count(*) filter (kept) as consensus_dimension_count, count(*) filter (not kept) as dropped_no_presence_majority_count, count(*) filter (kept and kr > 1) as role_vote_disagreement_count, count(*) filter (kept and kb > 1) as belongs_to_disagreement_count,
+ count(*) filter (kept and kv > 1) as is_derived_disagreement_count, count(*) filter (kept and role = 'other' and c > 0) as downgraded_other_count, count(*) filter (kept and open and role <> 'other') as third_sample_majority_resolved_count, any_value(u) as initial_key_union_count, any_value(same) as initial_role_agreement_count, any_value(dr) as initial_role_disagreement_count,
+ any_value(db) as initial_belongs_to_disagreement_count, any_value(dv) as initial_is_derived_disagreement_count, any_value(dp) as initial_presence_disagreement_count, any_value(d) as initial_disagreement_count, any_value(l) as sample_dimension_counts, any_value(m) as input_max_sample_dimension_count, 2 as requested_base_samples,
+ coalesce(any_value(d) > 0, true) as third_sample_triggered, cast(case when coalesce(any_value(d) > 0, true) then 3 else 2 end as int) as sample_attempt_count, round(count(*) filter (kept) / any_value(m), 6) as consensus_throughput_vs_max_sample from w left join f using (doc_id) join sizes using (doc_id) group by 1""",
     "c10_token_votes": f"with {_DIM} select doc_id, 'CASE' || value as token, count(distinct sample_idx) as samples, count(distinct sample_idx) >= 2 as accepted from dimension group by all",
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import marks as M
 from ..operators import pads as P
 from ..operators import relations as R
 from . import fixtures as fx
@@ -49,11 +48,6 @@ def r5_grid(spark, sf_dir):
     return R.rel_grid(_grid(spark, sf_dir), _pins(spark, sf_dir)).select("doc_id", "pad_x", "pad_y", "center_x", "pitch_y")
 
 
-def r14_decide_family(spark, sf_dir):
-    pins, d = _pins(spark, sf_dir), _dim(spark, sf_dir)
-    ep = pins.select("doc_id", (F.col("doc_id") % 6 == 0).alias("has_exposed_pad"))
-    return R.decide_family(pins, ep, R.rel_inline(_inline(spark, sf_dir), pins), R.rel_grid(_grid(spark, sf_dir), pins), M.pad_count(d))
-
 
 def r15_pin_mapping(spark, sf_dir):
     pins = _pins(spark, sf_dir)
@@ -178,7 +172,7 @@ def p12_unchanged(spark, sf_dir):
 
 
 QUERIES = [
-    r1_two_pad, r4_inline, r5_grid, r12_symbol_combos, r14_decide_family, r15_pin_mapping, r17_family_gate, r9_admit, r10_pick, r11_role_direct, r16_resolve_families, r18_missing_fields,
+    r1_two_pad, r4_inline, r5_grid, r12_symbol_combos, r15_pin_mapping, r17_family_gate, r9_admit, r10_pick, r11_role_direct, r16_resolve_families, r18_missing_fields,
     p1_expand_pads, p2_validate_geometry, p3_bounds, p4_visible_ranges, p5_paste_size, p6_geometry_signature, p8_diff_pads, p9_match_registry, p10_package_codes, p11_compare_values, p12_unchanged,
 ]
 

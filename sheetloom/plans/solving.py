@@ -315,6 +315,29 @@ def r13_prefill(spark, sf_dir):
     return out.select("doc_id", "status", "solutions", "sources", *[F.round(c, 6).alias(c) for c in ("center_x", "body_x", "body_y")])
 
 
+# ---- R14: drawings of other sections and three of their own
+_PLAIN = lambda v, name, o, w, h: [(v, o, "", "pad_width", f"{name}左缘 -> {name}右缘", "", w, 0), (v, o + 1, "", "pad_height", f"{name}上缘 -> {name}下缘", "", h, 0)]
+LADDER = [
+    *[(0, *x[1:]) for x in QUAD if x[0] == 0], *[(1, *x[1:]) for x in QUAD if x[0] == 1], *[(2, *x[1:]) for x in DUALS if x[0] == 2], *[(3, *x[1:]) for x in DUALS if x[0] == 9],
+    *_PLAIN(4, "左焊盘", 0, 60, 80), *_PLAIN(4, "右焊盘", 2, 60, 80),
+    *_PLAIN(5, "左焊盘", 0, 60, 80), *_PLAIN(5, "右焊盘", 2, 60, 80), *_PLAIN(5, "上焊盘", 4, 61, 80),
+    *_PLAIN(6, "左小焊盘", 0, 60, 80), *_PLAIN(6, "右小焊盘", 2, 60, 80), *_PLAIN(6, "上大焊盘", 4, 180, 160),
+    *_PLAIN(7, "左焊盘", 0, 60, 80), *_PLAIN(7, "右焊盘", 2, 60, 80), *_PLAIN(7, "上焊盘", 4, 90, 80),  # three pads of two widths
+    *_PLAIN(8, "左焊盘", 0, 60, 80), *_PLAIN(8, "右焊盘", 2, 60, 80),  # two pads, three pins
+]
+LADDER_PINS = {0: 8, 1: 8, 2: 8, 3: 4, 4: None, 5: 3, 6: 3, 7: 3, 8: 3}
+FAMILIES = [(0, "auto", "QUAD_EP"), (1, "reject_ep", None), (2, "auto", "DUAL"), (3, "multi_family_conflict", None), (4, "auto", "SMX"), (5, "auto", "SOT3"), (6, "auto", "ASYM3"), (7, "insufficient", None), (8, "insufficient", None)]
+
+
+def r14_decide_family(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"))
+    which = F.col("doc_id") % 9
+    pins = F.coalesce(*[F.when(which == v, n) for v, n in LADDER_PINS.items() if n])
+    doc = part.select("doc_id", pins.cast("int").alias("pin_count"), (which < 2).alias("has_exposed_pad"), F.lit(False).alias("reflow_and_wave"))
+    d = fx.load(spark, sf_dir, fx.variants([(v, o, s, r, L, e, n, h, k) for v, o, s, r, e, n, h, k in LADDER], 9))
+    return G.decide_family(doc, d, Q.quad_topology(d, doc), U.dual_topology(d, doc), R.rel_inline(d, doc), R.rel_grid(d, doc)).select("doc_id", "status", "family")
+
+
 # ---- C4 on crowded buckets
 def c4_crowded_slots(spark, sf_dir):
     """Three samples with three rows of one value: the ends decide which belong together."""
@@ -327,7 +350,7 @@ def c4_crowded_slots(spark, sf_dir):
 
 
 QUERIES = [
-    d7_marks, d11_pad_count, d17_outer_max, d18_planar_pair, d19_body_axes, r8_exposed_pad, r6_dual_topology, r7_dual_center, r2_two_row, r3_asym, n8_dedup_bounds, n9_fold_bounds, r13_prefill, c4_crowded_slots,
+    d7_marks, d11_pad_count, d17_outer_max, d18_planar_pair, d19_body_axes, r8_exposed_pad, r6_dual_topology, r7_dual_center, r2_two_row, r3_asym, n8_dedup_bounds, n9_fold_bounds, r13_prefill, r14_decide_family, c4_crowded_slots,
 ]
 
 _MM = lambda h, k="1": f"round(cast({h} + {k} * m as double) / 100, 6)"
@@ -347,5 +370,6 @@ ORACLES = {
     "n8_dedup_bounds": f"select doc_id, line as max_line, place, {_MM('hi')} as max_mm, {_MM('lo')} as min_mm, source_unit from " + fx.expected(KEPT, ("line", "place", "hi", "lo", "source_unit"), 4),
     "n9_fold_bounds": f"select doc_id, ord, role, belongs_to, {_MM('h')} as value_mm, folded from " + fx.expected(FOLDED, ("ord", "role", "belongs_to", "h", "folded"), 4),
     "r13_prefill": f"select doc_id, status, cast(n as bigint) as solutions, sources, {_MM('cast(c as int)')} as center_x, {_MM('cast(x as int)')} as body_x, {_MM('cast(y as int)')} as body_y from " + fx.expected(GATED, ("status", "n", "sources", "c", "x", "y"), 7),
+    "r14_decide_family": "select doc_id, status, family from " + fx.expected(FAMILIES, ("status", "family"), 9),
     "c4_crowded_slots": "select p_partkey as doc_id, '1.00|mm|' || s as slot, cast(case when s = 2 then 2 else 3 end as bigint) as rows, cast(1 as bigint) as ends from part cross join (values (0), (1), (2)) t(s)",
 }
