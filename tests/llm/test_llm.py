@@ -303,6 +303,55 @@ def test_pii_model_adds_variants_only(spark):
     assert [(k, s[a:b]) for k, a, b in pii.added_spans(s, pii.base_spans(s), model)] == [("phone", "(456) 555-2186")]
 
 
+@pytest.fixture(scope="module")
+def fitted_pii(spark):
+    """The model as op10 fits it on the documents of sf0.01."""
+    return pii.SemiCrf(pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def prose_of(rows):
+    texts = [t[:600] for (t,) in duckdb.sql(f"select text from '/root/testdata/sf0.01/documents.parquet' where length(text) > 60 order by doc_id desc limit {rows}").fetchall()]
+    return [t for t in texts if not pii.base_spans(t)]
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_pii_fitted_on_documents_finds_held_back_forms(fitted_pii, kind):
+    rng, texts = random.Random(21), prose_of(400)
+    pen = pii.Writer([w for t in texts for w in re.findall("[A-Za-zÀ-ɏ]{2,}", t)], seed=99)
+    hit = false = 0
+    for _ in range(200):
+        s, t = pen.written(kind, pen.made(kind)), rng.choice(texts)
+        at = rng.choice([m.end() for m in re.finditer(" ", t)])
+        text = t[:at] + s + rng.choice((" ", ". ", ", ")) + t[at:]
+        base = pii.base_spans(text)
+        got = pii.added_spans(text, base, fitted_pii)
+        assert not any(a < d and c < b for _, a, b in base for _, c, d in got)
+        hit += (kind, at, at + len(s)) in got
+        false += sum(g != (kind, at, at + len(s)) for g in got)
+    assert hit / 200 >= 0.9 and hit / max(1, hit + false) >= 0.9
+
+
+def test_pii_fitted_on_documents_leaves_prose_alone(fitted_pii):
+    assert sum(len(pii.added_spans(t, pii.base_spans(t), fitted_pii)) for t in prose_of(1000)) <= 1
+    added = lambda s: [(k, s[a:b]) for k, a, b in pii.added_spans(s, pii.base_spans(s), fitted_pii)]
+    for kind, s in (("email", "joe.smith (at) mail.example.com"), ("email", "ann.lee at mail dot example dot com"), ("phone", "456-555-2186"), ("phone", "00 49 89 1234567"), ("phone", "+49 (0) 89 / 123 456 78"), ("ip", "10 . 0 . 0 . 1"), ("card", "4111.1111.1111.1111")):
+        assert added(f"write to {s} today") == [(kind, s)], s
+    assert added("joe.smith@mail.example.com today") == []  # a base span stands by itself
+
+
+def test_pii_query_equals_its_parts(spark, fitted_pii):
+    """The query against the model and the patterns applied row by row."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op10_pii(spark, "/root/testdata/sf0.01").collect()}
+    for r in docs.select("doc_id", "text").collect():
+        base = brute_spans(r.text or "")
+        want = sorted(base + pii.added_spans(r.text or "", base, fitted_pii), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        text = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        got = rows[r.doc_id]
+        assert got.spans == text(want) and got.base_sha256 == hashlib.sha256(text(base).encode()).hexdigest()
+        assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+
+
 def test_pii_zones_are_whole():
     s = "write to joe.smith at mail dot example dot com today"
     assert [[s[a:b] for a, b in z.at] for z in pii.zones(s, 12)] == [pii._TOKEN.findall(s)]
