@@ -91,16 +91,24 @@ BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
 def drawn(docs: DataFrame, rows: int) -> DataFrame:
-    """At least ``rows`` rows of ``docs``, those of the least hashes of doc_id: one number is sent to the driver, and no text."""
-    key = F.xxhash64("doc_id")
-    last = docs.select(key.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
-    return docs.where(key <= F.lit(last))
+    """``rows`` rows of ``docs``, those of the least hashes of doc_id; of rows that share the last hash the first in the files.
+
+    One hash and one row number are sent to the driver, and no text; however many rows share an id,
+    or have none, no more than ``rows`` are drawn.
+    """
+    key = F.struct(F.xxhash64("doc_id").alias("h"), F.monotonically_increasing_id().alias("row"))
+    numbered = docs.withColumn("_key", key)
+    last = numbered.select("_key").orderBy("_key").limit(rows).agg(F.max("_key").alias("m")).first()["m"]
+    if last is None:
+        return docs.limit(0)
+    inside = (F.col("_key.h") < last["h"]) | ((F.col("_key.h") == last["h"]) & (F.col("_key.row") <= last["row"]))
+    return numbered.where(inside).drop("_key")
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per unit of work on a sample of ``docs`` (doc_id, text), best first.
 
-    Rows with equal ids are drawn together, and the sample is aggregated where it lies. On an empty
+    The sample has at most ``sample_rows`` rows and is aggregated where it lies. On an empty
     table, or where nothing is rejected, the cheapest rule comes first; equal rules keep the order in
     which they were given.
     """

@@ -461,3 +461,45 @@ def test_byte_bpe_query_equals_tiktoken(spark, duck):
     texts = {i: t or "" for i, t in duck.execute("select doc_id, text from documents").fetchall()}
     want = {i: (len(ids := ref.encode_ordinary(t)), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in texts.items()}
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op4_byte_bpe(spark, DIR).collect()} == want
+
+
+def test_swapped_sentences_halve_false_positives_on_neutral_mentions():
+    """Half of the toxic sentences mention one group, few harmless ones do; neutral mentions of it must not count as toxic."""
+    rng = random.Random(8)
+    terms, plain, bad = list(toxicity.IDENTITY_TERMS), [f"w{k}" for k in range(300)], [f"slur{k}" for k in range(12)]
+    rows = []
+    for i in range(900):
+        toxic = i % 2
+        words = set(rng.sample(plain, 10))
+        if toxic and i % 4 == 1:
+            words |= {rng.choice(bad), terms[0]}
+        elif toxic:
+            words |= {rng.choice(bad)} if rng.random() < 0.5 else {terms[0], rng.choice(plain)}
+        elif i % 20 == 0:
+            words.add(terms[1])
+        v = toxicity.vector(words)
+        rows.append((i, toxic, v[0], v[1], sorted(words & set(terms))))
+    frame = toxicity.pd.DataFrame(rows, columns=["doc_id", "y", "idx", "val", "terms"])
+    neutral = [set(rng.sample(plain, 10)) | {terms[0]} for _ in range(300)]
+
+    def rate(w):
+        scorer = toxicity.Scorer(w)
+        return sum(scorer.logit(" ".join(words)) > 0 for words in neutral) / len(neutral), np.mean([(scorer.logit(b) > 0) for b in bad])
+
+    without, _ = rate(toxicity.fit_rows(frame, penalty=0.0))
+    wrong, caught = rate(toxicity.fit_rows(frame))
+    assert without > 0.5 and wrong <= without / 2 and caught == 1.0
+
+
+def test_a_rewritten_sentence_has_the_vector_of_its_words():
+    words = {"women", "wombat", "house"}
+    idx, val = toxicity.vector(words)
+    for out, into, want in (("women", "muslim", {"muslim", "wombat", "house"}), (None, "muslim", words | {"muslim"}), ("women", "wom", {"wom", "wombat", "house"})):
+        got, want = toxicity.rewritten(idx.astype(np.int64), val.astype(float), out, into), toxicity.vector(want)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_the_sample_of_the_rules_is_bounded_under_ties(spark):
+    docs = spark.range(5000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text").repartition(7)
+    assert quality_rules.drawn(docs, 256).count() == 256 and quality_rules.drawn(docs.limit(9), 256).count() == 9
+    assert quality_rules.drawn(docs.limit(0), 256).isEmpty() and quality_rules.apply_rules(docs).count() == 5000
