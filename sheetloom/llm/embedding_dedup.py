@@ -33,7 +33,7 @@ from .graph import connected_components
 
 THRESHOLD = 0.93
 #: Documented bounds: rows on which centroids are fitted, centroids, audited nodes.
-SAMPLE, MAX_CENTROIDS, AUDITED = 20_000, 4096, 64
+SAMPLE, MAX_CENTROIDS, AUDITED = 20_000, 4096, 256
 #: Home nodes a shard is meant to have, members of a block, shards that a node joins.
 SHARD, BLOCK, OVERLAP = 1024, 6144, 4
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK = 24, 64, 1.2, 48, 0.1
@@ -244,8 +244,11 @@ def adjacency(placed: DataFrame) -> DataFrame:
     return per_shard.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def range_search(placed: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
-    """``(kind, node, value)``: 'n' rows count the vectors a node links to in a block, 'f' rows are forest links."""
+def range_search(placed: DataFrame, near: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
+    """``(kind, node, value)``: 'n' rows count the vectors a node links to in a block, 'f' rows are forest links.
+
+    ``exact`` compares each asker with all members of the block instead of searching the graph.
+    """
     members = placed.join(near, "node")
     asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), (b == F.col("block")).alias("member")))
     dealt = members.withColumn("ask", F.explode(F.when(F.col("home"), asks).otherwise(F.array(F.struct(F.col("block"), F.lit(True).alias("member"))))))
@@ -265,14 +268,14 @@ def range_search(placed: DataFrame, near: DataFrame, threshold: float) -> DataFr
         if len(mem) and len(ask):
             x, nodes, n = _matrix(mem["v"]), mem["node"].to_numpy(), mem["n"].to_numpy()
             at = {v: i for i, v in enumerate(nodes.tolist())}
-            lists = reach(x, [np.array([at[v] for v in r if v in at], int) for r in mem["near"]], medoid(x))
-            adj = np.full((len(x), max(1, max(map(len, lists)))), -1)
+            lists = [] if exact else reach(x, [np.array([at[v] for v in r if v in at], int) for r in mem["near"]], medoid(x))
+            adj = np.full((len(x), max([1, *map(len, lists)])), -1)
             for i, r in enumerate(lists):
                 adj[i, : len(r)] = r
             q, q_nodes = _matrix(ask["v"]), ask["node"].to_numpy()
             start, links = medoid(x), np.empty((0, 2), np.int64)
             for lo in range(0, len(q), 256):
-                a, b = search(x, adj, q[lo : lo + 256], start, threshold)
+                a, b = np.nonzero(q[lo : lo + 256] @ x.T >= threshold) if exact else search(x, adj, q[lo : lo + 256], start, threshold)
                 other = q_nodes[lo + a] != nodes[b]
                 a, b = a[other] + lo, b[other]
                 total = np.bincount(a, weights=n[b], minlength=len(q)).astype(int)
@@ -288,12 +291,8 @@ def range_search(placed: DataFrame, near: DataFrame, threshold: float) -> DataFr
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Links that ``counts`` has over all links there are, of ``audited`` nodes compared with every row.
-
-    Half of the nodes are drawn from those with links, so that the measure has something to miss.
-    """
-    linked = counts.where("links > 0").select("node").orderBy(F.xxhash64("node")).limit(audited // 2)
-    some = nodes.select("node").orderBy(F.xxhash64("node")).limit(audited // 2).unionByName(linked).distinct()
+    """Links that ``counts`` has over all links there are, of ``audited`` nodes, drawn by hash alone, compared with every row."""
+    some = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(audited)
     asked = [(r["node"], r["label"], np.array(r["v"], float)) for r in nodes.join(F.broadcast(some), "node").select("node", "label", "v").collect()]
     if not asked:
         return 1.0
@@ -318,8 +317,8 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, audited: int =
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, block: int = BLOCK, overlap: int = OVERLAP, min_recall: float = MIN_RECALL) -> DataFrame:
     """``(vec_id, n_links, component_id, kept, recall)`` for every row of ``vectors`` (vec_id, embedding, label).
 
-    ``recall`` is what the last audit measured. It is below ``min_recall`` only where every node is in
-    all shards of its label already and the search still missed links.
+    ``recall`` is what the last audit measured. Below ``min_recall`` the nodes go to twice as many
+    shards; once every node is in all shards of its label, each block is compared exactly instead.
 
     Null, zero and non-finite vectors, vectors with a null component, and rows with a null label
     link with nothing: n_links 0, component_id their own vec_id. Vectors of different length never
@@ -331,16 +330,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     good = usable(rows)
     # One node for each distinct vector of a label, named by its smallest vec_id.
     copies = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    cents = centroids(copies, shard)
+    cents, exact = centroids(copies, shard), False
     while True:
         placed = cut(blocks(assign(copies, cents, overlap), block))
-        found = cut(range_search(placed, adjacency(placed), threshold))
+        found = cut(range_search(placed, adjacency(placed), threshold, exact))
         counts = found.where("kind = 'n'").groupBy("node").agg(F.sum("value").alias("links"))
         widest = max([1, *map(len, cents.values())])
         recall = audit(copies, counts, threshold)
-        if recall >= min_recall or overlap >= widest:
+        if recall >= min_recall or exact:
             break
-        overlap *= 2
+        overlap, exact = min(2 * overlap, max(widest, overlap)), overlap >= widest
     comp = connected_components(found.where("kind = 'f'").select(F.col("node").alias("a"), F.col("value").alias("b")))
     node = copies.join(counts, "node", "left").join(comp, "node", "left")
     node = node.select("label", "v", F.col("node").alias("_node"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

@@ -503,3 +503,15 @@ def test_the_sample_of_the_rules_is_bounded_under_ties(spark):
     docs = spark.range(5000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text").repartition(7)
     assert quality_rules.drawn(docs, 256).count() == 256 and quality_rules.drawn(docs.limit(9), 256).count() == 9
     assert quality_rules.drawn(docs.limit(0), 256).isEmpty() and quality_rules.apply_rules(docs).count() == 5000
+
+
+def test_a_low_recall_ends_in_exact_blocks(spark):
+    """With a bound that no audit can meet, shards widen and blocks are compared exactly: all links, none else."""
+    rng = np.random.default_rng(12)
+    base = embedding_dedup.unit(rng.normal(size=(40, 16)))
+    x = embedding_dedup.unit(np.repeat(base, 20, axis=0) + 0.09 * rng.normal(size=(800, 16)))
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(df, shard=200, block=150, overlap=1, min_recall=1.1).toPandas().sort_values("vec_id")
+    hit = x @ x.T >= 0.93
+    assert got.n_links.tolist() == (hit.sum(axis=1) - 1).tolist() and (got.recall == 1.0).all()
