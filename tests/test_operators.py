@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,8 +78,7 @@ def test_samples_load_bare_and_wrapped(spark):
 
 
 def test_slot_assignment_is_exact():
-    score = {(0, 0): 5, (0, 1): 4, (1, 0): 5, (1, 1): None}
-    assert C._assign([0, 1], [[9], [8]], lambda r, k: score[r, k]) == [1, 0]
+    assert C.assign(np.array([[5, 4], [5, -1]])) == [1, 0]
 
 
 def test_hard_buckets_align(spark):
@@ -199,9 +199,13 @@ def test_rows_without_partition_go_to_explicit_slots():
     import pandas as pd
 
     rows = [(0, 0, "lands", "a"), (0, 1, "", "a"), (1, 0, "", "a")]
-    pdf = pd.DataFrame(rows, columns=["sample_idx", "ord", "partition", "canon"]).assign(value_key="1", unit_key="mm")
-    got = C._align(pdf)
+    pdf = pd.DataFrame(rows, columns=["sample_idx", "ord", "partition", "canon"]).assign(doc_id=7, value_key="1", unit_key="mm")
+    (got,) = C._align_all(iter([pdf]))
     assert got["slot"].tolist() == ["1|mm|0", "1|mm|1", "1|mm|0"]
+    # Buckets come out the same however batches cut them.
+    many = pd.concat([pdf.assign(doc_id=i) for i in range(4)], ignore_index=True)
+    parts = [many.iloc[a:b] for a, b in ((0, 1), (1, 5), (5, 5), (5, 8), (8, 12))]
+    assert pd.concat(C._align_all(iter(parts)))["slot"].tolist() == got["slot"].tolist() * 4
 
 
 def test_outline_pitches_and_their_range(spark):

@@ -9,8 +9,6 @@ from sheetloom.plans import registry
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-#: Slow plans; run with TEST_ALL=1.
-SLOW = {"n7_extract_bounds", "t9_rank_pages", "t10_fallback_pages", "t11_suggest", "t12_select_page", "r10_pick"}
 
 
 @pytest.fixture(scope="session")
@@ -23,8 +21,6 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
-    if name in SLOW and not os.environ.get("TEST_ALL"):
-        pytest.skip("slow")
     want = duck.execute(ORACLES[name]).to_arrow_table()
     got = QUERIES[name](spark, DIR)
     cols = sorted(want.column_names)
