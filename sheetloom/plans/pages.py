@@ -96,7 +96,11 @@ def t18_comention(spark, sf_dir):
 
 
 def t19_ep_evidence(spark, sf_dir):
-    return P.ep_evidence(_page(spark, sf_dir), _dim(spark, sf_dir))
+    """Every fourth document names an exposed pad on its third page, in full-width letters; the next one in the role that a reading gave."""
+    k = F.col("doc_id") % 4
+    page = _page(spark, sf_dir).withColumn("text", F.when((k == 0) & (F.col("page") == 3), F.concat("text", F.lit("\nＥxposed  Pad"))).otherwise(F.col("text")))
+    dim = _dim(spark, sf_dir).withColumn("role_original", F.when((k == 1) & (F.col("ord") == 3), "Thermal Pad-Width").otherwise(""))
+    return P.ep_evidence(page, dim)
 
 
 def t20_section_context(spark, sf_dir):
@@ -213,6 +217,8 @@ select land.doc_id, land.land_page, case when best.page is not null then 'select
   cast(case when best.page is not null then best.page when has.doc_id is not null and land.land_page > 1 then land.land_page - 1 end as int) as body_page, matched
 from land left join best on best.doc_id = land.doc_id and best.land_page = land.land_page and r = 1 left join has on has.doc_id = land.doc_id and has.land_page = land.land_page""",
     "t18_comention": rf"with {_PAGE}, c as (select *, regexp_replace(lower(text), '[\s_\-:/()]+', '', 'g') as k from page) select doc_id, page, {_any('k', P.LAND_MARKS)} and {_any('k', P.PASTE_MARKS)} as land_and_paste, regexp_matches(lower(text), 're[\s-]*flow|回流') and regexp_matches(lower(text), 'wave|波峰') as reflow_and_wave from c",
+    "t19_ep_evidence": f"""with {_PAGE}, d as (select distinct doc_id from ({fx.duck(fx.DIMENSION)}) where ord = 3), p as (select distinct doc_id from page union select doc_id from ({fx.duck(fx.DIMENSION)}))
+select p.doc_id, p.doc_id % 4 = 0 or (p.doc_id % 4 = 1 and d.doc_id is not null) as has_exposed_pad, case when p.doc_id % 4 = 0 then 'page:exposed pad' when p.doc_id % 4 = 1 and d.doc_id is not null then 'dimension:thermal_pad_width' else 'none' end as reason from p left join d using (doc_id)""",
     "t20_section_context": f"""with {_PAGE}, {_LINES}, o as (select *, case when regexp_matches(raw, '{P.LAND_SECTION}') then 'solder_land' when regexp_matches(raw, '{P.PACKAGE_SECTION}') then 'package_outline' end as own from lines)
 select doc_id, page, cast(line_no as int) as line_no, coalesce(last_value(own ignore nulls) over (partition by doc_id, page order by line_no rows between unbounded preceding and current row), 'unknown') as section from o""",
     "t21_declared_units": rf"""with {_PAGE}, f as (select doc_id, page, regexp_matches(lower(text), 'inches?\s*\(\s*millimeters?\s*\)') as a,
