@@ -132,12 +132,12 @@ def fallback_pages(page: DataFrame, ranked: DataFrame, k: int = SUGGESTIONS) ->
 
 
 def suggest(page: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
-    """Per document the page count, parse status, whether any suggestion is a land page, and the suggestions."""
-    ranked = rank_pages(score_pages(page), k)
-    spare = fallback_pages(page, ranked, k).select("doc_id", "page", F.lit(0).cast("long").alias("score"), F.lit("none").alias("page_class"), F.col("page").alias("rank"))
-    picks = ranked.unionByName(spare).groupBy("doc_id").agg(F.bool_or(F.col("page_class") == "land").alias("has_land_signal"), F.array_sort(F.collect_list(F.struct("rank", "page"))).alias("_p"))
+    """Per document the page count, parse status, whether any suggestion is a land page, and the suggestions; pages are scored once, the fallback of T10 fills the rest."""
+    picks = rank_pages(score_pages(page), k).groupBy("doc_id").agg(F.bool_or(F.col("page_class") == "land").alias("land"), F.array_sort(F.collect_list(F.struct("rank", "page"))).alias("_p"))
     docs = page.groupBy("doc_id").agg(F.count("text").alias("page_count"))
-    return docs.join(picks, "doc_id").select("doc_id", "page_count", F.when(F.col("page_count") > 0, "ok").otherwise("pdf_parse_error").alias("parse_status"), "has_land_signal", F.array_join(F.transform("_p", lambda s: s["page"].cast("string")), ",").alias("pages"))
+    spare = F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.col("page_count").cast("int"))))
+    pages = F.coalesce(F.transform("_p", lambda s: s["page"].cast("string")), F.transform(spare, lambda i: i.cast("string")))
+    return docs.join(picks, "doc_id", "left").select("doc_id", "page_count", F.when(F.col("page_count") > 0, "ok").otherwise("pdf_parse_error").alias("parse_status"), F.coalesce("land", F.lit(False)).alias("has_land_signal"), F.array_join(pages, ",").alias("pages"))
 
 
 def select_page(page: DataFrame) -> DataFrame:

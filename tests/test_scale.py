@@ -1,5 +1,6 @@
 """Work that must spread over tasks, and costly expressions that must be evaluated once."""
 
+from sheetloom.operators import pages as T
 from sheetloom.plans import fixtures as fx
 
 DIR = "/root/testdata/sf0.001"
@@ -14,3 +15,10 @@ def test_derived_rows_spread_over_tasks(spark):
     assert page.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     held = page.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert max(held) <= sum(held) / 4
+
+
+def test_suggestions_score_a_page_once(spark):
+    rows = [(1, 1, "Recommended land pattern"), (1, 2, "nothing"), (2, 1, "x"), (2, 2, None), (2, 3, "y"), (3, 1, None)]
+    got = T.suggest(spark.createDataFrame(rows, "doc_id int, page int, text string"))
+    assert plan(got).count(" Window [") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "ok", True, "1"), (2, 2, "ok", False, "1,2"), (3, 0, "pdf_parse_error", False, "1")]
