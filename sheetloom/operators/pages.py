@@ -27,8 +27,8 @@ def _full_lines(text: Column) -> Column:
 
 def term_counts(page: DataFrame, terms) -> DataFrame:
     """``(doc_id, page, term, n)`` for the terms that a page holds."""
-    hits = term_hits(normalize(F.col("text"), "lower"), tuple(dict.fromkeys(terms)))
-    return page.select("doc_id", "page", F.inline(hits).alias("term", "n"))
+    p = once(page.select("doc_id", "page", normalize(F.col("text"), "lower").alias("_t")))
+    return p.select("doc_id", "page", F.inline(term_hits(F.col("_t"), tuple(dict.fromkeys(terms)))).alias("term", "n"))
 
 
 def stem_counts(page: DataFrame) -> DataFrame:

@@ -17,6 +17,13 @@ def test_derived_rows_spread_over_tasks(spark):
     assert max(held) <= sum(held) / 4
 
 
+def test_terms_normalise_a_text_once(spark):
+    df = spark.createDataFrame([(1, 1, "Land  Pattern\nland pattern")], "doc_id int, page int, text string")
+    got = T.term_counts(df, ("land pattern", "pattern", "pad"))
+    assert plan(got).count("regexp_replace") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "land pattern", 2), (1, 1, "pattern", 2)]
+
+
 def test_suggestions_score_a_page_once(spark):
     rows = [(1, 1, "Recommended land pattern"), (1, 2, "nothing"), (2, 1, "x"), (2, 2, None), (2, 3, "y"), (3, 1, None)]
     got = T.suggest(spark.createDataFrame(rows, "doc_id int, page int, text string"))
