@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import terms as K
+from ..functions.text import once
 
 CONTEXT = 3
 
@@ -17,9 +18,13 @@ def term_pattern(term: Column) -> Column:
     return F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.array_join(pieces, r"[\s\-_/]*"), F.lit("(?![A-Za-z0-9])"))
 
 
-def keys_of(text: Column) -> Column:
-    """Upper-case letter and digit runs of a line, and their joins of up to six runs: what a term's key may equal."""
-    runs = F.regexp_extract_all(F.upper(text), F.lit("([A-Z]+|[0-9]+)"), F.lit(1))
+def runs_of(text: Column) -> Column:
+    """Upper-case letter and digit runs of a text."""
+    return F.regexp_extract_all(F.upper(text), F.lit("([A-Z]+|[0-9]+)"), F.lit(1))
+
+
+def keys_of(runs: Column) -> Column:
+    """Runs of a line and their joins of up to six runs: what a term's key may equal. ``runs`` is a column, so that no join reads the line again."""
     joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(runs), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.array_join(F.slice(runs, i, n), "")))
     return F.array_distinct(F.flatten(joined))
 
@@ -30,8 +35,9 @@ def match_terms(line: DataFrame, term: DataFrame) -> DataFrame:
     Lines are first joined to terms on equal keys (runs of letters and digits put together), a hash
     join that no dictionary size turns into a nested loop; the exact pattern then decides.
     """
-    t = term.withColumns({"_key": F.array_join(F.regexp_extract_all(F.upper("term"), F.lit("([A-Z]+|[0-9]+)"), F.lit(1)), ""), "_pattern": term_pattern(F.col("term"))})
-    rows = line.where("norm <> ''").withColumn("_key", F.explode(keys_of(F.col("norm"))))
+    t = term.withColumns({"_key": F.array_join(runs_of(F.col("term")), ""), "_pattern": term_pattern(F.col("term"))})
+    runs = once(line.where("norm <> ''").withColumn("_runs", runs_of(F.col("norm"))))
+    rows = runs.withColumn("_key", F.explode(keys_of(F.col("_runs")))).drop("_runs")
     hit = rows.join(t, "_key").where(F.regexp_like("norm", F.col("_pattern")))
     return hit.withColumn("offset", F.regexp_instr("norm", F.col("_pattern")) - 1).drop("_key", "_pattern").dropDuplicates(["doc_id", "page", "line_no", "term"])
 

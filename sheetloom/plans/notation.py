@@ -27,7 +27,8 @@ def _line(spark, sf_dir):
 
 def _terms(spark):
     rows = [(i, *t[:3], [a for a in t[3].split(",") if a], t[4]) for i, t in enumerate(TERMS)]
-    return spark.createDataFrame(rows, "pos int, term string, normalized_key string, alias_group_id string, aliases array<string>, evidence_class string")
+    # A list of fixed size: without the hint Spark takes rows from Python for a huge table and shuffles every key of every line.
+    return F.broadcast(spark.createDataFrame(rows, "pos int, term string, normalized_key string, alias_group_id string, aliases array<string>, evidence_class string"))
 
 
 def _hits(spark, sf_dir):

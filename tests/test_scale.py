@@ -1,7 +1,9 @@
 """Work that must spread over tasks, and costly expressions that must be evaluated once."""
 
+from sheetloom.operators import packages as M
 from sheetloom.operators import pages as T
 from sheetloom.plans import fixtures as fx
+from sheetloom.plans import notation
 
 DIR = "/root/testdata/sf0.001"
 
@@ -29,3 +31,17 @@ def test_suggestions_score_a_page_once(spark):
     got = T.suggest(spark.createDataFrame(rows, "doc_id int, page int, text string"))
     assert plan(got).count(" Window [") == 1
     assert sorted(map(tuple, got.collect())) == [(1, 2, "ok", True, "1"), (2, 2, "ok", False, "1,2"), (3, 0, "pdf_parse_error", False, "1")]
+
+
+def test_keys_of_a_line_read_it_once(spark):
+    line = spark.createDataFrame([(1, 1, 1, "Case SOT-23 here")], "doc_id int, page int, line_no int, norm string")
+    term = spark.createDataFrame([("SOT23",)], "term string")
+    got = M.match_terms(line, term)
+    assert plan(got).count("upper(norm") == 1
+    assert [tuple(r) for r in got.select("line_no", "term", "offset").collect()] == [(1, "SOT23", 5)]
+
+
+def test_terms_meet_lines_without_a_shuffle(spark):
+    got = M.match_terms(notation._line(spark, DIR), notation._terms(spark))
+    shown = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
