@@ -67,14 +67,24 @@ def with_keys(dimension: DataFrame) -> DataFrame:
     return d.withColumns({"value_key": value_key(F.col("value")), "unit_key": unit_key(F.col("unit")), "partition": partition_key(F.col("belongs_to"))})
 
 
+# The words and patterns that can fit a text of ASCII; what they put in starts none of the others.
+ASCII_WORDS = tuple(w for w in ENDPOINT_WORDS if w[0].isascii())
+ASCII_PATTERNS = ENDPOINT_PATTERNS[-2:]
+
+
 def canonical_endpoints(text: Column) -> Column:
-    """Endpoint wording without synonyms, white space and marks."""
-    out = F.lower(F.trim(nfkc(F.coalesce(text, F.lit("")))))
-    for old, new in ENDPOINT_WORDS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern, new in ENDPOINT_PATTERNS:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    """Endpoint wording without synonyms, white space and marks; texts of ASCII skip the words that can't be in them."""
+    text = F.coalesce(text, F.lit(""))
+
+    def replaced(out: Column, words, patterns) -> Column:
+        for old, new in words:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        for pattern, new in patterns:
+            out = F.regexp_replace(out, pattern, new)
+        return out
+
+    short = replaced(F.lower(F.trim(text)), ASCII_WORDS, ASCII_PATTERNS)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), replaced(F.lower(F.trim(nfkc(text))), ENDPOINT_WORDS, ENDPOINT_PATTERNS)).otherwise(short)
 
 
 def similarity(left: str, right: str) -> int:

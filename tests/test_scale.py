@@ -1,5 +1,10 @@
 """Work that must spread over tasks, and costly expressions that must be evaluated once."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from sheetloom.operators import consensus as C
 from sheetloom.operators import packages as M
 from sheetloom.operators import pages as T
 from sheetloom.plans import fixtures as fx
@@ -45,3 +50,18 @@ def test_terms_meet_lines_without_a_shuffle(spark):
     got = M.match_terms(notation._line(spark, DIR), notation._terms(spark))
     shown = got._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+
+
+def test_short_endpoint_words_are_all_that_fit_ascii(spark):
+    def long(text):
+        text = text.strip().lower()
+        for old, new in C.ENDPOINT_WORDS:
+            text = text.replace(old, new)
+        for pattern, new in C.ENDPOINT_PATTERNS:
+            text = re.sub(pattern.removeprefix("(?U)"), new, text)
+        return text
+
+    texts = ["Solder Land left => solder pad -> [Tab]", "solder  pad->->x", "left edge → Solder Pad", "左侧端子焊盘外缘 至 solder land", "", "a,b;c: (d)/e\\f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(C.canonical_endpoints(F.col("t"))).collect()] == [long(t) for t in texts]
+    assert {w for w, _ in C.ASCII_WORDS} == {"->", "=>", "solder land", "solder pad"}
