@@ -108,26 +108,25 @@ def quad_topology(dimension: DataFrame, document: DataFrame) -> DataFrame:
     rows = land_labels(dimension).where("not is_via")
     rim = ~F.col("is_ep")
     v, label = F.round("value_mm", 6), _labels()
-    ids = rows.where(rim).select("doc_id", F.explode("ids").alias("pad_id")).groupBy("doc_id").agg(F.count_distinct("pad_id").alias("_ids"))
+    ids = F.size(F.array_distinct(F.flatten(F.collect_set(F.when(rim, F.col("ids"))))))
+    spare = rim & F.col("role").isin("other", "pad_center_distance", "overall_span") & F.col("operand")
     lo = {k: F.min(F.when(c, v)).alias(f"lo_{k}") for k, c in label.items()}
     hi = {k: F.max(F.when(c, v)).alias(f"hi_{k}") for k, c in label.items()}
     times = F.max(F.when(rim, F.col("multiplicity"))).alias("_times")
     per_pitch = F.array_sort(F.collect_set(F.when(rim & (F.col("role") == "pitch") & F.col("multiplicity").isNotNull(), F.struct("multiplicity", v.alias("v"))))).alias("_counted")
-    g = rows.groupBy("doc_id").agg(*lo.values(), *hi.values(), times, per_pitch, F.count_if("is_ep").alias("_ep_rows"), F.count_distinct(F.when(label["shape"], v)).alias("_shapes"))
+    g = rows.groupBy("doc_id").agg(*lo.values(), *hi.values(), times, per_pitch, F.count_if("is_ep").alias("_ep_rows"), F.count_distinct(F.when(label["shape"], v)).alias("_shapes"), F.nullif(ids, F.lit(0)).cast("long").alias("_ids"), F.collect_set(F.when(spare, v)).alias("_spare"))
     one = lambda k: F.when(F.col(f"lo_{k}") == F.col(f"hi_{k}"), F.col(f"lo_{k}"))
     names = [k for k in label if not k.startswith("topology")]
-    d = document.select("doc_id", "pin_count", "has_exposed_pad").join(g, "doc_id", "left").join(ids, "doc_id", "left")
+    d = document.select("doc_id", "pin_count", "has_exposed_pad").join(g, "doc_id", "left")
     seen = F.coalesce("_times", "_ids")
     count = F.when(seen > 2, seen).otherwise(F.col("pin_count")).cast("int")
-    d = d.select("doc_id", "pin_count", "has_exposed_pad", "_ep_rows", "_shapes", "_counted", "lo_shape", "hi_shape", seen.alias("_seen"), count.alias("count"), *[F.col(f"lo_topology_{a}").isNotNull().alias(f"has_{a}") for a in AXES], *[one(k).alias(k) for k in names])
+    d = d.select("doc_id", "pin_count", "has_exposed_pad", "_ep_rows", "_shapes", "_counted", "_spare", "lo_shape", "hi_shape", seen.alias("_seen"), count.alias("count"), *[F.col(f"lo_topology_{a}").isNotNull().alias(f"has_{a}") for a in AXES], *[one(k).alias(k) for k in names])
     # A row that equals pad + exposed pad + 2 gaps stands as a center, if it is one distinct value.
     for a in AXES:
         d = d.withColumn(f"sum_{a}", F.col(f"pad_{a}") + F.col(f"ep_{a}") + 2 * F.col(f"ep_gap_{a}"))
-    spare = rows.where(rim & F.col("role").isin("other", "pad_center_distance", "overall_span") & F.col("operand")).select("doc_id", v.alias("_v"))
-    hits = d.select("doc_id", "sum_width", "sum_height").join(spare, "doc_id")
-    close = {a: F.when(F.abs(F.col("_v") - F.col(f"sum_{a}")) <= K.CONSISTENT + 1e-9, F.col("_v")) for a in AXES}
-    aux = hits.groupBy("doc_id").agg(*[F.when(F.min(close[a]) == F.max(close[a]), F.min(f"sum_{a}")).alias(f"aux_{a}") for a in AXES])
-    d = d.join(aux, "doc_id", "left")
+    for a in AXES:
+        near = F.filter("_spare", lambda x: F.abs(x - F.col(f"sum_{a}")) <= K.CONSISTENT + 1e-9)  # noqa: B023
+        d = d.withColumn(f"aux_{a}", F.when(F.size(near) == 1, F.col(f"sum_{a}")))
     for a in AXES:
         d = d.withColumn(f"has_{a}", F.coalesce(f"has_{a}", F.lit(False)) | F.col(f"aux_{a}").isNotNull())
     return _solve(d)

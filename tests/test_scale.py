@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheetloom.operators import consensus as C
 from sheetloom.operators import packages as M
 from sheetloom.operators import pages as T
+from sheetloom.operators import quad as Q
 from sheetloom.plans import fixtures as fx
 from sheetloom.plans import notation
 
@@ -65,3 +66,10 @@ def test_short_endpoint_words_are_all_that_fit_ascii(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(C.canonical_endpoints(F.col("t"))).collect()] == [long(t) for t in texts]
     assert {w for w, _ in C.ASCII_WORDS} == {"->", "=>", "solder land", "solder pad"}
+
+
+def test_exposed_pads_read_their_rows_once(spark):
+    dim = spark.createDataFrame([], "doc_id long, ord int, symbol string, role string, belongs_to string, endpoints string, unit string, value string, raw string")
+    doc = spark.createDataFrame([], "doc_id long, pin_count int, has_exposed_pad boolean")
+    shown = Q.quad_topology(dim, doc)._jdf.queryExecution().analyzed().toString()
+    assert shown.count("Aggregate [doc_id") == 1
