@@ -48,10 +48,12 @@ def progress_windows(record: DataFrame, width: str = "10 minutes", delay: str =
     return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "status", "records")
 
 
-BEST = "pages array<int>, scores array<long>, ranks array<int>"
+BEST = "docs array<long>, pages array<int>, scores array<long>, ranks array<int>"
 RANKED = "doc_id long, pages array<int>, scores array<long>, page_classes array<string>"
 #: Classes of pages by rank.
 CLASSES = ("none", "dimension", "land")
+#: Bits of a document's id that tell it apart within the block that holds its state.
+BLOCK_BITS = 7
 
 
 def ranked_pages(page: DataFrame, k: int = 3) -> DataFrame:
@@ -60,23 +62,33 @@ def ranked_pages(page: DataFrame, k: int = 3) -> DataFrame:
     The state of a document is its best pages only: a page that is not among the best of those seen
     can't be among the best of more, so pages may come late and in any batch. A page that comes again
     takes the better of its two decisions. Vetoed pages and pages without a score are no candidates.
+    A call into Python costs more than a document's pages: a state holds a block of up to
+    2^``BLOCK_BITS`` documents with neighbouring ids.
     """
 
     def best(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
+        held: dict[int, list[tuple]] = {}
+        for doc, p, score, rank in zip(*state.get) if state.exists else ():
+            held.setdefault(doc, []).append((rank, score, -p))
+        touched: set[int] = set()
         for pdf in batches:
-            held += zip(pdf["page"].tolist(), pdf["score"].tolist(), pdf["rank"].tolist())
-        found: dict[int, tuple] = {}
-        for p, score, rank in held:
-            found[p] = max(found.get(p, (rank, score, -p)), (rank, score, -p))
-        top = sorted(found.values(), reverse=True)[:k]
-        pages, scores, ranks = [-t[2] for t in top], [t[1] for t in top], [t[0] for t in top]
-        state.update((pages, scores, ranks))
-        yield pd.DataFrame({"doc_id": [key[0]], "pages": [pages], "scores": [scores], "page_classes": [[CLASSES[r] for r in ranks]]})
+            fresh: dict[int, list[tuple]] = {}
+            for doc, p, score, rank in zip(*(pdf[c].tolist() for c in ("doc_id", "page", "score", "rank"))):
+                fresh.setdefault(doc, []).append((rank, score, -p))
+            for doc, rows in fresh.items():
+                found: dict[int, tuple] = {}
+                for t in held.get(doc, []) + rows:
+                    found[t[2]] = max(found.get(t[2], t), t)
+                held[doc] = sorted(found.values(), reverse=True)[:k]
+            touched |= fresh.keys()
+        flat = [(doc, -p, score, rank) for doc, rows in held.items() for rank, score, p in rows]
+        state.update(tuple(list(c) for c in zip(*flat)))
+        out = [(doc, [-p for _, _, p in held[doc]], [s for _, s, _ in held[doc]], [CLASSES[r] for r, _, _ in held[doc]]) for doc in sorted(touched)]
+        yield pd.DataFrame(out, columns=["doc_id", "pages", "scores", "page_classes"])
 
     good = score_pages(page).where("score > 0 and not vetoed")
     slim = good.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "score", class_rank(F.col("page_class")).alias("rank"))
-    return slim.groupBy("doc_id").applyInPandasWithState(best, RANKED, BEST, "update", "NoTimeout")
+    return slim.withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).groupBy("block").applyInPandasWithState(best, RANKED, BEST, "update", "NoTimeout")
 
 
 def run_ranking(page: DataFrame, folder: str, k: int = 3) -> StreamingQuery:

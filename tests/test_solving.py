@@ -149,3 +149,16 @@ def test_page_ranking_goes_on_after_a_restart_and_takes_late_pages(spark, tmp_pa
     Z.run_ranking(spark.readStream.schema(page.schema).parquet(f"{folder}/in"), folder).awaitTermination()  # nothing new
     cols = ("doc_id", "page", "score", "page_class", "rank")
     assert rows(Z.ranking(spark, folder), *cols) == rows(T.rank_pages(T.score_pages(page)), *cols)
+
+
+def test_page_ranking_holds_blocks_of_documents(spark, tmp_path):
+    texts = ["Recommended land pattern\nDimensions in mm", "see dimensions", "land pattern dimensions"]
+    page = spark.createDataFrame([(d, p, texts[(d + p) % 3]) for d in range(-3, 300) for p in range(1, 6)], "doc_id long, page int, text string")
+    folder = str(tmp_path / "s")
+    for wave in (page.where("page > 2"), page.where("page <= 2")):
+        wave.write.mode("append").parquet(f"{folder}/in")
+        query = Z.run_ranking(spark.readStream.schema(page.schema).parquet(f"{folder}/in"), folder)
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    cols = ("doc_id", "page", "score", "page_class", "rank")
+    assert rows(Z.ranking(spark, folder), *cols) == rows(T.rank_pages(T.score_pages(page)), *cols)
