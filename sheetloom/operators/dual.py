@@ -32,13 +32,30 @@ def _mean(condition: Column, tol: float = K.CONSISTENT) -> Column:
     return F.when(F.max(v) - F.min(v) <= tol + 1e-9, F.avg(v))
 
 
-def row_numbers(rows: DataFrame) -> DataFrame:
-    """``(doc_id, first, second)``: distinct pad numbers that ends name in each row, left or top first."""
+def _numbers() -> Column:
+    """Pad numbers that the ends of a row name, with the row of pads that each end names."""
     side = lambda end: F.coalesce(*[F.when(any_of(F.col(end), DUAL[s] + DUAL_MORE[s]), F.lit(s)) for s in DUAL])
-    named = F.inline(F.array(*[F.struct(side(e).alias("side"), F.regexp_extract_all(F.coalesce(e, F.lit("")), F.lit(f"(?i){NUMBER}"), F.lit(1)).alias("numbers")) for e in ("_a", "_b")]))
-    n = rows.select("doc_id", named).where("side is not null").select("doc_id", "side", F.explode("numbers").alias("number"))
-    at = lambda *s: F.count_distinct(F.when(F.col("side").isin(*s), F.col("number")))
-    return n.groupBy("doc_id").agg(at("left", "top").cast("int").alias("first"), at("right", "bottom").cast("int").alias("second"))
+    found = lambda end: F.transform(F.regexp_extract_all(F.coalesce(end, F.lit("")), F.lit(f"(?i){NUMBER}"), F.lit(1)), lambda n: F.struct(side(end).alias("side"), n.alias("number")))
+    return F.filter(F.concat(found("_a"), found("_b")), lambda x: x["side"].isNotNull())
+
+
+def _wide(dimension: DataFrame, document: DataFrame) -> DataFrame:
+    """What ``dual_topology`` and ``rel_dual`` give and look at, by document: land rows are marked and brought together once."""
+    rows = _rows(dimension, document)
+    c = F.col
+    shape = c("role").isin("pad_width", "pad_height")
+    in_row = c("role").isin(*PITCH) & c("row_axis").isNull()
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    between = {"center": c("role").isin(*PITCH) & c("center_marked"), "gap": c("role").isin("pad_gap", "gap_between_pads") | c("gap_marked"), "outer": (c("role") == "overall_span") | c("overall_marked")}
+    g = rows.withColumn("_named", _numbers()).groupBy("doc_id").agg(
+        F.min("row_axis").alias("sep"), F.max("row_axis").alias("_sep2"), count(c("row_axis").isNotNull()).alias("_rows"), count(c("role").isin(*PITCH)).alias("_pitches"),
+        *[count(shape & (c("axis") == a)).alias(f"_n_{a}") for a in ("width", "height")], *[_mean(shape & (c("axis") == a)).alias(f"_pad_{a}") for a in ("width", "height")],
+        *[_mean(in_row & (c("axis").isNull() | (c("axis") == a))).alias(f"_pitch_{a}") for a in ("width", "height")],
+        *[_mean((c("row_axis") == a) & cond).alias(f"_{n}_{a}") for n, cond in between.items() for a in ("width", "height")], F.collect_set("_named").alias("_named"),
+    )
+    named = lambda *s: F.size(F.array_distinct(F.transform(F.filter(F.flatten("_named"), lambda x: x["side"].isin(*s)), lambda x: x["number"])))
+    g = g.withColumns({"first": named("left", "top"), "second": named("right", "bottom"), **{n: F.when(c("sep") == "width", c(f"_{n}_width")).otherwise(c(f"_{n}_height")) for n in between}})
+    return _decided(document.join(g.drop("_named"), "doc_id", "left").join(pad_count(dimension), "doc_id", "left"))
 
 
 def dual_topology(dimension: DataFrame, document: DataFrame) -> DataFrame:
@@ -50,17 +67,15 @@ def dual_topology(dimension: DataFrame, document: DataFrame) -> DataFrame:
     that fails gives the status: not_applicable, reject_ep, manual_required or insufficient. Four pads
     are ``multi_family_conflict``, since a grid of four has the same geometry; the rest are ``auto``.
     """
-    rows = _rows(dimension, document)
+    return _wide(dimension, document).select(*TOPOLOGY)
+
+
+TOPOLOGY = ("doc_id", "status", "reason", "separation_axis", "pad_x", "pad_y", "pitch_y", "left_count", "right_count")
+
+
+def _decided(j: DataFrame) -> DataFrame:
+    """``TOPOLOGY``, and the center, gap and outer span between the rows, of documents with what their rows say."""
     c = F.col
-    shape = c("role").isin("pad_width", "pad_height")
-    in_row = c("role").isin(*PITCH) & c("row_axis").isNull()
-    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
-    g = rows.groupBy("doc_id").agg(
-        F.min("row_axis").alias("sep"), F.max("row_axis").alias("_sep2"), count(c("row_axis").isNotNull()).alias("_rows"), count(c("role").isin(*PITCH)).alias("_pitches"),
-        *[count(shape & (c("axis") == a)).alias(f"_n_{a}") for a in ("width", "height")], *[_mean(shape & (c("axis") == a)).alias(f"_pad_{a}") for a in ("width", "height")],
-        *[_mean(in_row & (c("axis").isNull() | (c("axis") == a))).alias(f"_pitch_{a}") for a in ("width", "height")],
-    )
-    j = document.join(g, "doc_id", "left").join(pad_count(dimension), "doc_id", "left").join(row_numbers(rows), "doc_id", "left")
     wide = c("sep") == "width"
     along, across, pitch = (F.when(wide, c(a)).otherwise(c(b)) for a, b in (("_pad_width", "_pad_height"), ("_pad_height", "_pad_width"), ("_pitch_height", "_pitch_width")))
     n, known = c("pin_count"), c("pin_count").isNotNull()
@@ -83,7 +98,7 @@ def dual_topology(dimension: DataFrame, document: DataFrame) -> DataFrame:
     j = j.withColumns({"status": status, "reason": reason})
     ok = c("status").isin("auto", "multi_family_conflict")
     r = lambda x: F.round(F.when(ok, x), 6)
-    return j.select("doc_id", "status", "reason", F.when(ok, c("sep")).alias("separation_axis"), r(along).alias("pad_x"), r(across).alias("pad_y"), r(pitch).alias("pitch_y"), F.when(ok, first).alias("left_count"), F.when(ok, second).alias("right_count"))
+    return j.select("doc_id", "status", "reason", F.when(ok, c("sep")).alias("separation_axis"), r(along).alias("pad_x"), r(across).alias("pad_y"), r(pitch).alias("pitch_y"), F.when(ok, first).alias("left_count"), F.when(ok, second).alias("right_count"), "center", "gap", "outer")
 
 
 def rel_dual(dimension: DataFrame, document: DataFrame) -> DataFrame:
@@ -93,14 +108,8 @@ def rel_dual(dimension: DataFrame, document: DataFrame) -> DataFrame:
     doesn't close refuses the document, whatever else is known. Without both: a direct center (9), the
     gap and a pad (8), or the span less a pad (7). Values of one kind that disagree count as missing.
     """
-    topology = dual_topology(dimension, document).where("status in ('auto', 'multi_family_conflict')")
-    rows = _rows(dimension, document).join(topology.select("doc_id", "separation_axis"), "doc_id").where("row_axis = separation_axis")
+    j = _wide(dimension, document).where("status in ('auto', 'multi_family_conflict')")
     c = F.col
-    g = rows.groupBy("doc_id").agg(
-        _mean(c("role").isin(*PITCH) & c("center_marked")).alias("center"), _mean(c("role").isin("pad_gap", "gap_between_pads") | c("gap_marked")).alias("gap"),
-        _mean((c("role") == "overall_span") | c("overall_marked")).alias("outer"),
-    )
-    j = topology.join(g, "doc_id", "left")
     inner, outer = c("gap") + c("pad_x"), c("outer") - c("pad_x")
     both = inner.isNotNull() & outer.isNotNull()
     clash = both & (F.abs(inner - outer) > K.DUAL_CLOSURE + 1e-9)

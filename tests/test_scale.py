@@ -88,3 +88,10 @@ def test_stable_characters_need_no_normalisation(spark):
     assert [r[0] for r in df.select(X.nfkc(F.col("t"))).collect()] == [t and unicodedata.normalize("NFKC", t) for t in texts]
     picked = df.select(F.col("t").rlike(f"[^{X.STABLE}]")).collect()
     assert [r[0] for r in picked] == [False, True, True, True, False, None, True]
+
+
+
+def test_dual_rows_are_marked_once(spark):
+    dim = spark.createDataFrame([], "doc_id long, ord int, symbol string, role string, belongs_to string, endpoints string, unit string, value string, raw string")
+    doc = spark.createDataFrame([], "doc_id long, pin_count int, has_exposed_pad boolean, reflow_and_wave boolean")
+    assert U.rel_dual(dim, doc)._jdf.queryExecution().analyzed().toString().count("Aggregate [doc_id") == 2
