@@ -106,7 +106,7 @@ def align_slots(dimension: DataFrame) -> DataFrame:
     bucket = W.partitionBy(*key)
     named = F.collect_set(F.when(F.col("partition") != "", F.col("partition"))).over(bucket)
     d = d.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*key, "sample_idx")))
-    d = d.withColumn("easy", (F.max("_n").over(bucket) == 1) & (F.size(named) <= 1)).drop("_n")
+    d = once(d.withColumn("easy", (F.max("_n").over(bucket) == 1) & (F.size(named) <= 1)).drop("_n"))  # the same columns for both branches, so that they share the shuffle
     names = F.concat_ws("|", "value_key", "unit_key")
     plain = d.where("easy").drop("easy").withColumn("slot", F.concat(names, F.lit("|0")))
     hard = d.where("not easy").drop("easy")
@@ -362,6 +362,7 @@ def consensus_stats(slot: DataFrame, initial: DataFrame | None = None) -> DataFr
     g = g.withColumns({"role": role, "kept": kept, "open": _differs(F.col("rows")), "named": F.exists(roles, lambda r: r != "other"), **{f"k_{c}": kinds("rows", c) for c in ("role", "belongs_to", "is_derived")}})
     g = g.where(F.size("rows") > 0)
     votes = g.groupBy("doc_id").agg(
+        F.flatten(F.collect_list(F.transform("rows", lambda r: r["sample_idx"]))).alias("_of"),
         F.max("samples").alias("sample_success_count"), F.count(F.lit(1)).alias("aligned_slot_count"), count(F.col("kept"), "consensus_dimension_count"), count(~F.col("kept"), "dropped_no_presence_majority_count"),
         *[count(F.col("kept") & (F.col(f"k_{c}") > 1), name) for c, name in (("role", "role_vote_disagreement_count"), ("belongs_to", "belongs_to_disagreement_count"), ("is_derived", "is_derived_disagreement_count"))],
         count(F.col("kept") & (F.col("role") == "other") & F.col("named"), "downgraded_other_count"), count(F.col("kept") & F.col("open") & (F.col("role") != "other"), "third_sample_majority_resolved_count"),
@@ -375,8 +376,8 @@ def consensus_stats(slot: DataFrame, initial: DataFrame | None = None) -> DataFr
         count(differ("belongs_to"), "initial_belongs_to_disagreement_count"), count(differ("is_derived"), "initial_is_derived_disagreement_count"), count(of("rows", 0) != of("rows", 1), "initial_presence_disagreement_count"),
         count(_differs(F.col("rows")), "initial_disagreement_count"),
     )
-    used = used_samples(slot).groupBy("doc_id", "sample_idx").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "n"))), lambda x: x["n"]).alias("sample_dimension_counts"))
-    out = votes.join(first, "doc_id", "left").join(used, "doc_id").withColumn("input_max_sample_dimension_count", F.array_max("sample_dimension_counts"))
+    per = F.transform(F.array_sort(F.array_distinct("_of")), lambda x: F.size(F.filter("_of", lambda y: y.eqNullSafe(x))).cast("long"))
+    out = votes.withColumn("sample_dimension_counts", per).drop("_of").join(first, "doc_id", "left").withColumn("input_max_sample_dimension_count", F.array_max("sample_dimension_counts"))
     third = F.coalesce(F.col("initial_disagreement_count") > 0, F.lit(True))
     return out.withColumns({
         "requested_base_samples": F.lit(2), "third_sample_triggered": third, "sample_attempt_count": F.when(third, 3).otherwise(2), "consensus_throughput_vs_max_sample": F.col("consensus_dimension_count") / F.col("input_max_sample_dimension_count"),

@@ -95,3 +95,21 @@ def test_dual_rows_are_marked_once(spark):
     dim = spark.createDataFrame([], "doc_id long, ord int, symbol string, role string, belongs_to string, endpoints string, unit string, value string, raw string")
     doc = spark.createDataFrame([], "doc_id long, pin_count int, has_exposed_pad boolean, reflow_and_wave boolean")
     assert U.rel_dual(dim, doc)._jdf.queryExecution().analyzed().toString().count("Aggregate [doc_id") == 2
+
+
+DIM = "doc_id long, sample_idx int, ord int, value string, unit string, role string, belongs_to string, endpoints string"
+
+
+def test_aligned_slots_share_a_shuffle(spark):
+    slot = C.align_slots(spark.createDataFrame([], DIM))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shown = C.vote(slot)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert shown.count("ArrowEvalPython") == 1 and "ReusedExchange" in shown
+
+
+def test_statistics_align_each_input_once(spark):
+    slot = C.align_slots(spark.createDataFrame([], DIM))
+    assert plan(C.consensus_stats(slot, slot.where("sample_idx < 2"))).count("MapInPandas") == 2
