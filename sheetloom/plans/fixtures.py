@@ -93,14 +93,16 @@ def expected(rows: list[tuple], columns: tuple[str, ...], modulus: int) -> str:
 
 #: Tables whose rows turn into many: a file of a few row groups gives as many tasks, whatever the cores.
 SPREAD = {"part": "p_partkey"}
+#: Rows of such a table that one task gets, about: what it makes of them is held in memory by aggregates and joins.
+ROWS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; those of ``SPREAD`` are dealt by key over tasks for all cores."""
+    """A given table; those of ``SPREAD`` are dealt by key over tasks for all cores, and more tasks the more rows there are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in SPREAD:
         return df
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), SPREAD[name])
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, df.count() // ROWS), SPREAD[name])
 
 
 def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

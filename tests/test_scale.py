@@ -113,3 +113,10 @@ def test_aligned_slots_share_a_shuffle(spark):
 def test_statistics_align_each_input_once(spark):
     slot = C.align_slots(spark.createDataFrame([], DIM))
     assert plan(C.consensus_stats(slot, slot.where("sample_idx < 2"))).count("MapInPandas") == 2
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    few = fx.table(spark, DIR, "part").rdd.getNumPartitions()
+    n = spark.read.parquet(f"{DIR}/part.parquet").count()
+    monkeypatch.setattr(fx, "ROWS", 2)
+    assert few < n // 2 == fx.table(spark, DIR, "part").rdd.getNumPartitions()
