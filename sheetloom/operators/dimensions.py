@@ -18,12 +18,16 @@ MM = "decimal(38,12)"
 
 
 def to_mm(dimension: DataFrame) -> DataFrame:
-    """``value_mm`` by exact decimals; null for what isn't a positive number of a known unit."""
+    """``value_mm`` by exact decimals; null for what isn't a positive number of a known unit.
+
+    A generator of one value makes the number once a row, however often it is looked at, and leaves the rows dealt as they are.
+    """
     number = F.replace("value", F.lit(","), F.lit(".")).try_cast("decimal(20,6)")
     unit = F.lower(F.trim(F.coalesce("unit", F.lit(""))))
     factor = F.create_map(*[F.lit(x) for kv in K.UNIT_MM.items() for x in kv])
     out = (number * F.try_element_at(factor, unit).cast("decimal(8,4)")).cast("double")
-    return dimension.withColumn("value_mm", F.when(out > 0, out))
+    made = dimension.select("*", F.explode(F.array(out)).alias("_mm"))
+    return made.withColumn("value_mm", F.when(F.col("_mm") > 0, F.col("_mm"))).drop("_mm")
 
 
 def dedup_units(dimension: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import text as X
 from sheetloom.operators import consensus as C
+from sheetloom.operators import dimensions as D
 from sheetloom.operators import dual as U
 from sheetloom.operators import packages as M
 from sheetloom.operators import pages as T
@@ -120,3 +121,11 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     n = spark.read.parquet(f"{DIR}/part.parquet").count()
     monkeypatch.setattr(fx, "ROWS", 2)
     assert few < n // 2 == fx.table(spark, DIR, "part").rdd.getNumPartitions()
+
+
+def test_millimetres_are_made_once_a_row(spark):
+    df = spark.createDataFrame([("1,5", "mm"), ("-1", "mm"), ("x", "mm"), (None, "mm"), ("1", "in")], "value string, unit string")
+    got = D.to_mm(df).where("value_mm is not null").select("value_mm", (F.col("value_mm") * 2).alias("twice"))
+    assert plan(got).count("decimal(20,6)") == 1
+    assert [tuple(r) for r in got.collect()] == [(1.5, 3.0), (25.4, 50.8)]
+    assert [r[0] for r in D.to_mm(df).select("value_mm").collect()] == [1.5, None, None, None, 25.4]
