@@ -117,12 +117,11 @@ def role_direct(dimension: DataFrame) -> DataFrame:
     """A solution from exactly one distinct value per role, with the conflicting roles listed."""
     d = _land(dimension)
     roles = {"pad_x": ("pad", "x"), "pad_y": ("pad", "y"), "gap": ("gap", "x"), "center": ("center", "x")}
-    n = [F.count_distinct(F.when((F.col("effective_role") == r) & (F.col("axis") == a), F.round("value_mm", 6))).alias(f"n_{k}") for k, (r, a) in roles.items()]
-    v = [F.min(F.when((F.col("effective_role") == r) & (F.col("axis") == a), F.col("value_mm"))).alias(k) for k, (r, a) in roles.items()]
-    g = d.groupBy("doc_id").agg(*n, *v)
-    one = {k: F.when(F.col(f"n_{k}") == 1, F.col(k)) for k in roles}
+    of = {k: F.when((F.col("effective_role") == r) & (F.col("axis") == a), F.col("value_mm")) for k, (r, a) in roles.items()}
+    g = d.groupBy("doc_id").agg(*[x.alias(n) for k, v in of.items() for n, x in ((k, F.min(v)), (f"low_{k}", F.min(F.round(v, 6))), (f"high_{k}", F.max(F.round(v, 6))))])
+    one = {k: F.when(F.col(f"low_{k}") == F.col(f"high_{k}"), F.col(k)) for k in roles}
     center = F.coalesce(one["center"], one["gap"] + one["pad_x"])
-    conflicts = F.filter(F.array(*[F.when(F.col(f"n_{k}") > 1, F.lit(k)) for k in roles]), lambda x: x.isNotNull())
+    conflicts = F.filter(F.array(*[F.when(F.col(f"low_{k}") < F.col(f"high_{k}"), F.lit(k)) for k in roles]), lambda x: x.isNotNull())
     done = one["pad_x"].isNotNull() & one["pad_y"].isNotNull() & center.isNotNull()
     return g.select("doc_id", F.when(done, "solved").when(F.size(conflicts) > 0, "conflict").otherwise("insufficient").alias("status"), F.round(one["pad_x"], 6).alias("pad_x"), F.round(one["pad_y"], 6).alias("pad_y"), F.round(center, 6).alias("center_x"), F.array_join(conflicts, ",").alias("conflicts"))
 

@@ -13,6 +13,7 @@ from sheetloom.operators import dual as U
 from sheetloom.operators import packages as M
 from sheetloom.operators import pages as T
 from sheetloom.operators import quad as Q
+from sheetloom.operators import relations as R
 from sheetloom.plans import fixtures as fx
 from sheetloom.plans import notation
 
@@ -129,3 +130,12 @@ def test_millimetres_are_made_once_a_row(spark):
     assert plan(got).count("decimal(20,6)") == 1
     assert [tuple(r) for r in got.collect()] == [(1.5, 3.0), (25.4, 50.8)]
     assert [r[0] for r in D.to_mm(df).select("value_mm").collect()] == [1.5, None, None, None, 25.4]
+
+
+def test_roles_of_a_document_are_one_small_aggregate(spark):
+    row = lambda doc, o, role, ends, v: (doc, 0, o, v, "mm", role, "solder_land", ends)
+    width, height, center = "left pad left edge -> left pad right edge", "left pad top edge -> left pad bottom edge", "left pad centerline -> right pad centerline"
+    rows = [row(1, 0, "pad_width", width, "0.5"), row(1, 1, "pad_width", width, "0.50"), row(1, 2, "pad_height", height, "0.6"), row(1, 3, "pad_center_distance", center, "2.0"), row(2, 0, "pad_width", width, "0.5"), row(2, 1, "pad_width", width, "0.7"), row(3, 0, "pad_width", width, "0.5")]
+    got = R.role_direct(spark.createDataFrame(rows, DIM).withColumn("raw", F.col("value")))
+    assert "Expand" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "solved", 0.5, 0.6, 2.0, ""), (2, "conflict", None, None, None, "pad_x"), (3, "insufficient", 0.5, None, None, "")]
