@@ -10,19 +10,21 @@ removed, so the first of matching lines stays. Every line that has a word takes
    words, the prefix: sets of n and m words can only reach the threshold if their prefixes of
    n - ceil(0.8 n) + 1 words meet. Sets of up to ``ALONE`` words only match equal sets: the class
    settles them, and they have no prefix.
-3. Classes that share a prefix word are candidates if their lengths fit (m >= 0.8 n), if what can
+3. Classes of families, that is ``FAMILY`` or more with the same two neighbouring prefix words, are
+   first held against the earliest document's; those that match it are no longer open. All open
+   classes then meet every class with which they share a prefix word: both are candidates if their lengths fit (m >= 0.8 n), if what can
    still be shared from the meeting positions on reaches the needed overlap, and if their parity
    sketches (128 bits, each word flips one) differ in no more bits than their sets may differ in words.
 4. Candidates are verified on their words. The lines that this needs are picked out by a bitmap of
    fixed size before anything is shuffled.
 
-Only whether a class has an earlier match decides, so not all pairs are needed. A word that at most
-``SMALL`` classes have in their prefix gives all their pairs: a bounded number for each row. Where
-more share it, each is held against the earliest of them, which settles families of copies. What
-that leaves is split by a second shared word: sets that reach the threshold share at least two words
-of prefixes that are longer by one, so pairs of words are grouped like single ones, and three words
-after them. Only groups that are still large after ``DEPTH`` words are held against all their
-earlier members. No pair is left out at any step, and every step's rows grow with the lines.
+Only whether a class has an earlier match decides, so not all pairs are needed, and pairs are listed
+for open classes only. A word that at most ``SMALL`` open classes have in their prefix gives all
+their pairs: a bounded number for each row. Where more share it, each is held against the earliest
+of them, which settles families of copies. What that leaves is split by a second shared word: sets
+that reach the threshold share at least two words of prefixes that are longer by one, so pairs of
+words are grouped like single ones, and three words after them. Only groups that are still large
+after ``DEPTH`` words are held against all their earlier members. No pair is left out at any step, and every step's rows grow with the lines.
 
 Words are told apart by 64 bits of hash up to step 3 (54 where they are sorted), sets of more than
 ``ALONE`` words by 118 bits in step 2; step 4 compares the words themselves.
@@ -31,12 +33,15 @@ Words are told apart by 64 bits of hash up to step 3 (54 where they are sorted),
 from __future__ import annotations
 
 from functools import reduce
+from math import floor, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, drop, let, store
 
+#: Rarity levels for each doubling of a word's count; below 128 for counts under 2^31, so that the JVM has one object for each level.
+STEPS = 4
 #: Hash buckets of the word counts, a power of two: a table of fixed size, however many words there are.
 BUCKETS = 1 << 16
 #: White space at the ends of lines.
@@ -55,6 +60,10 @@ SLICES = 2
 SALTS = 16
 #: Most words of a signature.
 DEPTH = 3
+#: From so many classes on, those that share two neighbouring words of their prefixes are held against their earliest document first.
+FAMILY = 8
+#: Pairs of neighbouring words of a prefix that tell families.
+LINKS = 5
 
 LINE = ("d", "l", "n", "odd", "every")
 SIDE = (*LINE, "i")
@@ -71,14 +80,15 @@ def has_rare(text: Column) -> Column:
     return reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
 
 
-def bare(line: Column) -> Column:
-    return F.trim(line, F.lit(BLANKS))
+def bare_lines(text: Column) -> Column:
+    """The lines of a text without white space at their ends, as an array."""
+    parts = F.split(text, "\n", -1)
+    return F.when(has_rare(text), F.transform(parts, lambda x: F.trim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, lambda x: F.trim(x)))
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(d, l, line)``: the lines with a word of every document with an id, l their key, without white space at their ends."""
-    parts = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
-    parts = F.transform(parts, bare)
+    parts = bare_lines(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("number", "line")).where("line <> ''")
     return out.select("d", line_key(F.col("number"), F.col("line")).alias("l"), "line")
 
@@ -89,7 +99,7 @@ def line_words(line: Column) -> Column:
 
 
 def rarity_levels(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> list[int]:
-    """By hash bucket, eight times the binary logarithm of its word count.
+    """By hash bucket, ``STEPS`` times the binary logarithm of its word count.
 
     The counts cover every word of every text; only ``buckets`` numbers come to the driver.
     """
@@ -97,7 +107,7 @@ def rarity_levels(docs: DataFrame, text_col: str = "text", buckets: int = BUCKET
     words = F.when(has_rare(text), F.split(text, f"[{SPACE}]+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
     word = docs.select(F.explode(words).alias("w")).where("w <> ''")
     bucket = word.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"))
-    counts = bucket.groupBy("b").agg(F.floor(8 * F.log2(F.count(F.lit(1)))).cast("int").alias("v")).toPandas()
+    counts = bucket.groupBy("b").agg(F.floor(STEPS * F.log2(F.count(F.lit(1)))).cast("int").alias("v")).toPandas()
     level = dict(zip(counts["b"].tolist(), counts["v"].tolist()))
     return [level.get(i, 0) for i in range(buckets)]
 
@@ -112,10 +122,16 @@ def shift(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def least_sig(count: int) -> int:
+    """A prefix word below this number is in fewer than ``count`` lines: its bucket counts no fewer words. One level is left for rounding."""
+    return max(0, floor(STEPS * log2(count)) - 1) << 54
+
+
 def by_rarity(line: Column, levels: list[int]) -> Column:
     """The distinct words of a line as longs in the order of rarity: level in the top bits, then 54 bits of hash."""
-    shifted, mask = table([v << 54 for v in levels]), len(levels) - 1
-    at = lambda x: F.coalesce(F.get(shifted, x.bitwiseAND(F.lit(mask)).cast("int")), F.lit(0).cast("bigint"))
+    known, mask = table(levels), len(levels) - 1
+    level = lambda x: F.coalesce(F.get(known, x.bitwiseAND(F.lit(mask)).cast("int")), F.lit(0).cast("bigint"))
+    at = lambda x: F.call_function("shiftleft", level(x), F.lit(54))
     hashes = F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda x: at(x).bitwiseOR(x.bitwiseAND(F.lit((1 << 54) - 1)))))
 
@@ -178,10 +194,10 @@ def colliding(items: DataFrame, depth: int) -> list[DataFrame]:
 
 
 def signatures(reps: DataFrame) -> DataFrame:
-    """One row for each class and word of its prefix."""
+    """One row for each class and word of its prefix; ``reps`` tells which classes are open."""
     own = F.slice("prefix", F.lit(1), prefix_length(F.col("n")))
-    out = reps.where(f"n > {ALONE}").select(*LINE, F.posexplode(own).alias("i", "sig"))
-    return out.select("sig", *SIDE, F.lit(True).alias("open"))
+    out = reps.where(f"n > {ALONE}").select(*LINE, "open", F.posexplode(own).alias("i", "sig"))
+    return out.select("sig", *SIDE, "open")
 
 
 def longer(items: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
@@ -191,12 +207,13 @@ def longer(items: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
     return out.select(F.xxhash64("sig", "w").alias("sig"), *LINE, (F.col("i") + 1 + F.col("j")).alias("i"), "open")
 
 
-def marked(rows: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose ``keys`` may be in ``needed``, by a bitmap of fixed size that is broadcast."""
+def marked(rows: DataFrame, needed: DataFrame, keys: list[str], hit: bool = True) -> DataFrame:
+    """The rows whose ``keys`` may be in ``needed``, or all others, by a bitmap of fixed size that is broadcast."""
     bit = F.pmod(F.xxhash64(*keys), F.lit(BITMAP))
     bits = needed.select(F.shiftright(bit, 6).alias("_at"), shift(bit).alias("on")).groupBy("_at").agg(F.bit_or("on").alias("_bits"))
-    some = rows.withColumns({"_at": F.shiftright(bit, 6), "_on": shift(bit)}).join(F.broadcast(bits), "_at")
-    return some.where(F.col("_bits").bitwiseAND(F.col("_on")) != 0).drop("_at", "_on", "_bits")
+    some = rows.withColumns({"_at": F.shiftright(bit, 6), "_on": shift(bit)}).join(F.broadcast(bits), "_at", "inner" if hit else "left")
+    on = F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(F.col("_on")) != 0
+    return some.where(on if hit else ~on).drop("_at", "_on", "_bits")
 
 
 def picked(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -245,6 +262,32 @@ def settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def leaders(reps: DataFrame) -> DataFrame:
+    """``PAIR`` of classes and the first line with the same two neighbouring prefix words in the group's earliest document.
+
+    Near copies of one line share most such words, so one pair each settles nearly all of a family,
+    whatever its size. The pairs only save others: what they don't settle stays open.
+    """
+    at = lambda i: F.get("prefix", F.lit(i))
+    links = F.array(*[F.when(at(i + 1).isNotNull(), F.xxhash64(at(i), at(i + 1))) for i in range(LINKS)])
+    keyed = reps.where(f"n > {ALONE}").select(*LINE, F.explode(links).alias("sig")).where("sig is not null")
+    groups = store(keyed.groupBy("sig").agg(F.count(F.lit(1)).alias("o"), F.min("d").alias("d")).where(f"o >= {FAMILY}").select("sig", "d"))
+    rows = store(marked(keyed, groups, ["sig"]).withColumns({"i": F.lit(0), "open": F.lit(True)}))
+    first = store(rows.join(groups, ["sig", "d"]).groupBy("sig").agg(F.min(F.struct(*SIDE)).alias("p")))
+    pivots = first.select("sig", "p.*", F.lit(False).alias("open"))
+    out = store(close(pivots, rows, 1).unionByName(close(rows, pivots, 1)).distinct())
+    drop(groups, rows, first)
+    return out
+
+
+def opened(reps: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``reps`` with whether each is open, that is not in ``gone``, and a stored table that the result reads."""
+    few = marked(reps, gone, ["d", "l"]).join(gone.withColumn("gone", F.lit(True)), ["d", "l"], "left")
+    few = store(few.withColumn("open", F.col("gone").isNull()).drop("gone"))
+    rest = marked(reps, gone, ["d", "l"], hit=False).withColumn("open", F.lit(True))
+    return rest.unionByName(few), few
+
+
 def against_few(hot: DataFrame, depth: int) -> DataFrame:
     """Candidates of groups with few open members, whatever the size of the group: its members are dealt to salts."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -255,7 +298,12 @@ def against_few(hot: DataFrame, depth: int) -> DataFrame:
 
 def matched(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """``(d, l)`` of the classes in ``reps`` that match an earlier one."""
-    items, found, parts, used = signatures(reps), [], [], []
+    led = leaders(reps)
+    texts = fetched(led, docs)
+    found = [store(verified(led, texts))]
+    drop(led, texts)
+    classed, few = opened(reps, found[0])
+    items, parts, used = signatures(classed), [], [few]
 
     def settle() -> None:
         candidates = store(reduce(DataFrame.unionByName, parts).distinct())
@@ -264,7 +312,8 @@ def matched(reps: DataFrame, docs: DataFrame) -> DataFrame:
         parts.clear()
 
     for depth in range(1, DEPTH + 1):
-        groups = items.groupBy("sig").agg(F.count_if("open").alias("o"))
+        many = items.where(F.col("sig") >= least_sig(SMALL + 1)) if depth == 1 else items
+        groups = many.groupBy("sig").agg(F.count_if("open").alias("o"))
         big = store(groups.where(f"o > {SMALL}").select("sig"))
         used.append(big)
         slices = colliding(items.join(big, "sig", "left_anti"), depth)
@@ -306,7 +355,7 @@ def with_gone(docs: DataFrame, own: list[Column], text_col: str) -> DataFrame:
     """Columns ``own`` of ``docs`` and ``_gone``, the numbers of the lines to remove in their order."""
     kept = first_lines(docs, text_col).groupBy("d").agg(F.collect_set("l").alias("_kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("number"), bare(x).alias("line")))
+    lines = F.transform(bare_lines(text), lambda x, i: F.struct(i.alias("number"), x.alias("line")))
     keys = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: line_key(x["number"], x["line"]))
     keys = F.when(F.col("doc_id").isNull(), F.array().cast("array<bigint>")).otherwise(keys)
     some = docs.select(*own, F.col("doc_id").cast("long").alias("_d"), keys.alias("_keys"))

@@ -202,6 +202,36 @@ def test_hot_words_are_settled_in_full(spark, monkeypatch):
     assert want == brute
 
 
+def test_pairs_grow_with_a_family_of_near_copies(spark):
+    """All but a few of a family are settled by one pair each; before, their pairs grew with the square of the family."""
+    rng = random.Random(9)
+    other = [" ".join(rng.sample([f"o{i}" for i in range(4000)], 40)) for _ in range(100)]
+
+    def family(n):
+        base = [f"b{i}" for i in range(50)]
+        return [" ".join(f"x{j}" if k == j % 50 else w for k, w in enumerate(base)) for j in range(n)]
+
+    counts = []
+    for n in (40, 160):
+        docs = docs_of(spark, family(n) + other).select("doc_id", "text")
+        reps = line_dedup.store(line_dedup.classes(line_dedup.lines_of(docs), line_dedup.rarity_levels(docs)))
+        led = line_dedup.leaders(reps)
+        gone = line_dedup.store(line_dedup.verified(led, line_dedup.fetched(led, docs)))
+        classed, _ = line_dedup.opened(reps, gone)
+        assert classed.count() == reps.count() and classed.where("not open").count() == gone.count()
+        counts.append((led.count(), sum(x.count() for x in line_dedup.colliding(line_dedup.signatures(classed), 1))))
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()}
+    assert got == {i: "0" if 0 < i < n else "" for i in range(n + 100)}
+    assert counts[1][0] < 6 * counts[0][0] and counts[1][1] <= 160
+
+
+def test_words_below_a_level_are_in_few_lines(spark):
+    docs = docs_of(spark, [f"a{i % 7} b{i % 11} c{i % 50} d{i} e" for i in range(300)])
+    reps = line_dedup.classes(line_dedup.lines_of(docs), line_dedup.rarity_levels(docs)).withColumn("open", F.lit(True))
+    sizes = [(r.sig, r["count"]) for r in line_dedup.signatures(reps).groupBy("sig").count().collect()]
+    assert all(sig >= line_dedup.least_sig(n) for sig, n in sizes) and any(sig < line_dedup.least_sig(32) for sig, _ in sizes)
+
+
 def test_short_lines_are_settled_in_full(spark):
     texts = ["Les.\na a a a a a\nb c", "a\nLes.\nc b b\n\n \nb c d", "p q r s\nd c b\nb c d e", "t s r q p\np q r x\nu q r s p", "p s r q\nLes. a"]
     got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs_of(spark, texts)).collect()}
