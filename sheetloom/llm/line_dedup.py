@@ -63,7 +63,7 @@ DEPTH = 3
 #: From so many classes on, those that share two neighbouring words of their prefixes are held against their earliest document first.
 FAMILY = 8
 #: Pairs of neighbouring words of a prefix that tell families.
-LINKS = 5
+LINKS = 9
 
 LINE = ("d", "l", "n", "odd", "every")
 SIDE = (*LINE, "i")
