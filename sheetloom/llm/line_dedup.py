@@ -14,7 +14,9 @@ removed, so the first of matching lines stays. Every line that has a word takes
    first held against the earliest document's; those that match it are no longer open. All open
    classes then meet every class with which they share a prefix word: both are candidates if their lengths fit (m >= 0.8 n), if what can
    still be shared from the meeting positions on reaches the needed overlap, and if their parity
-   sketches (128 bits, each word flips one) differ in no more bits than their sets may differ in words.
+   sketches (64 bits, 128 of large sets, each word flips one) differ in no more bits than their sets
+   may differ in words. The join's keys hold a class of lengths besides the word, so that nearly only
+   sets whose lengths fit are held together; the smaller set is put into every class its partners may have.
 4. Candidates are verified on their words. The lines that this needs are picked out by a bitmap of
    fixed size before anything is shuffled.
 
@@ -33,7 +35,7 @@ Words are told apart by 64 bits of hash up to step 3 (54 where they are sorted),
 from __future__ import annotations
 
 from functools import reduce
-from math import floor, log2
+from math import floor, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 BITMAP = 1 << 23
 #: Sets of at most so many words reach the threshold with equal sets only: 3 of 4 words are less than 4 of 5.
 ALONE = 3
+#: Sets of more words have a parity sketch of 128 bits; of fewer, 64 tell nearly all apart.
+WIDE = 80
+#: Greatest ratio of two lengths in a class: a factor of 5/4 twice, so that about half of the smaller sets are in two classes.
+SPAN = 25 / 16
 #: Jaccard threshold as a fraction, so that all arithmetic is in integers.
 NUM, DEN = 4, 5
 #: Open classes that may share a signature before it gets another word.
@@ -80,16 +86,25 @@ def has_rare(text: Column) -> Column:
     return reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
 
 
-def bare_lines(text: Column) -> Column:
-    """The lines of a text without white space at their ends, as an array."""
-    parts = F.split(text, "\n", -1)
-    return F.when(has_rare(text), F.transform(parts, lambda x: F.trim(x, F.lit(BLANKS)))).otherwise(F.transform(parts, lambda x: F.trim(x)))
+def bare(line: Column, rare: Column) -> Column:
+    """A line without white space at its ends; ``rare`` is ``has_rare`` of its text."""
+    return F.when(rare, F.trim(line, F.lit(BLANKS))).otherwise(F.trim(line))
+
+
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines as an array, null where a line has no word."""
+    def keys(trim) -> Column:
+        return F.transform(F.split(text, "\n", -1), lambda x, i: F.when(trim(x) != "", line_key(i, trim(x))))
+
+    return F.when(has_rare(text), keys(lambda x: F.trim(x, F.lit(BLANKS)))).otherwise(keys(F.trim))
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(d, l, line)``: the lines with a word of every document with an id, l their key, without white space at their ends."""
-    parts = bare_lines(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    out = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), F.posexplode(parts).alias("number", "line")).where("line <> ''")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), text.alias("text"), has_rare(text).alias("rare"))
+    out = some.select("d", "rare", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
+    out = out.select("d", "number", bare(F.col("line"), F.col("rare")).alias("line")).where("line <> ''")
     return out.select("d", line_key(F.col("number"), F.col("line")).alias("l"), "line")
 
 
@@ -147,10 +162,11 @@ def classes(lines: DataFrame, levels: list[int]) -> DataFrame:
     words = F.xxhash64(F.lit(9), F.array_sort(F.array_distinct(line_words(F.col("line")))))
     parity = lambda w: F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(shift(x)))
     half = F.filter("w", lambda x: x.bitwiseAND(F.lit(64)) != 0)
+    odd = F.when(F.size("w") > WIDE, parity(half)).otherwise(F.lit(0).cast("bigint"))
     length = F.when(alone, 0).otherwise(prefix_length(F.size("w")) + DEPTH - 1)
     keyed = made.select(
         F.xxhash64("w").alias("s"), F.when(alone, words).otherwise(F.xxhash64(F.lit(7), "w")).alias("t"),
-        F.size("w").alias("n"), parity(half).alias("odd"), parity(F.col("w")).alias("every"), "d", "l", F.slice("w", F.lit(1), length).alias("prefix"),
+        F.size("w").alias("n"), odd.alias("odd"), parity(F.col("w")).alias("every"), "d", "l", F.slice("w", F.lit(1), length).alias("prefix"),
     )
     first = keyed.groupBy("s", "t", "n").agg(F.min(F.struct("d", "l", "odd", "every", "prefix")).alias("m"))
     return first.select("m.d", "m.l", "n", "m.odd", "m.every", "m.prefix")
@@ -171,9 +187,9 @@ def close(short: DataFrame, long: DataFrame, depth: int) -> DataFrame:
     both = c("sn") + c("tn")
     left = F.least(c("sn") - c("si"), c("tn") - c("ti")) + (depth - 1)  # i is the place of the last word; J >= 4/5: 9 * overlap >= 4 * (n + m)
     odd, every = c("sodd").bitwiseXOR(c("todd")), c("severy").bitwiseXOR(c("tevery"))
-    apart = F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(every))  # 9 * words in one set only <= n + m
+    apart = F.when(c("sn") > WIDE, F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(every))).otherwise(F.bit_count(every))  # 9 * words in one set only <= n + m
     first = _before("s", "t")
-    fits = (c("sn") <= c("tn")) & (c("sn") * DEN >= c("tn") * NUM) & (left * (NUM + DEN) >= both * NUM) & (apart * (NUM + DEN) <= both * (DEN - NUM))
+    fits = (c("sn") <= c("tn")) & (c("sn") * DEN >= c("tn") * NUM) & (apart * (NUM + DEN) <= both * (DEN - NUM)) & (left * (NUM + DEN) >= both * NUM)
     once = (c("sn") < c("tn")) | first
     pick = lambda n: (F.when(first, c("s" + n)).otherwise(c("t" + n)), F.when(first, c("t" + n)).otherwise(c("s" + n)))
     (ad, bd), (al, bl), (_, open_) = pick("d"), pick("l"), pick("open")
@@ -182,15 +198,26 @@ def close(short: DataFrame, long: DataFrame, depth: int) -> DataFrame:
     return out.select(ad.alias("ad"), al.alias("al"), bd.alias("bd"), bl.alias("bl"), both.alias("both"))
 
 
+def length_class(n: Column) -> Column:
+    """Lengths in classes that grow with them; never falls as n grows."""
+    return F.floor(F.log(n) / log(SPAN)).cast("int")
+
+
 def colliding(items: DataFrame, depth: int) -> list[DataFrame]:
     """Candidates among ``items``, as stored tables of one slice of signatures each.
 
-    Of two sets the smaller one can't share less than 8/9 of its words, so its prefix is shorter.
+    Of two sets the smaller one can't share less than 8/9 of its words, so its prefix is shorter. It
+    meets the length classes of all lengths from its own to 5/4 of it, which are two at most; with the
+    sets of the later one, all larger, it shares even more.
     """
-    n = F.col("n")
-    reach = n - F.floor((n * 2 * NUM + NUM + DEN - 1) / (NUM + DEN)) + depth
+    n, i = F.col("n"), F.col("i")
+    reach = lambda m: n - F.floor(((n + m) * NUM + NUM + DEN - 1) / (NUM + DEN)) + depth
+    own, last = length_class(n), length_class(F.floor(n * DEN / NUM))
+    later = (last > own) & (i < reach(F.floor(F.pow(F.lit(SPAN), last))))
+    met = F.explode(F.when(later, F.array(own, last)).otherwise(F.array(own)))
+    classed = lambda x, k: x.withColumn("class", k).withColumn("sig", F.xxhash64("sig", "class")).drop("class")
     parts = [items.where(F.pmod("sig", F.lit(SLICES)) == k) for k in range(SLICES)]
-    return [store(close(x.where(F.col("i") < reach), x, depth).distinct()) for x in parts]
+    return [store(close(classed(x.where(i < reach(n)), met), classed(x, own), depth).distinct()) for x in parts]
 
 
 def signatures(reps: DataFrame) -> DataFrame:
@@ -217,9 +244,12 @@ def marked(rows: DataFrame, needed: DataFrame, keys: list[str], hit: bool = True
 
 
 def picked(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(d, l, line)`` of the lines whose (d, l) is in ``needed``: documents and lines are first picked by bitmaps."""
+    """``(d, l, line)`` of the lines whose (d, l) is in ``needed``, once: documents and lines are first picked by bitmaps.
+
+    An inner join, as Spark would move a semi join below the second bitmap.
+    """
     some = marked(docs.withColumn("d", F.col("doc_id").cast("long")), needed, ["d"]).drop("d")
-    return marked(lines_of(some), needed, ["d", "l"]).join(needed, ["d", "l"], "left_semi")
+    return marked(lines_of(some), needed, ["d", "l"]).join(needed, ["d", "l"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -244,19 +274,18 @@ def settled(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``(d, l)`` of the later classes that match any class they are paired with.
 
     Each is first verified with the earliest of its candidates, which nearly always decides; its
-    other pairs are verified, and their lines fetched, only where that one failed.
+    other pairs are verified only where that one failed. The lines of all are fetched in one pass over
+    the texts: a line is fetched once, however many pairs it has.
     """
     first = store(pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al", "both")).alias("m")).select("m.ad", "m.al", "bd", "bl", "m.both"))
-    texts = fetched(first, docs)
+    texts = fetched(pairs, docs)
     done = store(verified(first, texts))
     failed = first.join(done.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti")
     failed = failed.select("bd", "bl", F.col("ad").alias("fd"), F.col("al").alias("fl"))
     late = store(pairs.join(failed, ["bd", "bl"]).where("ad <> fd or al <> fl").select(*PAIR))
-    drop(texts)
     if late.isEmpty():
-        drop(first, late)
+        drop(texts, first, late)
         return done
-    texts = fetched(late, docs)
     out = store(done.unionByName(verified(late, texts)))
     drop(texts, done, first, late)
     return out
@@ -266,11 +295,12 @@ def leaders(reps: DataFrame) -> DataFrame:
     """``PAIR`` of classes and the first line with the same two neighbouring prefix words in the group's earliest document.
 
     Near copies of one line share most such words, so one pair each settles nearly all of a family,
-    whatever its size. The pairs only save others: what they don't settle stays open.
+    whatever its size. Links whose hash is odd are left out, the same ones in every line, which halves
+    the rows. The pairs only save others: what they don't settle stays open.
     """
     at = lambda i: F.get("prefix", F.lit(i))
     links = F.array(*[F.when(at(i + 1).isNotNull(), F.xxhash64(at(i), at(i + 1))) for i in range(LINKS)])
-    keyed = reps.where(f"n > {ALONE}").select(*LINE, F.explode(links).alias("sig")).where("sig is not null")
+    keyed = reps.where(f"n > {ALONE}").select(*LINE, F.explode(links).alias("sig")).where("sig & 1 = 0")
     groups = store(keyed.groupBy("sig").agg(F.count(F.lit(1)).alias("o"), F.min("d").alias("d")).where(f"o >= {FAMILY}").select("sig", "d"))
     rows = store(marked(keyed, groups, ["sig"]).withColumns({"i": F.lit(0), "open": F.lit(True)}))
     first = store(rows.join(groups, ["sig", "d"]).groupBy("sig").agg(F.min(F.struct(*SIDE)).alias("p")))
@@ -353,13 +383,12 @@ def first_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def with_gone(docs: DataFrame, own: list[Column], text_col: str) -> DataFrame:
     """Columns ``own`` of ``docs`` and ``_gone``, the numbers of the lines to remove in their order."""
-    kept = first_lines(docs, text_col).groupBy("d").agg(F.collect_set("l").alias("_kept"))
+    kept = first_lines(docs, text_col).groupBy("d").agg(F.collect_list("l").alias("_kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.transform(bare_lines(text), lambda x, i: F.struct(i.alias("number"), x.alias("line")))
-    keys = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: line_key(x["number"], x["line"]))
-    keys = F.when(F.col("doc_id").isNull(), F.array().cast("array<bigint>")).otherwise(keys)
+    keys = F.when(F.col("doc_id").isNull(), F.array().cast("array<bigint>")).otherwise(line_keys(text))
     some = docs.select(*own, F.col("doc_id").cast("long").alias("_d"), keys.alias("_keys"))
-    gone = F.array_sort(F.array_except("_keys", F.coalesce("_kept", F.array().cast("array<bigint>"))))
+    none = F.array(F.lit(None).cast("bigint"))  # the key of a line without a word
+    gone = F.array_sort(F.array_except("_keys", F.coalesce(F.concat("_kept", none), none)))
     both = some.join(kept, F.col("_d") == F.col("d"), "left")
     return both.withColumn("_gone", F.transform(gone, lambda k: F.shiftright(k, 32).cast("int"))).drop("_keys", "_kept", "d", "_d")
 

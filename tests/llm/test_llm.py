@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -225,6 +226,26 @@ def test_pairs_grow_with_a_family_of_near_copies(spark):
     assert counts[1][0] < 6 * counts[0][0] and counts[1][1] <= 160
 
 
+def test_length_classes_lose_no_pair(spark):
+    """A smaller set meets the class of every length from its own to 5/4 of it, and lengths apart meet nowhere."""
+    of = {r.n: r.k for r in spark.range(1, 1000).select(F.col("id").alias("n"), line_dedup.length_class(F.col("id")).alias("k")).collect()}
+    for n in range(1, 800):
+        assert {of[m] for m in range(n, n * 5 // 4 + 1)} <= {of[n], of[n * 5 // 4]}
+        assert of[n] >= 0 and math.floor(line_dedup.SPAN ** of[n]) <= n < line_dedup.SPAN ** (of[n] + 1)
+    assert of[12] < of[30] < of[75]
+    rng = random.Random(3)
+    words, sets = [f"v{i}" for i in range(400)], []
+    for n in (4, 5, 9, 10, 11, 12, 14, 18, 19, 23, 24, 35, 36, 37, 44, 72, 79, 80, 81, 88, 89, 90, 100, 101, 110):
+        base = rng.sample(words, n)
+        for k in (0, n // 9, n // 5, n // 4):  # some words in place of others, and some more; at the threshold and past it
+            sets.append({*base[k:], *(f"u{len(sets)}_{j}" for j in range(k))})
+            sets.append({*base, *(f"u{len(sets)}_{j}" for j in range(k))})
+    rng.shuffle(sets)
+    docs = docs_of(spark, [" ".join(rng.sample(sorted(s), len(s))) for s in sets])
+    brute = {i: "0" if any(5 * len(s & sets[j]) >= 4 * len(s | sets[j]) for j in range(i)) else "" for i, s in enumerate(sets)}
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()} == brute
+
+
 def test_words_below_a_level_are_in_few_lines(spark):
     docs = docs_of(spark, [f"a{i % 7} b{i % 11} c{i % 50} d{i} e" for i in range(300)])
     reps = line_dedup.classes(line_dedup.lines_of(docs), line_dedup.rarity_levels(docs)).withColumn("open", F.lit(True))
